@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +120,21 @@ def word_hashes(hasher: WordHash, text: bytes | None) -> np.ndarray:
     return hasher.spans(buf, edge[0::2], edge[1::2])
 
 
+def beside(rows: DataFrame, table: DataFrame, part: str, fn) -> RDD:
+    """What ``fn(list of rows, list of table rows)`` yields for each part of ``rows``, met by the rows of ``table`` dealt to it by number.
+
+    ``rows`` stay where they are read; only ``table`` is shuffled, each row to
+    the part that its column ``part`` (from spark_partition_id() over the same
+    rows) names.  Every part is one pair, so what a part needs must fit in
+    memory, as the part itself does.
+    """
+    own = rows.rdd.mapPartitions(lambda it: [pickle.dumps([tuple(r) for r in it], 5)])
+    parts = own.getNumPartitions()
+    dealt = table.repartitionById(parts, F.col(part) % parts).drop(part)
+    held = dealt.rdd.mapPartitions(lambda it: [pickle.dumps([tuple(r) for r in it], 5)])
+    return own.zip(held).flatMap(lambda pair: fn(pickle.loads(pair[0]), pickle.loads(pair[1])))
+
+
 class Bloom:
     """A Bloom filter over 64-bit keys with a fixed number of bits: what it lets through must still be joined exactly.
 

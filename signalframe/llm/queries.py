@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontaminate, langid, quality
+from . import bpe, brown, decontaminate, langid, media, quality, urls
 from .common import fold
 
 
@@ -31,6 +31,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.read_back(media.store(table(spark, sf_dir, "documents"))))
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10))
 
@@ -46,6 +58,8 @@ QUERIES = {
     "op1_brown_lm": op1_brown_lm,
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
+    "op6_media": op6_media,
+    "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
 }
@@ -53,7 +67,22 @@ QUERIES = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_RULES = ", ".join(str(r) for r in URL_RULES)
+
 ORACLES = {
+    "op7_url_filter": f"""
+        WITH rules(rule_host, rule_path, verdict) AS (VALUES {_RULES}),
+        cut AS (
+            SELECT page_id, """ + _LOWER.format("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)") + """ AS host,
+                   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages),
+        fits AS (
+            SELECT page_id, rule_host || rule_path AS rule, verdict,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC, verdict DESC) AS place
+            FROM cut JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+        FROM cut LEFT JOIN (SELECT page_id, rule, verdict FROM fits WHERE place = 1) USING (page_id)
+    """,
     "op8_decontaminate": f"""
         WITH items AS (SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark),
         windows AS (

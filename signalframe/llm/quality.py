@@ -1,8 +1,8 @@
 """Quality classification by Naive Bayes support vectors.
 
 The n-gram indicators of a text are its byte n-grams (n = 1 to 3), and the
-n-grams over the pattern of repeated words (a word equal to the one before it,
-or to both before it), hashed to ``DIM`` places.  Training scales each indicator
+n-grams of one word alone (n = 2 to 17 equal words in a row), hashed to ``DIM``
+places.  Training scales each indicator
 by the log ratio of its smoothed shares in the two classes, brings each row to
 length 1, and fits a linear hinge-loss model by dual coordinate descent.  A
 score is the logistic function of the margin.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .langid import sample_rows
 
 DIM = 1 << 18
+REPEATS = 16
 _PIECE = 1 << 22
 
 
@@ -38,10 +39,11 @@ def indicators(text: bytes | None, flags: np.ndarray) -> np.ndarray:
         if len(b) > 2:
             flags[((two[:-1] * np.uint32(256) + b[2:]) * np.uint32(0x85EBCA6B)) >> np.uint32(14)] = True
     words = text.split()
-    if any(map(bytes.__eq__, words, words[1:])):
-        same = [a == b for a, b in zip(words, words[1:], strict=False)]
-        flags[DIM - 1] = True
-        flags[DIM - 2] = flags[DIM - 2] or any(a and b for a, b in zip(same, same[1:], strict=False))
+    run = longest = 0
+    for same in map(bytes.__eq__, words, words[1:]):
+        run = run + 1 if same else 0
+        longest = max(longest, run)
+    flags[DIM - min(longest, REPEATS) : DIM] = longest > 0
     at = np.flatnonzero(flags)
     flags[at] = False
     return at

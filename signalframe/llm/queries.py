@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontaminate, langid, media, quality, urls
+from . import bpe, brown, decontaminate, langid, lines, media, quality, urls
 from .common import fold
 
 
@@ -31,6 +31,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"), report=True)
+    return kept.select("doc_id", "n_lines", "n_runs", F.col("n_words").alias("n_words_deleted"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.read_back(media.store(table(spark, sf_dir, "documents"))))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_brown_lm": op1_brown_lm,
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op6_media": op6_media,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontaminate, langid, lines, media, quality, urls
+from . import bpe, brown, decontaminate, jaccard, langid, lines, media, quality, urls
 from .common import fold
 
 
@@ -59,6 +59,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_brown_lm": op1_brown_lm,
     "op2_bpe": op2_bpe,
@@ -68,6 +72,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
+    "op10_jaccard": op10_jaccard,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -121,21 +121,21 @@ def decode(encoded: DataFrame, path: str | None = None, *, key: str = "doc_id",
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
 
 
-def digest(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The columns of the op2 query from ``key``, ids and text."""
+def digest(decoded: DataFrame, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """The columns of the op2 query from ``key``, ids and text; with ``keep_ids`` the ids as well."""
 
     def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(1), batch.column(2).to_pylist()
-            lists = [x.values.to_pylist() if x.is_valid else [] for x in ids]
-            yield pa.record_batch(
-                [
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                lists = [x or [] for x in batch.column(1).to_pylist()]
+                columns = [
                     batch.column(0),
                     pa.array([len(x) for x in lists], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists]),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]),
-                ],
-                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                    pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists], pa.string()),
+                    pa.array([hashlib.sha256((t or "").encode()).hexdigest() for t in batch.column(2).to_pylist()], pa.string()),
+                ]
+                yield pa.record_batch(columns + [batch.column(1)] * keep_ids, names=[key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
-    return decoded.select(key, "ids", "text").mapInArrow(run, f"`{key}` {decoded.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{key}` {decoded.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return decoded.select(key, "ids", "text").mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, decontaminate, jaccard, langid, lines, media, quality, urls
+from . import bpe, brown, counts, decontaminate, jaccard, langid, lines, media, quality, urls
 from .common import fold
 
 
@@ -31,6 +31,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document, at places read off its id: 20 characters replaced, a beginning put before, 7 characters taken out."""
+    docs = table(spark, sf_dir, "documents")
+
+    def place(salt: str):
+        return F.pmod(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(salt)).cast("binary")), F.length(F.coalesce("text", F.lit(""))) + 1).cast("int")
+
+    def edit(start, length: int, new: str):
+        return F.struct(start.alias("start"), F.lit(length).alias("length"), F.lit(new).alias("new"))
+
+    edits = F.array(edit(place("a"), 20, " an edited passage "), edit(F.lit(0), 0, "Preface. "), edit(place("b"), 7, ""))
+    return counts.recount(docs.withColumn("edits", edits))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents"), report=True)
     return kept.select("doc_id", "n_lines", "n_runs", F.col("n_words").alias("n_words_deleted"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
@@ -67,6 +81,7 @@ QUERIES = {
     "op1_brown_lm": op1_brown_lm,
     "op2_bpe": op2_bpe,
     "op3_language_id": op3_language_id,
+    "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_media": op6_media,
     "op7_url_filter": op7_url_filter,

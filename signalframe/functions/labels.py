@@ -84,7 +84,8 @@ def _attribute(op: str, v: Column, value: object) -> Column:
         return v.isNotNull()
     if op == "notExists":
         return v.isNull()
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    sample = value[0] if isinstance(value, (list, tuple)) and value else value
+    number = isinstance(sample, (int, float)) and not isinstance(sample, bool)
     compared = v.try_cast("double") if number else v
     ops: dict[str, Callable[[], Column]] = {
         "eq": lambda: compared == value,
@@ -96,7 +97,7 @@ def _attribute(op: str, v: Column, value: object) -> Column:
         "regex": lambda: v.rlike(value) if isinstance(value, str) and safe_pattern(value) else F.lit(False),
         "contains": lambda: v.contains(value) if isinstance(value, str) else F.lit(False),
         "startsWith": lambda: v.startswith(value) if isinstance(value, str) else F.lit(False),
-        "in": lambda: v.isin(list(value)) if isinstance(value, (list, tuple)) else F.lit(False),
+        "in": lambda: compared.isin(list(value)) if isinstance(value, (list, tuple)) else F.lit(False),
     }
     if op not in ops:
         raise ValueError(f"unknown attribute operator {op!r}")

@@ -35,10 +35,9 @@ def finite(value: str | Column) -> Column:
 
 
 def percent_change(before: str | Column, after: str | Column) -> Column:
-    """(after - before) / |before| * 100; from 0: 0 where nothing changed, else infinite with the sign of ``after``."""
+    """(after - before) / |before| * 100; from 0 it is 0 where nothing changed, else 100."""
     b, a = col(before), col(after)
-    at_zero = F.when(a == 0, F.lit(0.0)).when(a > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
-    return F.when(b == 0, at_zero).otherwise((a - b) / F.nullif(F.abs(b), F.lit(0.0)) * 100)
+    return F.when(b == 0, F.when(a == 0, 0.0).otherwise(100.0)).otherwise((a - b) / F.nullif(F.abs(b), F.lit(0.0)) * 100)
 
 
 def anchored(pattern: str) -> str:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .values import anchored, checked, col, safe_pattern
 
@@ -126,11 +127,15 @@ def format_numeric(value: float | None) -> str | None:
     return whole if fraction.strip("0") == "" else text
 
 
-@F.pandas_udf("string")
-def numeric_label(value: pd.Series) -> pd.Series:
+def _format_all(value: pd.Series) -> pd.Series:
     return value.map(lambda v: None if v is None or pd.isna(v) else format_numeric(float(v)))
 
 
+def numeric_label(value: str | Column) -> Column:
+    """``format_numeric`` of a column, in Arrow batches; null for null and NaN."""
+    return F.pandas_udf(_format_all, StringType())(col(value))
+
+
 def all_of(conditions: Sequence[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:

@@ -83,17 +83,21 @@ class Drain:
         tokens = tokens_of(line)
         found = self._find(tokens)
         if found is None:
-            node = self.roots.setdefault(len(tokens), _Leaf())
-            for token in self._leading(tokens):
-                node = self._branch(node, token)
-            node.clusters.append(len(self.templates))
-            self.templates.append(tokens)
-            self.sizes.append(1)
+            self.restore(tokens, 1)
             return len(self.templates), [], True
         self.templates[found] = [a if a == b else WILDCARD for a, b in zip(self.templates[found], tokens, strict=True)]
         self.sizes[found] += 1
         return found + 1, self._variables(found, tokens), False
 
+    def restore(self, template: list[str], size: int) -> None:
+        """Put a template as the next one, below its leading tokens."""
+        node = self.roots.setdefault(len(template), _Leaf())
+        for token in self._leading(template):
+            node = self._branch(node, token)
+        node.clusters.append(len(self.templates))
+        self.templates.append(list(template))
+        self.sizes.append(size)
+
     def _variables(self, i: int, tokens: list[str]) -> list[str]:
         return [b for a, b in zip(self.templates[i], tokens, strict=True) if a == WILDCARD]
 

@@ -144,10 +144,11 @@ def under(spans: DataFrame, condition: Column) -> DataFrame:
     return _doubled(state, {"found": F.col("found") | F.coalesce("far_found", F.lit(False))}).select("trace_id", "span_id", "found")
 
 
-def structural(spans: DataFrame, left: Column, relation: str, right: Column) -> DataFrame:
+def structural(spans: DataFrame, left: Column | str, relation: str, right: Column | str) -> DataFrame:
     """The ids of traces in which some b with ``right`` is the ``relation`` of another span a with ``left`` (b is a's descendant, ...)."""
     if relation not in RELATIONS:
         raise ValueError(f"a relation is one of {', '.join(RELATIONS)}")
+    left, right = (F.expr(c) if isinstance(c, str) else c for c in (left, right))
     if relation in ("ancestor", "parent"):
         return structural(spans, right, {"ancestor": "descendant", "parent": "child"}[relation], left)
     if relation == "descendant":

@@ -14,9 +14,9 @@ from ..operators import traces as ops
 @dataclass(frozen=True)
 class TraceQuery:
     span: tuple[tuple[str, object], ...] = ()
-    attributes: tuple[Column, ...] = ()
+    attributes: tuple[tuple[str, str, object], ...] = ()
     trace: tuple[tuple[str, object], ...] = ()
-    relations: tuple[tuple[Column, str, Column], ...] = ()
+    relations: tuple[tuple[Column | str, str, Column | str], ...] = ()
     sorted_by: tuple[str, bool] = ("startTime", False)
     skip: int = 0
     most: int | None = None
@@ -52,7 +52,7 @@ class TraceQuery:
         return self._span(min_duration_ns=least_ns, max_duration_ns=most_ns)
 
     def attribute(self, key: str, op: str, value: object = None) -> TraceQuery:
-        return replace(self, attributes=(*self.attributes, attribute(op, "attributes", key, value)))
+        return replace(self, attributes=(*self.attributes, (op, key, value)))
 
     def has_attribute(self, key: str) -> TraceQuery:
         return self.attribute(key, "exists")
@@ -72,24 +72,25 @@ class TraceQuery:
     def root_span_name(self, name: str) -> TraceQuery:
         return self._trace(root_name=name)
 
-    def related(self, left: Column, relation: str, right: Column) -> TraceQuery:
+    def related(self, left: Column | str, relation: str, right: Column | str) -> TraceQuery:
+        """Traces in which a span with ``right`` is the ``relation`` of one with ``left``; conditions are Columns or SQL."""
         if relation not in ops.RELATIONS:
             raise ValueError(f"a relation is one of {', '.join(ops.RELATIONS)}")
         return replace(self, relations=(*self.relations, (left, relation, right)))
 
-    def has_descendant(self, left: Column, right: Column) -> TraceQuery:
+    def has_descendant(self, left: Column | str, right: Column | str) -> TraceQuery:
         return self.related(left, "descendant", right)
 
-    def has_ancestor(self, left: Column, right: Column) -> TraceQuery:
+    def has_ancestor(self, left: Column | str, right: Column | str) -> TraceQuery:
         return self.related(left, "ancestor", right)
 
-    def has_child(self, left: Column, right: Column) -> TraceQuery:
+    def has_child(self, left: Column | str, right: Column | str) -> TraceQuery:
         return self.related(left, "child", right)
 
-    def has_parent(self, left: Column, right: Column) -> TraceQuery:
+    def has_parent(self, left: Column | str, right: Column | str) -> TraceQuery:
         return self.related(left, "parent", right)
 
-    def has_sibling(self, left: Column, right: Column) -> TraceQuery:
+    def has_sibling(self, left: Column | str, right: Column | str) -> TraceQuery:
         return self.related(left, "sibling", right)
 
     def sort_by(self, field: str, ascending: bool = False) -> TraceQuery:
@@ -104,7 +105,7 @@ class TraceQuery:
         return replace(self, most=n)
 
     def condition(self) -> Column:
-        return ops.span_filter(**dict(self.span), attributes=self.attributes)
+        return ops.span_filter(**dict(self.span), attributes=[attribute(op, "attributes", key, value) for op, key, value in self.attributes])
 
     def spans(self, spans: DataFrame) -> DataFrame:
         """All spans of the traces found, before paging."""

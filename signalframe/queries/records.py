@@ -24,10 +24,15 @@ def simple(name: str, query, sql: str) -> None:
     QUERIES[name], ORACLES[name] = query, sql
 
 
-TYPE = ops.split_key("event_type")
+
+
+def by_type():
+    return ops.split_key("event_type")
+
+
 for reduce in ops.REDUCERS:
     sql = {"last": "arg_max(value, seq)", "count": "CAST(count(*) AS DOUBLE)"}.get(reduce, f"{reduce}(value)")
-    simple(f"bucket_{reduce}", lambda s, d, r=reduce: ops.bucket_series(event_records(s, d), HOUR * 6, r, TYPE).withColumn("value", F.round("value", 9)),
+    simple(f"bucket_{reduce}", lambda s, d, r=reduce: ops.bucket_series(event_records(s, d), HOUR * 6, r, by_type()).withColumn("value", F.round("value", 9)),
            f"WITH {SAMPLES} SELECT event_type AS key, ts_ns - ts_ns % {HOUR * 6} AS bucket_ns, round({sql}, 9) AS value FROM samples WHERE value IS NOT NULL GROUP BY ALL")
 simple("record_filter", lambda s, d: event_records(s, d).where(ops.record_filter(signal="metrics", from_ns=START + DAY, to_ns=START + 9 * DAY, name="event_value", attributes={"event_type": ["view", "click"]}, resource={"service.name": "svc-3"})).select("ts_ns", "value", "seq"),
        f"WITH {SAMPLES} SELECT ts_ns, value, seq FROM samples WHERE ts_ns BETWEEN {START + DAY} AND {START + 9 * DAY} AND event_type IN ('view', 'click') AND user_bucket = '3'")
@@ -51,7 +56,7 @@ PER_DAY = f"per_day AS (SELECT event_type AS key, ts_ns - ts_ns % {DAY} AS bucke
 
 
 def per_day(s: SparkSession, d: str) -> DataFrame:
-    return ops.bucket_series(event_records(s, d), DAY, "avg", TYPE)
+    return ops.bucket_series(event_records(s, d), DAY, "avg", by_type())
 
 
 KINDS = ("click", "error", "purchase", "signup", "view")

@@ -68,7 +68,7 @@ add("trace_root", Q.root_service("system-2").root_span_name("system-turn"), havi
 add("trace_page", Q.sort_by("duration").offset(5).limit(10), tail="ORDER BY duration_ns DESC, first_seq LIMIT 10 OFFSET 5")
 add("trace_page_ascending", Q.sort_by("spanCount", ascending=True).limit(12), tail="ORDER BY span_count, first_seq LIMIT 12")
 
-ERROR, USER, SYSTEM, LONG = F.col("status_code") == 2, F.col("kind") == 3, F.col("kind") == 1, F.col("duration_ns") > 8_000_000
+ERROR, USER, SYSTEM, LONG = "status_code = 2", "kind = 3", "kind = 1", "duration_ns > 8000000"
 RELATED = {
     "child": "SELECT b.trace_id FROM spans a JOIN spans b ON a.trace_id = b.trace_id AND b.parent_span_id = a.span_id WHERE {a} AND {b}",
     "parent": "SELECT b.trace_id FROM spans a JOIN spans b ON a.trace_id = b.trace_id AND a.parent_span_id = b.span_id WHERE {a} AND {b}",

@@ -14,7 +14,9 @@ each occurrence the first one, by document id and place.  A match is extended
 both ways while the lines before and after agree with those of the first
 occurrence, up to ``MARGIN`` lines, as far as the next fingerprint at most as a
 rule.  Matches that overlap or touch form one run; runs of at least
-``min_words`` words are deleted, so the first occurrence stays.
+``min_words`` words are deleted, so the first occurrence stays.  A document
+sends each of its fingerprints once, however often it has it: what it repeats of
+itself, and further places of a gram met elsewhere before, it knows alone.
 
 Rows are told apart by id: rows with equal ids count as one document, whose own
 later repeats go too.  Null ids count as one id.  Null and empty texts have no
@@ -110,8 +112,18 @@ class Lines:
         return out
 
 
+def _leaders(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each fingerprint the first of its text with the same value; both are in the order of places."""
+    order = np.lexsort((np.arange(len(value)), value, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (value[order][1:] != value[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    return out
+
+
 def _fingerprint_rows(docs: DataFrame, key: str, text: str, gram: int, window: int, only: Bloom | None) -> DataFrame:
-    """(key, gram, first) of each fingerprint; with ``only``, those that it lets through, and their end and margins."""
+    """(key, gram, first) of each fingerprint of a document; with ``only``, those that it lets through, and their margins."""
     spark = docs.sparkSession
     shared = None if only is None else spark.sparkContext.broadcast(only)
 
@@ -122,64 +134,91 @@ def _fingerprint_rows(docs: DataFrame, key: str, text: str, gram: int, window: i
                 batch = whole.slice(lo, 256)
                 lines = Lines(batch.column(1).to_pylist(), hasher)
                 first, end, value = lines.fingerprints(gram, window)
+                keep = _leaders(lines.text[first], value) == np.arange(len(first))
                 if shared is not None:
-                    keep = shared.value.has(value)
-                    first, end, value = first[keep], end[keep], value[keep]
+                    keep &= shared.value.has(value)
+                first, end, value = first[keep], end[keep], value[keep]
                 ids = batch.column(0).take(pa.array(lines.text[first]))
                 at = first - lines.offset[lines.text[first]]
                 columns = [ids, pa.array(value.view(np.int64)), pa.array(at.astype(np.int32))]
                 names = [key, "gram", "first"]
                 if shared is not None:
                     margins = lines.margins(first, end)
-                    columns += [pa.array((end - first).astype(np.int32)), pa.array([m.tobytes() for m in margins], pa.binary())]
-                    names += ["size", "margins"]
+                    columns.append(pa.array([m.tobytes() for m in margins], pa.binary()))
+                    names.append("margins")
                 yield pa.record_batch(columns, names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, gram long, first int" + ("" if only is None else ", size int, margins binary")
+    schema = f"`{key}` {kind}, gram long, first int" + ("" if only is None else ", margins binary")
     return docs.select(F.col(key), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gram: int = 16, window: int = 20) -> DataFrame:
-    """(key, matches): for each document with repeats its later fingerprints: first line, number of lines, margins of the first occurrence."""
+    """(key, matches): for each document its grams that came before elsewhere, with the margins of their first occurrence."""
     repeated = _fingerprint_rows(docs, key, text, gram, window, None).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     rows = stored(_fingerprint_rows(docs, key, text, gram, window, Bloom.over(repeated, "gram")))
-    firsts = (
+    # stored, so that both sides of the join come straight from their exchanges and hot grams can be split
+    firsts = stored(
         rows.groupBy("gram")
         .agg(F.min(F.struct(key, "first", "margins")).alias("least"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("gram", F.col(f"least.{key}").alias("first_key"), F.col("least.first").alias("first_first"), F.col("least.margins").alias("first_margins"))
+        .select("gram", F.col(f"least.{key}").alias("first_key"), F.col("least.margins").alias("first_margins"))
     )
-    later = rows.drop("margins").join(firsts, "gram").where(~(F.col(key).eqNullSafe(F.col("first_key")) & (F.col("first") == F.col("first_first"))))
-    return later.groupBy(key).agg(F.collect_set(F.struct("first", "size", F.col("first_margins").alias("margins"))).alias("matches"))
-
-
-def cut_repeats(text: bytes, matches: list[tuple[int, int, bytes]], min_words: int, hasher: WordHash) -> tuple[bytes, int, int, int]:
-    """``text`` without its repeated runs; and the numbers of its lines, of runs deleted, and of words deleted."""
-    lines = Lines([text], hasher)
-    n = len(lines.hash)
-    spans = []
-    for first, size, margins in matches:
-        theirs = np.frombuffer(margins, "<u4")
-        own = lines.margins(np.array([first]), np.array([first + size]))[0]
-        same = (theirs == own) & (own != 0)
-        left, right = (int(np.argmin(np.append(same[i : i + MARGIN], False))) for i in (0, MARGIN))
-        spans.append((first - left, first + size + right))
-    runs: list[list[int]] = []
-    for a, b in sorted(spans):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
+    later = rows.select(key, "gram").join(firsts, "gram").where(~F.col(key).eqNullSafe(F.col("first_key")))
+    return later.groupBy(key).agg(F.collect_set(F.struct("gram", F.col("first_margins").alias("margins"))).alias("matches"))
+
+
+def cut_repeats(texts: list[bytes | None], matches: list[dict[int, bytes] | None], gram: int, window: int, min_words: int, hasher: WordHash) -> list[tuple[bytes | None, int, int, int]]:
+    """For each text: the text without its repeated runs, and the numbers of its lines, of runs deleted, and of words deleted.
+
+    ``matches`` holds, for each text, the grams met elsewhere before, each with the margins of its first occurrence.
+    """
+    lines = Lines(texts, hasher)
+    first, end, value = lines.fingerprints(gram, window)
+    text = lines.text[first]
+    leader = _leaders(text, value)
+    again = leader != np.arange(len(first))
+    has = np.array([bool(m) for m in matches], bool)
+    at = np.flatnonzero(again | has[text])
+    theirs, kept = [], []
+    own_margins = lines.margins(first, end)
+    signed = value.view(np.int64)
+    for i in at.tolist():
+        found = matches[text[i]] and matches[text[i]].get(int(signed[i]))
+        if found is not None and found is not False:
+            theirs.append(np.frombuffer(found, "<u4"))
+            kept.append(i)
+        elif again[i]:
+            theirs.append(own_margins[leader[i]])
+            kept.append(i)
+    out = [(t, int(n), 0, 0) for t, n in zip(texts, np.diff(lines.offset), strict=True)]
+    if not kept:
+        return out
+    at = np.array(kept)
+    same = (np.array(theirs) == own_margins[at]) & (own_margins[at] != 0)
+    left, right = np.cumprod(same[:, :MARGIN], 1).sum(1), np.cumprod(same[:, MARGIN:], 1).sum(1)
+    runs: dict[int, list[list[int]]] = {}
+    for a, b, t in sorted(zip((first[at] - left).tolist(), (end[at] + right).tolist(), text[at].tolist(), strict=True)):
+        own = runs.setdefault(t, [])
+        if own and a <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], b)
         else:
-            runs.append([a, b])
-    gone, words, count = np.zeros(len(text), bool), 0, 0
-    for a, b in runs:
-        own = int(lines.count[a:b].sum())
-        if own >= min_words:
-            # with the white space after it, or at the end of the text before it
-            gone[lines.start[a] if b < n else (lines.ink_end[a - 1] if a else 0) : lines.start[b] if b < n else len(text)] = True
-            words += own
-            count += 1
-    return np.frombuffer(text, np.uint8)[~gone].tobytes() if count else text, n, count, words
+            own.append([a, b])
+    for t, own in runs.items():
+        data = texts[t]
+        gone, words, count, base = np.zeros(len(data), bool), 0, 0, int(lines.text_start[t])
+        begin, stop = int(lines.offset[t]), int(lines.offset[t + 1])
+        for a, b in own:
+            size = int(lines.count[a:b].sum())
+            if size >= min_words:
+                # with the white space after it, or at the end of the text before it
+                lo = int(lines.start[a]) - base if b < stop else (int(lines.ink_end[a - 1]) - base if a > begin else 0)
+                gone[lo : int(lines.start[b]) - base if b < stop else len(data)] = True
+                words += size
+                count += 1
+        if count:
+            out[t] = (np.frombuffer(data, np.uint8)[~gone].tobytes(), out[t][1], count, words)
+    return out
 
 
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gram: int = 16, window: int = 20, min_words: int = 30, report: bool = False) -> DataFrame:
@@ -197,13 +236,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gra
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                texts = batch.column(place).cast(pa.binary()).to_pylist()
-                done = []
-                for t, held in zip(texts, batch.column(len(names)).to_pylist(), strict=True):
-                    if t and (held or report):
-                        done.append(cut_repeats(t, [(m["first"], m["size"], m["margins"]) for m in held or []], min_words, hasher))
-                    else:
-                        done.append((t, 0, 0, 0))
+                held = [m and {x["gram"]: x["margins"] for x in m} for m in batch.column(len(names)).to_pylist()]
+                done = cut_repeats(batch.column(place).cast(pa.binary()).to_pylist(), held, gram, window, min_words, hasher)
                 new = pa.array([x[0] for x in done], pa.binary()).cast(pa.string())
                 if report:
                     yield pa.record_batch([batch.column(names.index(key)), new, *(pa.array([x[i] for x in done], pa.int64()) for i in (1, 2, 3))], names=[key, "text", "n_lines", "n_runs", "n_words"])

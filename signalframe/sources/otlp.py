@@ -80,10 +80,10 @@ def any_value(v: str | Column) -> Column:
 
 def attributes_map(kv: str | Column) -> Column:
     """Attributes as a map; of equal keys the last counts."""
-    c = F.coalesce(F.col(kv) if isinstance(kv, str) else kv, F.expr(f"cast(array() as {_KV})"))
+    c = F.coalesce(F.col(kv) if isinstance(kv, str) else kv, F.array().cast(_KV))
     entries = F.filter(c, lambda e: e["key"].isNotNull())
-    last = F.filter(F.transform(entries, lambda e, i: F.struct(e.alias("e"), i.alias("i"))), lambda x: ~F.exists(F.slice(entries, x["i"] + 2, F.greatest(F.size(entries), F.lit(1))), lambda y: y["key"] == x["e"]["key"]))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["e"]["key"], any_value(x["e"]["value"]))))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda y: y["key"] == e["key"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], any_value(e["value"]))))
 
 
 def unix_nanos(text: str | Column) -> Column:
@@ -99,10 +99,10 @@ def ingest_nanos(text: str | Column) -> Column:
 
 
 def _scoped(docs: DataFrame, group: str, scopes: str, items: str) -> DataFrame:
-    """(seq, r, s, i, resource, scope, item): the items of each document with their positions."""
+    """(seq, r, s, i, own_resource, own_scope, item): the items of each document with their positions."""
     rows = docs.select("seq", F.posexplode(f"doc.{group}").alias("r", "rm"))
-    rows = rows.select("seq", "r", F.col("rm.resource").alias("resource"), F.posexplode(f"rm.{scopes}").alias("s", "sm"))
-    return rows.select("seq", "r", "s", "resource", F.col("sm.scope").alias("scope"), F.posexplode(f"sm.{items}").alias("i", "item"))
+    rows = rows.select("seq", "r", F.col("rm.resource").alias("own_resource"), F.posexplode(f"rm.{scopes}").alias("s", "sm"))
+    return rows.select("seq", "r", "s", "own_resource", F.col("sm.scope").alias("own_scope"), F.posexplode(f"sm.{items}").alias("i", "item"))
 
 
 def _ordinal(*columns: str) -> Column:
@@ -115,7 +115,7 @@ def metric_points(docs: DataFrame) -> DataFrame:
     metrics = _scoped(docs.where("doc.resourceMetrics is not null"), "resourceMetrics", "scopeMetrics", "metrics")
     parts = []
     for order, kind in enumerate(KINDS):
-        rows = metrics.where(f"item.{kind} is not null").select("seq", "r", "s", "i", "resource", "scope", "item", F.posexplode(f"item.{kind}.dataPoints").alias("p", "point"))
+        rows = metrics.where(f"item.{kind} is not null").select("seq", "r", "s", "i", "own_resource", "own_scope", "item", F.posexplode(f"item.{kind}.dataPoints").alias("p", "point"))
         number, is_exp = kind in ("gauge", "sum"), kind == "exponentialHistogram"
         null = lambda t: F.lit(None).cast(t)
         field = lambda name, kinds, t="double": F.col(f"point.{name}").try_cast(t) if kind in kinds else null(t)
@@ -134,8 +134,8 @@ def metric_points(docs: DataFrame) -> DataFrame:
                 (F.struct(F.col("point.negative.offset").try_cast("int").alias("offset"), F.col("point.negative.bucketCounts").cast("array<double>").alias("counts")) if is_exp else null("struct<offset:int,counts:array<double>>")).alias("negative"),
                 (F.col(f"item.{kind}.aggregationTemporality").try_cast("int") if kind in ("sum", "histogram", "exponentialHistogram") else null("int")).alias("temporality"),
                 (F.col("item.sum.isMonotonic") if kind == "sum" else null("boolean")).alias("is_monotonic"),
-                attributes_map("point.attributes").alias("attributes"), attributes_map("resource.attributes").alias("resource"),
-                F.col("scope.name").alias("scope_name"), F.col("scope.version").alias("scope_version"), attributes_map("scope.attributes").alias("scope_attributes"),
+                attributes_map("point.attributes").alias("attributes"), attributes_map("own_resource.attributes").alias("resource"),
+                F.col("own_scope.name").alias("scope_name"), F.col("own_scope.version").alias("scope_version"), attributes_map("own_scope.attributes").alias("scope_attributes"),
             )
         )
     return reduce(DataFrame.unionByName, parts)
@@ -148,15 +148,17 @@ def is_delta(temporality: str | Column = "temporality") -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """Span rows (see ``schemas.SPANS``); durations are end less start, an absent status is 0."""
     rows = _scoped(docs.where("doc.resourceSpans is not null"), "resourceSpans", "scopeSpans", "spans")
+    events = F.transform("item.events", lambda e: F.struct(unix_nanos(e["timeUnixNano"]).alias("time_ns"), e["name"].alias("name"), attributes_map(e["attributes"]).alias("attributes")))
+    links = F.transform("item.links", lambda e: F.struct(e["traceId"].alias("trace_id"), e["spanId"].alias("span_id"), attributes_map(e["attributes"]).alias("attributes")))
+    rows = rows.withColumns({"events": events, "links": links})
     start, end = unix_nanos("item.startTimeUnixNano"), unix_nanos("item.endTimeUnixNano")
-    resource = attributes_map("resource.attributes")
+    resource = attributes_map("own_resource.attributes")
     return rows.select(
         F.col("item.traceId").alias("trace_id"), F.col("item.spanId").alias("span_id"), F.nullif("item.parentSpanId", F.lit("")).alias("parent_span_id"), F.col("item.name").alias("name"),
         F.coalesce(F.col("item.kind").try_cast("int"), F.lit(0)).alias("kind"), start.alias("start_ns"), end.alias("end_ns"), (end - start).alias("duration_ns"),
         F.coalesce(F.col("item.status.code").try_cast("int"), F.lit(0)).alias("status_code"), F.col("item.status.message").alias("status_message"), attributes_map("item.attributes").alias("attributes"),
-        F.transform("item.events", lambda e: F.struct(unix_nanos(e["timeUnixNano"]).alias("time_ns"), e["name"].alias("name"), attributes_map(e["attributes"]).alias("attributes"))).alias("events"),
-        F.transform("item.links", lambda e: F.struct(e["traceId"].alias("trace_id"), e["spanId"].alias("span_id"), attributes_map(e["attributes"]).alias("attributes"))).alias("links"),
-        resource.alias("resource"), F.element_at(resource, F.lit("service.name")).alias("service_name"), F.col("scope.name").alias("scope_name"), F.col("scope.version").alias("scope_version"),
+        "events", "links",
+        resource.alias("resource"), F.element_at(resource, F.lit("service.name")).alias("service_name"), F.col("own_scope.name").alias("scope_name"), F.col("own_scope.version").alias("scope_version"),
         _ordinal("seq", "r", "s", "i").alias("ordinal"),
     )
 
@@ -169,8 +171,8 @@ def logs(docs: DataFrame) -> DataFrame:
     return rows.select(
         unix_nanos("item.timeUnixNano").alias("time_ns"), unix_nanos("item.observedTimeUnixNano").alias("observed_ns"), F.col("item.severityNumber").try_cast("int").alias("severity_number"), F.col("item.severityText").alias("severity_text"),
         any_value(body).alias("body"), kind.alias("body_kind"), attributes_map("item.attributes").alias("attributes"), F.col("item.traceId").alias("trace_id"), F.col("item.spanId").alias("span_id"),
-        F.coalesce(F.col("item.flags").try_cast("int"), F.lit(0)).alias("flags"), F.col("item.eventName").alias("event_name"), attributes_map("resource.attributes").alias("resource"),
-        F.col("scope.name").alias("scope_name"), F.col("scope.version").alias("scope_version"), F.xxhash64(F.to_json("resource"), F.to_json("scope")).alias("stream_id"), _ordinal("seq", "r", "s", "i").alias("ordinal"),
+        F.coalesce(F.col("item.flags").try_cast("int"), F.lit(0)).alias("flags"), F.col("item.eventName").alias("event_name"), attributes_map("own_resource.attributes").alias("resource"),
+        F.col("own_scope.name").alias("scope_name"), F.col("own_scope.version").alias("scope_version"), F.xxhash64(F.to_json("own_resource"), F.to_json("own_scope")).alias("stream_id"), _ordinal("seq", "r", "s", "i").alias("ordinal"),
     )
 
 

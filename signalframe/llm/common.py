@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import RDD
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` itself where it is read in the same parts each time (files, with no shuffle above), else a stored copy."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df if "FileScan" in plan and "Exchange" not in plan and "AdaptiveSparkPlan" not in plan else stored(df)
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids fall in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % modulus, F.lit(0))
@@ -109,30 +117,38 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
-def word_hashes(hasher: WordHash, text: bytes | None) -> np.ndarray:
-    """The hashes of the words that ``spaced_words`` gives, in order."""
-    if not text:
-        return np.empty(0, np.uint64)
-    buf = _LOWER[np.frombuffer(text, np.uint8)]
+def word_hashes(hasher: WordHash, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words that ``spaced_words`` gives for all texts in order, and where each text's begin (one more than there are texts)."""
+    buf = _LOWER[np.frombuffer(b" ".join([t or b"" for t in texts]), np.uint8)]
     gap = np.ones(len(buf) + 2, bool)
     gap[1:-1] = _SPACE[buf]
     edge = np.flatnonzero(gap[1:] != gap[:-1])
-    return hasher.spans(buf, edge[0::2], edge[1::2])
+    start, end = edge[0::2], edge[1::2]
+    text_end = np.cumsum(np.array([len(t or b"") + 1 for t in texts], np.int64))
+    return hasher.spans(buf, start, end), np.concatenate([[0], np.searchsorted(start, text_end)])
 
 
-def beside(rows: DataFrame, table: DataFrame, part: str, fn) -> RDD:
-    """What ``fn(list of rows, list of table rows)`` yields for each part of ``rows``, met by the rows of ``table`` dealt to it by number.
+def beside(rows: DataFrame, table: DataFrame, part: str, fn, pack) -> RDD:
+    """What ``fn(rows, packed)`` yields for each part of ``rows``, an iterator of tuples, met by what ``pack`` makes of the rows of ``table`` dealt to it.
 
     ``rows`` stay where they are read; only ``table`` is shuffled, each row to
     the part that its column ``part`` (from spark_partition_id() over the same
     rows) names.  Every part is one pair, so what a part needs must fit in
     memory, as the part itself does.
     """
-    own = rows.rdd.mapPartitions(lambda it: [pickle.dumps([tuple(r) for r in it], 5)])
+
+    def packed(it):
+        out = []
+        while some := list(itertools.islice(it, 64)):
+            out.append(pickle.dumps([tuple(r) for r in some], 5))
+        return [out]
+
+    one = BatchedSerializer(CPickleSerializer(), 1)
+    own = rows.rdd.mapPartitions(packed)._reserialize(one)
     parts = own.getNumPartitions()
     dealt = table.repartitionById(parts, F.col(part) % parts).drop(part)
-    held = dealt.rdd.mapPartitions(lambda it: [pickle.dumps([tuple(r) for r in it], 5)])
-    return own.zip(held).flatMap(lambda pair: fn(pickle.loads(pair[0]), pickle.loads(pair[1])))
+    held = dealt.rdd.mapPartitions(lambda it: [pack(it)])._reserialize(one)
+    return own.zip(held).flatMap(lambda pair: fn((row for some in pair[0] for row in pickle.loads(some)), pair[1]))
 
 
 class Bloom:
@@ -153,7 +169,7 @@ class Bloom:
         return [mix(keys + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1))) >> np.uint64(64 - log2_bits) for i in range(cls.HASHES)]
 
     @classmethod
-    def over(cls, keys: DataFrame, key: str, log2_bits: int = 26) -> Bloom:
+    def over(cls, keys: DataFrame, key: str, log2_bits: int = 24) -> Bloom:
         def marks(batches):
             for batch in batches:
                 at = np.concatenate(cls.places(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), log2_bits))
@@ -162,9 +178,9 @@ class Bloom:
                 np.bitwise_or.at(bits, place, np.uint64(1) << (at & np.uint64(63)))
                 yield pa.record_batch([pa.array(word.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-        rows = keys.select(key).mapInArrow(marks, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        rows = keys.select(key).mapInArrow(marks, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         out = np.zeros(1 << (log2_bits - 6), np.int64)
-        out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+        out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
         return cls(out.view(np.uint64), log2_bits)
 
     def __contains__(self, key: int) -> bool:

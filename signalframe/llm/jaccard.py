@@ -21,7 +21,8 @@ members with its least only, its leader.  Two of its members that are not linked
 through the leader are found by their differences from it: where a is not
 linked, b shares more than about half of its difference with a, so only rows of
 that prefix of b, in an order that puts what the leader lacks first, meet the
-rows of a's difference.  No bucket is ever paired with itself.
+rows of a's difference, and only where enough of both is left after the element
+they meet in.  No bucket is ever paired with itself.
 
 Pairs of small buckets and of prefixes are first held against parity sketches (a
 pair whose sketches differ in more than H bits differs in more elements), then
@@ -50,16 +51,24 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np
 _SALTS = 64
 
 
-def shingles(hasher: WordHash, text: bytes | None, size: int = 3) -> np.ndarray:
-    """The set of a text, ascending: its distinct shingles of ``size`` words; with fewer words the whole sequence."""
-    h = word_hashes(hasher, text)
-    if not len(h):
-        return h
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = mix(out * _ODD[0] + h[i : len(h) - n + 1 + i] * _ODD[i % 3] + np.uint64(i))
-    return np.unique(out)
+def shingles(hasher: WordHash, texts: list[bytes | None], size: int = 3) -> list[np.ndarray]:
+    """The set of each text, ascending: its distinct shingles of ``size`` words; with fewer words the whole sequence."""
+    h, at = word_hashes(hasher, texts)
+
+    def hashed(first: np.ndarray, n: int) -> np.ndarray:
+        out = np.full(len(first), n, np.uint64)
+        for i in range(n):
+            out = mix(out * _ODD[0] + h[first + i] * _ODD[i % 3] + np.uint64(i))
+        return out
+
+    whole = hashed(np.arange(max(0, len(h) - size + 1)), size)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= size:
+            out.append(np.unique(whole[a : b - size + 1]))
+        else:
+            out.append(hashed(np.array([a]), b - a) if b > a else np.empty(0, np.uint64))
+    return out
 
 
 class Bands:
@@ -136,7 +145,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                sets = [shingles(hasher, t, size) for t in batch.column(1).to_pylist()]
+                sets = shingles(hasher, batch.column(1).to_pylist(), size)
                 digests = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), "<i8").reshape(-1, 2)
                 yield pa.record_batch([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([sketch(x) for x in sets], pa.binary())], names=["id", "n", "d1", "d2", "sketch"])
 
@@ -152,18 +161,19 @@ def _signature_rows(docs: DataFrame, size: int, bands: Bands, only: Bloom | None
         for whole in batches:
             for lo in range(0, whole.num_rows, 128):
                 batch = whole.slice(lo, 128)
-                ids, values = [], []
+                new, texts = [], []
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     digest = hashlib.blake2b(t or b"", digest_size=16).digest()
                     if i is None or digest in seen:  # a copy's class is known from its digest
                         continue
                     if len(seen) < 200_000:
                         seen.add(digest)
-                    s = signatures(shingles(hasher, t, size), bands)
-                    if shared is not None:
-                        s = s[shared.value.has(s)]
-                    values.append(s)
-                    ids.append(np.full(len(s), i, np.int64))
+                    new.append(i)
+                    texts.append(t)
+                values = [signatures(x, bands) for x in shingles(hasher, texts, size)]
+                if shared is not None:
+                    values = [s[shared.value.has(s)] for s in values]
+                ids = [np.full(len(s), i, np.int64) for s, i in zip(values, new, strict=True)]
                 if ids:
                     yield pa.record_batch([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "id"])
 
@@ -217,8 +227,8 @@ def _compare(docs: DataFrame, pairs: DataFrame, size: int, bands: Bands, differe
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
                 out = []
-                for a, b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    x = shingles(hasher, zlib.decompress(packed), size)
+                sets = shingles(hasher, [zlib.decompress(p) for p in batch.column(3).to_pylist()], size)
+                for a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
                     if b is None:
                         head = x
                         continue
@@ -255,32 +265,35 @@ def _through_leaders(compared: DataFrame, bands: Bands) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
                 batch = whole.slice(lo, 64)
-                leader, own, probe, element = [], [], [], []
+                columns: list[list[np.ndarray]] = [[] for _ in range(7)]
                 for row in batch.to_pylist():
                     lacked, gone = np.array(row["lacked"], np.int64), np.array(row["gone"], np.int64)
                     difference = np.concatenate([np.sort(lacked), np.sort(gone)])
                     p = prefix_size(len(difference), row["na"], row["nb"], bands)
                     for side, values in ((True, difference[:p]), (False, difference if not row["linked"] else difference[:0])):
-                        element.append(values)
-                        leader.append(np.full(len(values), row["a"], np.int64))
-                        own.append(np.full(len(values), row["b"], np.int64))
-                        probe.append(np.full(len(values), side))
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (leader, element, own, probe)], names=["leader", "element", "id", "probe"])
+                        same = (row["a"], row["b"], row["nb"], len(difference))
+                        for column, x in zip(columns, (values, np.arange(len(difference), len(difference) - len(values), -1), np.full(len(values), side), *(np.full(len(values), v) for v in same)), strict=True):
+                            column.append(x)
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in columns], names=["element", "rest", "probe", "leader", "id", "n", "d"])
 
-    rows = compared.select("a", "b", "linked", "na", "nb", "lacked", "gone").mapInArrow(run, "leader long, element long, id long, probe boolean")
+    rows = compared.select("a", "b", "linked", "na", "nb", "lacked", "gone").mapInArrow(run, "element long, rest long, probe boolean, leader long, id long, n long, d long")
     # an element that one set alone has meets nothing
     met = rows.groupBy("leader", "element").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("leader", "element")
-    rows = rows.join(met, ["leader", "element"])
-    a = rows.where("not probe").select("leader", "element", F.col("id").alias("x"))
-    b = rows.where("probe").select("leader", "element", F.col("id").alias("y"))
-    return a.join(b, ["leader", "element"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = stored(rows.join(met, ["leader", "element"]))
+    a = rows.where("not probe").select("leader", "element", *[F.col(c).alias(f"{c}_a") for c in ("id", "rest", "n", "d")])
+    b = rows.where("probe").select("leader", "element", *[F.col(c).alias(f"{c}_b") for c in ("id", "rest", "n", "d")])
+    # the first element that both have leaves room for as many more as a link must share
+    u, v = bands.den + bands.num, bands.den - bands.num
+    room = F.least("rest_a", "rest_b") * (2 * u) >= (F.col("d_a") + F.col("d_b")) * u - (F.col("n_a") + F.col("n_b")) * v
+    pairs = a.join(b, ["leader", "element"]).where((F.col("id_a") != F.col("id_b")) & room)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, sets: DataFrame, *, size: int = 3, bands: Bands | None = None, small: int = 16) -> DataFrame:
     """(a, b), a < b: enough verified links between classes to join every component; ``docs`` has id and text (binary)."""
     bands = bands or Bands()
     repeated = _signature_rows(docs, size, bands).groupBy("sig").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    rows = stored(_signature_rows(docs, size, bands, Bloom.over(repeated.select("sig"), "sig")))
+    rows = stored(_signature_rows(docs, size, bands, Bloom.over(repeated.select("sig"), "sig", 25)))
     # by classes, not documents: copies of a set are one member
     classes = class_ids(sets)
     rows = stored(rows.join(classes, "id").select("sig", F.col("least").alias("id")).distinct())

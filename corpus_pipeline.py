@@ -41,7 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and the digests of the ids and of the text decoded from them."""
-    return bpe.digest(bpe.decode(bpe.encode(docs)), keep_ids=True)
+    return bpe.encode_and_digest(docs, keep_ids=True)
 
 
 STAGES = [

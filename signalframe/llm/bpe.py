@@ -1,11 +1,10 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Spark cuts every text into words and deals the distinct (part, word) pairs out
-by word, where ``part`` is the part of the documents that needs the word.  Each
-distinct word is encoded once; its ids go back to the parts that asked for it,
-and every part lays the ids of its words side by side in the order of their
-positions.  Neither texts nor positions are shuffled: a part of the documents
-meets its own small dictionary in place.
+Spark cuts every text into words and deals the distinct words of each slice (16
+MB of text of one part of the documents) out by word.  Each distinct word is
+encoded once; its ids go back to the slices that asked for it, and every slice
+lays the ids of its words side by side in the order of their positions.  Neither
+texts nor positions are shuffled: a slice meets its own small table in place.
 
 Decoding joins each id with its piece (a table as long as the vocabulary, so it
 is broadcast) and reads the bytes as UTF-8, with U+FFFD where they are not.
@@ -16,7 +15,10 @@ keys or texts are encoded each on its own.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,85 +26,159 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside
+from .common import beside, settled
 from .pretokens import SPECIAL, default_path, encode_words, pieces, split_words
 
+SLICE = 16 << 20
+_LAST = (1 << 32) - 1  # the slot of a slice's checksum
+
+
+def slices(texts: Iterable[tuple[object, str | None]], special: str | None) -> Iterator[tuple[list[object], list[np.ndarray], dict[str, int]]]:
+    """Keys, places of the words and the table of distinct words, for every SLICE characters of texts or so."""
+    keys, places, table, size = [], [], {}, 0
+    for key, text in texts:
+        words = split_words(text, special)
+        new = dict.fromkeys(words)
+        for word in new:
+            if word not in table:
+                table[word] = len(table)
+        keys.append(key)
+        places.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
+        size += len(text or "")
+        if size >= SLICE:
+            yield keys, places, table
+            keys, places, table, size = [], [], {}, 0
+    if keys:
+        yield keys, places, table
+
+
+def _checksum(words: Iterable[str]) -> str:
+    h = hashlib.blake2b(digest_size=16)
+    for word in words:
+        h.update(word.encode())
+        h.update(b"\0")
+    return h.hexdigest()
+
 
 def distinct_words(docs: DataFrame, text: str = "text", special: str | None = SPECIAL) -> DataFrame:
-    """(part, word): the distinct words of each part of ``docs``."""
+    """(part, slot, word): the distinct words of each slice, numbered; the slot has the slice in its upper half, and a last one holds a checksum."""
 
     def run(batches):
-        seen: set[str] = set()
-
-        def rows():
-            out = pa.record_batch([pa.array(list(seen), pa.string())], names=["word"])
-            seen.clear()
-            return out
-
-        for batch in batches:
-            for value in batch.column(0):
-                seen.update(split_words(value.as_py(), special))
-                if len(seen) > 1_000_000:  # a bound on memory; words met again later are sent again
-                    yield rows()
-        if seen:
-            yield rows()
+        texts = ((None, value.as_py()) for batch in batches for value in batch.column(0))
+        for n, (_, _, table) in enumerate(slices(texts, special)):
+            words = list(table)
+            slot = np.arange(len(words) + 1, dtype=np.int64)
+            slot[-1] = _LAST
+            words.append(_checksum(table))
+            yield pa.record_batch([pa.array(slot + (n << 32)), pa.array(words, pa.string())], names=["slot", "word"])
 
     part = F.spark_partition_id().alias("part")
-    return docs.select(text).mapInArrow(run, "word string").select(part, "word")
+    return docs.select(text).mapInArrow(run, "slot long, word string").select(part, "slot", "word")
 
 
 def encode_distinct(words: DataFrame, path: str, special: bool = True) -> DataFrame:
-    """(part, word, ids): each distinct word encoded once, after the rows are dealt out and sorted by word."""
+    """(part, slot, ids): each distinct word encoded once, after the rows are dealt out and sorted by word; checksums pass as they are."""
 
     def run(batches):
         last, last_ids = None, b""
         for batch in batches:
-            column = batch.column(1).dictionary_encode()
+            column = batch.column(2).dictionary_encode()
             distinct = column.dictionary.to_pylist()
             new = [w for w in distinct if w != last]
             known = dict(zip(new, encode_words(new, path, special), strict=True))
             if last in distinct:
                 known[last] = last_ids
-            ids = pa.array([known[w] for w in distinct], pa.binary())
-            yield pa.record_batch([batch.column(0), batch.column(1), ids.take(column.indices)], names=["part", "word", "ids"])
-            last = batch.column(1)[-1].as_py()
+            ids = pa.array([known[w] for w in distinct], pa.binary()).take(column.indices)
+            for i in np.flatnonzero((batch.column(1).to_numpy() & _LAST) == _LAST).tolist():
+                ids = pa.concat_arrays([ids.slice(0, i), pa.array([batch.column(2)[i].as_py().encode()], pa.binary()), ids.slice(i + 1)])
+            yield pa.record_batch([batch.column(0), batch.column(1), ids], names=["part", "slot", "ids"])
+            last = batch.column(2)[-1].as_py()
             last_ids = known[last]
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "part int, word string, ids binary")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "part int, slot long, ids binary")
 
 
-def encode(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
-    """One row per document: ``key`` and ids (array of int), as the tokenizers library gives them without added specials."""
+def _pack(rows: Iterable[tuple[int, bytes]]) -> tuple[bytes, bytes, bytes]:
+    """The slots, lengths and bytes of (slot, ids)."""
+    slots, sizes, flat = array("q"), array("i"), bytearray()
+    for slot, ids in rows:
+        slots.append(slot)
+        sizes.append(len(ids))
+        flat += ids
+    return slots.tobytes(), sizes.tobytes(), bytes(flat)
+
+
+class _Slots:
+    """The ids of a part's slots."""
+
+    def __init__(self, packed: tuple[bytes, bytes, bytes]) -> None:
+        slots, sizes = np.frombuffer(packed[0], np.int64), np.frombuffer(packed[1], np.int32)
+        self.flat, order = packed[2], np.argsort(slots, kind="stable")
+        self.slots, self.size, self.start = slots[order], sizes[order], (np.cumsum(sizes) - sizes)[order]
+
+    def of(self, n: int, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Start, size (in ids) and ids of the n-th slice's words; None where the slice is another than was asked for."""
+        lo, hi = np.searchsorted(self.slots, [n << 32, (n + 1) << 32])
+        if hi - lo != len(words) + 1 or self.flat[self.start[hi - 1] : self.start[hi - 1] + self.size[hi - 1]].decode() != _checksum(words):
+            return None
+        flat = np.frombuffer(b"".join([self.flat[a : a + b] for a, b in zip(self.start[lo : hi - 1].tolist(), self.size[lo : hi - 1].tolist(), strict=True)]), "<i4")
+        size = self.size[lo : hi - 1] // 4
+        return np.cumsum(size) - size, size, flat
+
+
+def _encoded_rows(docs: DataFrame, path: str | None, key: str, text: str, special: bool, finish, fields: list[T.StructField]) -> DataFrame:
+    """A row of ``key`` and what ``finish(ids, path)`` gives, for each document."""
     spark, path = docs.sparkSession, path or default_path()
     cut = SPECIAL if special else None
-    rows = docs.select(key, text)
-
-    def join(texts, held):
-        table = {word: bytes(ids) for word, ids in held}
-        del held
-        for k, t in texts:
-            words = split_words(t, cut)
-            try:
-                ids = b"".join([table[w] for w in words])
-            except KeyError:  # the parts were dealt otherwise this time: encode what is missing here
-                missing = list({w for w in words if w not in table})
-                table.update(zip(missing, encode_words(missing, path, special), strict=True))
-                ids = b"".join([table[w] for w in words])
-            yield k, bytearray(ids)
-
-    kind = docs.schema[key].dataType
-    joined = beside(rows, encode_distinct(distinct_words(rows, text, cut), path, special), "part", join)
-    packed = spark.createDataFrame(joined, T.StructType([T.StructField(key, kind), T.StructField("ids", T.BinaryType())]), verifySchema=False)
-
-    def unpack(batches):
-        for batch in batches:
-            column = batch.column(1)
-            offsets = np.concatenate([[0], np.cumsum(np.array([len(x) // 4 for x in map(memoryview, column.to_pylist())], np.int64))])
-            flat = np.frombuffer(b"".join(column.to_pylist()), "<i4")
-            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
-            yield pa.record_batch([batch.column(0), ids], names=[key, "ids"])
+    rows = settled(docs).select(key, text)
+    longest = rows.agg(F.max(F.octet_length(text))).first()[0] or 0
+    if longest > 1 << 29:
+        raise ValueError(f"a text of {longest} bytes is too long for one array of ids")
+
+    def join(texts, packed):
+        slots = _Slots(packed)
+        for n, (keys, places, table) in enumerate(slices(texts, cut)):
+            found = slots.of(n, table)
+            if found is None:  # the parts were dealt otherwise this time: encode here
+                ids = encode_words(list(table), path, special)
+                size = np.array([len(x) // 4 for x in ids], np.int64)
+                found = np.cumsum(size) - size, size, np.frombuffer(b"".join(ids), "<i4")
+            table.clear()
+            start, size, flat = found
+            for k, own in zip(keys, places, strict=True):
+                n_ids = size[own]
+                ends = np.cumsum(n_ids)
+                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[own] - (ends - n_ids), n_ids)
+                yield (k, *finish(flat[at], path))
+
+    joined = beside(rows, encode_distinct(distinct_words(rows, text, cut), path, special), "part", join, _pack)
+    return spark.createDataFrame(joined, T.StructType([T.StructField(key, docs.schema[key].dataType), *fields]), verifySchema=False)
+
+
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+
+
+def encode(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
+    """One row per document: ``key`` and ids (array of int), as the tokenizers library gives them without added specials."""
+    return _encoded_rows(docs, path, key, text, special, lambda ids, _: (ids.tolist(),), [_IDS])
+
+
+@functools.lru_cache(4)
+def _piece_table(path: str) -> list[bytes]:
+    return pieces(path)
+
+
+def encode_and_digest(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """``digest`` of ``decode`` of ``encode`` in one pass: each document's ids are joined with their pieces where they are laid together."""
+
+    def finish(ids: np.ndarray, path: str):
+        table, plain = _piece_table(path), ids.tolist()
+        decoded = b"".join([table[i] for i in plain]).decode("utf-8", "replace").encode()
+        row = (len(plain), hashlib.sha256(",".join(map(str, plain)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+        return (*row, plain) if keep_ids else row
 
-    return packed.mapInArrow(unpack, f"`{key}` {kind.simpleString()}, ids array<int>")
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *[_IDS] * keep_ids]
+    return _encoded_rows(docs, path, key, text, True, finish, fields)
 
 
 def decode(encoded: DataFrame, path: str | None = None, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -20,7 +20,7 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
+    return bpe.encode_and_digest(table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ unseen.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from itertools import repeat
 
@@ -33,9 +34,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, spaced_words, stored
+from .common import beside, settled, spaced_words, stored
 
 END = b""  # no word is empty
+SLICE = 16 << 20
 
 
 class Units:
@@ -110,38 +112,54 @@ class BrownModel:
         self.log_step = np.log10(smooth / smooth.sum(1, keepdims=True))
         self.log_class = np.log10(class_count + class_words + 1.0)
 
-    def score(self, words: list[bytes], table: dict[bytes, int]) -> tuple[int, int, float, float]:
-        """(tokens, known tokens, base score, score) of a text; ``table`` has the training count of its words."""
-        counts = np.array([*map(table.get, words, repeat(0)), table.get(END, 0)], float)
-        classes = self.classes[self.units.sequence(words)]
-        log_count = np.log10(counts + 1)
-        base = log_count.sum() - len(counts) * np.log10(self.total + self.distinct + 1)
-        steps = self.log_step[np.concatenate([[self.classes[0]], classes[:-1]]), classes]
-        return len(counts), int((counts > 0).sum()), float(base), float((steps + log_count - self.log_class[classes]).sum())
+    def part_table(self, words: list[bytes], counts: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        """The place of each word of a part, and by place its log10 of one more than its count, and its class."""
+        classes = self.classes[np.fromiter(map(self.units.of, words), np.int64, len(words))]
+        return dict(zip(words, range(len(words)), strict=True)), np.log10(np.frombuffer(counts, np.int64) + 1.0), classes
+
+    def score(self, words: list[bytes], places: dict[bytes, int], log_count: np.ndarray, classes: np.ndarray) -> tuple[int, int, float, float]:
+        """(tokens, known tokens, base score, score) of a text; the rest is what ``part_table`` gives."""
+        words.append(END)
+        at = np.fromiter(map(places.get, words, repeat(-1)), np.int64, len(words))
+        own = classes[at]
+        if (at < 0).any():
+            raise RuntimeError("the parts were dealt otherwise this time: store the documents first")
+        logs = log_count[at]
+        base = logs.sum() - len(at) * np.log10(self.total + self.distinct + 1)
+        steps = self.log_step[np.concatenate([[self.classes[0]], own[:-1]]), own]
+        return len(at), int((logs > 0).sum()), float(base), float((steps + logs - self.log_class[own]).sum())
 
 
 def word_counts(docs: DataFrame, training: str, text: str) -> DataFrame:
-    """(part, word, n, lead): the distinct words of each part with their training counts over all parts; one row of each word leads."""
+    """(part, slice, word, n, lead): the distinct words of each slice (16 MB of text or so) of a part with their training counts over all; one row of each word leads."""
 
     def run(batches):
         counts: Counter[bytes] = Counter()
+        size = n = 0
+
+        def rows():
+            return pa.record_batch([pa.array([n] * len(counts), pa.int32()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["slice", "word", "n"])
+
         for batch in batches:
             for value, learn in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = spaced_words(value.as_py())
+                data = value.as_py()
+                words = spaced_words(data)
                 if learn:
                     counts.update(words)
                     counts[END] += 1
                 else:
                     counts.update(dict.fromkeys({*words, END}, 0))
-                if len(counts) > 1_000_000:  # a bound on memory: sums may come in several rows
-                    yield pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+                size += len(data or b"")
+                if size >= SLICE:
+                    yield rows()
                     counts.clear()
-        yield pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+                    size, n = 0, n + 1
+        yield rows()
 
-    rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(training).alias("training")).mapInArrow(run, "word binary, n long")
-    rows = rows.select(F.spark_partition_id().alias("part"), "word", "n")
+    rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(training).alias("training")).mapInArrow(run, "slice int, word binary, n long")
+    rows = rows.select(F.spark_partition_id().alias("part"), "slice", "word", "n")
     own = W.partitionBy("word")
-    return rows.select("part", "word", F.sum("n").over(own).alias("n"), (F.row_number().over(own.orderBy("part")) == 1).alias("lead"))
+    return rows.select("part", "slice", "word", F.sum("n").over(own).alias("n"), (F.row_number().over(own.orderBy("part", "slice")) == 1).alias("lead"))
 
 
 def transitions(sequences: DataFrame, classes: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,13 +210,13 @@ def unit_sequences(docs: DataFrame, units: Units, training: str, text: str) -> D
     return docs.where(F.col(training)).select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "units binary")
 
 
-def fit_and_score(docs: DataFrame, training: str, *, key: str = "doc_id", text: str = "text", units: int = 4096, tails: int = 1024, classes: int = 64, rounds: int = 8) -> DataFrame:
+def fit_and_score(docs: DataFrame, training: str, *, key: str = "doc_id", text: str = "text", units: int = 3072, tails: int = 1024, classes: int = 48, rounds: int = 6) -> DataFrame:
     """Learn from the rows whose boolean column ``training`` is true and score every row.
 
     Returns ``key``, n_tokens, n_known (tokens met in training), train_tokens,
     base_score (add-one unigram, log10) and score (the class model, log10).
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, settled(docs)
     counted = stored(word_counts(docs, training, text))
     lead = counted.where("lead and n > 0")
     total, distinct = lead.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -235,13 +253,32 @@ def fit_and_score(docs: DataFrame, training: str, *, key: str = "doc_id", text:
         class_words[best[row.unit]] += row.words
     shared = spark.sparkContext.broadcast(BrownModel(unit, best, n, class_count, class_words, total, distinct))
 
+    def pack(held):
+        out: dict[int, tuple[list[int], array, bytearray]] = {}
+        for n, word, count in held:
+            counts, sizes, flat = out.setdefault(n, (array("q"), array("i"), bytearray()))
+            counts.append(count)
+            sizes.append(len(word))
+            flat += word
+        return {n: (counts.tobytes(), sizes.tobytes(), bytes(flat)) for n, (counts, sizes, flat) in out.items()}
+
+    def table(model, packed):
+        counts, sizes, flat = packed
+        ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+        return model.part_table([flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], counts)
+
     def score(texts, held):
-        model = shared.value
-        table = {bytes(word): n for word, n in held}
+        model, n, size = shared.value, 0, 0
+        met = table(model, held.pop(0)) if 0 in held else None
         for k, t in texts:
-            yield (k, *model.score(spaced_words(bytes(t) if t is not None else None), table))
+            data = bytes(t) if t is not None else None
+            yield (k, *model.score(spaced_words(data), *met))
+            size += len(data or b"")
+            if size >= SLICE:
+                size, n = 0, n + 1
+                met = table(model, held.pop(n)) if n in held else None
 
     rows = docs.select(key, F.col(text).cast("binary").alias("text"))
-    scored = beside(rows, counted.where("n > 0").select("part", "word", "n"), "part", score)
+    scored = beside(rows, counted.select("part", "slice", "word", "n"), "part", score, pack)
     kinds = [T.StructField(key, docs.schema[key].dataType), *(T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))]
     return spark.createDataFrame(scored, T.StructType(kinds), verifySchema=False).withColumn("train_tokens", F.lit(total).cast("long"))

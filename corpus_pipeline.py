@@ -25,8 +25,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the least id stays; of rows with one id and text, one."""
-    groups = stored(jaccard.join_components(docs))
+    """Of each group of documents linked at 5-word similarity 0.8 that with the least id stays; of rows with one id and text, one."""
+    groups = stored(jaccard.join_components(docs, size=5, num=4, den=5))
     later = groups.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
     if groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():

@@ -1,26 +1,30 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by winnowing over word hashes.
 
-A line is what stands between line breaks, and within those between the end of
-one sentence and the next, so a passage is found where it stands amid other
-text.  Each line has a hash and a number of words.  A gram is the shortest row
-of lines, from a given one on, of at least ``gram`` words; of the grams that
-start within ``window`` words the one with the least hash is a fingerprint.  Two
-texts that share a passage of ``gram + window`` words (and what the last lines
-run over) thus share a fingerprint inside it.
+A gram is ``gram`` words in a row; of the grams that start at ``window`` words
+in a row the one with the least hash is a fingerprint.  Words are compared as
+they stand, the white space between them is not, so a passage is found wherever
+it begins and ends, inside a line or sentence too.  Two texts that share a
+passage of ``gram + window - 1`` words share a fingerprint inside it, and at most
+``window - 1`` words of the passage stand before its first fingerprint or after
+its last.
 
 Spark counts the fingerprints of all documents, keeps those met more than once
 (a Bloom filter of fixed size thins the rows before an exact join), and gives
 each occurrence the first one, by document id and place.  A match is extended
-both ways while the lines before and after agree with those of the first
-occurrence, up to ``MARGIN`` lines, as far as the next fingerprint at most as a
-rule.  Matches that overlap or touch form one run; runs of at least
-``min_words`` words are deleted, so the first occurrence stays.  A document
-sends each of its fingerprints once, however often it has it: what it repeats of
+both ways, word by word, while the words before and after agree with those of
+the first occurrence, up to ``window`` words: as far as the ends of the passage
+or the next fingerprint.  Where the first occurrence of the outermost gram
+stands in another text than the rest of the passage, it is that one the words
+beside it are held against, so up to ``window - 1`` words may stay at an end.
+Matches that overlap or touch form one run; runs of at least ``min_words`` words
+are deleted, so the first occurrence stays.  With ``window`` up to ``gram`` the
+matches inside a passage leave no gap, and a passage of ``min_words + 2 * (window
+- 1)`` words (50 by default) is always cut.  A document sends each of its fingerprints once, however often it has it: what it repeats of
 itself, and further places of a gram met elsewhere before, it knows alone.
 
 Rows are told apart by id: rows with equal ids count as one document, whose own
 later repeats go too.  Null ids count as one id.  Null and empty texts have no
-lines and are returned as they are; blank lines belong to no run and stay.
+words and are returned as they are.
 """
 
 from __future__ import annotations
@@ -33,83 +37,84 @@ from pyspark.sql import types as T
 
 from .common import Bloom, WordHash, mix, stored
 
-MARGIN = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_GAP = 1 << 40  # words between two texts of a batch: no gram or window reaches over
+_NONE = np.uint64(2**64 - 1)
 
 
-class Lines:
-    """The lines of some texts, one text after the other."""
+class Words:
+    """The words of some texts, one text after the other."""
 
     def __init__(self, texts: list[bytes | None], hasher: WordHash) -> None:
-        data = b"\n\n".join(t or b"" for t in texts)
-        buf = np.frombuffer(data + b"\n", np.uint8)
+        buf = np.frombuffer(b"\n\n".join(t or b"" for t in texts) + b"\n", np.uint8)
         sizes = np.array([len(t or b"") for t in texts], np.int64)
-        self.text_start = np.cumsum(sizes + 2) - sizes - 2
-        space = (buf == 0x20) | ((buf >= 9) & (buf <= 13))
-        stop = (buf == 0x2E) | (buf == 0x21) | (buf == 0x3F)
-        cut = buf == 0x0A
-        cut[1:] |= (buf[1:] == 0x20) & stop[:-1]
-        edge = np.concatenate([[-1], np.flatnonzero(cut)])
-        start, end = edge[:-1] + 1, edge[1:]
-        # words begin where a byte that is no space follows one that is, or a cut
-        begins = ~space
-        begins[1:] &= space[:-1]
-        words = np.concatenate([[0], np.cumsum(begins)])
-        count = words[end] - words[start]
-        full = count > 0
-        self.start, self.end, self.count = start[full], end[full], count[full]
-        # without the white space at both ends
-        ink = np.flatnonzero(~space)
-        first = ink[np.searchsorted(ink, self.start)] if len(self.start) else self.start
-        last = ink[np.searchsorted(ink, self.end) - 1] + 1 if len(self.start) else self.end
-        self.ink_start, self.ink_end = first, last
-        self.hash = hasher.spans(buf, first, last)
+        self.buf, self.text_start = buf, np.cumsum(sizes + 2) - sizes - 2
+        space = np.ones(len(buf) + 1, bool)
+        space[1:] = (buf == 0x20) | ((buf >= 9) & (buf <= 13))
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        self.start, self.end = edge[0::2], edge[1::2]
+        self.hash = hasher.spans(buf, self.start, self.end)
         self.text = np.searchsorted(self.text_start, self.start, "right") - 1
         self.offset = np.searchsorted(self.text, np.arange(len(texts) + 1))
-        # the words before each line, with a gap between texts
-        self.before = np.cumsum(self.count) - self.count + self.text * _GAP
-        self.after = self.before + self.count
-
-    def grams(self, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each line: the end of its gram, whether it has one, and its hash."""
-        n = len(self.hash)
-        end = np.searchsorted(self.after, self.before + gram) + 1
-        there = end <= n
-        there[there] = self.text[end[there] - 1] == self.text[there]
-        size = np.where(there, end - np.arange(n), 0)
-        out = np.zeros(n, np.uint64)
-        for i in range(int(size.max(initial=0))):
-            at = np.flatnonzero(size > i)
-            out[at] = mix(out[at] * _ODD + self.hash[at + i] + np.uint64(1))
-        return end, there, out
-
-    def fingerprints(self, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first line, end line, hash) of each fingerprint."""
-        end, there, key = self.grams(gram)
-        n = len(key)
-        last = np.searchsorted(self.before, self.before + window)  # of the grams that start within the window
-        best, least = np.arange(n), np.where(there, key, np.uint64(2**64 - 1))
-        value = least.copy()
-        for i in range(1, int((last - np.arange(n)).max(initial=0))):
-            at = np.flatnonzero(last - np.arange(n) > i)
-            lower = value[at + i] < least[at]
-            at = at[lower]
-            least[at], best[at] = value[at + i], at + i
-        picked = np.unique(best[there])
-        return picked, end[picked], key[picked]
-
-    def margins(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The hashes (32 bits, 0 past the text) of MARGIN lines before and after, outwards."""
-        n = len(self.hash)
+
+    def lines(self) -> np.ndarray:
+        """The number of lines with a word of each text: what stands between line breaks, and within those between the ends of sentences."""
+        buf = self.buf
+        cut = buf == 0x0A
+        cut[1:] |= (buf[1:] == 0x20) & ((buf[:-1] == 0x2E) | (buf[:-1] == 0x21) | (buf[:-1] == 0x3F))
+        line = np.cumsum(cut)[self.start]
+        first = np.ones(len(line), bool)
+        first[1:] = line[1:] != line[:-1]
+        return np.bincount(self.text[first], minlength=len(self.text_start))
+
+    def grams(self, gram: int) -> np.ndarray:
+        """The hash of the gram that starts at each word; 2**64 - 1 where its text has no whole gram."""
+        n, out, length, part, size = len(self.hash), None, 0, self.hash, 1
+        while size <= gram and gram <= n:
+            if gram & size:
+                out = part if out is None else mix(out[: len(part) - length] * _ODD + part[length:])
+                length += size
+            part = mix(part[:-size] * _ODD + part[size:]) if len(part) > size else part[:0]
+            size *= 2
+        key = np.full(n, _NONE, np.uint64)
+        if out is not None:
+            there = self.text[: n - gram + 1] == self.text[gram - 1 :]
+            key[: n - gram + 1][there] = out[: n - gram + 1][there]
+        return key
+
+    def fingerprints(self, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of each fingerprint."""
+        key = self.grams(gram)
+        # room between texts, so that no window reaches over
+        at = np.arange(len(key)) + self.text * window
+        value = np.full(len(key) + len(self.text_start) * window + window, _NONE, np.uint64)
+        word = np.zeros(len(value), np.int64)
+        value[at], word[at] = key, np.arange(len(key))
+        best, size = np.arange(len(value)), 1
+
+        def lower(step: int) -> np.ndarray:
+            """Of two windows, the second ``step`` on, the place of the least, the left one of equals."""
+            a, b = best[: len(best) - step], best[step:]
+            return np.where(value[b] < value[a], b, a)
+
+        while 2 * size <= window:
+            best = lower(size)
+            size *= 2
+        if size < window:
+            best = lower(window - size)
+        whole = value[at + window - 1] != _NONE
+        begins = np.zeros(len(at), bool)
+        begins[self.offset[:-1][self.offset[:-1] < self.offset[1:]]] = True
+        picked = np.unique(best[at[(key != _NONE) & (whole | begins)]])
+        return word[picked], value[picked]
+
+    def margins(self, first: np.ndarray, gram: int, reach: int) -> np.ndarray:
+        """The hashes (32 bits, 0 past the text) of ``reach`` words before and after each gram, outwards."""
+        steps = np.arange(reach)
+        at = np.concatenate([first[:, None] - 1 - steps, first[:, None] + gram + steps], 1)
+        own = self.text[first]
+        ok = (at >= self.offset[own][:, None]) & (at < self.offset[own + 1][:, None])
         low = (self.hash & np.uint64(0xFFFFFFFE)).astype(np.uint32) | np.uint32(1)
-        out = np.zeros((len(first), 2 * MARGIN), "<u4")
-        for i in range(MARGIN):
-            for column, at in ((i, first - 1 - i), (MARGIN + i, end + i)):
-                ok = (at >= 0) & (at < n)
-                ok[ok] = self.text[at[ok]] == self.text[first[ok]]
-                out[ok, column] = low[at[ok]]
-        return out
+        return np.where(ok, low[np.where(ok, at, first[:, None])], 0).astype("<u4")
 
 
 def _leaders(text: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -132,18 +137,18 @@ def _fingerprint_rows(docs: DataFrame, key: str, text: str, gram: int, window: i
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                lines = Lines(batch.column(1).to_pylist(), hasher)
-                first, end, value = lines.fingerprints(gram, window)
-                keep = _leaders(lines.text[first], value) == np.arange(len(first))
+                words = Words(batch.column(1).to_pylist(), hasher)
+                first, value = words.fingerprints(gram, window)
+                keep = _leaders(words.text[first], value) == np.arange(len(first))
                 if shared is not None:
                     keep &= shared.value.has(value)
-                first, end, value = first[keep], end[keep], value[keep]
-                ids = batch.column(0).take(pa.array(lines.text[first]))
-                at = first - lines.offset[lines.text[first]]
+                first, value = first[keep], value[keep]
+                ids = batch.column(0).take(pa.array(words.text[first]))
+                at = first - words.offset[words.text[first]]
                 columns = [ids, pa.array(value.view(np.int64)), pa.array(at.astype(np.int32))]
                 names = [key, "gram", "first"]
                 if shared is not None:
-                    margins = lines.margins(first, end)
+                    margins = words.margins(first, gram, window)
                     columns.append(pa.array([m.tobytes() for m in margins], pa.binary()))
                     names.append("margins")
                 yield pa.record_batch(columns, names=names)
@@ -153,7 +158,7 @@ def _fingerprint_rows(docs: DataFrame, key: str, text: str, gram: int, window: i
     return docs.select(F.col(key), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gram: int = 16, window: int = 20) -> DataFrame:
+def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gram: int = 16, window: int = 11) -> DataFrame:
     """(key, matches): for each document its grams that came before elsewhere, with the margins of their first occurrence."""
     repeated = _fingerprint_rows(docs, key, text, gram, window, None).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     rows = stored(_fingerprint_rows(docs, key, text, gram, window, Bloom.over(repeated, "gram")))
@@ -173,15 +178,14 @@ def cut_repeats(texts: list[bytes | None], matches: list[dict[int, bytes] | None
 
     ``matches`` holds, for each text, the grams met elsewhere before, each with the margins of its first occurrence.
     """
-    lines = Lines(texts, hasher)
-    first, end, value = lines.fingerprints(gram, window)
-    text = lines.text[first]
+    words = Words(texts, hasher)
+    first, value = words.fingerprints(gram, window)
+    text = words.text[first]
     leader = _leaders(text, value)
     again = leader != np.arange(len(first))
     has = np.array([bool(m) for m in matches], bool)
     at = np.flatnonzero(again | has[text])
-    theirs, kept = [], []
-    own_margins = lines.margins(first, end)
+    theirs, kept, own_first = [], [], []
     signed = value.view(np.int64)
     for i in at.tolist():
         found = matches[text[i]] and matches[text[i]].get(int(signed[i]))
@@ -189,16 +193,20 @@ def cut_repeats(texts: list[bytes | None], matches: list[dict[int, bytes] | None
             theirs.append(np.frombuffer(found, "<u4"))
             kept.append(i)
         elif again[i]:
-            theirs.append(own_margins[leader[i]])
+            own_first.append(len(kept))
+            theirs.append(None)
             kept.append(i)
-    out = [(t, int(n), 0, 0) for t, n in zip(texts, np.diff(lines.offset), strict=True)]
+    out = [(t, int(n), 0, 0) for t, n in zip(texts, words.lines(), strict=True)]
     if not kept:
         return out
-    at = np.array(kept)
-    same = (np.array(theirs) == own_margins[at]) & (own_margins[at] != 0)
-    left, right = np.cumprod(same[:, :MARGIN], 1).sum(1), np.cumprod(same[:, MARGIN:], 1).sum(1)
+    at, place = np.array(kept), np.array(own_first, np.int64)
+    for i, m in zip(own_first, words.margins(first[leader[at[place]]], gram, window), strict=True):
+        theirs[i] = m
+    own_margins = words.margins(first[at], gram, window)
+    same = (np.array(theirs) == own_margins) & (own_margins != 0)
+    left, right = np.cumprod(same[:, :window], 1).sum(1), np.cumprod(same[:, window:], 1).sum(1)
     runs: dict[int, list[list[int]]] = {}
-    for a, b, t in sorted(zip((first[at] - left).tolist(), (end[at] + right).tolist(), text[at].tolist(), strict=True)):
+    for a, b, t in sorted(zip((first[at] - left).tolist(), (first[at] + gram + right).tolist(), text[at].tolist(), strict=True)):
         own = runs.setdefault(t, [])
         if own and a <= own[-1][1]:
             own[-1][1] = max(own[-1][1], b)
@@ -206,22 +214,21 @@ def cut_repeats(texts: list[bytes | None], matches: list[dict[int, bytes] | None
             own.append([a, b])
     for t, own in runs.items():
         data = texts[t]
-        gone, words, count, base = np.zeros(len(data), bool), 0, 0, int(lines.text_start[t])
-        begin, stop = int(lines.offset[t]), int(lines.offset[t + 1])
+        gone, deleted, count, base = np.zeros(len(data), bool), 0, 0, int(words.text_start[t])
+        begin, stop = int(words.offset[t]), int(words.offset[t + 1])
         for a, b in own:
-            size = int(lines.count[a:b].sum())
-            if size >= min_words:
+            if b - a >= min_words:
                 # with the white space after it, or at the end of the text before it
-                lo = int(lines.start[a]) - base if b < stop else (int(lines.ink_end[a - 1]) - base if a > begin else 0)
-                gone[lo : int(lines.start[b]) - base if b < stop else len(data)] = True
-                words += size
+                lo = int(words.start[a]) - base if b < stop else (int(words.end[a - 1]) - base if a > begin else 0)
+                gone[lo : int(words.start[b]) - base if b < stop else len(data)] = True
+                deleted += b - a
                 count += 1
         if count:
-            out[t] = (np.frombuffer(data, np.uint8)[~gone].tobytes(), out[t][1], count, words)
+            out[t] = (np.frombuffer(data, np.uint8)[~gone].tobytes(), out[t][1], count, deleted)
     return out
 
 
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gram: int = 16, window: int = 20, min_words: int = 30, report: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gram: int = 16, window: int = 11, min_words: int = 30, report: bool = False) -> DataFrame:
     """``docs`` with its own columns and its later repeated runs deleted; n_chars, where there, is counted anew.
 
     With ``report`` the columns are instead: key, text, n_lines, n_runs (deleted), n_words (deleted).

@@ -54,3 +54,29 @@ def test_schemes_meet_at_four_fifths():
         common = len(np.intersect1d(a, b))
         if 5 * common >= 4 * (len(a) + len(b) - common) and len(a) + len(b) > 2 * common:
             assert len(np.intersect1d(jaccard.signatures(a, bands), jaccard.signatures(b, bands))), (len(a), len(b), common)
+
+
+def test_passages_of_51_words_anywhere_are_cut(spark):
+    """Shared passages that begin and end inside sentences, by brute force over words."""
+    from signalframe.llm import lines
+
+    r = random.Random(31)
+
+    def sentences(n, least):
+        w = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        i = 0
+        while (i := i + r.randint(least, 3 * least)) < n:
+            w[i - 1] += "."
+        return w
+
+    docs, passages = [], []
+    for k in range(40):
+        p = sentences(51, r.choice([3, 12, 40]))
+        passages.append(p)
+        docs.append([*sentences(r.randint(0, 60), 10), *p, *sentences(r.randint(0, 60), 10)])
+    for p in passages:
+        docs.append([*sentences(r.randint(1, 60), 10), *p, *sentences(r.randint(1, 60), 10)])
+    got = {x.doc_id: x for x in lines.dedup_lines(frame(spark, [" ".join(d) for d in docs]), report=True).collect()}
+    for i, d in enumerate(docs):
+        want = d if i < 40 else [w for w in d if w not in set(passages[i - 40])]
+        assert got[i].text.split() == want and got[i].n_words == len(d) - len(want)

@@ -12,7 +12,7 @@ Spark counts the fingerprints of all documents, keeps those met more than once
 (a Bloom filter of fixed size thins the rows before an exact join), and gives
 each occurrence the first one, by document id and place.  A match is extended
 both ways, word by word, while the words before and after agree with those of
-the first occurrence, up to ``window`` words: as far as the ends of the passage
+the first occurrence, up to ``window - 1`` words: as far as the ends of the passage
 or the next fingerprint.  Where the first occurrence of the outermost gram
 stands in another text than the rest of the passage, it is that one the words
 beside it are held against, so up to ``window - 1`` words may stay at an end.
@@ -108,13 +108,14 @@ class Words:
         return word[picked], value[picked]
 
     def margins(self, first: np.ndarray, gram: int, reach: int) -> np.ndarray:
-        """The hashes (32 bits, 0 past the text) of ``reach`` words before and after each gram, outwards."""
+        """The hashes (24 bits as 3 bytes, 0 past the text) of ``reach`` words before and after each gram, outwards: as many as may stand between an end of a passage and a fingerprint."""
         steps = np.arange(reach)
         at = np.concatenate([first[:, None] - 1 - steps, first[:, None] + gram + steps], 1)
         own = self.text[first]
         ok = (at >= self.offset[own][:, None]) & (at < self.offset[own + 1][:, None])
-        low = (self.hash & np.uint64(0xFFFFFFFE)).astype(np.uint32) | np.uint32(1)
-        return np.where(ok, low[np.where(ok, at, first[:, None])], 0).astype("<u4")
+        low = np.maximum(self.hash & np.uint64(0xFFFFFF), np.uint64(1)).astype("<u4")
+        out = np.where(ok, low[np.where(ok, at, first[:, None])], np.uint32(0)).astype("<u4")
+        return np.ascontiguousarray(out.view(np.uint8).reshape(len(first), 2 * reach, 4)[:, :, :3])
 
 
 def _leaders(text: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -148,7 +149,7 @@ def _fingerprint_rows(docs: DataFrame, key: str, text: str, gram: int, window: i
                 columns = [ids, pa.array(value.view(np.int64)), pa.array(at.astype(np.int32))]
                 names = [key, "gram", "first"]
                 if shared is not None:
-                    margins = words.margins(first, gram, window)
+                    margins = words.margins(first, gram, window - 1)
                     columns.append(pa.array([m.tobytes() for m in margins], pa.binary()))
                     names.append("margins")
                 yield pa.record_batch(columns, names=names)
@@ -178,7 +179,7 @@ def cut_repeats(texts: list[bytes | None], matches: list[dict[int, bytes] | None
 
     ``matches`` holds, for each text, the grams met elsewhere before, each with the margins of its first occurrence.
     """
-    words = Words(texts, hasher)
+    words, reach = Words(texts, hasher), window - 1
     first, value = words.fingerprints(gram, window)
     text = words.text[first]
     leader = _leaders(text, value)
@@ -190,7 +191,7 @@ def cut_repeats(texts: list[bytes | None], matches: list[dict[int, bytes] | None
     for i in at.tolist():
         found = matches[text[i]] and matches[text[i]].get(int(signed[i]))
         if found is not None and found is not False:
-            theirs.append(np.frombuffer(found, "<u4"))
+            theirs.append(np.frombuffer(found, np.uint8).reshape(2 * reach, 3))
             kept.append(i)
         elif again[i]:
             own_first.append(len(kept))
@@ -200,11 +201,11 @@ def cut_repeats(texts: list[bytes | None], matches: list[dict[int, bytes] | None
     if not kept:
         return out
     at, place = np.array(kept), np.array(own_first, np.int64)
-    for i, m in zip(own_first, words.margins(first[leader[at[place]]], gram, window), strict=True):
+    for i, m in zip(own_first, words.margins(first[leader[at[place]]], gram, reach), strict=True):
         theirs[i] = m
-    own_margins = words.margins(first[at], gram, window)
-    same = (np.array(theirs) == own_margins) & (own_margins != 0)
-    left, right = np.cumprod(same[:, :window], 1).sum(1), np.cumprod(same[:, window:], 1).sum(1)
+    own_margins = words.margins(first[at], gram, reach)
+    same = (np.array(theirs) == own_margins).all(2) & own_margins.any(2)
+    left, right = np.cumprod(same[:, :reach], 1).sum(1), np.cumprod(same[:, reach:], 1).sum(1)
     runs: dict[int, list[list[int]]] = {}
     for a, b, t in sorted(zip((first[at] - left).tolist(), (first[at] + gram + right).tolist(), text[at].tolist(), strict=True)):
         own = runs.setdefault(t, [])

@@ -80,3 +80,16 @@ def test_passages_of_51_words_anywhere_are_cut(spark):
     for i, d in enumerate(docs):
         want = d if i < 40 else [w for w in d if w not in set(passages[i - 40])]
         assert got[i].text.split() == want and got[i].n_words == len(d) - len(want)
+
+
+def test_ends_of_a_passage_of_short_lines_go(spark):
+    """One word a line: 51 lines in two texts that differ otherwise go whole."""
+    from signalframe.llm import lines
+
+    r = random.Random(37)
+    some = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    passages = [some(51) for _ in range(40)]
+    docs = [some(40) + p + some(40) for p in passages] + [some(40) + p + some(40) for p in passages]
+    got = {x.doc_id: x for x in lines.dedup_lines(frame(spark, ["\n".join(d) for d in docs]), report=True).collect()}
+    for i, d in enumerate(docs):
+        assert got[i].text.split() == (d if i < 40 else d[:40] + d[-40:]) and got[i].n_lines == 131

@@ -1,14 +1,17 @@
 """Brown class-based bigram language model, learned by exchange clustering.
 
 Tokens are the words of a text (A-Z folded, cut at white space) and one end.
-What is clustered are units: each of the ``units`` most frequent words is a
-unit, and all other words share ``tails`` units by the hash of their last three
-bytes.  The texts become sequences of units; every round counts, in Spark, each
-unit's transitions to and from the classes of the round, and the driver moves
-units one after the other to the class that raises the likelihood most.  Its
-matrices are units by classes: their size is set by parameters alone.  Half of
-the units may move in each round, as transitions between units that move
-together are known only after the next count; the best classes seen stay.
+Every training word has a class.  The ``units`` most frequent words are the head:
+each round counts, in Spark, the transitions of every word to and from the
+classes; the driver moves head words one after the other to the class that raises
+the likelihood most, and all other words choose theirs in Spark by the same exact
+gain, each against the classes as counted.  The driver's matrices are head words by
+classes: their size is set by parameters alone.  Half of the words may move in each
+round, as transitions between words that move together are known only after the
+next count; rounds go on, ``rounds`` at least, until two of them raise the
+likelihood by less than a thousandth (64 at most), and the best classes seen stay.
+A word outside the head is known by a 64-bit hash in this; it begins, as unseen
+words stay, in the class of its last three bytes (one of ``tails`` hashes).
 
 A text's probability is the product of P(class | class before) * P(word |
 class), both smoothed by adding one: an unseen word has the place that each
@@ -22,13 +25,16 @@ unseen.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from array import array
 from collections import Counter
+from itertools import count as counting
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,25 +46,8 @@ END = b""  # no word is empty
 SLICE = 16 << 20
 
 
-class Units:
-    """The unit of each word: 0 is the end, then the frequent words, then the tails."""
-
-    def __init__(self, words: list[bytes], tails: int) -> None:
-        self.words = {w: i + 1 for i, w in enumerate(words)} | {END: 0}
-        self.first, self.tails = len(words) + 1, tails
-        self.size = self.first + tails
-
-    def of(self, word: bytes) -> int:
-        found = self.words.get(word)
-        return self.first + zlib.crc32(word[-3:]) % self.tails if found is None else found
-
-    def sequence(self, words: list[bytes]) -> np.ndarray:
-        """The units of a text's words and its end."""
-        known = list(map(self.words.get, words, repeat(-1)))
-        out = np.array([*known, 0], np.int32)
-        for i in np.flatnonzero(out < 0).tolist():
-            out[i] = self.first + zlib.crc32(words[i][-3:]) % self.tails
-        return out
+def word_hash(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), "<i8")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -70,12 +59,15 @@ def likelihood(n: np.ndarray) -> float:
     return float(_xlogx(n).sum() - _xlogx(n.sum(1)).sum() - _xlogx(n.sum(0)).sum())
 
 
-def exchange(after: np.ndarray, before: np.ndarray, same: np.ndarray, classes: np.ndarray, movable: np.ndarray) -> np.ndarray:
-    """Move each movable unit to its best class; ``after`` and ``before`` hold units by classes, ``same`` a unit's transitions to itself."""
+def exchange(after: np.ndarray, before: np.ndarray, same: np.ndarray, classes: np.ndarray, movable: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """Move each movable unit to its best class; ``after`` and ``before`` hold units by classes, ``same`` a unit's transitions to itself, ``n`` the classes' transitions where other units have some too."""
     count = after.shape[1]
     classes = classes.copy()
-    n = np.zeros((count, count))
-    np.add.at(n, classes, after)
+    if n is None:
+        n = np.zeros((count, count))
+        np.add.at(n, classes, after)
+    else:
+        n = n.copy()
     every = np.arange(count)
     for u in movable:
         a, s = classes[u], same[u]
@@ -103,19 +95,47 @@ def exchange(after: np.ndarray, before: np.ndarray, same: np.ndarray, classes: n
     return classes
 
 
+def best_classes(after: np.ndarray, before: np.ndarray, same: np.ndarray, classes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best class of each word, all others staying: what ``exchange`` finds for it alone, with work by its transitions that aren't 0."""
+    count, every = len(n), np.arange(len(classes))
+    own = np.arange(count) == classes[:, None]
+    r, l = after.astype(float), before.astype(float)
+    r[every, classes] -= same
+    l[every, classes] -= same
+    gain = np.zeros(after.shape)
+    for mine, to, back, table in ((r, after, before, n.T), (l, before, after, n)):
+        w, c = np.nonzero(mine)
+        m = table[c].astype(float)  # by the class that the word would have
+        m[np.arange(len(w)), classes[w]] -= to[w, c]
+        at = np.flatnonzero(c == classes[w])
+        m[at] -= back[w[at]]
+        m[at, c[at]] += same[w[at]]
+        m = np.maximum(m, 0)
+        rise = _xlogx(m + mine[w, c][:, None]) - _xlogx(m)
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else w
+        if len(w):
+            gain[w[first]] += np.add.reduceat(rise, first, axis=0)
+    s, rs, ls = same[:, None], after.sum(1)[:, None], before.sum(1)[:, None]
+    corner = np.maximum(n.diagonal() - own * (after + before - s), 0)
+    gain += _xlogx(corner + r + l + s) - _xlogx(corner + r) - _xlogx(corner + l) + _xlogx(corner)
+    left = np.maximum(n.sum(1) - before - own * (rs - s), 0)
+    right = np.maximum(n.sum(0) - after - own * (ls - s), 0)
+    gain -= _xlogx(left + rs) - _xlogx(left) + _xlogx(right + ls) - _xlogx(right)
+    return np.argmax(gain + 1e-9 * own, 1)
+
+
 class BrownModel:
-    """What scoring needs: units, their classes, and the smoothed class probabilities; its size is set by parameters."""
+    """What scoring needs: the class of the end and the smoothed class probabilities; its size is set by parameters."""
 
-    def __init__(self, units: Units, classes: np.ndarray, transitions: np.ndarray, class_count: np.ndarray, class_words: np.ndarray, total: int, distinct: int) -> None:
-        self.units, self.classes, self.total, self.distinct = units, classes, total, distinct
+    def __init__(self, end: int, transitions: np.ndarray, class_count: np.ndarray, class_words: np.ndarray, total: int, distinct: int) -> None:
+        self.end, self.total, self.distinct = end, total, distinct
         smooth = transitions + 1.0
         self.log_step = np.log10(smooth / smooth.sum(1, keepdims=True))
         self.log_class = np.log10(class_count + class_words + 1.0)
 
-    def part_table(self, words: list[bytes], counts: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    def part_table(self, words: list[bytes], counts: bytes, classes: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
         """The place of each word of a part, and by place its log10 of one more than its count, and its class."""
-        classes = self.classes[np.fromiter(map(self.units.of, words), np.int64, len(words))]
-        return dict(zip(words, range(len(words)), strict=True)), np.log10(np.frombuffer(counts, np.int64) + 1.0), classes
+        return dict(zip(words, range(len(words)), strict=True)), np.log10(np.frombuffer(counts, np.int64) + 1.0), np.frombuffer(classes, np.int32)
 
     def score(self, words: list[bytes], places: dict[bytes, int], log_count: np.ndarray, classes: np.ndarray) -> tuple[int, int, float, float]:
         """(tokens, known tokens, base score, score) of a text; the rest is what ``part_table`` gives."""
@@ -126,19 +146,19 @@ class BrownModel:
             raise RuntimeError("the parts were dealt otherwise this time: store the documents first")
         logs = log_count[at]
         base = logs.sum() - len(at) * np.log10(self.total + self.distinct + 1)
-        steps = self.log_step[np.concatenate([[self.classes[0]], own[:-1]]), own]
+        steps = self.log_step[np.concatenate([[self.end], own[:-1]]), own]
         return len(at), int((logs > 0).sum()), float(base), float((steps + logs - self.log_class[own]).sum())
 
 
 def word_counts(docs: DataFrame, training: str, text: str) -> DataFrame:
-    """(part, slice, word, n, lead): the distinct words of each slice (16 MB of text or so) of a part with their training counts over all; one row of each word leads."""
+    """(part, slice, word, h, n, lead): the distinct words of each slice (16 MB of text or so) of a part with their training counts over all; one row of each word leads."""
 
     def run(batches):
         counts: Counter[bytes] = Counter()
         size = n = 0
 
         def rows():
-            return pa.record_batch([pa.array([n] * len(counts), pa.int32()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["slice", "word", "n"])
+            return pa.record_batch([pa.array([n] * len(counts), pa.int32()), pa.array(list(counts), pa.binary()), pa.array(word_hash(list(counts))), pa.array(list(counts.values()), pa.int64())], names=["slice", "word", "h", "n"])
 
         for batch in batches:
             for value, learn in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -156,61 +176,158 @@ def word_counts(docs: DataFrame, training: str, text: str) -> DataFrame:
                     size, n = 0, n + 1
         yield rows()
 
-    rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(training).alias("training")).mapInArrow(run, "slice int, word binary, n long")
-    rows = rows.select(F.spark_partition_id().alias("part"), "slice", "word", "n")
+    rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(training).alias("training")).mapInArrow(run, "slice int, word binary, h long, n long")
+    rows = rows.select(F.spark_partition_id().alias("part"), "slice", "word", "h", "n")
     own = W.partitionBy("word")
-    return rows.select("part", "slice", "word", F.sum("n").over(own).alias("n"), (F.row_number().over(own.orderBy("part", "slice")) == 1).alias("lead"))
+    return rows.select("part", "slice", "word", "h", F.sum("n").over(own).alias("n"), (F.row_number().over(own.orderBy("part", "slice")) == 1).alias("lead"))
 
 
-def transitions(sequences: DataFrame, classes: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each unit's transitions to the classes, from the classes, and to itself, summed over all sequences."""
-    size = len(classes)
-    shared = sequences.sparkSession.sparkContext.broadcast(classes)
-    cells = size * count
+def word_blocks(docs: DataFrame, head: list[bytes], training: str, text: str, tails: int, classes: int) -> DataFrame:
+    """The training texts in slices: hashes of the distinct words, their places in the head or -1, their first classes, and the words in order, an end after each text."""
+    shared = docs.sparkSession.sparkContext.broadcast({END: 0} | {w: i + 1 for i, w in enumerate(head)})
 
     def run(batches):
-        own = shared.value
-        sums = np.zeros(2 * cells + size, np.int64)
+        places, seq, size = {END: 0}, array("i"), 0
+
+        def block():
+            words = list(places)
+            first = np.array([zlib.crc32(w[-3:]) % tails % classes for w in words], "<i4")
+            known = np.fromiter(map(shared.value.get, words, repeat(-1)), "<i4", len(words))
+            return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (word_hash(words), known, first, seq)], names=["hash", "head", "first", "seq"])
+
         for batch in batches:
             for value in batch.column(0):
-                seq = np.frombuffer(value.as_buffer(), "<u2").astype(np.int64)
-                # an end stands before the first word; inside a block of texts it is the end of the text before
-                a, b = np.concatenate([[0], seq[:-1]]), seq
-                np.add(sums[:cells], np.bincount(a * count + own[b], minlength=cells), out=sums[:cells])
-                np.add(sums[cells : 2 * cells], np.bincount(b * count + own[a], minlength=cells), out=sums[cells : 2 * cells])
-                sums[2 * cells :] += np.bincount(a[a == b], minlength=size)
+                data = value.as_py()
+                seq.extend([places.setdefault(w, len(places)) for w in spaced_words(data)])
+                seq.append(0)
+                size += len(data or b"")
+                if size >= SLICE:
+                    yield block()
+                    places, seq, size = {END: 0}, array("i"), 0
+        if seq:
+            yield block()
+
+    return docs.where(F.col(training)).select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "hash binary, head binary, first binary, seq binary")
+
+
+_ENTRY = np.dtype([("h", "<i8"), ("local", "<i4"), ("own", "<i4"), ("code", "<i4"), ("n", "<i4")])
+_PLACE = np.dtype([("h", "<i8"), ("local", "<i4"), ("class", "<i4")])
+_STATE = "part int, block int, data binary"
+
+
+def transitions(blocks: DataFrame, state: DataFrame, head: np.ndarray, count: int, turn: int, buckets: int) -> DataFrame:
+    """(bucket, part, block, data): in bucket -1 sums of the head and of the classes, else the transitions of other words that may move this turn, dealt by word."""
+    shared = blocks.sparkSession.sparkContext.broadcast(head)
+    size = len(head)
+    cells = size * count
+
+    def pack(held):
+        out: dict[int, list[bytes]] = {}
+        for block, data in held:
+            out.setdefault(block, []).append(bytes(data))
+        return out
+
+    def step(rows, held):
+        part = TaskContext.get().partitionId()
+        sums = np.zeros(2 * cells + size + count * count, np.int64)
+        for block, row in enumerate(rows):
+            h, known, first, seq = (np.frombuffer(bytes(x), t) for x, t in zip(row, ("<i8", "<i4", "<i4", "<i4"), strict=True))
+            own = np.where(known >= 0, shared.value[known], first).astype(np.int64)
+            for data in held.pop(block, []):
+                moved = np.frombuffer(data, _PLACE)
+                own[moved["local"]] = moved["class"]
+            b = seq.astype(np.int64)
+            a = np.concatenate([[0], b[:-1]])
+            ca, cb, ua, ub = own[a], own[b], known[a], known[b]
+            sums[:cells] += np.bincount((ua * count + cb)[ua >= 0], minlength=cells)
+            sums[cells : 2 * cells] += np.bincount((ub * count + ca)[ub >= 0], minlength=cells)
+            sums[2 * cells : 2 * cells + size] += np.bincount(ua[(a == b) & (ua >= 0)], minlength=size)
+            sums[2 * cells + size :] += np.bincount(ca * count + cb, minlength=count * count)
+            moves = (known < 0) & ((h & 1) == turn % 2)
+            ma, mb, width = moves[a], moves[b], 2 * count + 1
+            key, n = np.unique(np.concatenate([(a * width + cb)[ma], (b * width + count + ca)[mb], (a * width + 2 * count)[ma & (a == b)]]), return_counts=True)
+            out = np.empty(len(key), _ENTRY)
+            out["local"], out["code"], out["n"] = key // width, key % width, n
+            out["h"], out["own"] = h[out["local"]], own[out["local"]]
+            bucket = (out["h"] >> 1) % buckets
+            out = out[np.argsort(bucket, kind="stable")]
+            edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))]).tolist()
+            for i in range(buckets):
+                if edge[i] < edge[i + 1]:
+                    yield i, part, block, out[edge[i] : edge[i + 1]].tobytes()
         at = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(at), pa.array(sums[at])], names=["cell", "n"])
+        yield -1, part, -1, np.stack([at, sums[at]]).tobytes()
+
+    return blocks.sparkSession.createDataFrame(beside(blocks, state, "part", step, pack), "bucket int, part int, block int, data binary", verifySchema=False)
+
+
+def head_sums(stepped: DataFrame, size: int, count: int) -> tuple[np.ndarray, ...]:
+    """Each head word's transitions to the classes, from the classes, to itself, and those between classes of all words."""
 
-    rows = sequences.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.zeros(2 * cells + size, np.int64)
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                at, n = np.frombuffer(data, np.int64).reshape(2, -1)
+                yield pa.record_batch([pa.array(at), pa.array(n)], names=["cell", "n"])
+
+    rows = stepped.where("bucket = -1").select("data").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = size * count
+    sums = np.zeros(2 * cells + size + count * count, np.int64)
     sums[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return sums[:cells].reshape(size, count), sums[cells : 2 * cells].reshape(size, count), sums[2 * cells :]
+    return sums[:cells].reshape(size, count), sums[cells : 2 * cells].reshape(size, count), sums[2 * cells : 2 * cells + size], sums[2 * cells + size :].reshape(count, count).astype(float)
 
 
-def unit_sequences(docs: DataFrame, units: Units, training: str, text: str) -> DataFrame:
-    """The units of the training texts, an end after each text, in blocks of 16-bit numbers."""
-    if units.size > 1 << 16:
-        raise ValueError("units and tails must stay under 65,536")
-    shared = docs.sparkSession.sparkContext.broadcast(units)
+def choose(stepped: DataFrame, n: np.ndarray, buckets: int) -> DataFrame:
+    """(part, block, data): the new classes of the words that may move, for each block that has them, and all of a bucket in part -1."""
+    count = len(n)
+    shared = stepped.sparkSession.sparkContext.broadcast(n)
+
+    def run(batches):
+        held = [x for batch in batches for x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
+        if not held:
+            return
+        parts = [np.frombuffer(x[2], _ENTRY) for x in held]
+        rows = np.concatenate(parts)
+        h, at, word = np.unique(rows["h"], return_index=True, return_inverse=True)
+        best = rows["own"][at].astype(np.int64)
+        order = np.argsort(word, kind="stable")
+        edge = np.searchsorted(word[order], np.arange(0, len(h) + 2048, 2048))
+        for i in range(len(edge) - 1):
+            lo, some = i * 2048, rows[order[edge[i] : edge[i + 1]]]
+            sums = np.zeros((min(2048, len(h) - lo), 2 * count + 1), np.int64)
+            np.add.at(sums, (word[order[edge[i] : edge[i + 1]]] - lo, some["code"]), some["n"])
+            best[lo : lo + 2048] = best_classes(sums[:, :count], sums[:, count : 2 * count], sums[:, 2 * count], best[lo : lo + 2048], shared.value)
+
+        def placed(hashes, local, classes):
+            out = np.empty(len(hashes), _PLACE)
+            out["h"], out["local"], out["class"] = hashes, local, classes
+            return out.tobytes()
+
+        end = 0
+        for (part, block, _), own in zip(held, parts, strict=True):
+            local, first = np.unique(own["local"], return_index=True)
+            data = placed(own["h"][first], local, best[word[end + first]])
+            end += len(own)
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["part", "block", "data"])
+        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([placed(h, 0, best)], pa.binary())], names=["part", "block", "data"])
+
+    dealt = stepped.where("bucket >= 0").repartitionById(buckets, "bucket")
+    return dealt.select("part", "block", "data").mapInArrow(run, _STATE)
+
+
+def assigned(state: DataFrame) -> DataFrame:
+    """(h, class) of the words that have chosen."""
 
     def run(batches):
-        block, size = [], 0
         for batch in batches:
-            for value in batch.column(0):
-                seq = shared.value.sequence(spaced_words(value.as_py())).astype("<u2")
-                block.append(seq.tobytes())
-                size += len(seq)
-                if size > 1 << 20:
-                    yield pa.record_batch([pa.array([b"".join(block)], pa.binary())], names=["units"])
-                    block, size = [], 0
-        if block:
-            yield pa.record_batch([pa.array([b"".join(block)], pa.binary())], names=["units"])
+            for data in batch.column(0).to_pylist():
+                x = np.frombuffer(data, _PLACE)
+                yield pa.record_batch([pa.array(x["h"].copy()), pa.array(x["class"].copy())], names=["h", "class"])
 
-    return docs.where(F.col(training)).select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "units binary")
+    return state.where("part = -1").select("data").mapInArrow(run, "h long, class int")
 
 
-def fit_and_score(docs: DataFrame, training: str, *, key: str = "doc_id", text: str = "text", units: int = 3072, tails: int = 1024, classes: int = 48, rounds: int = 6) -> DataFrame:
+def fit_and_score(docs: DataFrame, training: str, *, key: str = "doc_id", text: str = "text", units: int = 4096, tails: int = 1024, classes: int = 64, rounds: int = 8) -> DataFrame:
     """Learn from the rows whose boolean column ``training`` is true and score every row.
 
     Returns ``key``, n_tokens, n_known (tokens met in training), train_tokens,
@@ -221,51 +338,57 @@ def fit_and_score(docs: DataFrame, training: str, *, key: str = "doc_id", text:
     lead = counted.where("lead and n > 0")
     total, distinct = lead.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = [bytes(r.word) for r in lead.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(units).collect()]
-    unit = Units(frequent, tails)
-    sequences = stored(unit_sequences(docs, unit, training, text))
-
-    own = np.arange(unit.size) % classes
-    best, best_value, n = own, -np.inf, np.zeros((classes, classes))
-    for turn in range(rounds + 1):
-        after, before, same = transitions(sequences, own, classes)
-        now = np.zeros((classes, classes))
-        np.add.at(now, own, after)
-        if (value := likelihood(now)) > best_value:
-            best, best_value, n = own, value, now
-        if turn == rounds:
-            break
-        order = np.argsort(-after.sum(1), kind="stable")
-        own = exchange(after, before, same, own, order[(np.arange(len(order)) + turn) % 2 == 0])
-
-    shared_units = spark.sparkContext.broadcast(unit)
-
-    def by_unit(batches):
-        sums = np.zeros((2, shared_units.value.size), np.int64)
-        for batch in batches:
-            at = np.array([shared_units.value.of(w) for w in batch.column(0).to_pylist()], np.int64)
-            np.add.at(sums[0], at, batch.column(1).to_numpy())
-            np.add.at(sums[1], at, 1)
-        yield pa.record_batch([pa.array(np.arange(sums.shape[1])), pa.array(sums[0]), pa.array(sums[1])], names=["unit", "n", "words"])
+    size = len(frequent) + 1
+    own = np.arange(size) % classes
+    best, best_value, best_state, n = own, -np.inf, {}, np.zeros((classes, classes))
+    none = spark.createDataFrame([], _STATE)
+    if total:
+        blocks = stored(word_blocks(docs, frequent, training, text, tails, classes))
+        buckets = max(8, blocks.count())
+        state: dict[int, DataFrame] = {}
+        values: list[float] = []
+        for turn in counting():
+            now_state = none
+            for x in state.values():
+                now_state = now_state.union(x)
+            stepped = stored(transitions(blocks, now_state.where("part >= 0"), own, classes, turn, buckets))
+            after, before, same, now = head_sums(stepped, size, classes)
+            values.append(likelihood(now))
+            if values[-1] > best_value:
+                best, best_value, best_state, n = own, values[-1], dict(state), now
+            if turn >= rounds and (turn >= 64 or turn < 2 or values[-1] - values[-3] < 1e-3 * abs(values[-3])):
+                break
+            order = np.argsort(-after.sum(1), kind="stable")
+            own = exchange(after, before, same, own, order[(np.arange(len(order)) + turn) % 2 == 0], now)
+            state[turn % 2] = stored(choose(stepped, now, buckets))
+
+    chosen = spark.createDataFrame(list(zip(word_hash([END, *frequent]).tolist(), best.tolist(), strict=True)), "h long, class int")
+    for x in best_state.values():
+        chosen = chosen.union(assigned(x))
+    ending = F.when(F.octet_length("word") < 3, F.col("word")).otherwise(F.expr("substring(word, -3, 3)"))
+    counted = counted.join(chosen, "h", "left").withColumn("class", F.coalesce("class", (F.crc32(ending) % tails % classes).cast("int")))
+    counted = stored(counted.select("part", "slice", "word", "n", "class", "lead"))
 
     class_count, class_words = np.zeros(classes), np.zeros(classes)
-    for row in lead.select("word", "n").mapInArrow(by_unit, "unit long, n long, words long").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
-        class_count[best[row.unit]] += row.n
-        class_words[best[row.unit]] += row.words
-    shared = spark.sparkContext.broadcast(BrownModel(unit, best, n, class_count, class_words, total, distinct))
+    for row in counted.where("lead and n > 0").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        class_count[row["class"]] += row.n
+        class_words[row["class"]] += row.words
+    shared = spark.sparkContext.broadcast(BrownModel(int(best[0]), n, class_count, class_words, total, distinct))
 
     def pack(held):
-        out: dict[int, tuple[list[int], array, bytearray]] = {}
-        for n, word, count in held:
-            counts, sizes, flat = out.setdefault(n, (array("q"), array("i"), bytearray()))
+        out: dict[int, tuple[array, array, array, bytearray]] = {}
+        for n, word, count, own in held:
+            counts, classes, sizes, flat = out.setdefault(n, (array("q"), array("i"), array("i"), bytearray()))
             counts.append(count)
+            classes.append(own)
             sizes.append(len(word))
             flat += word
-        return {n: (counts.tobytes(), sizes.tobytes(), bytes(flat)) for n, (counts, sizes, flat) in out.items()}
+        return {n: (counts.tobytes(), classes.tobytes(), sizes.tobytes(), bytes(flat)) for n, (counts, classes, sizes, flat) in out.items()}
 
     def table(model, packed):
-        counts, sizes, flat = packed
+        counts, classes, sizes, flat = packed
         ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-        return model.part_table([flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], counts)
+        return model.part_table([flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], counts, classes)
 
     def score(texts, held):
         model, n, size = shared.value, 0, 0
@@ -279,6 +402,6 @@ def fit_and_score(docs: DataFrame, training: str, *, key: str = "doc_id", text:
                 met = table(model, held.pop(n)) if n in held else None
 
     rows = docs.select(key, F.col(text).cast("binary").alias("text"))
-    scored = beside(rows, counted.select("part", "slice", "word", "n"), "part", score, pack)
+    scored = beside(rows, counted.select("part", "slice", "word", "n", "class"), "part", score, pack)
     kinds = [T.StructField(key, docs.schema[key].dataType), *(T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))]
     return spark.createDataFrame(scored, T.StructType(kinds), verifySchema=False).withColumn("train_tokens", F.lit(total).cast("long"))

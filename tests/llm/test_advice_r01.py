@@ -93,3 +93,34 @@ def test_ends_of_a_passage_of_short_lines_go(spark):
     got = {x.doc_id: x for x in lines.dedup_lines(frame(spark, ["\n".join(d) for d in docs]), report=True).collect()}
     for i, d in enumerate(docs):
         assert got[i].text.split() == (d if i < 40 else d[:40] + d[-40:]) and got[i].n_lines == 131
+
+
+def test_best_classes_are_those_of_the_exchange():
+    import numpy as np
+
+    from signalframe.llm import brown
+
+    r = np.random.default_rng(3)
+    m, own = r.poisson(0.7, (30, 30)), r.integers(0, 4, 30)
+    after, before, n = np.zeros((30, 4), np.int64), np.zeros((30, 4), np.int64), np.zeros((4, 4))
+    for c in range(4):
+        after[:, c], before[:, c] = m[:, own == c].sum(1), m[own == c].sum(0)
+    np.add.at(n, own, after)
+    got = brown.best_classes(after, before, m.diagonal(), own, n)
+    assert got.tolist() == [int(brown.exchange(after, before, m.diagonal(), own, np.array([u]))[u]) for u in range(30)]
+
+
+def test_words_past_the_head_are_classed_by_their_transitions(spark):
+    """Two kinds of rare words alternate; the head is of two words, endings tell nothing."""
+    from pyspark.sql import functions as F
+
+    from signalframe.llm import brown
+
+    r = random.Random(41)
+    a, b = [f"a{i}xyz" for i in range(60)], [f"b{i}xyz" for i in range(60)]
+    docs = [" ".join(r.choice((a, b)[j % 2]) for j in range(40)) for _ in range(120)]
+    df = frame(spark, docs).withColumn("training", F.col("doc_id") % 4 != 0)
+    got = brown.fit_and_score(df, "training", units=2, tails=8, classes=3, rounds=4).collect()
+    held = [x for x in got if x.doc_id % 4 == 0]
+    # knowing the kind of each word is worth about log10(2) a word
+    assert sum(x.score - x.base_score for x in held) > 0.2 * sum(x.n_tokens for x in held)

@@ -15,7 +15,10 @@ from signalframe.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter are no language and go; the model learns from the labelled ones."""
+    """Only documents without a letter go: no list of languages is passed, so what the model predicts rejects none.
+
+    The model learns from the labelled documents; where none has a label, all go.
+    """
     return langid.accepted(docs, langid.fit(docs))
 
 

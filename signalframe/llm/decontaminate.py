@@ -92,14 +92,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, key: str =
     """One row per document: ``key``, n_words, n_hit, item_ids (sorted as strings), hits (array of first word and length).
 
     A word inside any occurrence of a window is hit; item_ids are those with an
-    occurring window.  Rows with the same key are merged only where the
+    occurring window, null ids aside: their words are hit all the same.  Rows with the same key are merged only where the
     benchmark takes more than one block; keys are taken to be unique there.
     """
     spark = docs.sparkSession
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, n_hit long, item_ids array<string>, hits array<struct<first:int,size:int>>"
     scans = []
     for items in _blocks(benchmark, item, item_text, block_bytes):
-        shared = spark.sparkContext.broadcast([(a, b) for a, b in items if a is not None])
+        shared = spark.sparkContext.broadcast(items)
 
         def scan(batches, shared=shared):
             windows = WindowSet(shared.value, n)
@@ -116,7 +116,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, key: str =
                                 runs.append([first, size])
                         n_words.append(count)
                         n_hit.append(sum(r[1] for r in runs))
-                        ids.append(sorted({i for f in found for i in f[2]}))
+                        ids.append(sorted({i for f in found for i in f[2] if i is not None}))
                         hits.append([{"first": a, "size": b} for a, b in runs])
                     yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())])))], names=[key, "n_words", "n_hit", "item_ids", "hits"])
 
@@ -147,7 +147,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, k
 
     def keep(block):
         def run(batches):
-            windows = WindowSet([x for x in block.value if x[0] is not None], n)
+            windows = WindowSet(block.value, n)
             for whole in batches:
                 for lo in range(0, whole.num_rows, 512):
                     batch = whole.slice(lo, 512)

@@ -124,3 +124,13 @@ def test_words_past_the_head_are_classed_by_their_transitions(spark):
     held = [x for x in got if x.doc_id % 4 == 0]
     # knowing the kind of each word is worth about log10(2) a word
     assert sum(x.score - x.base_score for x in held) > 0.2 * sum(x.n_tokens for x in held)
+
+
+def test_items_without_an_id_are_hit(spark):
+    from signalframe.llm import decontaminate
+
+    passage = " ".join(f"q{i}" for i in range(12))
+    docs, items = frame(spark, [f"before {passage} after", "clean text"]), spark.createDataFrame([(None, passage)], "item_id long, text string")
+    got = {x.doc_id: x for x in decontaminate.find_hits(docs, items, 10).collect()}
+    assert (got[0].n_hit, got[0].item_ids, got[1].n_hit) == (12, [], 0)
+    assert [x.doc_id for x in decontaminate.remove_contaminated(docs, items).collect()] == [1]

@@ -6,9 +6,11 @@ import itertools
 import pickle
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import RDD
 from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,18 @@ def settled(df: DataFrame) -> DataFrame:
     return df if "FileScan" in plan and "Exchange" not in plan and "AdaptiveSparkPlan" not in plan else stored(df)
 
 
+def portions(batch: pa.RecordBatch, place: int, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in portions of at most ``rows`` rows and about ``size`` bytes of the text in column ``place``, or one row."""
+    column = batch.column(place)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(ends):
+        reach = (int(ends[lo - 1]) if lo else 0) + size
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, reach, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids fall in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % modulus, F.lit(0))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
 from .pretokens import default_path, encode_words, split_words
 
 BLOCK = 64
@@ -168,8 +169,7 @@ def recount(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", te
     def run(batches):
         counter = Counter(path)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 128):
-                batch = whole.slice(lo, 128)
+            for batch in portions(whole, 1, 128):
                 out = []
                 for value, todo in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     tree = CountTree(value or "", counter)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, plain_words, stored
+from .common import PLAIN, plain_words, portions, stored
 
 _ODD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(64)], np.uint64)
 
@@ -104,8 +104,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, key: str =
         def scan(batches, shared=shared):
             windows = WindowSet(shared.value, n)
             for whole in batches:
-                for lo in range(0, whole.num_rows, 512):
-                    batch = whole.slice(lo, 512)
+                for batch in portions(whole, 1):
                     n_words, n_hit, ids, hits = [], [], [], []
                     for count, found in windows.find(batch.column(1).to_pylist()):
                         runs: list[list[int]] = []
@@ -149,8 +148,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, k
         def run(batches):
             windows = WindowSet(block.value, n)
             for whole in batches:
-                for lo in range(0, whole.num_rows, 512):
-                    batch = whole.slice(lo, 512)
+                for batch in portions(whole, place):
                     texts = batch.column(place).cast(pa.binary()).to_pylist()
                     found = windows.find(texts)
                     if mode == "documents":

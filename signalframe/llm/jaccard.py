@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHash, mix, stored, word_hashes
+from .common import Bloom, WordHash, mix, portions, stored, word_hashes
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _SALTS = 64
@@ -143,8 +143,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches):
         hasher = WordHash()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for batch in portions(whole, 1):
                 sets = shingles(hasher, batch.column(1).to_pylist(), size)
                 digests = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), "<i8").reshape(-1, 2)
                 yield pa.record_batch([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([sketch(x) for x in sets], pa.binary())], names=["id", "n", "d1", "d2", "sketch"])
@@ -159,8 +158,7 @@ def _signature_rows(docs: DataFrame, size: int, bands: Bands, only: Bloom | None
     def run(batches):
         hasher, seen = WordHash(), set()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 128):
-                batch = whole.slice(lo, 128)
+            for batch in portions(whole, 1, 128):
                 new, texts = [], []
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     digest = hashlib.blake2b(t or b"", digest_size=16).digest()
@@ -224,8 +222,7 @@ def _compare(docs: DataFrame, pairs: DataFrame, size: int, bands: Bands, differe
     def run(batches):
         hasher, head = WordHash(), np.empty(0, np.uint64)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for batch in portions(whole, 3, 256, 1 << 19):
                 out = []
                 sets = shingles(hasher, [zlib.decompress(p) for p in batch.column(3).to_pylist()], size)
                 for a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):

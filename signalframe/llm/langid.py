@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
+
 DIM = 1 << 15
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -119,8 +121,7 @@ def predict(docs: DataFrame, model: KernelModel, *, key: str | list[str] = "doc_
     def run(batches):
         m = shared.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, batch):
-                part = whole.slice(lo, batch)
+            for part in portions(whole, len(keys), batch):
                 texts = part.column(len(keys)).to_pylist()
                 own = [i for i, t in enumerate(texts) if t and m.langs and _LETTER.search(t)]
                 lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -141,8 +142,7 @@ def accepted(docs: DataFrame, model: KernelModel, *, text: str = "text", languag
     def run(batches):
         m = shared.value
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                part = whole.slice(lo, 256)
+            for part in portions(whole, place, 256):
                 texts = part.column(place).to_pylist()
                 own = [i for i, t in enumerate(texts) if t and m.langs and _LETTER.search(t)]
                 keep = np.zeros(len(texts), bool)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bloom, WordHash, mix, stored
+from .common import Bloom, WordHash, mix, portions, stored
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(2**64 - 1)
@@ -136,8 +136,7 @@ def _fingerprint_rows(docs: DataFrame, key: str, text: str, gram: int, window: i
     def run(batches):
         hasher = WordHash()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for batch in portions(whole, 1):
                 words = Words(batch.column(1).to_pylist(), hasher)
                 first, value = words.fingerprints(gram, window)
                 keep = _leaders(words.text[first], value) == np.arange(len(first))
@@ -242,8 +241,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gra
     def run(batches):
         hasher = WordHash()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for batch in portions(whole, place):
                 held = [m and {x["gram"]: x["margins"] for x in m} for m in batch.column(len(names)).to_pylist()]
                 done = cut_repeats(batch.column(place).cast(pa.binary()).to_pylist(), held, gram, window, min_words, hasher)
                 new = pa.array([x[0] for x in done], pa.binary()).cast(pa.string())

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import webp
+from .common import portions
 
 ROW = 192
 
@@ -53,8 +54,7 @@ def store(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for batch in portions(whole, 1):
                 texts = [t or b"" for t in batch.column(1).to_pylist()]
                 media = [to_media(t + b" " * (max(ROW, -(-len(t) // ROW) * ROW) - len(t))) for t in texts]
                 yield pa.record_batch([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
@@ -67,8 +67,7 @@ def read_back(stored: DataFrame, *, key: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for batch in portions(whole, 2):
                 pixels = [to_pixels(m) for m in batch.column(2).to_pylist()]
                 yield pa.record_batch(
                     [

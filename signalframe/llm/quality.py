@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import portions
 from .langid import sample_rows
 
 DIM = 1 << 18
@@ -105,8 +106,7 @@ def score(docs: DataFrame, model: NBSVM, *, key: str = "doc_id", text: str = "te
 
     def run(batches):
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                part = whole.slice(lo, 512)
+            for part in portions(whole, 1):
                 yield pa.record_batch([part.column(0), pa.array(shared.value.scores(part.column(1).to_pylist()))], names=[key, "score"])
 
     return docs.select(F.col(key), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")

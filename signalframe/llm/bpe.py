@@ -1,13 +1,17 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Spark cuts every text into words and deals the distinct words of each slice (16
-MB of text of one part of the documents) out by word.  Each distinct word is
-encoded once; its ids go back to the slices that asked for it, and every slice
-lays the ids of its words side by side in the order of their positions.  Neither
-texts nor positions are shuffled: a slice meets its own small table in place.
-
-Decoding joins each id with its piece (a table as long as the vocabulary, so it
-is broadcast) and reads the bytes as UTF-8, with U+FFFD where they are not.
+Each slice of the texts (``SLICE`` bytes or so of one part) is cut into words, told
+apart by hash within the slice, and sends its distinct words to buckets by hash,
+packed.  A bucket encodes each of its distinct words once and sends the ids back
+to the slices that asked; every slice lays the ids of its words side by side in the
+order of their positions.  Words of more than ``GROUP`` slices are encoded once for
+each group of so many slices, so that no bucket grows with the number of slices.
+
+Decoding joins each id with its piece (a table as long as the vocabulary) and
+reads the bytes as UTF-8, with U+FFFD where they are not.  As byte-level BPE loses
+nothing, a text whose ids don't decode to itself shows a fault (two words of one
+hash, or a slice that was cut otherwise when it was read again); it is then encoded
+on its own.
 
 Null and empty texts have no ids and decode to the empty text.  Rows with equal
 keys or texts are encoded each on its own.
@@ -15,9 +19,7 @@ keys or texts are encoded each on its own.
 
 from __future__ import annotations
 
-import functools
 import hashlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,192 +28,230 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, settled
-from .pretokens import SPECIAL, default_path, encode_words, pieces, split_words
+from .common import WordHash, bounds, dealt, input_bytes, loosened, met, numbered, pack, planes, portions, settled, squeezed, unpack, unplanes
+from .pretokens import SPECIAL, cut_bytes, decode_ids, default_path, encode_words, gathered
 
 SLICE = 16 << 20
-_LAST = (1 << 32) - 1  # the slot of a slice's checksum
-
-
-def slices(texts: Iterable[tuple[object, str | None]], special: str | None) -> Iterator[tuple[list[object], list[np.ndarray], dict[str, int]]]:
-    """Keys, places of the words and the table of distinct words, for every SLICE characters of texts or so."""
-    keys, places, table, size = [], [], {}, 0
-    for key, text in texts:
-        words = split_words(text, special)
-        new = dict.fromkeys(words)
-        for word in new:
-            if word not in table:
-                table[word] = len(table)
-        keys.append(key)
-        places.append(np.fromiter(map(table.__getitem__, words), np.int32, len(words)))
-        size += len(text or "")
-        if size >= SLICE:
-            yield keys, places, table
-            keys, places, table, size = [], [], {}, 0
-    if keys:
-        yield keys, places, table
-
-
-def _checksum(words: Iterable[str]) -> str:
-    h = hashlib.blake2b(digest_size=16)
-    for word in words:
-        h.update(word.encode())
-        h.update(b"\0")
-    return h.hexdigest()
-
-
-def distinct_words(docs: DataFrame, text: str = "text", special: str | None = SPECIAL) -> DataFrame:
-    """(part, slot, word): the distinct words of each slice, numbered; the slot has the slice in its upper half, and a last one holds a checksum."""
+GROUP = 1024
+
+
+class SliceWords:
+    """The words of some texts, told apart by hash; what stands between two specials is cut as a text of its own."""
+
+    def __init__(self, texts: list[bytes], special: bytes | None, hasher: WordHash) -> None:
+        segments, owner = [], []
+        for i, text in enumerate(texts):
+            held = [text]
+            if special is not None and special in text:
+                held = [part for own in text.split(special) for part in (own, special)][:-1]
+            segments += held
+            owner += [i] * len(held)
+        self.buf, self.start, self.end, segment = cut_bytes(segments)
+        self.known, self.local = numbered(hasher.spans(self.buf, self.start, self.end))
+        self.offset = np.searchsorted(np.array(owner, np.int64)[segment], np.arange(len(texts) + 1))
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The length of each distinct word in bytes, and the bytes of all, in the order of ``known``."""
+        first = np.empty(len(self.known), np.int64)
+        first[self.local[::-1]] = np.arange(len(self.local) - 1, -1, -1)
+        start, size = self.start[first], (self.end - self.start)[first]
+        return size.astype(np.int32), gathered(self.buf, start, size)
+
+
+def _clean(text: bytes | None) -> bytes:
+    """The text in valid UTF-8; null is empty."""
+    if not text:
+        return b""
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return text.decode("utf-8", "replace").encode()
+    return text
+
+
+def _strings(size: np.ndarray, flat: bytes) -> list[str]:
+    ends = np.cumsum(size).tolist()
+    return [flat[a:b].decode() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch, bool]]:
+    """(part, number in the part, rows, whether they end the slice) of portions of rows (part, text, ...)."""
+    n = size = 0
+    for whole in batches:
+        for batch in portions(whole, 1):
+            size += sum(len(t) for t in batch.column(1).to_pylist() if t)
+            yield batch.column(0)[0].as_py(), n, batch, size >= SLICE
+            if size >= SLICE:
+                n, size = n + 1, 0
+
+
+def _number(part: int, n: int) -> int:
+    return (part << 24) + n
+
+
+class Layout:
+    """How many buckets a group of slices has, and the number of a slice's group, by the size of the files."""
+
+    def __init__(self, size: int, parts: int) -> None:
+        self.buckets = min(GROUP, max(1, size // SLICE))
+        self.parts_in_group = max(1, GROUP * SLICE * parts // max(size, 1))
+
+    def first_bucket(self, part: int) -> int:
+        return part // self.parts_in_group * self.buckets
+
+
+def word_requests(rows: DataFrame, layout: Layout, special: bytes | None) -> DataFrame:
+    """(bucket, slice, data): the distinct words of each slice, by bucket."""
+    edges = bounds(layout.buckets)
 
     def run(batches):
-        texts = ((None, value.as_py()) for batch in batches for value in batch.column(0))
-        for n, (_, _, table) in enumerate(slices(texts, special)):
-            words = list(table)
-            slot = np.arange(len(words) + 1, dtype=np.int64)
-            slot[-1] = _LAST
-            words.append(_checksum(table))
-            yield pa.record_batch([pa.array(slot + (n << 32)), pa.array(words, pa.string())], names=["slot", "word"])
+        hasher, texts = WordHash(), []
+        last = None
 
-    part = F.spark_partition_id().alias("part")
-    return docs.select(text).mapInArrow(run, "slot long, word string").select(part, "slot", "word")
+        def asked(part: int, n: int) -> pa.RecordBatch:
+            words = SliceWords(texts, special, hasher)
+            size, flat = words.words()
+            at = np.searchsorted(words.known, edges)
+            begin = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            there = np.flatnonzero(at[1:] > at[:-1])
+            data = [pack(size[at[b] : at[b + 1]], flat[begin[at[b]] : begin[at[b + 1]]]) for b in there.tolist()]
+            return pa.record_batch([pa.array(there + layout.first_bucket(part)), pa.array(np.full(len(there), _number(part, n))), pa.array(data, pa.binary())], names=["bucket", "slice", "data"])
 
+        for part, n, batch, ends in _slices(batches):
+            texts += map(_clean, batch.column(1).to_pylist())
+            last = part, n
+            if ends:
+                yield asked(*last)
+                texts, last = [], None
+        if last is not None:
+            yield asked(*last)
 
-def encode_distinct(words: DataFrame, path: str, special: bool = True) -> DataFrame:
-    """(part, slot, ids): each distinct word encoded once, after the rows are dealt out and sorted by word; checksums pass as they are."""
+    return rows.select("part", "text").mapInArrow(run, "bucket long, slice long, data binary")
+
+
+def encode_distinct(requests: DataFrame, path: str, special: bool = True) -> DataFrame:
+    """(slice, bucket, data): the ids of the words of each request; each distinct word of a bucket is encoded once."""
 
     def run(batches):
-        last, last_ids = None, b""
-        for batch in batches:
-            column = batch.column(2).dictionary_encode()
-            distinct = column.dictionary.to_pylist()
-            new = [w for w in distinct if w != last]
-            known = dict(zip(new, encode_words(new, path, special), strict=True))
-            if last in distinct:
-                known[last] = last_ids
-            ids = pa.array([known[w] for w in distinct], pa.binary()).take(column.indices)
-            for i in np.flatnonzero((batch.column(1).to_numpy() & _LAST) == _LAST).tolist():
-                ids = pa.concat_arrays([ids.slice(0, i), pa.array([batch.column(2)[i].as_py().encode()], pa.binary()), ids.slice(i + 1)])
-            yield pa.record_batch([batch.column(0), batch.column(1), ids], names=["part", "slot", "ids"])
-            last = batch.column(2)[-1].as_py()
-            last_ids = known[last]
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "part int, slot long, ids binary")
-
-
-def _pack(rows: Iterable[tuple[int, bytes]]) -> tuple[bytes, bytes, bytes]:
-    """The slots, lengths and bytes of (slot, ids)."""
-    slots, sizes, flat = array("q"), array("i"), bytearray()
-    for slot, ids in rows:
-        slots.append(slot)
-        sizes.append(len(ids))
-        flat += ids
-    return slots.tobytes(), sizes.tobytes(), bytes(flat)
-
-
-class _Slots:
-    """The ids of a part's slots."""
-
-    def __init__(self, packed: tuple[bytes, bytes, bytes]) -> None:
-        slots, sizes = np.frombuffer(packed[0], np.int64), np.frombuffer(packed[1], np.int32)
-        self.flat, order = packed[2], np.argsort(slots, kind="stable")
-        self.slots, self.size, self.start = slots[order], sizes[order], (np.cumsum(sizes) - sizes)[order]
-
-    def of(self, n: int, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        """Start, size (in ids) and ids of the n-th slice's words; None where the slice is another than was asked for."""
-        lo, hi = np.searchsorted(self.slots, [n << 32, (n + 1) << 32])
-        if hi - lo != len(words) + 1 or self.flat[self.start[hi - 1] : self.start[hi - 1] + self.size[hi - 1]].decode() != _checksum(words):
-            return None
-        flat = np.frombuffer(b"".join([self.flat[a : a + b] for a, b in zip(self.start[lo : hi - 1].tolist(), self.size[lo : hi - 1].tolist(), strict=True)]), "<i4")
-        size = self.size[lo : hi - 1] // 4
-        return np.cumsum(size) - size, size, flat
+        hasher = WordHash()
+        for (bucket,), held in met(batches, 1):
+            numbers = [x for b in held for x in b.column(1).to_pylist()]
+            parts = [unpack(x, np.int32, np.uint8) for b in held for x in b.column(2).to_pylist()]
+            size, flat = np.concatenate([x[0] for x in parts]).astype(np.int64), np.concatenate([x[1] for x in parts])
+            start = np.cumsum(size) - size
+            known, local = numbered(hasher.spans(flat, start, start + size))
+            first = np.empty(len(known), np.int64)
+            first[local[::-1]] = np.arange(len(local) - 1, -1, -1)
+            n_ids, ids = encode_words(_strings(size[first], gathered(flat, start[first], size[first]).tobytes()), path, special)
+            begin, data, lo = np.cumsum(n_ids) - n_ids, [], 0
+            for x in parts:
+                own = local[lo : lo + len(x[0])]
+                data.append(pack(n_ids[own].astype(np.int32), planes(gathered(ids, begin[own], n_ids[own]))))
+                lo += len(own)
+            yield pa.record_batch([pa.array(numbers), pa.array([bucket] * len(data)), pa.array(data, pa.binary())], names=["slice", "bucket", "data"])
+
+    return dealt(requests, "bucket", ["bucket"]).mapInArrow(run, "slice long, bucket long, data binary")
 
 
 def _encoded_rows(docs: DataFrame, path: str | None, key: str, text: str, special: bool, finish, fields: list[T.StructField]) -> DataFrame:
-    """A row of ``key`` and what ``finish(ids, path)`` gives, for each document."""
-    spark, path = docs.sparkSession, path or default_path()
-    cut = SPECIAL if special else None
-    rows = settled(docs).select(key, text)
-    longest = rows.agg(F.max(F.octet_length(text))).first()[0] or 0
-    if longest > 1 << 29:
-        raise ValueError(f"a text of {longest} bytes is too long for one array of ids")
-
-    def join(texts, packed):
-        slots = _Slots(packed)
-        for n, (keys, places, table) in enumerate(slices(texts, cut)):
-            found = slots.of(n, table)
-            if found is None:  # the parts were dealt otherwise this time: encode here
-                ids = encode_words(list(table), path, special)
-                size = np.array([len(x) // 4 for x in ids], np.int64)
-                found = np.cumsum(size) - size, size, np.frombuffer(b"".join(ids), "<i4")
-            table.clear()
-            start, size, flat = found
-            for k, own in zip(keys, places, strict=True):
-                n_ids = size[own]
-                ends = np.cumsum(n_ids)
-                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[own] - (ends - n_ids), n_ids)
-                yield (k, *finish(flat[at], path))
-
-    joined = beside(rows, encode_distinct(distinct_words(rows, text, cut), path, special), "part", join, _pack)
-    return spark.createDataFrame(joined, T.StructType([T.StructField(key, docs.schema[key].dataType), *fields]), verifySchema=False)
+    """A row of ``key`` and the columns that ``finish(texts, path)`` gives for each portion of texts.
+
+    ``texts`` are (bytes, ids, places of its words, ids as decimal text of each word), one by one.
+    """
+    path = path or default_path()
+    cut = SPECIAL.encode() if special else None
+    kind = docs.schema[key].dataType
+    docs = settled(docs)
+    rows = docs.select(F.spark_partition_id().alias("part"), F.col(text).cast("binary").alias("text"), F.col(key).alias("key"))
+    layout = Layout(input_bytes(docs), docs.rdd.getNumPartitions())
+    edges = bounds(layout.buckets)
+
+    def packed(batches):
+        for part, n, batch, _ in _slices(batches):
+            data = [squeezed(_clean(t)) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([pa.array(np.full(len(data), _number(part, n))), pa.array(np.full(len(data), 2**62)), batch.column(2), pa.array(data, pa.binary())], names=["slice", "bucket", "key", "data"])
+
+    def lay(batches):
+        hasher = WordHash()
+        for (_,), held in met(batches, 1):
+            key_type = held[0].schema.field(2).type
+            texts, keys, answers = [], [], []
+            for batch in held:
+                for bucket, k, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    if bucket == 2**62:
+                        keys.append(k)
+                        texts.append(loosened(data))
+                    else:
+                        answers.append(unpack(data, np.int32, np.uint8))
+            words = SliceWords(texts, cut, hasher)
+            at = np.searchsorted(words.known, edges)
+            expected = [n for n in np.diff(at).tolist() if n]
+            if expected == [len(x[0]) for x in answers]:
+                n_ids = np.concatenate([np.empty(0, np.int32), *(x[0] for x in answers)]).astype(np.int64)
+                ids = np.concatenate([np.empty(0, np.int32), *(unplanes(x[1]) for x in answers)])
+            else:
+                size, flat = words.words()
+                n_ids, ids = encode_words(_strings(size, flat.tobytes()), path, special)
+            start = np.cumsum(n_ids) - n_ids
+            for lo in range(0, len(texts), 256):
+                out = []
+                for i in range(lo, min(lo + 256, len(texts))):
+                    own = words.local[words.offset[i] : words.offset[i + 1]]
+                    mine = gathered(ids, start[own], n_ids[own])
+                    if decode_ids(mine, path) != texts[i]:
+                        again = SliceWords([texts[i]], cut, hasher)
+                        every = [again.buf[a:b].tobytes().decode() for a, b in zip(again.start.tolist(), again.end.tolist(), strict=True)]
+                        mine = encode_words(every, path, special)[1]
+                    out.append(mine)
+                yield pa.record_batch([pa.array(keys[lo : lo + 256], key_type), *finish(out, path)], names=[key, *(f.name for f in fields)])
+
+    asked = encode_distinct(word_requests(rows, layout, cut), path, special)
+    answers = asked.select("slice", "bucket", F.lit(None).cast(kind).alias("key"), "data")
+    own = rows.mapInArrow(packed, T.StructType([T.StructField("slice", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("key", kind), T.StructField("data", T.BinaryType())]))
+    return dealt(own.unionAll(answers), "slice", ["slice", "bucket"]).mapInArrow(lay, T.StructType([T.StructField(key, kind), *fields]))
 
 
 _IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
+
+
 def encode(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", text: str = "text", special: bool = True) -> DataFrame:
     """One row per document: ``key`` and ids (array of int), as the tokenizers library gives them without added specials."""
-    return _encoded_rows(docs, path, key, text, special, lambda ids, _: (ids.tolist(),), [_IDS])
+    return _encoded_rows(docs, path, key, text, special, lambda ids, _: [_lists(ids)], [_IDS])
 
 
-@functools.lru_cache(4)
-def _piece_table(path: str) -> list[bytes]:
-    return pieces(path)
+def _sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
 
 
 def encode_and_digest(docs: DataFrame, path: str | None = None, *, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """``digest`` of ``decode`` of ``encode`` in one pass: each document's ids are joined with their pieces where they are laid together."""
 
-    def finish(ids: np.ndarray, path: str):
-        table, plain = _piece_table(path), ids.tolist()
-        decoded = b"".join([table[i] for i in plain]).decode("utf-8", "replace").encode()
-        row = (len(plain), hashlib.sha256(",".join(map(str, plain)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-        return (*row, plain) if keep_ids else row
+    def finish(ids: list[np.ndarray], path: str) -> list[pa.Array]:
+        columns = [
+            pa.array([len(x) for x in ids], pa.int64()),
+            pa.array([_sha256(",".join(map(str, x.tolist())).encode()) for x in ids], pa.string()),
+            pa.array([_sha256(decode_ids(x, path).decode("utf-8", "replace").encode()) for x in ids], pa.string()),
+        ]
+        return columns + [_lists(ids)] * keep_ids
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), *[_IDS] * keep_ids]
     return _encoded_rows(docs, path, key, text, True, finish, fields)
 
 
 def decode(encoded: DataFrame, path: str | None = None, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """``encoded`` with the column text: its ids joined with their pieces and read as UTF-8."""
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces(path or default_path()))
-    place = encoded.columns.index(ids)
+    """``encoded`` with the column text: its ids joined with their pieces and read as UTF-8; null ids are none."""
+    path, place = path or default_path(), encoded.columns.index(ids)
 
     def run(batches):
-        table = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                out = [b"".join([table[i] for i in x]).decode("utf-8", "replace") if x is not None else "" for x in batch.column(place).to_pylist()]
+                out = [decode_ids(np.array(x or [], np.int64), path).decode("utf-8", "replace") for x in batch.column(place).to_pylist()]
                 yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "text"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
-
-
-def digest(decoded: DataFrame, key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
-    """The columns of the op2 query from ``key``, ids and text; with ``keep_ids`` the ids as well."""
-
-    def run(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                lists = [x or [] for x in batch.column(1).to_pylist()]
-                columns = [
-                    batch.column(0),
-                    pa.array([len(x) for x in lists], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists], pa.string()),
-                    pa.array([hashlib.sha256((t or "").encode()).hexdigest() for t in batch.column(2).to_pylist()], pa.string()),
-                ]
-                yield pa.record_batch(columns + [batch.column(1)] * keep_ids, names=[key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
-
-    schema = f"`{key}` {decoded.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return decoded.select(key, "ids", "text").mapInArrow(run, schema)

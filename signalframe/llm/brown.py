@@ -1,53 +1,52 @@
 """Brown class-based bigram language model, learned by exchange clustering.
 
-Tokens are the words of a text (A-Z folded, cut at white space) and one end.
-Every training word has a class.  The ``units`` most frequent words are the head:
-each round counts, in Spark, the transitions of every word to and from the
-classes; the driver moves head words one after the other to the class that raises
-the likelihood most, and all other words choose theirs in Spark by the same exact
-gain, each against the classes as counted.  The driver's matrices are head words by
-classes: their size is set by parameters alone.  Half of the words may move in each
-round, as transitions between words that move together are known only after the
-next count; rounds go on, ``rounds`` at least, until two of them raise the
-likelihood by less than a thousandth (64 at most), and the best classes seen stay.
-A word outside the head is known by a 64-bit hash in this; it begins, as unseen
-words stay, in the class of its last three bytes (one of ``tails`` hashes).
+Tokens are the words of a text (A-Z folded, cut at white space) and one end, told
+apart by 64-bit hashes.  Clustering has two steps.
+
+1. The ``units`` most frequent words, the end, and ``tails`` groups of all other
+   words (by hash) are the units.  Each round counts, in Spark, the transitions of
+   every unit to and from the classes, over all training texts; the driver moves
+   units one after the other to the class that raises the likelihood most.  Its
+   matrices are units by classes: their size is set by parameters alone.  Half of
+   the units may move in each round, as transitions between units that move
+   together are known only after the next count; rounds go on, ``rounds`` at least,
+   until two of them raise the likelihood by less than a thousandth (64 at most),
+   and the best classes seen stay.
+2. Every other training word leaves its group for the class that is best for it
+   alone, by its own transitions, gathered from all training texts, in Spark; and
+   so again, ``turns`` times in all, with the classes of the words around it as they
+   then are.  Words that are not met in training keep the class of their group.
 
 A text's probability is the product of P(class | class before) * P(word |
 class), both smoothed by adding one: an unseen word has the place that each
-class keeps for one more word.  All counts, of words, units and classes, cover
-every training text; the count of every word, however rare, comes back to the
-part of the texts that has it.
+class keeps for one more word.  All counts cover every training text.
 
-Null and empty texts are one end.  Without training texts every word is
-unseen.
+The texts are read once: each slice of them (``SLICE`` bytes or so) becomes a row of
+a stored table with its distinct words and the places of its tokens.  What is told
+of a word goes to the bucket of its hash and from there back to the slices that
+have it, packed, so no text and no word is shuffled as such.
+
+Null and empty texts are one end.  Without training texts every word is unseen.
+Rows with equal keys are scored each on its own.  Words of equal count are taken
+into the head in the order of their hashes; of equally good classes a word stays
+in its own or takes the first.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from array import array
-from collections import Counter
 from itertools import count as counting
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, settled, spaced_words, stored
-
-END = b""  # no word is empty
-SLICE = 16 << 20
-
+from .common import WordHash, bounds, dealt, dropped, input_bytes, met, mix, numbered, pack, planes, portions, settled, stored, unpack, unplanes, word_hashes
 
-def word_hash(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), "<i8")
+SLICE = 8 << 20
+BUCKET = 16 << 20  # bytes of input for each bucket of words
+_CHUNK = 1 << 15  # cells of a sum in one row
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -125,283 +124,400 @@ def best_classes(after: np.ndarray, before: np.ndarray, same: np.ndarray, classe
 
 
 class BrownModel:
-    """What scoring needs: the class of the end and the smoothed class probabilities; its size is set by parameters."""
+    """What scoring needs besides the counts of words; its size is set by parameters."""
 
-    def __init__(self, end: int, transitions: np.ndarray, class_count: np.ndarray, class_words: np.ndarray, total: int, distinct: int) -> None:
-        self.end, self.total, self.distinct = end, total, distinct
+    def __init__(self, transitions: np.ndarray, class_count: np.ndarray, class_words: np.ndarray) -> None:
         smooth = transitions + 1.0
         self.log_step = np.log10(smooth / smooth.sum(1, keepdims=True))
         self.log_class = np.log10(class_count + class_words + 1.0)
 
-    def part_table(self, words: list[bytes], counts: bytes, classes: bytes) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-        """The place of each word of a part, and by place its log10 of one more than its count, and its class."""
-        return dict(zip(words, range(len(words)), strict=True)), np.log10(np.frombuffer(counts, np.int64) + 1.0), np.frombuffer(classes, np.int32)
 
-    def score(self, words: list[bytes], places: dict[bytes, int], log_count: np.ndarray, classes: np.ndarray) -> tuple[int, int, float, float]:
-        """(tokens, known tokens, base score, score) of a text; the rest is what ``part_table`` gives."""
-        words.append(END)
-        at = np.fromiter(map(places.get, words, repeat(-1)), np.int64, len(words))
-        own = classes[at]
-        if (at < 0).any():
-            raise RuntimeError("the parts were dealt otherwise this time: store the documents first")
-        logs = log_count[at]
-        base = logs.sum() - len(at) * np.log10(self.total + self.distinct + 1)
-        steps = self.log_step[np.concatenate([[self.end], own[:-1]]), own]
-        return len(at), int((logs > 0).sum()), float(base), float((steps + logs - self.log_class[own]).sum())
-
-
-def word_counts(docs: DataFrame, training: str, text: str) -> DataFrame:
-    """(part, slice, word, h, n, lead): the distinct words of each slice (16 MB of text or so) of a part with their training counts over all; one row of each word leads."""
+def _blocks(docs: DataFrame, training: str, key: str, text: str) -> DataFrame:
+    """A row for each slice: its number, the keys of its texts, the number of tokens and the fold of each, its distinct words ascending (the end is 0), their training counts, and the places of its tokens among them."""
+    kind = docs.schema[key].dataType
 
     def run(batches):
-        counts: Counter[bytes] = Counter()
-        size = n = 0
-
-        def rows():
-            return pa.record_batch([pa.array([n] * len(counts), pa.int32()), pa.array(list(counts), pa.binary()), pa.array(word_hash(list(counts))), pa.array(list(counts.values()), pa.int64())], names=["slice", "word", "h", "n"])
+        hasher = WordHash()
+        keys, texts, learn, size, n = [], [], [], 0, 0
+        part = key_type = None
 
-        for batch in batches:
-            for value, learn in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = value.as_py()
-                words = spaced_words(data)
-                if learn:
-                    counts.update(words)
-                    counts[END] += 1
-                else:
-                    counts.update(dict.fromkeys({*words, END}, 0))
-                size += len(data or b"")
+        def block():
+            h, at = word_hashes(hasher, texts)
+            tokens = (np.diff(at) + 1).astype(np.int32)
+            ends = np.cumsum(tokens)
+            every = np.zeros(int(ends[-1]), np.uint64)
+            word = np.ones(len(every), bool)
+            word[ends - 1] = False
+            every[word] = h
+            known, local = numbered(every)
+            fold = np.array(learn, np.uint8)
+            counts = np.bincount(local[np.repeat(fold, tokens) > 0], minlength=len(known)).astype(np.int32)
+            columns = [pa.array([(part << 24) + n], pa.int64()), pa.array([keys], pa.list_(key_type)), *(pa.array([x], pa.binary()) for x in (pack(tokens, fold), pack(known), pack(counts), pack(planes(local))))]
+            return pa.record_batch(columns, names=["slice", "keys", "texts", "known", "counts", "seq"])
+
+        for whole in batches:
+            key_type = whole.schema.field(1).type
+            for batch in portions(whole, 2):
+                part = batch.column(0)[0].as_py()
+                keys += batch.column(1).to_pylist()
+                texts += batch.column(2).to_pylist()
+                learn += [bool(x) for x in batch.column(3).to_pylist()]
+                size += batch.column(2).nbytes
                 if size >= SLICE:
-                    yield rows()
-                    counts.clear()
-                    size, n = 0, n + 1
-        yield rows()
+                    yield block()
+                    keys, texts, learn, size, n = [], [], [], 0, n + 1
+        if texts:
+            yield block()
 
-    rows = docs.select(F.col(text).cast("binary").alias("text"), F.col(training).alias("training")).mapInArrow(run, "slice int, word binary, h long, n long")
-    rows = rows.select(F.spark_partition_id().alias("part"), "slice", "word", "h", "n")
-    own = W.partitionBy("word")
-    return rows.select("part", "slice", "word", "h", F.sum("n").over(own).alias("n"), (F.row_number().over(own.orderBy("part", "slice")) == 1).alias("lead"))
+    rows = docs.select(F.spark_partition_id().alias("part"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), F.col(training).alias("training"))
+    return rows.mapInArrow(run, T.StructType([T.StructField("slice", T.LongType()), T.StructField("keys", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("texts", "known", "counts", "seq"))]))
 
 
-def word_blocks(docs: DataFrame, head: list[bytes], training: str, text: str, tails: int, classes: int) -> DataFrame:
-    """The training texts in slices: hashes of the distinct words, their places in the head or -1, their first classes, and the words in order, an end after each text."""
-    shared = docs.sparkSession.sparkContext.broadcast({END: 0} | {w: i + 1 for i, w in enumerate(head)})
+def _answers(bucket: int, numbers: list[int], parts: list, values: np.ndarray, sums: bytes) -> pa.RecordBatch:
+    """Rows (slice, bucket, data) of the values for each slice's part of a bucket, and one of the bucket's sums with slice -1."""
+    ends = np.cumsum([len(x[0]) for x in parts]).tolist()
+    data = [pack(values[lo:hi]) for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+    return pa.record_batch([pa.array([*numbers, -1], pa.int64()), pa.array([bucket] * (len(data) + 1), pa.int64()), pa.array([*data, sums], pa.binary())], names=["slice", "bucket", "data"])
 
-    def run(batches):
-        places, seq, size = {END: 0}, array("i"), 0
 
-        def block():
-            words = list(places)
-            first = np.array([zlib.crc32(w[-3:]) % tails % classes for w in words], "<i4")
-            known = np.fromiter(map(shared.value.get, words, repeat(-1)), "<i4", len(words))
-            return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (word_hash(words), known, first, seq)], names=["hash", "head", "first", "seq"])
+def _counted(blocks: DataFrame, buckets: int, units: int) -> DataFrame:
+    """Rows (slice, bucket, data) with the training counts over all of a slice's words in a bucket; and, with slice -1, for each bucket its sums and most frequent words."""
+    edges = bounds(buckets)
 
+    def ask(batches):
         for batch in batches:
-            for value in batch.column(0):
-                data = value.as_py()
-                seq.extend([places.setdefault(w, len(places)) for w in spaced_words(data)])
-                seq.append(0)
-                size += len(data or b"")
-                if size >= SLICE:
-                    yield block()
-                    places, seq, size = {END: 0}, array("i"), 0
-        if seq:
-            yield block()
+            for number, known, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                (known,), (counts,) = unpack(known, np.uint64), unpack(counts, np.int32)
+                at = np.searchsorted(known, edges)
+                there = np.flatnonzero(at[1:] > at[:-1])
+                data = [pack(known[at[b] : at[b + 1]], counts[at[b] : at[b + 1]]) for b in there.tolist()]
+                yield pa.record_batch([pa.array(there), pa.array(np.full(len(there), number)), pa.array(data, pa.binary())], names=["bucket", "slice", "data"])
+
+    def answer(batches):
+        for (bucket,), held in met(batches, 1):
+            numbers = [x for b in held for x in b.column(1).to_pylist()]
+            parts = [unpack(x, np.uint64, np.int32) for b in held for x in b.column(2).to_pylist()]
+            known, local = numbered(np.concatenate([x[0] for x in parts]))
+            n = np.zeros(len(known), np.int64)
+            np.add.at(n, local, np.concatenate([x[1] for x in parts]))
+            words = np.flatnonzero((known > 0) & (n > 0))
+            words = words[np.argsort(-n[words], kind="stable")[:units]]
+            yield _answers(bucket, numbers, parts, n[local], pack(np.array([n.sum(), (n > 0).sum()]), known[words], n[words]))
+
+    asked = blocks.select("slice", "known", "counts").mapInArrow(ask, "bucket long, slice long, data binary")
+    return dealt(asked, "bucket", ["bucket"]).mapInArrow(answer, "slice long, bucket long, data binary")
+
+
+def _head(counted: DataFrame, units: int) -> tuple[np.ndarray, int, int]:
+    """The hashes of the most frequent words, ascending; the number of tokens and of distinct ones."""
 
-    return docs.where(F.col(training)).select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "hash binary, head binary, first binary, seq binary")
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                sums, words, n = unpack(data, np.int64, np.uint64, np.int64)
+                yield pa.record_batch([pa.array([0]), pa.array([sums[0]]), pa.array([sums[1]])], names=["h", "n", "distinct"])
+                yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], names=["h", "n", "distinct"])
 
+    rows = counted.where("slice = -1").select("data").mapInArrow(run, "h long, n long, distinct long")
+    total, distinct = rows.where("h = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    found = rows.where("h <> 0").orderBy(F.desc("n"), "h").limit(units).select("h").toArrow()["h"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64)), total, distinct
 
-_ENTRY = np.dtype([("h", "<i8"), ("local", "<i4"), ("own", "<i4"), ("code", "<i4"), ("n", "<i4")])
-_PLACE = np.dtype([("h", "<i8"), ("local", "<i4"), ("class", "<i4")])
-_STATE = "part int, block int, data binary"
 
+def _units(known: np.ndarray, head: np.ndarray, tails: int) -> np.ndarray:
+    """The unit of each word: 0 for the end, 1 and on for the head, and then the groups of the others."""
+    out = (len(head) + 1 + (mix(known) % np.uint64(tails)).astype(np.int64)).astype(np.int32)
+    if len(head):
+        place = np.minimum(np.searchsorted(head, known), len(head) - 1)
+        there = head[place] == known
+        out[there] = place[there] + 1
+    out[known == 0] = 0
+    return out
 
-def transitions(blocks: DataFrame, state: DataFrame, head: np.ndarray, count: int, turn: int, buckets: int) -> DataFrame:
-    """(bucket, part, block, data): in bucket -1 sums of the head and of the classes, else the transitions of other words that may move this turn, dealt by word."""
-    shared = blocks.sparkSession.sparkContext.broadcast(head)
-    size = len(head)
-    cells = size * count
 
-    def pack(held):
-        out: dict[int, list[bytes]] = {}
-        for block, data in held:
-            out.setdefault(block, []).append(bytes(data))
-        return out
+def _trained(texts: bytes, seq: bytes) -> np.ndarray:
+    """The places of the tokens of a slice's training texts."""
+    tokens, fold = unpack(texts, np.int32, np.uint8)
+    return unplanes(unpack(seq, np.uint8)[0])[np.repeat(fold, tokens) > 0]
 
-    def step(rows, held):
-        part = TaskContext.get().partitionId()
-        sums = np.zeros(2 * cells + size + count * count, np.int64)
-        for block, row in enumerate(rows):
-            h, known, first, seq = (np.frombuffer(bytes(x), t) for x, t in zip(row, ("<i8", "<i4", "<i4", "<i4"), strict=True))
-            own = np.where(known >= 0, shared.value[known], first).astype(np.int64)
-            for data in held.pop(block, []):
-                moved = np.frombuffer(data, _PLACE)
-                own[moved["local"]] = moved["class"]
-            b = seq.astype(np.int64)
-            a = np.concatenate([[0], b[:-1]])
-            ca, cb, ua, ub = own[a], own[b], known[a], known[b]
-            sums[:cells] += np.bincount((ua * count + cb)[ua >= 0], minlength=cells)
-            sums[cells : 2 * cells] += np.bincount((ub * count + ca)[ub >= 0], minlength=cells)
-            sums[2 * cells : 2 * cells + size] += np.bincount(ua[(a == b) & (ua >= 0)], minlength=size)
-            sums[2 * cells + size :] += np.bincount(ca * count + cb, minlength=count * count)
-            moves = (known < 0) & ((h & 1) == turn % 2)
-            ma, mb, width = moves[a], moves[b], 2 * count + 1
-            key, n = np.unique(np.concatenate([(a * width + cb)[ma], (b * width + count + ca)[mb], (a * width + 2 * count)[ma & (a == b)]]), return_counts=True)
-            out = np.empty(len(key), _ENTRY)
-            out["local"], out["code"], out["n"] = key // width, key % width, n
-            out["h"], out["own"] = h[out["local"]], own[out["local"]]
-            bucket = (out["h"] >> 1) % buckets
-            out = out[np.argsort(bucket, kind="stable")]
-            edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))]).tolist()
-            for i in range(buckets):
-                if edge[i] < edge[i + 1]:
-                    yield i, part, block, out[edge[i] : edge[i + 1]].tobytes()
-        at = np.flatnonzero(sums)
-        yield -1, part, -1, np.stack([at, sums[at]]).tobytes()
-
-    return blocks.sparkSession.createDataFrame(beside(blocks, state, "part", step, pack), "bucket int, part int, block int, data binary", verifySchema=False)
-
-
-def head_sums(stepped: DataFrame, size: int, count: int) -> tuple[np.ndarray, ...]:
-    """Each head word's transitions to the classes, from the classes, to itself, and those between classes of all words."""
+
+def _streams(blocks: DataFrame, head: np.ndarray, tails: int) -> DataFrame:
+    """The units of the training tokens of each slice, in order."""
+    shared = blocks.sparkSession.sparkContext.broadcast(head)
 
     def run(batches):
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                at, n = np.frombuffer(data, np.int64).reshape(2, -1)
-                yield pa.record_batch([pa.array(at), pa.array(n)], names=["cell", "n"])
+            for texts, known, seq in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                unit = _units(unpack(known, np.uint64)[0], shared.value, tails)
+                yield pa.record_batch([pa.array([pack(planes(unit[_trained(texts, seq)]))], pa.binary())], names=["units"])
 
-    rows = stepped.where("bucket = -1").select("data").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cells = size * count
-    sums = np.zeros(2 * cells + size + count * count, np.int64)
-    sums[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return sums[:cells].reshape(size, count), sums[cells : 2 * cells].reshape(size, count), sums[2 * cells : 2 * cells + size], sums[2 * cells + size :].reshape(count, count).astype(float)
+    return blocks.select("texts", "known", "seq").mapInArrow(run, "units binary")
 
 
-def choose(stepped: DataFrame, n: np.ndarray, buckets: int) -> DataFrame:
-    """(part, block, data): the new classes of the words that may move, for each block that has them, and all of a bucket in part -1."""
-    count = len(n)
-    shared = stepped.sparkSession.sparkContext.broadcast(n)
+def summed(rows: DataFrame, cells: int) -> np.ndarray:
+    """The sum of the arrays (data: an array of long, packed) of each chunk of ``cells`` cells."""
 
     def run(batches):
-        held = [x for batch in batches for x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
-        if not held:
-            return
-        parts = [np.frombuffer(x[2], _ENTRY) for x in held]
-        rows = np.concatenate(parts)
-        h, at, word = np.unique(rows["h"], return_index=True, return_inverse=True)
-        best = rows["own"][at].astype(np.int64)
-        order = np.argsort(word, kind="stable")
-        edge = np.searchsorted(word[order], np.arange(0, len(h) + 2048, 2048))
-        for i in range(len(edge) - 1):
-            lo, some = i * 2048, rows[order[edge[i] : edge[i + 1]]]
-            sums = np.zeros((min(2048, len(h) - lo), 2 * count + 1), np.int64)
-            np.add.at(sums, (word[order[edge[i] : edge[i + 1]]] - lo, some["code"]), some["n"])
-            best[lo : lo + 2048] = best_classes(sums[:, :count], sums[:, count : 2 * count], sums[:, 2 * count], best[lo : lo + 2048], shared.value)
+        for (chunk,), held in met(batches, 1):
+            total = np.zeros(_CHUNK, np.int64)
+            for batch in held:
+                for data in batch.column(1).to_pylist():
+                    x = unplanes(unpack(data, np.uint8)[0], np.int64)
+                    total[: len(x)] += x
+            yield pa.record_batch([pa.array([chunk]), pa.array([pack(total)], pa.binary())], names=["chunk", "data"])
 
-        def placed(hashes, local, classes):
-            out = np.empty(len(hashes), _PLACE)
-            out["h"], out["local"], out["class"] = hashes, local, classes
-            return out.tobytes()
+    out = np.zeros(-(-cells // _CHUNK) * _CHUNK, np.int64)
+    for row in dealt(rows, "chunk", ["chunk"], -(-cells // _CHUNK)).mapInArrow(run, "chunk long, data binary").collect():
+        (out[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK],) = unpack(bytes(row.data), np.int64)
+    return out[:cells]
 
-        end = 0
-        for (part, block, _), own in zip(held, parts, strict=True):
-            local, first = np.unique(own["local"], return_index=True)
-            data = placed(own["h"][first], local, best[word[end + first]])
-            end += len(own)
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["part", "block", "data"])
-        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([placed(h, 0, best)], pa.binary())], names=["part", "block", "data"])
 
-    dealt = stepped.where("bucket >= 0").repartitionById(buckets, "bucket")
-    return dealt.select("part", "block", "data").mapInArrow(run, _STATE)
+def _chunks(sums: np.ndarray):
+    for chunk in range(0, len(sums), _CHUNK):
+        yield pa.record_batch([pa.array([chunk // _CHUNK]), pa.array([pack(planes(sums[chunk : chunk + _CHUNK]))], pa.binary())], names=["chunk", "data"])
 
 
-def assigned(state: DataFrame) -> DataFrame:
-    """(h, class) of the words that have chosen."""
+def unit_sums(streams: DataFrame, own: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The transitions of each unit to the classes, from the classes, and to itself."""
+    size = len(own)
+    shared = streams.sparkSession.sparkContext.broadcast(own.astype(np.int32))
 
     def run(batches):
+        own, after, before, same = shared.value, np.zeros(size * count, np.int64), np.zeros(size * count, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                x = np.frombuffer(data, _PLACE)
-                yield pa.record_batch([pa.array(x["h"].copy()), pa.array(x["class"].copy())], names=["h", "class"])
+                b = unplanes(unpack(data, np.uint8)[0])
+                if not len(b):
+                    continue
+                a = np.concatenate([np.zeros(1, np.int32), b[:-1]])  # a text begins after an end, unit 0
+                c = own[b]
+                after += np.bincount(a * np.int32(count) + c, minlength=size * count)
+                before += np.bincount(b * np.int32(count) + np.concatenate([own[:1], c[:-1]]), minlength=size * count)
+                same += np.bincount(a[a == b], minlength=size)
+        yield from _chunks(np.concatenate([after, before, same]))
+
+    sums = summed(streams.mapInArrow(run, "chunk long, data binary"), 2 * size * count + size)
+    return sums[: size * count].reshape(size, count), sums[size * count : -size].reshape(size, count), sums[-size:]
+
+
+def cluster(streams: DataFrame, size: int, count: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit, and the transitions between classes."""
+    own = np.arange(size) % count
+    best, best_value, best_n, values = own, -np.inf, np.zeros((count, count)), []
+    for turn in counting():
+        after, before, same = unit_sums(streams, own, count)
+        n = np.zeros((count, count))
+        np.add.at(n, own, after)
+        values.append(likelihood(n))
+        if values[-1] > best_value:
+            best, best_value, best_n = own, values[-1], n
+        if turn >= rounds and (turn >= 64 or turn < 2 or values[-1] - values[-3] < 1e-3 * abs(values[-3])):
+            return best, best_n
+        order = np.argsort(-after.sum(1), kind="stable")
+        own = exchange(after, before, same, own, order[(np.arange(size) + turn) % 2 == 0], n)
+
+
+def _best_of_each(code: np.ndarray, word: np.ndarray, times: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best class of each word from its transitions: ``code`` is a class after, ``count`` and a class before, or twice ``count`` for itself."""
+    count, best = len(n), own.copy()
+    width = 2 * count + 1
+    total = np.bincount(word, times, len(own))
+    single = (total == 2) & (np.bincount(word[code == 2 * count], minlength=len(own)) == 0)
+
+    def solve(words: np.ndarray, classes: np.ndarray, place: np.ndarray, codes: np.ndarray, n_times: np.ndarray) -> np.ndarray:
+        out = np.empty(words, np.int64)
+        order = np.argsort(place, kind="stable")
+        edge = np.searchsorted(place[order], np.arange(0, words + 2048, 2048))
+        for i in range(len(edge) - 1):
+            lo, some = i * 2048, order[edge[i] : edge[i + 1]]
+            hi = min(words, lo + 2048)
+            sums = np.bincount((place[some] - lo) * width + codes[some], n_times[some], (hi - lo) * width).reshape(hi - lo, width).astype(np.int64)
+            if hi > lo:
+                out[lo:hi] = best_classes(sums[:, :count], sums[:, count : 2 * count], sums[:, 2 * count], classes[lo:hi], n)
+        return out
+
+    # words met once: one answer for each class, class before and class after
+    at = np.flatnonzero(single)
+    if len(at):
+        one = single[word]
+        after, before = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        is_after = one & (code < count)
+        after[word[is_after]] = code[is_after]
+        is_before = one & (code >= count)
+        before[word[is_before]] = code[is_before]
+        kinds, place = np.unique((own[at] * count + after[at]) * 2 * count + before[at], return_inverse=True)
+        every = np.arange(len(kinds))
+        codes = np.concatenate([kinds // (2 * count) % count, kinds % (2 * count)])
+        best[at] = solve(len(kinds), kinds // (2 * count * count), np.concatenate([every, every]), codes, np.ones(2 * len(kinds), np.int64))[place]
+    at = np.flatnonzero(~single & (total > 0))
+    if len(at):
+        place = np.zeros(len(own), np.int64)
+        place[at] = np.arange(len(at))
+        held = ~single[word]
+        best[at] = solve(len(at), own[at], place[word[held]], code[held], times[held])
+    return best
+
+
+def _moves(number: int, texts: bytes, known: bytes, seq: bytes, classes: np.ndarray, head: np.ndarray, count: int, edges: np.ndarray) -> pa.RecordBatch:
+    """(bucket, slice, data): the words of a slice with their classes and, but for the head's, their transitions in training."""
+    (known,) = unpack(known, np.uint64)
+    b, width = _trained(texts, seq), 2 * count + 1
+    tail = _units(known, head, 1) > len(head)
+    a = np.concatenate([np.zeros(1, b.dtype), b])[: len(b)]  # the end is the first word of all
+    of_a, of_b = tail[a], tail[b]
+    entry = np.concatenate([a[of_a].astype(np.int64) * width + classes[b[of_a]], b[of_b].astype(np.int64) * width + count + classes[a[of_b]], a[of_a & (a == b)].astype(np.int64) * width + 2 * count])
+    entry, times = np.unique(entry, return_counts=True)
+    word = entry // width
+    code, times, per_word = (entry % width).astype(np.uint16), times.astype(np.int32), np.bincount(word, minlength=len(known)).astype(np.int32)
+    at = np.searchsorted(known, edges)
+    cut = np.searchsorted(word, at)
+    there = np.flatnonzero(at[1:] > at[:-1])
+    data = [pack(known[at[k] : at[k + 1]], classes[at[k] : at[k + 1]], per_word[at[k] : at[k + 1]], planes(code[cut[k] : cut[k + 1]]), planes(times[cut[k] : cut[k + 1]])) for k in there.tolist()]
+    return pa.record_batch([pa.array(there), pa.array(np.full(len(there), number)), pa.array(data, pa.binary())], names=["bucket", "slice", "data"])
+
+
+def _chosen(blocks: DataFrame, head: np.ndarray, own: np.ndarray | None, n: np.ndarray, tails: int, buckets: int) -> DataFrame:
+    """Rows (slice, bucket, data) with the new classes of a slice's words in a bucket; and, with slice -1, the words of each class. ``own`` has the units' classes; without it the blocks have their words'."""
+    count, edges = len(n), bounds(buckets)
+    shared = blocks.sparkSession.sparkContext.broadcast((head, own, n))
+
+    def ask(batches):
+        head, own, _ = shared.value
+        for batch in batches:
+            for number, texts, known, seq, *classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = unpack(classes[0], np.uint8)[0] if classes else own[_units(unpack(known, np.uint64)[0], head, tails)].astype(np.uint8)
+                yield _moves(number, texts, known, seq, now, head, count, edges)
+
+    def answer(batches):
+        _, _, n = shared.value
+        for (bucket,), held in met(batches, 1):
+            numbers = [x for b in held for x in b.column(1).to_pylist()]
+            parts = [unpack(x, np.uint64, np.uint8, np.int32, np.uint8, np.uint8) for b in held for x in b.column(2).to_pylist()]
+            known, local = numbered(np.concatenate([x[0] for x in parts]))
+            own = np.empty(len(known), np.int64)
+            own[local] = np.concatenate([x[1] for x in parts])
+            word = np.repeat(local, np.concatenate([x[2] for x in parts])).astype(np.int64)
+            code, times = (np.concatenate([unplanes(x[i], t) for x in parts]).astype(np.int64) for i, t in ((3, np.uint16), (4, np.int32)))
+            best = _best_of_each(code, word, times, own, n).astype(np.uint8)
+            in_training = np.zeros(len(known), bool)
+            in_training[word] = True
+            yield _answers(bucket, numbers, parts, best[local], pack(np.bincount(best[in_training], minlength=count)))
+
+    asked = blocks.select("slice", "texts", "known", "seq", *([] if own is not None else ["classes"])).mapInArrow(ask, "bucket long, slice long, data binary")
+    return dealt(asked, "bucket", ["bucket"]).mapInArrow(answer, "slice long, bucket long, data binary")
+
+
+def _answered(blocks: DataFrame, answers: list[DataFrame], *columns: str) -> DataFrame:
+    """``columns`` of each block, after the answers for it: rows (slice, kind, bucket, data, ...) dealt by slice; kinds count from 0 and the block's own is last."""
+    kinds = {c: blocks.schema[c].dataType for c in columns}
+    rows = None
+    for i, x in enumerate(answers):
+        own = x.where("slice >= 0").select("slice", F.lit(i).alias("kind"), "bucket", "data", *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+        rows = own if rows is None else rows.unionAll(own)
+    rows = rows.unionAll(blocks.select("slice", F.lit(len(answers)).alias("kind"), F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("data"), *columns))
+    return dealt(rows, "slice", ["slice", "kind", "bucket"])
+
+
+def _answer(table: pa.Table, which: int, kind: type) -> np.ndarray:
+    """The values of an answer for all words of a block."""
+    rows = zip(table.column(1).to_pylist(), table.column(3).to_pylist(), strict=True)
+    return np.concatenate([np.zeros(0, kind), *(unpack(d, kind)[0] for k, d in rows if k == which)])
+
+
+def _moved(blocks: DataFrame, chosen: DataFrame, count: int) -> DataFrame:
+    """The blocks with the classes that their words have chosen, and the transitions between these in training."""
+
+    def run(batches):
+        for (number,), held in met(batches, 1):
+            table = pa.Table.from_batches(held)
+            texts, known, seq = (table.column(i)[-1].as_py() for i in (4, 5, 6))
+            classes = _answer(table, 0, np.uint8)
+            learn = classes[_trained(texts, seq)].astype(np.int64)
+            before = np.concatenate([classes[:1], learn])[: len(learn)].astype(np.int64)
+            sums = np.bincount(before * count + learn, minlength=count * count)
+            columns = [pa.array([number]), *(pa.array([x], pa.binary()) for x in (texts, known, seq, pack(classes), pack(planes(sums))))]
+            yield pa.record_batch(columns, names=["slice", "texts", "known", "seq", "classes", "sums"])
 
-    return state.where("part = -1").select("data").mapInArrow(run, "h long, class int")
+    return _answered(blocks, [chosen], "texts", "known", "seq").mapInArrow(run, "slice long, texts binary, known binary, seq binary, classes binary, sums binary")
 
 
-def fit_and_score(docs: DataFrame, training: str, *, key: str = "doc_id", text: str = "text", units: int = 4096, tails: int = 1024, classes: int = 64, rounds: int = 8) -> DataFrame:
-    """Learn from the rows whose boolean column ``training`` is true and score every row.
+def _matrix(rows: DataFrame, count: int) -> np.ndarray:
+    """The sum of the transitions in the column sums."""
+    return summed(rows.where("sums is not null").select(F.lit(0).cast("long").alias("chunk"), F.col("sums").alias("data")), count * count).reshape(count, count)
+
+
+def _joined(blocks: DataFrame, counted: DataFrame, chosen: DataFrame, count: int) -> DataFrame:
+    """Counts and classes laid by position: a row for each slice with the keys, the sums of each text and the classes of its tokens; and a row for each task with the transitions between classes in its training texts."""
+    def run(batches):
+        transitions = np.zeros(count * count, np.int64)
+        key_type = None
+        for (_,), held in met(batches, 1):
+            table = pa.Table.from_batches(held)
+            key_type = table.schema.field(4).type
+            n, own = _answer(table, 0, np.int64), _answer(table, 1, np.uint8)
+            tokens, fold = unpack(table.column(5)[-1].as_py(), np.int32, np.uint8)
+            local = unplanes(unpack(table.column(6)[-1].as_py(), np.uint8)[0])
+            classes, times = own[local], n[local]
+            first = np.cumsum(tokens) - tokens
+            logs = np.log10(times + 1.0)
+            seen, plain = np.add.reduceat((times > 0).astype(np.int64), first), np.add.reduceat(logs, first)
+            learn = classes[np.repeat(fold, tokens) > 0].astype(np.int64)
+            if len(learn):
+                transitions += np.bincount(np.concatenate([own[:1], learn[:-1]]).astype(np.int64) * count + learn, minlength=count * count)
+            yield pa.record_batch([table.column(4).combine_chunks().slice(len(table) - 1, 1), pa.array([pack(tokens, seen, plain, classes)], pa.binary()), pa.nulls(1, pa.binary())], names=["keys", "data", "sums"])
+        if key_type is not None:
+            yield pa.record_batch([pa.nulls(1, key_type), pa.nulls(1, pa.binary()), pa.array([pack(planes(transitions))], pa.binary())], names=["keys", "data", "sums"])
+
+    schema = T.StructType([blocks.schema["keys"], T.StructField("data", T.BinaryType()), T.StructField("sums", T.BinaryType())])
+    return _answered(blocks, [counted, chosen], "keys", "texts", "seq").mapInArrow(run, schema)
+
+
+def fit_and_score(docs: DataFrame, training: str, *, key: str = "doc_id", text: str = "text", units: int = 4096, tails: int = 1024, classes: int = 64, rounds: int = 8, turns: int = 2) -> DataFrame:
+    """Learn from the rows whose boolean column ``training`` is true and score every row; ``classes`` is 127 at most.
 
     Returns ``key``, n_tokens, n_known (tokens met in training), train_tokens,
     base_score (add-one unigram, log10) and score (the class model, log10).
     """
     spark, docs = docs.sparkSession, settled(docs)
-    counted = stored(word_counts(docs, training, text))
-    lead = counted.where("lead and n > 0")
-    total, distinct = lead.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = [bytes(r.word) for r in lead.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(units).collect()]
-    size = len(frequent) + 1
-    own = np.arange(size) % classes
-    best, best_value, best_state, n = own, -np.inf, {}, np.zeros((classes, classes))
-    none = spark.createDataFrame([], _STATE)
+    buckets = max(1, input_bytes(docs) // BUCKET)
+    blocks = stored(_blocks(docs, training, key, text))
+    counted = stored(_counted(blocks, buckets, units))
+    head, total, distinct = _head(counted, units)
+    size = 1 + len(head) + tails
+    own, n = np.arange(size) % classes, np.zeros((classes, classes))
+    if total:
+        streams = stored(_streams(blocks, head, tails))
+        own, n = cluster(streams, size, classes, rounds)
+        dropped(streams)
+    chosen = stored(_chosen(blocks, head, own, n, tails, buckets))
+    for _ in range(turns - 1 if total else 0):
+        moved = stored(_moved(blocks, chosen, classes))
+        chosen = stored(_chosen(moved, head, None, _matrix(moved, classes), tails, buckets))
+        dropped(moved)
+    joined = stored(_joined(blocks, counted, chosen, classes))
+
+    def plain(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield from _chunks(unpack(data, np.int64)[0])
+
+    class_words = summed(chosen.where("slice = -1").select("data").mapInArrow(plain, "chunk long, data binary"), classes)
     if total:
-        blocks = stored(word_blocks(docs, frequent, training, text, tails, classes))
-        buckets = max(8, blocks.count())
-        state: dict[int, DataFrame] = {}
-        values: list[float] = []
-        for turn in counting():
-            now_state = none
-            for x in state.values():
-                now_state = now_state.union(x)
-            stepped = stored(transitions(blocks, now_state.where("part >= 0"), own, classes, turn, buckets))
-            after, before, same, now = head_sums(stepped, size, classes)
-            values.append(likelihood(now))
-            if values[-1] > best_value:
-                best, best_value, best_state, n = own, values[-1], dict(state), now
-            if turn >= rounds and (turn >= 64 or turn < 2 or values[-1] - values[-3] < 1e-3 * abs(values[-3])):
-                break
-            order = np.argsort(-after.sum(1), kind="stable")
-            own = exchange(after, before, same, own, order[(np.arange(len(order)) + turn) % 2 == 0], now)
-            state[turn % 2] = stored(choose(stepped, now, buckets))
-
-    chosen = spark.createDataFrame(list(zip(word_hash([END, *frequent]).tolist(), best.tolist(), strict=True)), "h long, class int")
-    for x in best_state.values():
-        chosen = chosen.union(assigned(x))
-    ending = F.when(F.octet_length("word") < 3, F.col("word")).otherwise(F.expr("substring(word, -3, 3)"))
-    counted = counted.join(chosen, "h", "left").withColumn("class", F.coalesce("class", (F.crc32(ending) % tails % classes).cast("int")))
-    counted = stored(counted.select("part", "slice", "word", "n", "class", "lead"))
-
-    class_count, class_words = np.zeros(classes), np.zeros(classes)
-    for row in counted.where("lead and n > 0").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        class_count[row["class"]] += row.n
-        class_words[row["class"]] += row.words
-    shared = spark.sparkContext.broadcast(BrownModel(int(best[0]), n, class_count, class_words, total, distinct))
-
-    def pack(held):
-        out: dict[int, tuple[array, array, array, bytearray]] = {}
-        for n, word, count, own in held:
-            counts, classes, sizes, flat = out.setdefault(n, (array("q"), array("i"), array("i"), bytearray()))
-            counts.append(count)
-            classes.append(own)
-            sizes.append(len(word))
-            flat += word
-        return {n: (counts.tobytes(), classes.tobytes(), sizes.tobytes(), bytes(flat)) for n, (counts, classes, sizes, flat) in out.items()}
-
-    def table(model, packed):
-        counts, classes, sizes, flat = packed
-        ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-        return model.part_table([flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], counts, classes)
-
-    def score(texts, held):
-        model, n, size = shared.value, 0, 0
-        met = table(model, held.pop(0)) if 0 in held else None
-        for k, t in texts:
-            data = bytes(t) if t is not None else None
-            yield (k, *model.score(spaced_words(data), *met))
-            size += len(data or b"")
-            if size >= SLICE:
-                size, n = 0, n + 1
-                met = table(model, held.pop(n)) if n in held else None
-
-    rows = docs.select(key, F.col(text).cast("binary").alias("text"))
-    scored = beside(rows, counted.select("part", "slice", "word", "n", "class"), "part", score, pack)
+        class_words += np.bincount(own[: 1 + len(head)], minlength=classes)
+    n = _matrix(joined, classes)
+    shared = spark.sparkContext.broadcast(BrownModel(n, n.sum(0), class_words))
+    end, each = int(own[0]), float(np.log10(total + distinct + 1))
+
+    def score(batches):
+        model = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tokens, seen, logs, own = unpack(batch.column(1)[i].as_py(), np.int32, np.int64, np.float64, np.uint8)
+                before = np.concatenate([np.array([end], np.uint8), own[:-1]])
+                before[np.cumsum(tokens)[:-1]] = end
+                steps = np.add.reduceat(model.log_step[before, own] - model.log_class[own], np.cumsum(tokens) - tokens)
+                columns = [batch.column(0).slice(i, 1).flatten(), pa.array(tokens.astype(np.int64)), pa.array(seen), pa.array(logs - tokens * each), pa.array(steps + logs)]
+                yield pa.record_batch(columns, names=[key, "n_tokens", "n_known", "base_score", "score"])
+
     kinds = [T.StructField(key, docs.schema[key].dataType), *(T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))]
-    return spark.createDataFrame(scored, T.StructType(kinds), verifySchema=False).withColumn("train_tokens", F.lit(total).cast("long"))
+    return joined.where("keys is not null").select("keys", "data").mapInArrow(score, T.StructType(kinds)).withColumn("train_tokens", F.lit(total).cast("long"))

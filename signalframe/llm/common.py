@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import itertools
-import pickle
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import RDD
-from pyspark.serializers import BatchedSerializer, CPickleSerializer
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote and nothing needs any more."""
+    spark = table.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    released(spark)
+
+
+def released(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that Spark removes the shuffle files of steps that are over."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` itself where it is read in the same parts each time (files, with no shuffle above), else a stored copy."""
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -142,27 +158,89 @@ def word_hashes(hasher: WordHash, texts: list[bytes | None]) -> tuple[np.ndarray
     return hasher.spans(buf, start, end), np.concatenate([[0], np.searchsorted(start, text_end)])
 
 
-def beside(rows: DataFrame, table: DataFrame, part: str, fn, pack) -> RDD:
-    """What ``fn(rows, packed)`` yields for each part of ``rows``, an iterator of tuples, met by what ``pack`` makes of the rows of ``table`` dealt to it.
+def numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of ``h``, ascending, and the place of each value among them."""
+    found = pa.array(h).dictionary_encode()
+    known = found.dictionary.to_numpy()
+    order = np.argsort(known, kind="stable")
+    rank = np.empty(len(known), np.int32)
+    rank[order] = np.arange(len(known), dtype=np.int32)
+    return known[order], rank[found.indices.to_numpy()]
+
+
+def bounds(buckets: int) -> np.ndarray:
+    """The edges that cut ascending 64-bit hashes into so many ranges, for searchsorted; the last is the greatest hash."""
+    return np.array([(b << 64) // buckets for b in range(buckets)] + [2**64 - 1], np.uint64)
+
+
+@functools.cache
+def _coders() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def squeezed(data: bytes) -> bytes:
+    return _coders()[0].compress(data)
+
+
+def loosened(data: bytes) -> bytes:
+    return _coders()[1].decompress(data)
+
+
+def pack(*arrays: np.ndarray | bytes) -> bytes:
+    """The bytes of some arrays, compressed."""
+    raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
+    return squeezed(b"".join([struct.pack(f"<{len(raw)}q", *map(len, raw)), *raw]))
+
+
+def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    """The arrays that ``pack`` was given, of these kinds."""
+    data, out = loosened(data), []
+    at = 8 * len(kinds)
+    for kind, size in zip(kinds, struct.unpack_from(f"<{len(kinds)}q", data), strict=True):
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
+def planes(x: np.ndarray) -> np.ndarray:
+    """The first bytes of all numbers, then the second ones and so on, which compress better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+
+
+def unplanes(x: np.ndarray, kind: type = np.int32) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(x.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The size of the files that ``df`` reads, as the planner has it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def dealt(rows: DataFrame, by: str, order: list[str], parts: int | None = None) -> DataFrame:
+    """``rows`` dealt out by the whole number in ``by`` (of a slice: its part times 2**24 plus its place in the part) and sorted within the parts, which are as many as the session's shuffle partitions or ``parts``."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.pmod(F.shiftright(by, 24) + F.col(by).bitwiseAND(0xFFFFFF) * 7919, F.lit(parts)).cast("int")
+    return rows.repartitionById(parts, number).sortWithinPartitions(*order)
 
-    ``rows`` stay where they are read; only ``table`` is shuffled, each row to
-    the part that its column ``part`` (from spark_partition_id() over the same
-    rows) names.  Every part is one pair, so what a part needs must fit in
-    memory, as the part itself does.
-    """
 
-    def packed(it):
-        out = []
-        while some := list(itertools.islice(it, 64)):
-            out.append(pickle.dumps([tuple(r) for r in some], 5))
-        return [out]
-
-    one = BatchedSerializer(CPickleSerializer(), 1)
-    own = rows.rdd.mapPartitions(packed)._reserialize(one)
-    parts = own.getNumPartitions()
-    dealt = table.repartitionById(parts, F.col(part) % parts).drop(part)
-    held = dealt.rdd.mapPartitions(lambda it: [pack(it)])._reserialize(one)
-    return own.zip(held).flatMap(lambda pair: fn((row for some in pair[0] for row in pickle.loads(some)), pair[1]))
+def met(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """The runs of rows that agree in the first ``keys`` columns (whole numbers, none null)."""
+    last, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        cuts = np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(0)) + 1
+        for lo, hi in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+            key = tuple(columns[:, lo].tolist())
+            if key != last and held:
+                yield last, held
+                held = []
+            last = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield last, held
 
 
 class Bloom:

@@ -36,7 +36,7 @@ class Counter:
             if len(self.table) + len(missing) > self.most:
                 self.table.clear()
                 missing = list(set(words))
-            self.table.update(zip(missing, (len(x) // 4 for x in encode_words(missing, self.path, False)), strict=True))
+            self.table.update(zip(missing, encode_words(missing, self.path, False)[0].tolist(), strict=True))
         return [self.table[w] for w in words]
 
 

@@ -4,7 +4,7 @@ Tokens are the words of a text (A-Z folded, cut at white space) and one end, tol
 apart by 64-bit hashes.  Clustering has two steps.
 
 1. The ``units`` most frequent words, the end, and ``tails`` groups of all other
-   words (by hash) are the units.  Each round counts, in Spark, the transitions of
+   words (by their last three bytes) are the units.  Each round counts, in Spark, the transitions of
    every unit to and from the classes, over all training texts; the driver moves
    units one after the other to the class that raises the likelihood most.  Its
    matrices are units by classes: their size is set by parameters alone.  Half of
@@ -12,10 +12,12 @@ apart by 64-bit hashes.  Clustering has two steps.
    together are known only after the next count; rounds go on, ``rounds`` at least,
    until two of them raise the likelihood by less than a thousandth (64 at most),
    and the best classes seen stay.
-2. Every other training word leaves its group for the class that is best for it
-   alone, by its own transitions, gathered from all training texts, in Spark; and
-   so again, ``turns`` times in all, with the classes of the words around it as they
-   then are.  Words that are not met in training keep the class of their group.
+2. Every other training word leaves its group for the class that makes its own
+   transitions, gathered from all training texts, likeliest, in Spark; and so again,
+   ``turns`` times in all, with the classes of the words around it as they then are.
+   As all of them choose at once, the shares of the classes are smoothed as they
+   are in scoring: by the bare likelihood each alone would take an empty class.
+   Words that are not met in training keep the class of their group.
 
 A text's probability is the product of P(class | class before) * P(word |
 class), both smoothed by adding one: an unseen word has the place that each
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, bounds, dealt, dropped, input_bytes, met, mix, numbered, pack, planes, portions, settled, stored, unpack, unplanes, word_hashes
+from .common import WordHash, bounds, dealt, dropped, input_bytes, met, mix, numbered, pack, planes, portions, settled, spaced_spans, stored, unpack, unplanes
 
 SLICE = 8 << 20
 BUCKET = 16 << 20  # bytes of input for each bucket of words
@@ -94,33 +96,16 @@ def exchange(after: np.ndarray, before: np.ndarray, same: np.ndarray, classes: n
     return classes
 
 
-def best_classes(after: np.ndarray, before: np.ndarray, same: np.ndarray, classes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The best class of each word, all others staying: what ``exchange`` finds for it alone, with work by its transitions that aren't 0."""
-    count, every = len(n), np.arange(len(classes))
-    own = np.arange(count) == classes[:, None]
-    r, l = after.astype(float), before.astype(float)
-    r[every, classes] -= same
-    l[every, classes] -= same
-    gain = np.zeros(after.shape)
-    for mine, to, back, table in ((r, after, before, n.T), (l, before, after, n)):
-        w, c = np.nonzero(mine)
-        m = table[c].astype(float)  # by the class that the word would have
-        m[np.arange(len(w)), classes[w]] -= to[w, c]
-        at = np.flatnonzero(c == classes[w])
-        m[at] -= back[w[at]]
-        m[at, c[at]] += same[w[at]]
-        m = np.maximum(m, 0)
-        rise = _xlogx(m + mine[w, c][:, None]) - _xlogx(m)
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else w
-        if len(w):
-            gain[w[first]] += np.add.reduceat(rise, first, axis=0)
-    s, rs, ls = same[:, None], after.sum(1)[:, None], before.sum(1)[:, None]
-    corner = np.maximum(n.diagonal() - own * (after + before - s), 0)
-    gain += _xlogx(corner + r + l + s) - _xlogx(corner + r) - _xlogx(corner + l) + _xlogx(corner)
-    left = np.maximum(n.sum(1) - before - own * (rs - s), 0)
-    right = np.maximum(n.sum(0) - after - own * (ls - s), 0)
-    gain -= _xlogx(left + rs) - _xlogx(left) + _xlogx(right + ls) - _xlogx(right)
-    return np.argmax(gain + 1e-9 * own, 1)
+def favoured(after: np.ndarray, before: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of each word that makes its transitions likeliest, all other words staying: by the smoothed shares of the classes after and before it, without what the word itself adds to its own class."""
+    count, every = len(n), np.arange(len(own))
+    after, before = after.astype(float), before.astype(float)
+    left, right = n.sum(1), n.sum(0)
+    value = after @ np.log((n + 1) / (left[:, None] + count)).T + before @ np.log((n.T + 1) / (right[:, None] + count)).T
+    for mine, table, total in ((after, n, left), (before, n.T, right)):
+        rest = np.maximum(table[own] - mine, 0) + 1
+        value[every, own] -= (mine * (np.log((table[own] + 1) / (total[own] + count)[:, None]) - np.log(rest / (np.maximum(total[own] - mine.sum(1), 0) + count)[:, None]))).sum(1)
+    return np.argmax(value + 1e-9 * (np.arange(count) == own[:, None]), 1)
 
 
 class BrownModel:
@@ -132,8 +117,8 @@ class BrownModel:
         self.log_class = np.log10(class_count + class_words + 1.0)
 
 
-def _blocks(docs: DataFrame, training: str, key: str, text: str) -> DataFrame:
-    """A row for each slice: its number, the keys of its texts, the number of tokens and the fold of each, its distinct words ascending (the end is 0), their training counts, and the places of its tokens among them."""
+def _blocks(docs: DataFrame, training: str, key: str, text: str, tails: int) -> DataFrame:
+    """A row for each slice: its number, the keys of its texts, the number of tokens and the fold of each, its distinct words ascending (the end is 0), their groups and training counts, and the places of its tokens among them."""
     kind = docs.schema[key].dataType
 
     def run(batches):
@@ -142,7 +127,8 @@ def _blocks(docs: DataFrame, training: str, key: str, text: str) -> DataFrame:
         part = key_type = None
 
         def block():
-            h, at = word_hashes(hasher, texts)
+            buf, start, end, at = spaced_spans(texts)
+            h = hasher.spans(buf, start, end)
             tokens = (np.diff(at) + 1).astype(np.int32)
             ends = np.cumsum(tokens)
             every = np.zeros(int(ends[-1]), np.uint64)
@@ -152,8 +138,11 @@ def _blocks(docs: DataFrame, training: str, key: str, text: str) -> DataFrame:
             known, local = numbered(every)
             fold = np.array(learn, np.uint8)
             counts = np.bincount(local[np.repeat(fold, tokens) > 0], minlength=len(known)).astype(np.int32)
-            columns = [pa.array([(part << 24) + n], pa.int64()), pa.array([keys], pa.list_(key_type)), *(pa.array([x], pa.binary()) for x in (pack(tokens, fold), pack(known), pack(counts), pack(planes(local))))]
-            return pa.record_batch(columns, names=["slice", "keys", "texts", "known", "counts", "seq"])
+            ending = sum(np.where(end - k >= start, buf[np.maximum(end - k, 0)], 0).astype(np.uint64) << np.uint64(8 * k) for k in (1, 2, 3))
+            groups = np.zeros(len(known), np.uint16)
+            groups[local[word]] = mix(ending) % np.uint64(tails)
+            columns = [pa.array([(part << 24) + n], pa.int64()), pa.array([keys], pa.list_(key_type)), *(pa.array([x], pa.binary()) for x in (pack(tokens, fold), pack(known), pack(groups), pack(counts), pack(planes(local))))]
+            return pa.record_batch(columns, names=["slice", "keys", "texts", "known", "groups", "counts", "seq"])
 
         for whole in batches:
             key_type = whole.schema.field(1).type
@@ -170,7 +159,7 @@ def _blocks(docs: DataFrame, training: str, key: str, text: str) -> DataFrame:
             yield block()
 
     rows = docs.select(F.spark_partition_id().alias("part"), F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), F.col(training).alias("training"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("slice", T.LongType()), T.StructField("keys", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("texts", "known", "counts", "seq"))]))
+    return rows.mapInArrow(run, T.StructType([T.StructField("slice", T.LongType()), T.StructField("keys", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("texts", "known", "groups", "counts", "seq"))]))
 
 
 def _answers(bucket: int, numbers: list[int], parts: list, values: np.ndarray, sums: bytes) -> pa.RecordBatch:
@@ -224,9 +213,9 @@ def _head(counted: DataFrame, units: int) -> tuple[np.ndarray, int, int]:
     return np.sort(found.astype(np.int64).view(np.uint64)), total, distinct
 
 
-def _units(known: np.ndarray, head: np.ndarray, tails: int) -> np.ndarray:
+def _units(known: np.ndarray, group: np.ndarray, head: np.ndarray) -> np.ndarray:
     """The unit of each word: 0 for the end, 1 and on for the head, and then the groups of the others."""
-    out = (len(head) + 1 + (mix(known) % np.uint64(tails)).astype(np.int64)).astype(np.int32)
+    out = (len(head) + 1 + group.astype(np.int64)).astype(np.int32)
     if len(head):
         place = np.minimum(np.searchsorted(head, known), len(head) - 1)
         there = head[place] == known
@@ -241,17 +230,17 @@ def _trained(texts: bytes, seq: bytes) -> np.ndarray:
     return unplanes(unpack(seq, np.uint8)[0])[np.repeat(fold, tokens) > 0]
 
 
-def _streams(blocks: DataFrame, head: np.ndarray, tails: int) -> DataFrame:
+def _streams(blocks: DataFrame, head: np.ndarray) -> DataFrame:
     """The units of the training tokens of each slice, in order."""
     shared = blocks.sparkSession.sparkContext.broadcast(head)
 
     def run(batches):
         for batch in batches:
-            for texts, known, seq in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                unit = _units(unpack(known, np.uint64)[0], shared.value, tails)
+            for texts, known, groups, seq in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                unit = _units(unpack(known, np.uint64)[0], unpack(groups, np.uint16)[0], shared.value)
                 yield pa.record_batch([pa.array([pack(planes(unit[_trained(texts, seq)]))], pa.binary())], names=["units"])
 
-    return blocks.select("texts", "known", "seq").mapInArrow(run, "units binary")
+    return blocks.select("texts", "known", "groups", "seq").mapInArrow(run, "units binary")
 
 
 def summed(rows: DataFrame, cells: int) -> np.ndarray:
@@ -318,54 +307,27 @@ def cluster(streams: DataFrame, size: int, count: int, rounds: int) -> tuple[np.
 
 
 def _best_of_each(code: np.ndarray, word: np.ndarray, times: np.ndarray, own: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The best class of each word from its transitions: ``code`` is a class after, ``count`` and a class before, or twice ``count`` for itself."""
+    """The favoured class of each word from its transitions: ``code`` is a class after, or ``count`` and a class before; a word without any stays."""
     count, best = len(n), own.copy()
-    width = 2 * count + 1
-    total = np.bincount(word, times, len(own))
-    single = (total == 2) & (np.bincount(word[code == 2 * count], minlength=len(own)) == 0)
-
-    def solve(words: np.ndarray, classes: np.ndarray, place: np.ndarray, codes: np.ndarray, n_times: np.ndarray) -> np.ndarray:
-        out = np.empty(words, np.int64)
-        order = np.argsort(place, kind="stable")
-        edge = np.searchsorted(place[order], np.arange(0, words + 2048, 2048))
-        for i in range(len(edge) - 1):
-            lo, some = i * 2048, order[edge[i] : edge[i + 1]]
-            hi = min(words, lo + 2048)
-            sums = np.bincount((place[some] - lo) * width + codes[some], n_times[some], (hi - lo) * width).reshape(hi - lo, width).astype(np.int64)
-            if hi > lo:
-                out[lo:hi] = best_classes(sums[:, :count], sums[:, count : 2 * count], sums[:, 2 * count], classes[lo:hi], n)
-        return out
-
-    # words met once: one answer for each class, class before and class after
-    at = np.flatnonzero(single)
-    if len(at):
-        one = single[word]
-        after, before = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-        is_after = one & (code < count)
-        after[word[is_after]] = code[is_after]
-        is_before = one & (code >= count)
-        before[word[is_before]] = code[is_before]
-        kinds, place = np.unique((own[at] * count + after[at]) * 2 * count + before[at], return_inverse=True)
-        every = np.arange(len(kinds))
-        codes = np.concatenate([kinds // (2 * count) % count, kinds % (2 * count)])
-        best[at] = solve(len(kinds), kinds // (2 * count * count), np.concatenate([every, every]), codes, np.ones(2 * len(kinds), np.int64))[place]
-    at = np.flatnonzero(~single & (total > 0))
-    if len(at):
-        place = np.zeros(len(own), np.int64)
-        place[at] = np.arange(len(at))
-        held = ~single[word]
-        best[at] = solve(len(at), own[at], place[word[held]], code[held], times[held])
+    order = np.argsort(word, kind="stable")
+    edge = np.searchsorted(word[order], np.arange(0, len(own) + 4096, 4096))
+    for i in range(len(edge) - 1):
+        lo, some = i * 4096, order[edge[i] : edge[i + 1]]
+        now = own[lo : lo + 4096]
+        if len(some):
+            sums = np.bincount((word[some] - lo) * 2 * count + code[some], times[some], len(now) * 2 * count).reshape(len(now), 2 * count)
+            best[lo : lo + 4096] = np.where(sums.any(1), favoured(sums[:, :count], sums[:, count:], now, n), now)
     return best
 
 
 def _moves(number: int, texts: bytes, known: bytes, seq: bytes, classes: np.ndarray, head: np.ndarray, count: int, edges: np.ndarray) -> pa.RecordBatch:
     """(bucket, slice, data): the words of a slice with their classes and, but for the head's, their transitions in training."""
     (known,) = unpack(known, np.uint64)
-    b, width = _trained(texts, seq), 2 * count + 1
-    tail = _units(known, head, 1) > len(head)
+    b, width = _trained(texts, seq), 2 * count
+    tail = _units(known, np.zeros(len(known), np.uint16), head) > len(head)
     a = np.concatenate([np.zeros(1, b.dtype), b])[: len(b)]  # the end is the first word of all
     of_a, of_b = tail[a], tail[b]
-    entry = np.concatenate([a[of_a].astype(np.int64) * width + classes[b[of_a]], b[of_b].astype(np.int64) * width + count + classes[a[of_b]], a[of_a & (a == b)].astype(np.int64) * width + 2 * count])
+    entry = np.concatenate([a[of_a].astype(np.int64) * width + classes[b[of_a]], b[of_b].astype(np.int64) * width + count + classes[a[of_b]]])
     entry, times = np.unique(entry, return_counts=True)
     word = entry // width
     code, times, per_word = (entry % width).astype(np.uint16), times.astype(np.int32), np.bincount(word, minlength=len(known)).astype(np.int32)
@@ -376,7 +338,7 @@ def _moves(number: int, texts: bytes, known: bytes, seq: bytes, classes: np.ndar
     return pa.record_batch([pa.array(there), pa.array(np.full(len(there), number)), pa.array(data, pa.binary())], names=["bucket", "slice", "data"])
 
 
-def _chosen(blocks: DataFrame, head: np.ndarray, own: np.ndarray | None, n: np.ndarray, tails: int, buckets: int) -> DataFrame:
+def _chosen(blocks: DataFrame, head: np.ndarray, own: np.ndarray | None, n: np.ndarray, buckets: int) -> DataFrame:
     """Rows (slice, bucket, data) with the new classes of a slice's words in a bucket; and, with slice -1, the words of each class. ``own`` has the units' classes; without it the blocks have their words'."""
     count, edges = len(n), bounds(buckets)
     shared = blocks.sparkSession.sparkContext.broadcast((head, own, n))
@@ -384,8 +346,8 @@ def _chosen(blocks: DataFrame, head: np.ndarray, own: np.ndarray | None, n: np.n
     def ask(batches):
         head, own, _ = shared.value
         for batch in batches:
-            for number, texts, known, seq, *classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                now = unpack(classes[0], np.uint8)[0] if classes else own[_units(unpack(known, np.uint64)[0], head, tails)].astype(np.uint8)
+            for number, texts, known, seq, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = unpack(last, np.uint8)[0] if own is None else own[_units(unpack(known, np.uint64)[0], unpack(last, np.uint16)[0], head)].astype(np.uint8)
                 yield _moves(number, texts, known, seq, now, head, count, edges)
 
     def answer(batches):
@@ -403,7 +365,7 @@ def _chosen(blocks: DataFrame, head: np.ndarray, own: np.ndarray | None, n: np.n
             in_training[word] = True
             yield _answers(bucket, numbers, parts, best[local], pack(np.bincount(best[in_training], minlength=count)))
 
-    asked = blocks.select("slice", "texts", "known", "seq", *([] if own is not None else ["classes"])).mapInArrow(ask, "bucket long, slice long, data binary")
+    asked = blocks.select("slice", "texts", "known", "seq", "classes" if own is None else "groups").mapInArrow(ask, "bucket long, slice long, data binary")
     return dealt(asked, "bucket", ["bucket"]).mapInArrow(answer, "slice long, bucket long, data binary")
 
 
@@ -480,19 +442,19 @@ def fit_and_score(docs: DataFrame, training: str, *, key: str = "doc_id", text:
     """
     spark, docs = docs.sparkSession, settled(docs)
     buckets = max(1, input_bytes(docs) // BUCKET)
-    blocks = stored(_blocks(docs, training, key, text))
+    blocks = stored(_blocks(docs, training, key, text, tails))
     counted = stored(_counted(blocks, buckets, units))
     head, total, distinct = _head(counted, units)
     size = 1 + len(head) + tails
     own, n = np.arange(size) % classes, np.zeros((classes, classes))
     if total:
-        streams = stored(_streams(blocks, head, tails))
+        streams = stored(_streams(blocks, head))
         own, n = cluster(streams, size, classes, rounds)
         dropped(streams)
-    chosen = stored(_chosen(blocks, head, own, n, tails, buckets))
+    chosen = stored(_chosen(blocks, head, own, n, buckets))
     for _ in range(turns - 1 if total else 0):
         moved = stored(_moved(blocks, chosen, classes))
-        chosen = stored(_chosen(moved, head, None, _matrix(moved, classes), tails, buckets))
+        chosen = stored(_chosen(moved, head, None, _matrix(moved, classes), buckets))
         dropped(moved)
     joined = stored(_joined(blocks, counted, chosen, classes))
 

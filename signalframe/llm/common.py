@@ -147,15 +147,20 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
-def word_hashes(hasher: WordHash, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words that ``spaced_words`` gives for all texts in order, and where each text's begin (one more than there are texts)."""
+def spaced_spans(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in one array, A-Z folded; start and end of each of the words that ``spaced_words`` gives; and where each text's words begin (one more than there are texts)."""
     buf = _LOWER[np.frombuffer(b" ".join([t or b"" for t in texts]), np.uint8)]
     gap = np.ones(len(buf) + 2, bool)
     gap[1:-1] = _SPACE[buf]
     edge = np.flatnonzero(gap[1:] != gap[:-1])
-    start, end = edge[0::2], edge[1::2]
     text_end = np.cumsum(np.array([len(t or b"") + 1 for t in texts], np.int64))
-    return hasher.spans(buf, start, end), np.concatenate([[0], np.searchsorted(start, text_end)])
+    return buf, edge[0::2], edge[1::2], np.concatenate([[0], np.searchsorted(edge[0::2], text_end)])
+
+
+def word_hashes(hasher: WordHash, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words that ``spaced_words`` gives for all texts in order, and where each text's begin (one more than there are texts)."""
+    buf, start, end, at = spaced_spans(texts)
+    return hasher.spans(buf, start, end), at
 
 
 def numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,12 +17,13 @@ that both have the segment empty then still meet, as the sum of allowances
 stays H + 1.
 
 Buckets of up to ``small`` sets give all their pairs.  A larger one pairs its
-members with its least only, its leader.  Two of its members that are not linked
-through the leader are found by their differences from it: where a is not
-linked, b shares more than about half of its difference with a, so only rows of
-that prefix of b, in an order that puts what the leader lacks first, meet the
-rows of a's difference, and only where enough of both is left after the element
-they meet in.  No bucket is ever paired with itself.
+members with its least only, its leader; where some are not linked to it, all are
+held against the member nearest to the leader, the centre, as well.  Two members
+that neither joins are found by their differences from the centre: where a is not
+linked, b shares more than about half of its difference with a, so only that
+prefix of b's difference, the rarest elements first, meets a's, and only where
+enough of both is left after the element they meet in.  No bucket is ever paired
+with itself.
 
 Pairs of small buckets and of prefixes are first held against parity sketches (a
 pair whose sketches differ in more than H bits differs in more elements), then
@@ -38,17 +39,18 @@ ids are left out of joins (such rows are their own component, null).
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHash, mix, portions, stored, word_hashes
+from .common import Bloom, WordHash, bounds, dealt, input_bytes, loosened, met, mix, pack, planes, portions, settled, squeezed, stored, unpack, unplanes, word_hashes
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _SALTS = 64
+SLICE = 8 << 20
+BUCKET = 8 << 20  # bytes of input for each bucket of signatures
 
 
 def shingles(hasher: WordHash, texts: list[bytes | None], size: int = 3) -> list[np.ndarray]:
@@ -151,31 +153,57 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, sketch binary")
 
 
-def _signature_rows(docs: DataFrame, size: int, bands: Bands, only: Bloom | None = None) -> DataFrame:
-    """(sig, id) of each document; copies within a task give rows once."""
-    shared = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
+def _repeated_signatures(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """(sig, id): the signatures that two rows or more have, each with its rows; copies within a slice count once.
+
+    Each slice of the texts sends its signatures to the buckets of their ranges,
+    packed; a bucket keeps those that it has more than once.  A signature is the
+    upper 56 bits of its hash.
+    """
+    edges = bounds(max(1, input_bytes(docs) // BUCKET))
+
+    def send(batches):
+        hasher, found, ids, seen, read, n, part = WordHash(), [], [], set(), 0, 0, 0
+
+        def sent() -> pa.RecordBatch:
+            sig = np.concatenate(found)
+            order = np.argsort(sig, kind="stable")
+            sig, owner = sig[order], np.repeat(np.array(ids, np.int64), [len(x) for x in found])[order]
+            at = np.searchsorted(sig, edges)
+            there = np.flatnonzero(at[1:] > at[:-1])
+            data = [pack(planes(np.diff(sig[at[b] : at[b + 1]] >> np.uint64(8), prepend=np.uint64(0))), planes(owner[at[b] : at[b + 1]])) for b in there.tolist()]
+            return pa.record_batch([pa.array(there), pa.array(np.full(len(there), (part << 24) + n)), pa.array(data, pa.binary())], names=["bucket", "slice", "data"])
 
-    def run(batches):
-        hasher, seen = WordHash(), set()
         for whole in batches:
             for batch in portions(whole, 1, 128):
-                new, texts = [], []
+                part, new, texts = batch.column(2)[0].as_py(), [], []
                 for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     digest = hashlib.blake2b(t or b"", digest_size=16).digest()
-                    if i is None or digest in seen:  # a copy's class is known from its digest
-                        continue
-                    if len(seen) < 200_000:
+                    read += len(t or b"")
+                    if i is not None and digest not in seen:  # a copy's class is known from its digest
                         seen.add(digest)
-                    new.append(i)
-                    texts.append(t)
-                values = [signatures(x, bands) for x in shingles(hasher, texts, size)]
-                if shared is not None:
-                    values = [s[shared.value.has(s)] for s in values]
-                ids = [np.full(len(s), i, np.int64) for s, i in zip(values, new, strict=True)]
-                if ids:
-                    yield pa.record_batch([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "id"])
-
-    return docs.mapInArrow(run, "sig long, id long")
+                        new.append(i)
+                        texts.append(t)
+                found += [signatures(x, bands) for x in shingles(hasher, texts, size)]
+                ids += new
+                if read >= SLICE:
+                    yield sent()
+                    found, ids, seen, read, n = [], [], set(), 0, n + 1
+        if found:
+            yield sent()
+
+    def keep(batches):
+        for _, held in met(batches, 1):
+            parts = [unpack(x, np.uint8, np.uint8) for b in held for x in b.column(2).to_pylist()]
+            sig = np.concatenate([np.cumsum(unplanes(x[0], np.uint64), dtype=np.uint64) for x in parts])
+            order = np.argsort(sig, kind="stable")
+            sig, owner = sig[order], np.concatenate([unplanes(x[1], np.int64) for x in parts])[order]
+            same = sig[1:] == sig[:-1]
+            kept = np.append(same, False) | np.insert(same, 0, False)
+            yield pa.record_batch([pa.array(sig[kept].view(np.int64)), pa.array(owner[kept])], names=["sig", "id"])
+
+    asked = docs.select("id", "text", F.spark_partition_id().alias("part")).mapInArrow(send, "bucket long, slice long, data binary")
+    return dealt(asked, "bucket", ["bucket"]).mapInArrow(keep, "sig long, id long")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -210,7 +238,7 @@ def _compare(docs: DataFrame, pairs: DataFrame, size: int, bands: Bands, differe
             if len(here) < batch.num_rows:
                 batch = batch.filter(batch.column(0).is_valid())
             batch = batch.filter(pa.array(shared.value.has(here.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), pa.bool_()))
-            yield pa.record_batch([batch.column(0), pa.array([zlib.compress(t or b"", 1) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "packed"])
+            yield pa.record_batch([batch.column(0), pa.array([squeezed(t or b"") for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "packed"])
 
     texts = docs.mapInArrow(pack, "id long, packed binary").dropDuplicates(["id"])
     salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(_SALTS)).cast("int").alias("salt"))
@@ -224,7 +252,7 @@ def _compare(docs: DataFrame, pairs: DataFrame, size: int, bands: Bands, differe
         for whole in batches:
             for batch in portions(whole, 3, 256, 1 << 19):
                 out = []
-                sets = shingles(hasher, [zlib.decompress(p) for p in batch.column(3).to_pylist()], size)
+                sets = shingles(hasher, [loosened(p) for p in batch.column(3).to_pylist()], size)
                 for a, b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
                     if b is None:
                         head = x
@@ -243,40 +271,72 @@ def _compare(docs: DataFrame, pairs: DataFrame, size: int, bands: Bands, differe
     return rows.select("a", "b", "salt", "packed").mapInArrow(run, schema)
 
 
-def prefix_size(n_difference: int, n_leader: int, n_own: int, bands: Bands) -> int:
-    """How many of b's difference elements, in the common order, must be looked up to meet every link with a set that is not linked to the leader.
+def prefix_size(n_difference: int, n_center: int, n_own: int, bands: Bands) -> int:
+    """How many of b's difference elements, in any order, must be looked up to meet every link with a set that is not linked to the centre.
 
     With u = den + num and v = den - num, a pair links where u * d <= v * (na +
-    nb) for the difference d; a is not linked to the leader, so u * |Da| > v *
-    (na + nL).  Then 2 * u * |Da and Db| > u * |Db| + v * (nL - nb).
+    nb) for the difference d; a is not linked to the centre, so u * |Da| > v *
+    (na + nC).  Then 2 * u * |Da and Db| > u * |Db| + v * (nC - nb).
     """
     u, v = bands.den + bands.num, bands.den - bands.num
-    shared = max(1, (u * n_difference + v * (n_leader - n_own)) // (2 * u) + 1)
+    shared = max(1, (u * n_difference + v * (n_center - n_own)) // (2 * u) + 1)
     return max(0, n_difference - shared + 1)
 
 
-def _through_leaders(compared: DataFrame, bands: Bands) -> DataFrame:
-    """Candidate pairs (a, b) among the members of large buckets, of which one is not linked to their leader."""
+def _centred(compared: DataFrame, bands: Bands) -> DataFrame:
+    """(leader, center, id, n, nc, linked, alone, difference) of the members of each large bucket that has members not linked to its leader, seen from its centre.
+
+    The centre is the member nearest to the leader, if possible one linked to it;
+    with the leader's own changes out of the way, few members are far from it.  The
+    difference of a member from the centre is the symmetric difference of what
+    each differs in from the leader, so no text is read again.  A member is alone
+    if neither the centre nor, where these two are linked, the leader has it.
+    """
+    sizes = compared.select("a", "b", "linked", (F.size("lacked") + F.size("gone")).alias("d"))
+    centers = sizes.groupBy("a").agg(F.min(F.struct(~F.col("linked"), "d", "b")).alias("m"), F.min("linked").alias("whole")).where("not whole")
+    centers = centers.select("a", F.col("m.b").alias("center"))
+    own = compared.select("a", F.col("b").alias("center"), F.col("linked").alias("joined"), F.col("nb").alias("nc"), F.concat("lacked", "gone").alias("from_leader"))
+    centers = centers.join(own, ["a", "center"])
+    rows = compared.select("a", "b", "linked", "nb", F.concat("lacked", "gone").alias("difference")).join(centers, "a").where("b <> center")
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                out = []
+                for r in whole.slice(lo, 64).to_pylist():
+                    x = np.setxor1d(np.array(r["difference"], np.int64), np.array(r["from_leader"], np.int64), assume_unique=True)
+                    linked = (bands.den + bands.num) * len(x) <= (bands.den - bands.num) * (r["nb"] + r["nc"])
+                    out.append((r["a"], r["center"], r["b"], r["nb"], r["nc"], linked, not linked and not (r["joined"] and r["linked"]), x))
+                kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.list_(pa.int64())]
+                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["leader", "center", "id", "n", "nc", "linked", "alone", "difference"])
+
+    schema = "leader long, center long, id long, n long, nc long, linked boolean, alone boolean, difference array<long>"
+    return rows.select("a", "center", "b", "nb", "nc", "linked", "joined", "difference", "from_leader").mapInArrow(run, schema)
+
+
+def _through_centers(centred: DataFrame, bands: Bands) -> DataFrame:
+    """Candidate pairs (a, b) among the members of large buckets, of which one is alone."""
+    centred = centred.join(centred.where("alone").select("leader").distinct(), "leader", "left_semi")
+    rows = centred.select("leader", "id", "n", "nc", "alone", F.size("difference").alias("d"), F.explode("difference").alias("element"))
+    # an element that no set has that is alone, or one set only, meets nothing
+    shared = rows.groupBy("leader", "element").agg(F.count("*").alias("often"), F.bool_or("alone").alias("wanted")).where("wanted and often > 1").select("leader", "element", "often")
+    held = rows.join(shared, ["leader", "element"]).groupBy("leader", "id").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("elements"), F.first("n").alias("n"), F.first("nc").alias("nc"), F.first("alone").alias("alone"), F.first("d").alias("d"))
 
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
-                batch = whole.slice(lo, 64)
                 columns: list[list[np.ndarray]] = [[] for _ in range(7)]
-                for row in batch.to_pylist():
-                    lacked, gone = np.array(row["lacked"], np.int64), np.array(row["gone"], np.int64)
-                    difference = np.concatenate([np.sort(lacked), np.sort(gone)])
-                    p = prefix_size(len(difference), row["na"], row["nb"], bands)
-                    for side, values in ((True, difference[:p]), (False, difference if not row["linked"] else difference[:0])):
-                        same = (row["a"], row["b"], row["nb"], len(difference))
-                        for column, x in zip(columns, (values, np.arange(len(difference), len(difference) - len(values), -1), np.full(len(values), side), *(np.full(len(values), v) for v in same)), strict=True):
+                for r in whole.slice(lo, 64).to_pylist():
+                    # the rarest elements first, those that no other set has before all
+                    values = np.array([e["element"] for e in r["elements"]], np.int64)
+                    rest = np.arange(len(values), 0, -1)
+                    first = max(0, prefix_size(r["d"], r["nc"], r["n"], bands) - (r["d"] - len(values)))
+                    for probe, k in ((True, first), (False, len(values) if r["alone"] else 0)):
+                        for column, x in zip(columns, (values[:k], rest[:k], np.full(k, probe), *(np.full(k, v) for v in (r["leader"], r["id"], r["n"], r["d"]))), strict=True):
                             column.append(x)
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in columns], names=["element", "rest", "probe", "leader", "id", "n", "d"])
 
-    rows = compared.select("a", "b", "linked", "na", "nb", "lacked", "gone").mapInArrow(run, "element long, rest long, probe boolean, leader long, id long, n long, d long")
-    # an element that one set alone has meets nothing
-    met = rows.groupBy("leader", "element").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("leader", "element")
-    rows = stored(rows.join(met, ["leader", "element"]))
+    rows = stored(held.select("leader", "id", "n", "nc", "alone", "d", "elements").mapInArrow(run, "element long, rest long, probe boolean, leader long, id long, n long, d long"))
     a = rows.where("not probe").select("leader", "element", *[F.col(c).alias(f"{c}_a") for c in ("id", "rest", "n", "d")])
     b = rows.where("probe").select("leader", "element", *[F.col(c).alias(f"{c}_b") for c in ("id", "rest", "n", "d")])
     # the first element that both have leaves room for as many more as a link must share
@@ -289,20 +349,19 @@ def _through_leaders(compared: DataFrame, bands: Bands) -> DataFrame:
 def links(docs: DataFrame, sets: DataFrame, *, size: int = 3, bands: Bands | None = None, small: int = 16) -> DataFrame:
     """(a, b), a < b: enough verified links between classes to join every component; ``docs`` has id and text (binary)."""
     bands = bands or Bands()
-    repeated = _signature_rows(docs, size, bands).groupBy("sig").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    rows = stored(_signature_rows(docs, size, bands, Bloom.over(repeated.select("sig"), "sig", 25)))
     # by classes, not documents: copies of a set are one member
     classes = class_ids(sets)
-    rows = stored(rows.join(classes, "id").select("sig", F.col("least").alias("id")).distinct())
+    rows = stored(_repeated_signatures(docs, size, bands).join(classes, "id").select("sig", F.col("least").alias("id")).distinct())
     buckets = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
     members = rows.join(buckets, "sig")
     few = members.where(F.col("n") <= small).groupBy("sig").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     pairs = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b").distinct()
     stars = stored(members.where((F.col("n") > small) & (F.col("id") > F.col("leader"))).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
     compared = stored(_compare(docs, stars, size, bands, True))
-    through = _through_leaders(compared, bands)
-    rest = stored(_near(pairs.union(through).distinct(), sets, bands))
-    return stored(compared.where("linked").select("a", "b").union(_compare(docs, rest, size, bands, False)).distinct())
+    centred = stored(_centred(compared, bands))
+    rest = stored(_near(pairs.union(_through_centers(centred, bands)).distinct(), sets, bands))
+    known = compared.where("linked").select("a", "b").union(centred.where("linked").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")))
+    return stored(known.union(_compare(docs, rest, size, bands, False)).distinct())
 
 
 def class_ids(sets: DataFrame) -> DataFrame:
@@ -336,7 +395,7 @@ def join_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     their sets is num / den or more.
     """
     bands = Bands(num, den)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    rows = settled(docs).select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     sets = stored(_sets(rows, size))
     classes = stored(class_ids(sets))
     found = components(links(rows, sets, size=size, bands=bands))

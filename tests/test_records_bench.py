@@ -32,7 +32,7 @@ POINTS = "run_id string, run_ts timestamp_ntz, commit string, ref string, scenar
 def points(spark, values):
     import datetime
 
-    return spark.createDataFrame([(f"r{run}", datetime.datetime(2024, 1, 1 + run), "c", "refs/pull/7/merge", s, None, m, v, u, None, None, {}) for run, s, m, v, u in values], POINTS)
+    return spark.createDataFrame([(f"r{run}", datetime.datetime(2024, 1, 1 + run), "c", "refs/pull/7/merge", s, None, m, float(v), u, None, None, {}) for run, s, m, v, u in values], POINTS)
 
 
 def test_compare(spark):

@@ -5,7 +5,7 @@ letters nor digits.  A window is ``n`` consecutive words of an item; an item of
 fewer words, but at least one, is one window.  Rolling hashes over the words
 that the benchmark has find candidates, and each candidate is compared word by
 word.  The benchmark is broadcast in blocks of a checked size: one block as a
-rule; a larger benchmark takes one scan a block, and the hits are joined.
+rule; a larger benchmark takes one scan a block, and each row's hits are joined.
 
 Null or empty texts have no words and are never hit; repeated items and
 documents are kept as they are; an empty benchmark hits nothing.
@@ -20,25 +20,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN, plain_words, portions, stored
+from .common import PLAIN, plain_words, portions, settled, stored
 
 _ODD = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(64)], np.uint64)
 
 
 class WindowSet:
-    """The windows of some benchmark items, ready to be found in texts."""
+    """The windows of some benchmark items, ready to be found in texts; about 20 bytes a window besides the distinct words."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], n: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, list[str]]] = {}
-        for item, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in plain_words(text)], np.int32)
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                held = self.windows.setdefault(size, {}).setdefault(ids[i : i + size].tobytes(), [])
-                if not held or held[-1] != item:
-                    held.append(item)
-        self.hashes = {size: np.unique(self._hash(np.frombuffer(b"".join(keys), np.int32).reshape(-1, size).T)) for size, keys in self.windows.items()}
+        self.items = [item for item, _ in items]
+        ids = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in plain_words(text)], np.int32) for _, text in items]
+        length = np.array([len(x) for x in ids], np.int64)
+        self.ids = np.concatenate([np.empty(0, np.int32), *ids])
+        begin, size = np.cumsum(length) - length, np.minimum(n, length)
+        #: For each window size: the hashes of the windows ascending, where each starts in ``ids``, and its item.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == k)
+            many = length[own] - k + 1
+            start = np.arange(many.sum()) + np.repeat(begin[own] - (np.cumsum(many) - many), many)
+            h = self._hash([self.ids[start + j] for j in range(k)])
+            order = np.argsort(h, kind="stable")
+            self.windows[k] = h[order], start[order], np.repeat(own, many)[order]
 
     @staticmethod
     def _hash(columns) -> np.ndarray:
@@ -61,18 +66,18 @@ class WindowSet:
         np.cumsum(ids >= 0, out=known[1:])
         starts = np.concatenate([[0], np.cumsum(np.array(counts) + 1)])
         found: list[list[tuple[int, int, list[str]]]] = [[] for _ in texts]
-        for size, windows in self.windows.items():
+        for size, (table, begin, item) in self.windows.items():
             at = np.flatnonzero(known[size:] - known[:-size] == size)
             if not len(at):
                 continue
             h = self._hash([ids[at + j] for j in range(size)])
-            table = self.hashes[size]
-            place = np.minimum(np.searchsorted(table, h), len(table) - 1)
-            for p in at[table[place] == h].tolist():
-                items = windows.get(ids[p : p + size].tobytes())
-                if items:
+            lo, hi = np.searchsorted(table, h), np.searchsorted(table, h, "right")
+            for i in np.flatnonzero(lo < hi).tolist():
+                p, near = int(at[i]), np.arange(lo[i], hi[i])
+                same = (self.ids[begin[near][:, None] + np.arange(size)] == ids[p : p + size]).all(1)
+                if same.any():
                     doc = int(np.searchsorted(starts, p, "right")) - 1
-                    found[doc].append((p - int(starts[doc]), size, items))
+                    found[doc].append((p - int(starts[doc]), size, [self.items[k] for k in np.unique(item[near[same]]).tolist()]))
         return list(zip(counts, found, strict=True))
 
 
@@ -92,11 +97,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, key: str =
     """One row per document: ``key``, n_words, n_hit, item_ids (sorted as strings), hits (array of first word and length).
 
     A word inside any occurrence of a window is hit; item_ids are those with an
-    occurring window, null ids aside: their words are hit all the same.  Rows with the same key are merged only where the
-    benchmark takes more than one block; keys are taken to be unique there.
+    occurring window, null ids aside: their words are hit all the same.  Every row
+    has its own result, whatever its key, and the result is the same for any
+    ``block_bytes``: where there are several blocks, the scans' hits meet by the
+    row's place in its files (other sources are written to a table first).
     """
-    spark = docs.sparkSession
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, n_hit long, item_ids array<string>, hits array<struct<first:int,size:int>>"
+    spark, docs = docs.sparkSession, settled(docs)
+    schema = f"row__ long, `{key}` {docs.schema[key].dataType.simpleString()}, n_words long, n_hit long, item_ids array<string>, hits array<struct<first:int,size:int>>"
     scans = []
     for items in _blocks(benchmark, item, item_text, block_bytes):
         shared = spark.sparkContext.broadcast(items)
@@ -104,9 +111,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, key: str =
         def scan(batches, shared=shared):
             windows = WindowSet(shared.value, n)
             for whole in batches:
-                for batch in portions(whole, 1):
+                for batch in portions(whole, 2):
                     n_words, n_hit, ids, hits = [], [], [], []
-                    for count, found in windows.find(batch.column(1).to_pylist()):
+                    for count, found in windows.find(batch.column(2).to_pylist()):
                         runs: list[list[int]] = []
                         for first, size, _ in sorted(found, key=lambda x: x[:2]):
                             if runs and first <= runs[-1][0] + runs[-1][1]:
@@ -117,15 +124,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, key: str =
                         n_hit.append(sum(r[1] for r in runs))
                         ids.append(sorted({i for f in found for i in f[2] if i is not None}))
                         hits.append([{"first": a, "size": b} for a, b in runs])
-                    yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())])))], names=[key, "n_words", "n_hit", "item_ids", "hits"])
+                    yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.struct([("first", pa.int32()), ("size", pa.int32())])))], names=["row__", key, "n_words", "n_hit", "item_ids", "hits"])
 
-        scans.append(docs.select(F.col(key), F.col(text).cast("binary").alias("text")).mapInArrow(scan, schema))
+        scans.append(docs.select(F.monotonically_increasing_id().alias("row__"), F.col(key), F.col(text).cast("binary").alias("text")).mapInArrow(scan, schema))
     if len(scans) == 1:
-        return scans[0]
+        return scans[0].drop("row__")
     out = scans[0]
     for more in scans[1:]:
         out = out.unionByName(more)
-    merged = out.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    merged = out.groupBy("row__").agg(F.first(key).alias(key), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
     covered = F.aggregate("hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, h: F.struct((a["n"] + F.greatest(F.lit(0), h["first"] + h["size"] - F.greatest(a["end"], h["first"]))).alias("n"), F.greatest(a["end"], h["first"] + h["size"]).alias("end")))["n"]
     return merged.select(key, "n_words", covered.cast("long").alias("n_hit"), "item_ids", "hits")
 

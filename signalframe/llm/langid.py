@@ -10,7 +10,9 @@ and the result with the regression's matrix.
 
 Defined results: a null text or one without a letter gives ``und`` and score 0;
 with no labelled text at all every text gives ``und``; with one language, that
-language.  Very long texts are read in pieces but whole.
+language.  Of languages with equal values the first by name is predicted.  Rows
+with equal keys or texts are predicted each on its own.  Very long texts are read
+in pieces but whole.
 """
 
 from __future__ import annotations
@@ -49,26 +51,40 @@ def presence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.sqrt(np.maximum(rows.sum(1), 1))
 
 
+def _rows(bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Presence rows and their lengths from packed bits."""
+    rows = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8)).reshape(len(bits), DIM).astype(np.float32)
+    return rows, np.sqrt(np.maximum(rows.sum(1), 1))
+
+
 class KernelModel:
-    """Landmark rows and the matrix that turns kernels with them into one value per language."""
+    """Landmark rows and the matrix that turns kernels with them into one value per language.
 
-    def __init__(self, texts: list[bytes], langs: list[str], landmarks: int = 128, ridge: float = 1e-2) -> None:
+    ``bits`` are packed presence rows (4 KB each).  There are ``landmarks``
+    landmarks, or one of each language where the languages are more.
+    """
+
+    def __init__(self, bits: list[bytes], langs: list[str], landmarks: int = 128, ridge: float = 1e-2) -> None:
         self.langs = sorted(set(langs))
         if not self.langs:
             return
-        x, size = presence(texts)
         # every language in turn gives a landmark, in the sample's order
         turn = {lang: iter([i for i, own in enumerate(langs) if own == lang]) for lang in self.langs}
         picked: list[int] = []
-        while turn and len(picked) < landmarks:
+        while turn and len(picked) < max(landmarks, len(self.langs)):
             for lang in list(turn):
                 i = next(turn[lang], None)
                 if i is None:
                     del turn[lang]
-                elif len(picked) < landmarks:
+                elif len(picked) < max(landmarks, len(self.langs)):
                     picked.append(i)
-        self.landmarks = (x[picked] / size[picked, None]).T.copy()
-        k = (x @ self.landmarks) / size[:, None]
+        x, size = _rows([bits[i] for i in picked])
+        self.landmarks = (x / size[:, None]).T.copy()
+        parts = []
+        for lo in range(0, len(bits), 256):
+            x, size = _rows(bits[lo : lo + 256])
+            parts.append((x @ self.landmarks) / size[:, None])
+        k = np.concatenate(parts)
         among = k[picked].astype(np.float64)
         values, vectors = np.linalg.eigh((among + among.T) / 2)
         good = values > 1e-6 * max(values.max(), 1e-12)
@@ -88,25 +104,36 @@ class KernelModel:
         return f.argmax(1), (e.max(1) / e.sum(1)).astype(np.float64)
 
 
-def sample_rows(rows: DataFrame, label: str, key: str, per_label: int, max_labels: int) -> DataFrame:
-    """About ``per_label`` rows of each label at most, drawn by a hash of the key (all rows of rarer labels)."""
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
-    keep = F.lit(False)
+def sample_rows(rows: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
+    """About ``per_label`` rows of each label at most, drawn by a hash of the key (all rows of rarer labels); one count for each label comes to the driver."""
+    shares = {row[0]: min(1.0, per_label / row["count"]) for row in rows.groupBy(label).count().collect()}
+    if not shares:
+        return rows
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(1 << 40)) / float(1 << 40)
-    for row in counts:
-        keep = keep | ((F.col(label) == row[0]) & (place < min(1.0, per_label / row["count"] if row["count"] > per_label else 1.0)))
-    return rows.where(keep)
+    return rows.where(place < F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col(label)))
+
 
+def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 500, landmarks: int = 128) -> KernelModel:
+    """Fit on a bounded sample: ``per_lang`` labelled texts of each language, about; 4 KB of each come to the driver, however long it is.
 
-def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 500, max_langs: int = 400, landmarks: int = 128) -> KernelModel:
-    """Fit on a bounded sample: ``per_lang`` labelled texts of each of the ``max_langs`` most frequent languages, about."""
-    rows = docs.select(F.col(key), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    got = sample_rows(rows, "lang", key, per_lang, max_langs).select("text", "lang", F.xxhash64(F.col(key).cast("string"), F.lit(8)).alias("at")).collect()
-    kept: dict[str, list] = {}
-    for row in sorted(got, key=lambda r: (r.at, r.lang, r.text)):
+    Texts without a letter are passed over.  Of rows with one key, all count.
+    """
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    picked = sample_rows(rows, "lang", "key", per_lang).select("lang", F.xxhash64(F.col("key").cast("string"), F.lit(8)).alias("at"), "text")
+
+    def run(batches):
+        for whole in batches:
+            for part in portions(whole, 2, 128):
+                keep = pa.array([_LETTER.search(t) is not None for t in part.column(2).to_pylist()], pa.bool_())
+                part = part.filter(keep)
+                bits = [np.packbits(presence([t.encode()])[0] > 0).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(bits, pa.binary())], names=["lang", "at", "bits"])
+
+    kept: dict[str, list[bytes]] = {}
+    for row in sorted(picked.mapInArrow(run, "lang string, at long, bits binary").collect(), key=lambda r: (r.at, r.lang, r.bits)):
         own = kept.setdefault(row.lang, [])
-        if len(own) < per_lang and _LETTER.search(row.text):
-            own.append(row.text.encode())
+        if len(own) < per_lang:
+            own.append(bytes(row.bits))
     pairs = [(t, lang) for lang in sorted(kept) for t in kept[lang]]
     return KernelModel([t for t, _ in pairs], [lang for _, lang in pairs], landmarks)
 
@@ -134,8 +161,8 @@ def predict(docs: DataFrame, model: KernelModel, *, key: str | list[str] = "doc_
     return docs.select(*keys, F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def accepted(docs: DataFrame, model: KernelModel, *, text: str = "text", languages: list[str] | None = None) -> DataFrame:
-    """``docs`` with its own columns, less the rows that are ``und`` or, where ``languages`` is given, of none of them."""
+def accepted(docs: DataFrame, model: KernelModel, *, text: str = "text", languages: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """``docs`` with its own columns, less the rows that are ``und``, whose score is under ``least`` or, where ``languages`` is given, of none of them."""
     spark = docs.sparkSession
     shared, place, schema = spark.sparkContext.broadcast(model), docs.columns.index(text), docs.schema
 
@@ -147,10 +174,8 @@ def accepted(docs: DataFrame, model: KernelModel, *, text: str = "text", languag
                 own = [i for i, t in enumerate(texts) if t and m.langs and _LETTER.search(t)]
                 keep = np.zeros(len(texts), bool)
                 if own:
-                    best, _ = m.predict([texts[i].encode() for i in own])
-                    keep[own] = [languages is None or m.langs[b] in languages for b in best]
+                    best, share = m.predict([texts[i].encode() for i in own])
+                    keep[own] = [score >= least and (languages is None or m.langs[b] in languages) for b, score in zip(best, share, strict=True)]
                 yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)
-
-

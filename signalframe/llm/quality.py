@@ -1,16 +1,17 @@
 """Quality classification by Naive Bayes support vectors.
 
-The n-gram indicators of a text are its byte n-grams (n = 1 to 3), and the
-n-grams of one word alone (n = 2 to 17 equal words in a row), hashed to ``DIM``
-places.  Training scales each indicator
-by the log ratio of its smoothed shares in the two classes, brings each row to
+The n-gram indicators of a text are its byte n-grams (n = 1 to 3), hashed to
+``DIM`` places.  Training scales each indicator by the log ratio of its smoothed shares in the two classes, brings each row to
 length 1, and fits a linear hinge-loss model by dual coordinate descent.  A
 score is the logistic function of the margin.
 
 Training is on the driver, on a bounded sample of labelled rows (``per_class``
-of each class at most); scoring reads every whole text.  Null and empty texts
-have no indicator and get the score of the intercept; without labels of both
-classes every score is 0.5.
+of each class at most), of which the places of the indicators come there, at most
+``DIM`` numbers a text however long it is; scoring reads every whole text.  Null
+and empty texts have no indicator and get the score of the intercept; without
+labels of both classes every score is 0.5.  Of several labels of one key the
+greatest class holds; rows with equal keys or texts are scored each on its own,
+and each of them is a training row where its key is drawn.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from .common import portions
 from .langid import sample_rows
 
 DIM = 1 << 18
-REPEATS = 16
 _PIECE = 1 << 22
 
 
@@ -39,12 +39,6 @@ def indicators(text: bytes | None, flags: np.ndarray) -> np.ndarray:
         flags[(two * np.uint32(0x9E3779B1)) >> np.uint32(14)] = True
         if len(b) > 2:
             flags[((two[:-1] * np.uint32(256) + b[2:]) * np.uint32(0x85EBCA6B)) >> np.uint32(14)] = True
-    words = text.split()
-    run = longest = 0
-    for same in map(bytes.__eq__, words, words[1:]):
-        run = run + 1 if same else 0
-        longest = max(longest, run)
-    flags[DIM - min(longest, REPEATS) : DIM] = longest > 0
     at = np.flatnonzero(flags)
     flags[at] = False
     return at
@@ -53,13 +47,11 @@ def indicators(text: bytes | None, flags: np.ndarray) -> np.ndarray:
 class NBSVM:
     """Weights over the indicators: the log-count ratios times the support vector weights."""
 
-    def __init__(self, texts: list[bytes], labels: list[int], c: float = 1.0, epochs: int = 20) -> None:
+    def __init__(self, rows: list[np.ndarray], labels: list[int], c: float = 1.0, epochs: int = 20) -> None:
         self.weights, self.ratios, self.bias = np.zeros(DIM), np.zeros(DIM), 0.0
         y = np.where(np.array(labels) > 0, 1.0, -1.0)
         if len(set(y.tolist())) < 2:
             return
-        flags = np.zeros(DIM, bool)
-        rows = [indicators(t, flags) for t in texts]
         counts = np.ones((2, DIM))
         for row, label in zip(rows, y, strict=True):
             counts[int(label > 0), row] += 1
@@ -94,10 +86,19 @@ class NBSVM:
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 2000) -> NBSVM:
     """Fit on at most about ``per_class`` labelled texts of each class; labels with a null key or class are not used."""
     rows = labels.select(F.col(key).alias("key"), (F.col(label) > 0).cast("int").alias("class")).dropna().groupBy("key").agg(F.max("class").alias("class"))
-    picked = F.broadcast(sample_rows(rows, "class", "key", per_class, 2))  # at most about 2 * per_class rows of two numbers
-    got = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(picked, "key").collect()
-    got = sorted(got, key=lambda r: (str(r.key), r.text))
-    return NBSVM([r.text.encode() for r in got], [r["class"] for r in got])
+    picked = F.broadcast(sample_rows(rows, "class", "key", per_class))  # at most about 2 * per_class rows of two numbers
+
+    def run(batches):
+        flags = np.zeros(DIM, bool)
+        for whole in batches:
+            for part in portions(whole, 2, 128):
+                places = [indicators(t, flags).astype("<i4").tobytes() for t in part.column(2).to_pylist()]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(places, pa.binary())], names=["key", "class", "places"])
+
+    chosen = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).where("text is not null").join(picked, "key")
+    got = chosen.select(F.col("key").cast("string"), "class", "text").mapInArrow(run, "key string, class int, places binary").collect()
+    got = sorted(got, key=lambda r: (r.key, r.places))
+    return NBSVM([np.frombuffer(r.places, "<i4") for r in got], [r["class"] for r in got])
 
 
 def score(docs: DataFrame, model: NBSVM, *, key: str = "doc_id", text: str = "text") -> DataFrame:

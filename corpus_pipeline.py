@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalframe.llm import bpe, decontaminate, jaccard, langid, lines
-from signalframe.llm.common import stored
+from signalframe.llm.common import settled, stored
+
+#: The least share of the softmax of all languages' values that an accepted document's language has.
+LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Only documents without a letter go: no list of languages is passed, so what the model predicts rejects none.
+    """Documents without a letter go, and those of which no learned language has half of the score (LEAST_SHARE).
 
     The model learns from the labelled documents; where none has a label, all go.
     """
-    return langid.accepted(docs, langid.fit(docs))
+    return langid.accepted(docs, langid.fit(docs), least=LEAST_SHARE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +31,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at 5-word similarity 0.8 that with the least id stays; of rows with one id and text, one."""
-    groups = stored(jaccard.join_components(docs, size=5, num=4, den=5))
-    later = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
-    if groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    """Of each group of documents linked at 5-word similarity 0.8 one stays: that with the least id (null ids last), of rows with one id the first read."""
+    rows = settled(docs).withColumn("row__", F.monotonically_increasing_id())
+    groups = stored(jaccard.join_components(rows, key="row__", size=5, num=4, den=5))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row__")).alias("first")
+    kept = groups.join(rows.select("row__", "doc_id"), "row__").groupBy("component_id").agg(first).select("first.row__")
+    gone = groups.select("row__").join(kept, "row__", "left_anti")
+    return rows.join(stored(gone), "row__", "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

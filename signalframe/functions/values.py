@@ -84,3 +84,36 @@ def floor_bucket(ts: str | Column, step: int, anchor: int | Column = 0) -> Colum
     t = col(ts)
     a = anchor if isinstance(anchor, Column) else F.lit(anchor)
     return t - F.pmod(t - a, F.lit(step))
+
+
+def iso_text(ns: str | Column) -> Column:
+    """ISO 8601 text, to the millisecond, of nanoseconds since the epoch."""
+    at = F.timestamp_micros(F.floor(col(ns) / 1000).cast("long"))
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def hex_text(data: str | Column) -> Column:
+    """Bytes as lower-case hex."""
+    return F.lower(F.hex(col(data)))
+
+
+def hex_bytes(text: str | Column) -> Column:
+    """The bytes of hex text; null where it is not."""
+    return F.try_to_binary(col(text), F.lit("hex"))
+
+
+def uuid_bytes(text: str | Column) -> Column:
+    """The 16 bytes of a UUID's text; null where it is not one."""
+    plain = F.replace(col(text), F.lit("-"), F.lit(""))
+    return F.when(col(text).rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.try_to_binary(plain, F.lit("hex")))
+
+
+def uuid_text(data: str | Column) -> Column:
+    """The text of a UUID's 16 bytes."""
+    return F.regexp_replace(hex_text(data), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def json_equal(a: str | Column, b: str | Column) -> Column:
+    """Whether two JSON texts hold the same value, whatever the order of keys."""
+    same = lambda c: F.schema_of_variant(F.try_parse_json(col(c)))
+    return F.coalesce(F.to_json(F.try_parse_json(col(a))) == F.to_json(F.try_parse_json(col(b))), same(a).isNull() & same(b).isNull())

@@ -85,9 +85,10 @@ def compare_runs(current: DataFrame, baseline: DataFrame, threshold: float = 5.0
 
 
 def by_severity(comparison: DataFrame) -> DataFrame:
-    """Regressions first, then the rest, each by the size of the change."""
+    """Regressions first, then the rest, each by the size of the change; of equal ones by name."""
     place = F.when(F.col("status") == "regressed", 0).when(F.col("status") == "improved", 1).otherwise(2)
-    return comparison.orderBy(place, F.desc(F.abs("percent_change")))
+    names = [c for c in ("scenario", "series", "metric", "tags_text") if c in comparison.columns]
+    return comparison.orderBy(place, F.desc(F.abs("percent_change")), *names)
 
 
 def matches(column: str | Column, rule: object) -> Column:
@@ -259,3 +260,96 @@ def violations(points: DataFrame, required: Sequence[str] = ("run_id", "scenario
     checks.append(F.when(~F.coalesce("role", F.lit("outcome")).isin(list(roles)), F.lit("role is unknown")))
     checks.append(F.when(F.col("value").isNull() | F.isnan("value"), F.lit("value is missing")))
     return points.select("run_id", "scenario", "metric", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+
+
+#: Days of the presets of a date range; None is all.
+PRESETS = {"7d": 7, "30d": 30, "90d": 90, "all": None}
+
+
+def selected(points: DataFrame, *, scenario: str | None = None, metric: str | None = None, monitor: bool | None = None) -> DataFrame:
+    """The points of a scenario or a metric; ``monitor`` True keeps monitors' points only, False all others."""
+    out = points
+    if scenario is not None:
+        out = out.where(F.col("scenario") == scenario)
+    if metric is not None:
+        out = out.where(F.col("metric") == metric)
+    if monitor is not None:
+        own = F.col("scenario").startswith(MONITOR) | F.col("metric").startswith(MONITOR)
+        out = out.where(own if monitor else ~own)
+    return out
+
+
+def merged(batches: Sequence[DataFrame]) -> DataFrame:
+    """All points of several batches; where they name their context, the columns of the first batch count and others are filled with null."""
+    if not batches:
+        raise ValueError("there are no batches")
+    first = batches[0]
+    out = first
+    for more in batches[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out.select(*first.columns)
+
+
+def in_preset(points: DataFrame, preset: str, now: Column | None = None) -> DataFrame:
+    """The points of the last 7, 30 or 90 days before ``now``, or all."""
+    if preset not in PRESETS:
+        raise ValueError(f"a preset is one of {', '.join(PRESETS)}")
+    days = PRESETS[preset]
+    if days is None:
+        return points
+    return points.where(F.col("run_ts") >= (F.current_timestamp() if now is None else now) - F.expr(f"interval {days} days"))
+
+
+def sample_points(samples: DataFrame, metric: str, time: str = "t") -> DataFrame:
+    """(x, y) of a metric of samples that hold a map of values; samples without it are left out."""
+    return samples.where(F.map_contains_key("values", metric)).select(F.col(time).alias("x"), F.element_at("values", F.lit(metric)).alias("y"))
+
+
+def sample_metrics(samples: DataFrame) -> DataFrame:
+    """The metrics that any sample has."""
+    return samples.select(F.explode(F.map_keys("values")).alias("metric")).distinct()
+
+
+def latest_first(series: DataFrame, limit: int | None = None, ascending: bool = False) -> DataFrame:
+    """Lanes of a metric by their latest value, at most ``limit`` of them; of equal values the first lane."""
+    last = series.groupBy("metric", "lane").agg(F.max_by("value", F.struct("run_ts", "run_id")).alias("latest"))
+    out = last.orderBy(F.asc("latest") if ascending else F.desc("latest"), "metric", "lane")
+    return out if limit is None else out.limit(limit)
+
+
+def interpolated_median(value: str | Column, digits: int = 1) -> Column:
+    """The median, between the two middle values of an even number; 0 of none."""
+    return round_half_up(F.coalesce(F.percentile(F.col(value) if isinstance(value, str) else value, F.lit(0.5)), F.lit(0.0)), digits)
+
+
+def velocity(items: DataFrame, opened: str, closed: str, unit_seconds: int) -> DataFrame:
+    """(average, median) of the time from opening to closing in units, to one digit; items that are open, or closed before they were opened, are left out."""
+    length = (F.unix_micros(F.col(closed).cast("timestamp")) - F.unix_micros(F.col(opened).cast("timestamp"))) / F.lit(1e6 * unit_seconds)
+    rows = items.select(length.alias("length")).where("length >= 0")
+    return rows.agg(round_half_up(F.coalesce(F.avg("length"), F.lit(0.0)), 1).alias("average"), interpolated_median("length").alias("median"))
+
+
+def write_aggregates(points: DataFrame, path: str, max_runs: int | None = None) -> dict[str, str]:
+    """Write what a dashboard reads as JSON tables: index, refs, prs, metrics, badges, series (a folder for each metric) and runs (one for each run); gives their paths."""
+    series = run_series(points)
+    detail = points.groupBy("run_id", resolve_metric().alias("metric")).agg(F.min("unit").alias("unit"), F.min("direction").alias("direction"), F.array_sort(F.collect_list(F.struct(lane_key().alias("lane"), "value"))).alias("values"))
+    tables = {"index": run_index(points, max_runs), "refs": ref_index(points), "prs": pr_index(points), "metrics": metric_summary(series), "badges": badges(series)}
+    for name, table in tables.items():
+        table.write.mode("overwrite").json(f"{path}/{name}")
+    series.write.mode("overwrite").partitionBy("metric").json(f"{path}/series")
+    detail.write.mode("overwrite").partitionBy("run_id").json(f"{path}/runs")
+    return {name: f"{path}/{name}" for name in (*tables, "series", "runs")}
+
+
+def comparison_lines(comparison: DataFrame, title: str = "Benchmark comparison") -> DataFrame:
+    """(place, line): a Markdown report of ``compare_runs``: title, counts, and a table, the regressions first."""
+    place = F.when(F.col("status") == "regressed", 0).when(F.col("status") == "improved", 1).otherwise(2)
+    change = F.when(F.col("percent_change").isNull(), "n/a").otherwise(F.concat(F.when(F.col("percent_change") > 0, "+").otherwise(""), F.format_number("percent_change", 2), F.lit("%")))
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", cell("scenario"), cell("metric"), cell("baseline"), cell("current"), change, cell("status")), F.lit(" |"))
+    body = comparison.select(F.struct(F.lit(3).alias("part"), place.alias("status"), (-F.abs(F.coalesce("percent_change", F.lit(0.0)))).alias("change"), F.concat_ws("|", cell("scenario"), cell("tags_text"), cell("metric")).alias("name")).alias("place"), row.alias("line"))
+    fixed = lambda part, line: F.struct(F.struct(F.lit(part).alias("part"), F.lit(0).alias("status"), F.lit(0.0).alias("change"), F.lit("").alias("name")).alias("place"), line.alias("line"))
+    count = lambda s: F.count_if(F.col("status") == s).cast("string")
+    counts = F.concat(F.lit("Regressed: "), count("regressed"), F.lit(", improved: "), count("improved"), F.lit(", stable: "), count("stable"))
+    top = comparison.agg(counts.alias("counts")).select(F.explode(F.array(fixed(0, F.lit(f"## {title}")), fixed(1, F.col("counts")), fixed(2, F.lit("| Scenario | Metric | Baseline | Current | Change | Status |\n| --- | --- | --- | --- | --- | --- |")))).alias("x")).select("x.place", "x.line")
+    return top.unionByName(body)

@@ -213,3 +213,77 @@ def metadata(samples: DataFrame) -> DataFrame:
 def counter_like(metric: str | Column) -> Column:
     m = F.col(metric) if isinstance(metric, str) else metric
     return m.rlike(r"(_total|_count|_sum|_bucket|\.total|\.count)$")
+
+
+def rollup(samples: DataFrame, interval: int) -> DataFrame:
+    """Statistics of each series and interval (aligned to the epoch): what whole buckets of a step can be answered from without the samples.
+
+    Values that are NaN make the sum NaN and are passed over by least and greatest.
+    """
+    order = F.struct("ts_ns", "seq")
+    slot = (F.col("ts_ns") - F.pmod("ts_ns", F.lit(interval))).alias("slot")
+    return samples.groupBy("metric", "series_id", slot).agg(
+        F.any_value("labels").alias("labels"), F.min(nan_to_null("value")).alias("min_value"), F.max(nan_to_null("value")).alias("max_value"), F.sum("value").alias("sum_value"),
+        F.count("value").alias("n"), F.count("*").alias("n_rows"), F.max_by("value", order).alias("last_value"), F.max(order).alias("last_at"),
+        F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"),
+    )
+
+
+def step_from_rollup(rolled: DataFrame, samples: DataFrame, interval: int, keys: Sequence[str], fn: str, start: int, end: int, step: int) -> DataFrame:
+    """The sparse buckets of ``step_from_start``, of intervals that lie in one bucket from ``rolled``, of all others from ``samples``.
+
+    ``rolled`` and ``samples`` hold the group columns ``keys``.  Where step and start
+    are multiples of the interval, the samples are read at the range's end only, or
+    not at all.
+    """
+    if fn not in ("sum", "avg", "min", "max", "count"):
+        raise ValueError(f"{fn!r} can't be answered from a rollup")
+    bucket = lambda c: F.lit(start) + F.expr(f"({c} - {start}L) div {step}L") * F.lit(step)
+    inside = (F.col("slot") >= start) & (F.col("slot") + interval - 1 <= end) & (bucket("slot") == bucket(f"(slot + {interval - 1}L)"))
+    whole = rolled.where(inside).select(*keys, bucket("slot").alias("bucket"), "min_value", "max_value", "sum_value", "n")
+    slot = F.col("ts_ns") - F.pmod("ts_ns", F.lit(interval))
+    rest = samples.where(F.col("ts_ns").between(start, end))
+    edges = rest.withColumn("slot", slot).where(~inside)
+    own = edges.select(*keys, bucket("ts_ns").alias("bucket"), nan_to_null("value").alias("min_value"), nan_to_null("value").alias("max_value"), F.col("value").alias("sum_value"), F.col("value").isNotNull().cast("long").alias("n"))
+    parts = whole.unionByName(own)
+    value = {"sum": F.sum("sum_value"), "avg": F.sum("sum_value") / F.nullif(F.sum("n"), F.lit(0)), "min": F.min("min_value"), "max": F.max("max_value"), "count": F.sum("n").cast("double")}[fn]
+    return parts.groupBy(*keys, "bucket").agg(value.alias("value"))
+
+
+def topk(points: DataFrame, k: int, by: Sequence[str] = ("ts_ns",), largest: bool = True) -> DataFrame:
+    """The ``k`` series of greatest (or least) value at each time; of equal ones those of the first series."""
+    if k <= 0:
+        raise ValueError("k is greater than 0")
+    order = W.partitionBy(*by).orderBy(F.desc("value") if largest else F.asc("value"), "series_id")
+    return points.where(nan_to_null("value").isNotNull()).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+
+
+def from_vectors(rows: DataFrame) -> DataFrame:
+    """Samples of rows (times, series), where series is an array of (series_id, values): each series' values stand at the shared times."""
+    each = rows.select("times", F.explode("series").alias("s"))
+    return each.select(F.col("s.series_id").alias("series_id"), F.explode(F.arrays_zip("times", F.col("s.values").alias("values"))).alias("p")).select("series_id", F.col("p.times").alias("ts_ns"), F.col("p.values").alias("value"))
+
+
+def accounted(frame: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(scanned_series, scanned_samples, emitted): what a query read and what it gave."""
+    seen = scanned.agg(F.countDistinct("series_id").alias("scanned_series"), F.count("*").alias("scanned_samples"))
+    return seen.crossJoin(F.broadcast(frame.agg(F.count("*").alias("emitted"))))
+
+
+def observed(samples: DataFrame, name: str, observation=None) -> DataFrame:
+    """``samples`` that count themselves while a query reads them: ``scanned_samples`` of an Observation (or of the query's metrics under ``name``), at no extra scan."""
+    return samples.observe(name if observation is None else observation, F.count("*").alias("scanned_samples"))
+
+
+def group_by_advice(meta: DataFrame) -> DataFrame:
+    """(metric, label, score, rank): the labels of ``metadata`` best to group by first; those with one value, or a value for each series, come last."""
+    score = F.when(F.col("n_values") <= 1, 0.0).when(F.col("n_values") >= F.col("n_series"), 1.0 / F.col("n_values")).otherwise(F.col("n_series") / F.col("n_values"))
+    return meta.select("metric", "label", score.alias("score"), F.row_number().over(W.partitionBy("metric").orderBy(F.desc(score), "label")).alias("rank"))
+
+
+def suggested_step(start: int, end: int, points: int = 120, unit: str = "ns") -> int:
+    """A round step (1, 2, 5, 10, 15 or 30 seconds, minutes or so on) that gives about ``points`` buckets at most."""
+    second = int(TICKS_PER_SECOND[unit])
+    steps = [n * m * second for m in (1, 60, 3600) for n in (1, 2, 5, 10, 15, 30)] + [n * 3600 * second for n in (1, 6, 12, 24, 24 * 7)]
+    wanted = max(1, -(-(end - start) // points))
+    return min((s for s in steps if s >= wanted), default=max(steps))

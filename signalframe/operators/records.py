@@ -7,13 +7,15 @@ scope and seq.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import matches_value
-from ..functions.values import finite
+from ..functions.values import canonical_key, finite, iso_text
+from ..storage import materialised
 
 REDUCERS = ("sum", "avg", "min", "max", "last", "count")
 
@@ -119,11 +121,29 @@ def retained(records: DataFrame, max_age_ns: int | None = None, max_points: int
         newest = F.broadcast(records.groupBy("signal").agg(F.max("ts_ns").alias("newest")))
         out = out.join(newest, "signal").where(F.col("ts_ns").isNull() | F.col("newest").isNull() | (F.col("ts_ns") >= F.col("newest") - max_age_ns)).drop("newest")
     if max_points is not None:
-        ranked = out.withColumn("place", F.row_number().over(W.partitionBy("signal").orderBy(F.desc("seq"))))
-        out = ranked.where(F.col("place") <= max_points).drop("place")
+        signals = [r.signal for r in out.select("signal").distinct().collect()]  # three at most
+        parts = [out.where(F.col("signal").eqNullSafe(s)).orderBy(F.desc("seq")).limit(max_points) for s in signals]
+        out = reduce(DataFrame.unionByName, parts) if parts else out
     return out
 
 
+def evicted(rows: DataFrame, max_bytes: int, size: Column, unit: Column, at: Column) -> DataFrame:
+    """What a store with room for ``max_bytes`` keeps: whole units (traces, chunks), the newest first, as long as they fit; the oldest go first.
+
+    Sizes are summed in units, which are ordered by range and prefix-summed part by
+    part, so no task sees them all.
+    """
+    units = rows.groupBy(unit.alias("unit")).agg(F.sum(size).alias("bytes"), F.max(at).alias("newest"))
+    placed = units.repartitionByRange(F.desc("newest"), F.desc("unit")).withColumn("part", F.spark_partition_id())
+    placed = materialised(placed)
+    parts = F.broadcast(placed.groupBy("part").agg(F.sum("bytes").alias("total")))  # one row for each part
+    before = parts.select(F.col("part").alias("other"), F.col("total").alias("other_total"))
+    offsets = parts.join(before, F.col("other") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("other_total"), F.lit(0)).alias("offset"))
+    own = F.sum("bytes").over(W.partitionBy("part").orderBy(F.desc("newest"), F.desc("unit")))
+    kept = placed.withColumn("within", own).join(F.broadcast(offsets), "part").where(F.col("within") + F.col("offset") <= max_bytes)
+    return rows.withColumn("unit", unit).join(kept.select("unit"), "unit", "left_semi").drop("unit")
+
+
 def thinned(points: DataFrame, max_points: int) -> DataFrame:
     """At most ``max_points`` of each key's points at an even stride, the last one always."""
     order = W.partitionBy("key").orderBy("bucket_ns")
@@ -153,11 +173,142 @@ def extremes(points: DataFrame, chunks: int) -> DataFrame:
 def correlate(records: DataFrame, windows: DataFrame) -> DataFrame:
     """(trace_id, n, avg_value) of the records in each of ``windows`` (trace_id, from_ns, to_ns), ends included.
 
-    A range join: windows and records meet by time slots as long as the longest
-    window, so each window spans two slots at most.
+    A range join without a slot size to choose: a window is cut into the fewest
+    aligned slots of 1, 2, 4, ... times 2**20 ns (about twice the log of its length),
+    and each record meets them by the slot of every size that it lies in, of those
+    sizes that any window has.  A long window has few slots, a short one small ones.
     """
-    length = windows.agg(F.max(F.col("to_ns") - F.col("from_ns")).alias("len")).first()["len"]
-    slot = max(1, int(length or 1))
-    w = windows.withColumn("slot", F.explode(F.sequence(F.expr(f"from_ns div {slot}L"), F.expr(f"to_ns div {slot}L"))))
-    both = records.withColumn("slot", F.expr(f"ts_ns div {slot}L")).join(w, "slot").where("ts_ns between from_ns and to_ns")
+    w = windows.where("from_ns <= to_ns").withColumns({"a": F.shiftright("from_ns", 20), "b": F.shiftright("to_ns", 20)})
+    # the slots of level k: an odd left end, and an even right end, as in a segment tree
+    levels = F.sequence(F.lit(0), F.lit(43))
+    steps = F.aggregate(
+        levels,
+        F.struct("a", "b", F.array().cast("array<struct<level:int,slot:bigint>>").alias("out")),
+        lambda s, k: F.struct(
+            F.when(s["a"] > s["b"], s["a"]).otherwise(F.shiftright(s["a"] + 1, 1)).alias("a"),
+            F.when(s["a"] > s["b"], s["b"]).otherwise(F.shiftright(s["b"] + 1, 1) - 1).alias("b"),
+            F.when(s["a"] > s["b"], s["out"]).otherwise(
+                F.array_distinct(F.array_compact(F.concat(s["out"], F.array(
+                    F.when(F.pmod(s["a"], F.lit(2)) == 1, F.struct(k.cast("int").alias("level"), s["a"].alias("slot"))),
+                    F.when(F.pmod(s["b"], F.lit(2)) == 0, F.struct(k.cast("int").alias("level"), s["b"].alias("slot"))),
+                ))))
+            ).alias("out"),
+        ),
+        lambda s: s["out"],
+    )
+    w = w.withColumn("s", F.explode(steps)).select("trace_id", "from_ns", "to_ns", "s.level", "s.slot")
+    met = F.broadcast(w.select("level").distinct())  # 44 at most
+    rows = records.where("ts_ns is not null").crossJoin(met).withColumn("slot", F.expr("shiftright(ts_ns, 20 + level)"))
+    both = rows.join(w, ["level", "slot"]).where("ts_ns between from_ns and to_ns")
     return both.groupBy("trace_id").agg(F.count("*").alias("n"), F.avg("value").alias("avg_value"))
+
+
+COMMON = ("signal", "name", "ts_ns", "value", "attributes", "resource", "scope_name", "seq")
+
+
+def point_value() -> Column:
+    """A point's number: its own, or sum over count where it counts something; of no count, null."""
+    mean = F.when(F.col("count") > 0, F.col("sum") / F.nullif("count", F.lit(0.0)))
+    return F.when(F.col("kind").isin("gauge", "sum"), F.col("value")).otherwise(mean)
+
+
+def from_points(points: DataFrame) -> DataFrame:
+    """Records of metric points: time is the point's, else its start."""
+    return points.select(F.lit("metrics").alias("signal"), "name", F.coalesce("ts_ns", "start_ns").alias("ts_ns"), point_value().alias("value"), "attributes", "resource", "scope_name", F.col("ordinal.seq").alias("seq"))
+
+
+def from_spans(spans: DataFrame) -> DataFrame:
+    """Records of spans: the value is the duration in whole milliseconds."""
+    scope = F.col("scope_name") if "scope_name" in spans.columns else F.lit(None).cast("string")
+    return spans.select(F.lit("traces").alias("signal"), "name", F.coalesce("start_ns", "end_ns").alias("ts_ns"), F.expr("duration_ns div 1000000").cast("double").alias("value"), "attributes", "resource", scope.alias("scope_name"), "seq")
+
+
+def from_logs(logs: DataFrame) -> DataFrame:
+    """Records of logs: they have neither name nor value."""
+    observed = F.coalesce("time_ns", "observed_ns") if "observed_ns" in logs.columns else F.col("time_ns")
+    scope = F.col("scope_name") if "scope_name" in logs.columns else F.lit(None).cast("string")
+    return logs.select(F.lit("logs").alias("signal"), F.lit(None).cast("string").alias("name"), observed.alias("ts_ns"), F.lit(None).cast("double").alias("value"), "attributes", "resource", scope.alias("scope_name"), "seq")
+
+
+def collected(*inputs: DataFrame | Sequence[DataFrame]) -> DataFrame:
+    """One table of records, points, spans and logs, or of nested lists of them; each is told by its columns."""
+    out = None
+    for x in inputs:
+        if not isinstance(x, DataFrame):
+            rows = collected(*x)
+        elif set(COMMON) <= set(x.columns):
+            rows = x.select(*COMMON)
+        elif "ordinal" in x.columns and "kind" in x.columns and "quantiles" in x.columns:
+            rows = from_points(x)
+        elif "span_id" in x.columns and "duration_ns" in x.columns:
+            rows = from_spans(x)
+        elif "severity_number" in x.columns:
+            rows = from_logs(x)
+        else:
+            raise ValueError(f"not a table of records, points, spans or logs: {', '.join(x.columns)}")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("there is nothing to collect")
+    return out
+
+
+def series_key() -> Column:
+    """The default series of a record: its name (or signal), and its attributes as JSON by key."""
+    base = F.coalesce("name", "signal")
+    return F.when(F.size("attributes") > 0, F.concat(base, F.lit(":"), canonical_key("attributes"))).otherwise(base)
+
+
+def series_label() -> Column:
+    """name (k=v, ...) of a record, by key."""
+    base = F.coalesce("name", "signal")
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null")))), ", ")
+    return F.when(F.size("attributes") > 0, F.concat(base, F.lit(" ("), pairs, F.lit(")"))).otherwise(base)
+
+
+def align(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """(x, baseline, current) of two curves of (x, y): every x of either, with null where a side has none."""
+    return baseline.select("x", F.col("y").alias("baseline")).join(current.select("x", F.col("y").alias("current")), "x", "full")
+
+
+def partition_by(rows: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that meet the condition, and all others (also where it is null)."""
+    met = F.coalesce(condition, F.lit(False))
+    return rows.where(met), rows.where(~met)
+
+
+def distinct_tags(rows: DataFrame, tags: str = "tags") -> DataFrame:
+    """(tag, tag_value) met, each once."""
+    return rows.select(F.explode(tags).alias("tag", "tag_value")).distinct()
+
+
+def line_series(points: DataFrame) -> DataFrame:
+    """(labels, series_id, points) of a chart of lines: points (time_ms, value) by time, values that are not finite are null."""
+    p = F.struct((F.col("ts_ns") / 1_000_000).alias("time_ms"), finite("value").alias("value"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts_ns", "seq", p.alias("p")))), lambda x: x["p"])
+    return points.groupBy("series_id").agg(F.any_value("labels").alias("labels"), ordered.alias("points"))
+
+
+def chart_rows(points: DataFrame) -> DataFrame:
+    """The tidy rows that any chart library reads: (id, label, time_ms, iso_time, value)."""
+    return points.select(F.col("key").alias("id"), F.col("key").alias("label"), (F.col("bucket_ns") / 1_000_000).alias("time_ms"), iso_text("bucket_ns").alias("iso_time"), finite("value").alias("value"))
+
+
+def whole_safe(ns: str) -> Column:
+    """The number as text where a double can't hold it, else null: what a view must not read as a number."""
+    return F.when(F.abs(F.col(ns)) > 9_007_199_254_740_991, F.col(ns).cast("string"))
+
+
+def latest_rows(latest: DataFrame) -> DataFrame:
+    """(id, label, value) of the keys that have a latest value."""
+    return latest.where(finite("value").isNotNull()).select(F.col("key").alias("id"), F.col("key").alias("label"), "value")
+
+
+def gauge_value(latest: DataFrame, low: float = 0.0, high: float = 200.0) -> DataFrame:
+    """One number for a gauge: the mean of the latest values, kept within ``low`` and ``high`` and rounded; 0 without any."""
+    mean = F.coalesce(F.avg(finite("value")), F.lit(0.0))
+    return latest.agg(F.floor(F.greatest(F.lit(low), F.least(F.lit(high), mean)) + 0.5).cast("long").alias("gauge"))
+
+
+def histogram_rows(bins: DataFrame) -> DataFrame:
+    """(label, start, end, count) of ``histogram``."""
+    return bins.select(F.concat(F.round("low", 3).cast("string"), F.lit(" to "), F.round("high", 3).cast("string")).alias("label"), F.col("low").alias("start"), F.col("high").alias("end"), F.col("n").alias("count"))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.values import checked
+from ..schemas import SPAN_KINDS
 from ..storage import materialised
 
 ERROR = 2
@@ -281,7 +283,8 @@ def service_metrics(spans: DataFrame, buckets: int = 20) -> DataFrame:
     bounds = spans.agg(F.min("start_ns").alias("lo"), F.max("start_ns").alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1) / F.lit(float(buckets))
     rows = spans.crossJoin(F.broadcast(bounds)).withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((F.col("start_ns") - F.col("lo")) / width)).cast("int"))
-    return rows.groupBy("service_name", "bucket").agg(F.count("*").alias("spans"), F.count_if(F.col("status_code") == ERROR).alias("errors"))
+    p = lambda f: F.expr(f"cast(percentile_disc({f}) WITHIN GROUP (ORDER BY duration_ns) as bigint)")
+    return rows.groupBy("service_name", "bucket").agg(F.count("*").alias("spans"), F.count_if(F.col("status_code") == ERROR).alias("errors"), F.avg("duration_ns").alias("avg_ns"), p(0.5).alias("p50_ns"), p(0.95).alias("p95_ns"), p(0.99).alias("p99_ns"))
 
 
 def service_summary(spans: DataFrame) -> DataFrame:
@@ -295,7 +298,7 @@ def service_summary(spans: DataFrame) -> DataFrame:
 def problematic_traces(spans: DataFrame, limit: int = 50) -> DataFrame:
     """Traces with errors, over a second, or with a span over one and a half times its service's p99; worst first."""
     p99 = spans.groupBy("service_name").agg(F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY duration_ns)").alias("p99"))
-    rows = spans.join(p99, "service_name")
+    rows = spans.join(p99.withColumnRenamed("service_name", "own_service"), F.col("service_name").eqNullSafe(F.col("own_service")), "left").drop("own_service")
     order = F.struct("seq")
     root = F.min_by(F.struct("name", "service_name", (F.col("end_ns") - F.col("start_ns")).alias("d")), F.when(F.col("parent_span_id").isNull(), order))
     t = rows.groupBy("trace_id").agg(
@@ -331,3 +334,73 @@ def waterfall(spans: DataFrame) -> DataFrame:
 def lane_rows(frame: DataFrame) -> DataFrame:
     """Waterfall rows in milliseconds for a chart of lanes."""
     return frame.select("trace_id", "span_id", F.col("name").alias("label"), (F.col("offset_ns") / 1e6).alias("start_ms"), ((F.col("offset_ns") + F.col("duration_ns")) / 1e6).alias("end_ms"), "depth")
+
+
+def span_number(field: str) -> Column:
+    """A span's number by field: duration (ns), startTime (ms), or an attribute (with or without ``span.``) that reads as a number; null if none."""
+    if field == "duration":
+        return F.col("duration_ns").cast("double")
+    if field == "startTime":
+        return F.expr("start_ns div 1000000").cast("double")
+    return F.element_at("attributes", F.lit(field.removeprefix("span."))).try_cast("double")
+
+
+def span_group(field: str) -> Column:
+    """A span's group by field: name, status, kind, or an attribute's text (``<missing>`` without it)."""
+    if field == "name":
+        return F.col("name")
+    if field == "status":
+        return F.when(F.col("status_code") == 0, "UNSET").when(F.col("status_code") == 1, "OK").otherwise("ERROR")
+    if field == "kind":
+        return F.coalesce(F.get(F.array(*map(F.lit, SPAN_KINDS)), F.col("kind")), F.lit("UNKNOWN"))
+    return F.coalesce(F.element_at("attributes", F.lit(field.removeprefix("span."))), F.lit("<missing>"))
+
+
+def trace_rows(spans: DataFrame) -> DataFrame:
+    """(trace_id, spanCount, duration, rootService, rootName, first_seq): the fields by which traces are grouped and added up.
+
+    The root is the first span without a parent; a trace without one is
+    ``<no root>``, and as long as its longest span.
+    """
+    root = F.min_by(F.struct("name", service_of().alias("service"), "duration_ns"), F.when(F.col("parent_span_id").isNull(), F.col("seq")))
+    t = spans.groupBy("trace_id").agg(F.count("*").alias("spanCount"), root.alias("root"), F.max("duration_ns").alias("longest"), F.min("seq").alias("first_seq"))
+    service = F.when(F.col("root").isNull(), "<no root>").otherwise(F.coalesce(F.nullif("root.service", F.lit("")), F.lit("<unknown>")))
+    return t.select("trace_id", "spanCount", F.coalesce("root.duration_ns", "longest").alias("duration"), service.alias("rootService"), F.coalesce("root.name", F.lit("<no root>")).alias("rootName"), "first_seq")
+
+
+def trace_ids(spans: DataFrame) -> DataFrame:
+    """The distinct trace ids."""
+    return spans.where("trace_id is not null").select("trace_id").distinct()
+
+
+def service_names(spans: DataFrame) -> DataFrame:
+    """The distinct services."""
+    return spans.select(service_of().alias("service_name")).where("service_name <> ''").distinct()
+
+
+def lenient_filter(*, service: str | None = None, name: str | None = None, status_code: int | None = None, kind: int | None = None, min_ms: float = 0, max_ms: float = 0, attributes: Sequence[tuple[str, str, str]] = ()) -> Column:
+    """The condition of the explorer's dialect: a name is a pattern without case, and != holds where the attribute is missing.
+
+    The operators are =, !=, ~ (contains), > and <; an empty key or value is no
+    condition, and -1 no status or kind.
+    """
+    out = F.lit(True)
+    if service:
+        out = out & F.coalesce(service_of() == service, F.lit(False))
+    if name:
+        out = out & F.col("name").rlike("(?i)" + checked(name))
+    for column, wanted in (("status_code", status_code), ("kind", kind)):
+        if wanted is not None and wanted != -1:
+            out = out & (F.col(column) == wanted)
+    if min_ms > 0:
+        out = out & (F.col("duration_ns") >= round(min_ms * 1_000_000))
+    if max_ms > 0:
+        out = out & (F.col("duration_ns") <= round(max_ms * 1_000_000))
+    for key, op, value in attributes:
+        if not key or not value:
+            continue
+        v = F.element_at("attributes", F.lit(key))
+        number = v.try_cast("double")
+        holds = {"!=": v != value, "~": v.contains(value), ">": number > float(value) if op in "<>" else None, "<": number < float(value) if op in "<>" else None}.get(op, v == value)
+        out = out & F.coalesce(holds, F.lit(op == "!="))
+    return out

@@ -153,3 +153,46 @@ def descendants(processes: DataFrame, root: int) -> DataFrame:
         before, n = n, found.count()
         if n == before:
             return processes.join(found, "pid", "left_semi")
+
+
+def lenient_rust(lines: DataFrame) -> DataFrame:
+    """``parse_rust`` of lines without terminal codes, with the lenient names of metrics."""
+    out = parse_rust(lines.withColumn("line", stripped("line")))
+    return out.withColumn("metric", metric_name("unit", lenient=True))
+
+
+def lenient_hyperfine(files: DataFrame) -> DataFrame:
+    """``parse_hyperfine`` that passes over results without a command and takes 0 for what is missing."""
+    schema = "struct<results:array<struct<command:string,mean:double,stddev:double,median:double,min:double,max:double>>>"
+    rows = files.select("file", F.explode(F.from_json("content", schema)["results"]).alias("r")).where("r.command <> ''").withColumn("scenario", F.col("r.command"))
+    return _long(rows, [(m, f"coalesce(r.{m}, 0)", "s", SMALLER) for m in ("mean", "stddev", "median", "min", "max")])
+
+
+def lenient_pytest(files: DataFrame) -> DataFrame:
+    """``parse_pytest`` that passes over benchmarks without a name or statistics and takes 0 for what is missing."""
+    schema = "struct<benchmarks:array<struct<name:string,stats:struct<mean:double,median:double,min:double,max:double,stddev:double,ops:double,rounds:double>>>>"
+    rows = files.select("file", F.explode(F.from_json("content", schema)["benchmarks"]).alias("r")).where("r.name <> '' and r.stats is not null").withColumn("scenario", F.col("r.name"))
+    metrics = [(m, f"coalesce(r.stats.{m}, 0)", "s", SMALLER) for m in ("mean", "median", "min", "max", "stddev")]
+    return _long(rows, [*metrics, ("ops", "coalesce(r.stats.ops, 0)", "ops/s", "bigger_is_better"), ("rounds", "coalesce(r.stats.rounds, 0)", None, "bigger_is_better")])
+
+
+def lenient_named_values(files: DataFrame) -> DataFrame:
+    """``parse_named_values`` that passes over entries without a name, a number or a unit, and leaves unknown directions null."""
+    rows = files.select("file", F.explode(F.from_json("content", "array<struct<name:string,value:double,unit:string>>")).alias("r")).where("r.name <> '' and r.value is not null and r.unit <> ''")
+    return rows.select("file", F.col("r.name").alias("scenario"), F.expr(NO_TAGS).alias("tags"), F.lit("value").alias("metric"), F.col("r.value").alias("value"), F.col("r.unit").alias("unit"), infer_direction(F.col("r.unit"), lenient=True).alias("direction"))
+
+
+def resolve_since(given: str | Column | None, cursor: str | Column | None, now: str | Column, lookback_hours: int) -> Column:
+    """From when on runs are read: as given, else by the cursor, else some hours before now; what is not a time is passed over."""
+    at = lambda x: F.lit(None).cast("timestamp") if x is None else F.try_to_timestamp(x if isinstance(x, Column) else F.lit(x))
+    return F.coalesce(at(given), at(cursor), at(now) - F.expr(f"interval {lookback_hours} hours"))
+
+
+def run_lines(runs: DataFrame, strict: bool = True) -> DataFrame:
+    """(run_id, file, line_number, line) of ``read_runs``: the JSON lines of each file; a line that isn't JSON stops the query with its file and number, or has ``error`` where not ``strict``."""
+    rows = runs.select("run_id", "file", F.posexplode(F.split("content", "\r?\n")).alias("at", "line")).where(F.trim("line") != "").withColumn("line_number", F.col("at") + 1).drop("at")
+    bad = F.try_parse_json("line").isNull()
+    text = F.concat(F.lit("not JSON: "), "file", F.lit(":"), F.col("line_number").cast("string"))
+    if strict:
+        return rows.withColumn("line", F.when(bad, F.raise_error(text).cast("string")).otherwise(F.col("line")))
+    return rows.withColumn("error", F.when(bad, text))

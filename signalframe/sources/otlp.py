@@ -199,8 +199,8 @@ def to_samples(points: DataFrame) -> DataFrame:
     named = lambda suffix: F.concat("name", F.lit(suffix))
     out = [part(F.col("name"), F.col("value"), source=rows.where("kind in ('gauge', 'sum')"))]
     h = rows.where("kind = 'histogram'").withColumn("n", F.least(F.size("bucket_counts"), F.size("bounds") + 1)).where("n > 0")
-    h = h.select("*", F.posexplode(F.slice("bucket_counts", 1, F.col("n"))).alias("b", "c"))
-    h = h.withColumns({"cumulative": F.aggregate(F.slice("bucket_counts", 1, F.col("b") + 1), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), "bound": F.get("bounds", F.col("b"))})
+    sums = F.aggregate(F.slice("bucket_counts", 1, F.col("n")), F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + F.coalesce(x, F.lit(0.0))))
+    h = h.select("*", F.posexplode(sums).alias("b", "cumulative")).withColumn("bound", F.get("bounds", F.col("b")))
     le = F.coalesce(numeric_label(F.col("bound")), F.lit("+Inf"))
     out.append(part(named("_bucket"), F.col("cumulative"), F.create_map(F.lit("le"), le), h, F.col("b") + 1))
     s = rows.where("kind = 'summary'").select("*", F.posexplode("quantiles").alias("b", "q")).where("q.quantile is not null and q.value is not null")
@@ -233,14 +233,18 @@ def _kv(m: str | Column) -> Column:
     return F.transform(F.array_sort(F.map_entries(m)), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
 
 
-def points_to_documents(points: DataFrame) -> DataFrame:
-    """Benchmark points (run_id, scenario, series, metric, value, unit, tags, ...) as one OTLP document (text) for each run, a gauge for each metric."""
+def points_to_documents(points: DataFrame, context: dict[str, str] | None = None) -> DataFrame:
+    """Benchmark points (run_id, scenario, series, metric, value, unit, tags, ...) as one OTLP document (text) for each run, a gauge for each metric.
+
+    ``context`` adds resource attributes to those of the run.
+    """
     tags = F.map_concat(F.create_map(F.lit("scenario"), "scenario", F.lit("series"), F.coalesce("series", "scenario")), "tags")
     point = F.struct(F.col("value").alias("asDouble"), _kv(tags).alias("attributes"), F.coalesce(F.col("point_ts_ns").cast("string"), F.lit("0")).alias("timeUnixNano"))
     gauges = points.groupBy("run_id", "metric").agg(F.first("unit", True).alias("unit"), F.array_sort(F.collect_list(point)).alias("dataPoints"))
     metric = F.struct(F.col("metric").alias("name"), "unit", F.struct("dataPoints").alias("gauge"))
     runs = gauges.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("metric", metric.alias("m")))).alias("ms"))
-    resource = F.struct(F.array(F.struct(F.lit("run.id").alias("key"), F.struct(F.col("run_id").alias("stringValue")).alias("value"))).alias("attributes"))
+    pairs = {"run.id": F.col("run_id")} | {k: F.lit(v) for k, v in (context or {}).items()}
+    resource = F.struct(F.array(*[F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value")) for k, v in pairs.items()]).alias("attributes"))
     doc = F.struct(F.array(F.struct(resource.alias("resource"), F.array(F.struct(F.transform("ms", lambda x: x["m"]).alias("metrics"))).alias("scopeMetrics"))).alias("resourceMetrics"))
     return runs.select("run_id", F.to_json(doc).alias("value"))
 
@@ -259,3 +263,36 @@ def points_from(metric_rows: DataFrame) -> DataFrame:
     numbers = metric_rows.where("kind in ('gauge', 'sum') and value is not null").select(*common, F.col("name").alias("metric"), "value")
     histograms = metric_rows.where("kind = 'histogram'").select(*common, "name", F.explode(F.array(F.struct(F.lit(".count").alias("s"), F.col("count").alias("v")), F.struct(F.lit(".sum").alias("s"), F.col("sum").alias("v")))).alias("x"))
     return numbers.unionByName(histograms.where("x.v is not null").select(*[c if isinstance(c, str) else c for c in ("run_id", "scenario", "series", "unit", "direction", "role", "tags", "point_ts_ns")], F.concat("name", "x.s").alias("metric"), F.col("x.v").alias("value")))
+
+
+def raw_points(docs: DataFrame) -> DataFrame:
+    """(ordinal, name, kind, point_attributes, resource_attributes): metric points with their attributes as they stand, not yet read into maps."""
+    metrics = _scoped(docs.where("doc.resourceMetrics is not null"), "resourceMetrics", "scopeMetrics", "metrics")
+    parts = []
+    for order, kind in enumerate(KINDS):
+        rows = metrics.where(f"item.{kind} is not null").select("seq", "r", "s", "i", "own_resource", "item", F.posexplode(f"item.{kind}.dataPoints").alias("p", "point"))
+        parts.append(rows.select(_ordinal("seq", "r", "s", "i", F.lit(order).alias("k"), "p").alias("ordinal"), F.col("item.name").alias("name"), F.lit(kind).alias("kind"), F.col("point.attributes").alias("point_attributes"), F.col("own_resource.attributes").alias("resource_attributes")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def storage_report(samples: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(samples_inserted, series_created, dropped): of ``samples`` to be written, those without a value are dropped; series that ``stored`` has are not new."""
+    own = samples.where("value is not null")
+    counts = samples.agg(F.count("value").alias("samples_inserted"), F.count_if(F.col("value").isNull()).alias("dropped"))
+    series = own.select("series_id").distinct()
+    if stored is not None:
+        series = series.join(stored.select("series_id").distinct(), "series_id", "left_anti")
+    return counts.crossJoin(F.broadcast(series.agg(F.count("*").alias("series_created"))))
+
+
+def metric_payload(rows: DataFrame, kind: str = "gauge", temporality: str = "cumulative", monotonic: bool = False) -> DataFrame:
+    """``rows`` (name, unit, value, ts_ns, attributes, resource) with value: a document of one point for each, a gauge or a sum."""
+    if kind not in ("gauge", "sum") or temporality not in ("delta", "cumulative"):
+        raise ValueError("a metric is a gauge or a sum, delta or cumulative")
+    whole = (F.col("value") == F.floor("value")) & (F.abs("value") < 1e15)
+    point = F.struct(F.col("ts_ns").cast("string").alias("timeUnixNano"), _kv("attributes").alias("attributes"), F.when(whole, F.floor("value").cast("string")).alias("asInt"), F.when(~whole, F.col("value")).alias("asDouble"))
+    points = F.array(point).alias("dataPoints")
+    data = F.struct(points).alias("gauge") if kind == "gauge" else F.struct(F.lit(1 if temporality == "delta" else 2).alias("aggregationTemporality"), F.lit(monotonic).alias("isMonotonic"), points).alias("sum")
+    metric = F.struct("name", F.nullif("unit", F.lit("")).alias("unit"), data)
+    scope = F.struct(F.array(metric).alias("metrics"))
+    return rows.withColumn("document", F.to_json(F.struct(F.array(F.struct(F.struct(_kv("resource").alias("attributes")).alias("resource"), F.array(scope).alias("scopeMetrics"))).alias("resourceMetrics"))))

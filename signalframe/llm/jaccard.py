@@ -9,12 +9,15 @@ H + 1 segments, so two similar sets agree in a whole segment; each set is indexe
 by its segments under its own band's scheme and, where smaller partners may lie
 in the band below, under that one's too.
 
-Allocation is by cost: most segments must match exactly (cost: one row).  An
+Allocation is by cost.  Most segments must match exactly (cost: one row).  An
 empty segment would match every set of the band that has it empty, so it counts
 nothing, and the segment to its right may differ by one element instead: it is
 indexed with its one-deletion neighbourhood (cost: its size and one rows).  Sets
 that both have the segment empty then still meet, as the sum of allowances
-stays H + 1.
+stays H + 1.  A signature that many sets have (a passage that stands in many
+texts) costs as many rows; as a band has segments for its largest sets, most sets
+have some to spare, and a set passes over its frequent signatures if it can spare
+them all (see ``Bands.spare``).
 
 Buckets of up to ``small`` sets give all their pairs.  A larger one pairs its
 members with its least only, its leader; where some are not linked to it, all are
@@ -45,9 +48,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHash, bounds, dealt, input_bytes, loosened, met, mix, pack, planes, portions, settled, squeezed, stored, unpack, unplanes, word_hashes
+from .common import Bloom, WordHash, bounds, dealt, input_bytes, loosened, met, mix, pack, planes, portions, released, settled, squeezed, stored, unpack, unplanes, word_hashes
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_SCHEME = np.uint64(1 << 8)  # the bit of a signature that holds the parity of its band, the last of the upper 56
 _SALTS = 64
 SLICE = 8 << 20
 BUCKET = 8 << 20  # bytes of input for each bucket of signatures
@@ -94,6 +98,19 @@ class Bands:
         most = self.top[band] - 1
         return self.errors(most + most * self.den // self.num) + 1
 
+    def spare(self, n: int, odd: int) -> int:
+        """How many signatures of a set of ``n`` elements under the scheme of that parity may be passed over without losing a partner.
+
+        Two sets that differ in D elements share at least (segments - D) signatures: a
+        segment that is equal in both and not empty, or, of one that both have empty,
+        the signature of its neighbour unless they differ there in two elements or more,
+        each of which leaves one more segment equal.
+        """
+        band = self.of(n)
+        if band & 1 == odd:
+            return self.segments(band) - self.errors(n + n * self.den // self.num) - 1
+        return self.segments(band - 1) - self.errors(n + self.top[band - 1] - 1) - 1
+
     def schemes(self, n: int) -> list[int]:
         """The bands under whose schemes a set of ``n`` elements is indexed."""
         band = self.of(n)
@@ -102,23 +119,25 @@ class Bands:
 
 
 def signatures(x: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of an ascending set under its schemes."""
+    """The signatures of an ascending set under its schemes; one bit of each tells the two schemes apart."""
     out = []
     spread = mix(x)
     for band in bands.schemes(len(x)):
         m = bands.segments(band)
         if m == 1:  # no error is allowed: equal sets only, which are one class
             continue
+        own = []
         edges = np.searchsorted((x >> np.uint64(32)) * np.uint64(m) >> np.uint64(32), np.arange(m + 1))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(spread, dtype=np.uint64)])
         value = sums[edges[1:]] - sums[edges[:-1]]
         full = edges[1:] > edges[:-1]
         tag = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 40))
-        out.append(mix(value[full] ^ tag[full]))
+        own.append(mix(value[full] ^ tag[full]))
         for i in np.flatnonzero(~full).tolist():
             j = (i + 1) % m
             near = np.concatenate([value[j : j + 1], value[j] - spread[edges[j] : edges[j + 1]]])
-            out.append(mix(near ^ mix(tag[i : i + 1] + np.uint64(1))))
+            own.append(mix(near ^ mix(tag[i : i + 1] + np.uint64(1))))
+        out.append((np.concatenate(own) & ~_SCHEME) | (np.uint64(band & 1) * _SCHEME))
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
@@ -346,20 +365,50 @@ def _through_centers(centred: DataFrame, bands: Bands) -> DataFrame:
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
+def _allocated(rows: DataFrame, sets: DataFrame, bands: Bands, small: int) -> DataFrame:
+    """(sig, id) of ``rows`` by cost: a set passes over the signatures that more than ``small`` sets have, as long as these are no more than it can spare.
+
+    A linked pair is met if either of its sets has spared its frequent signatures,
+    as then one that is not frequent is left among those that they share.  Sets
+    with more frequent signatures than that keep them all.
+    """
+    frequent = rows.groupBy("sig").agg(F.count("*").alias("often")).where(F.col("often") > small).select("sig")
+    odd = F.col("sig").bitwiseAND(1).cast("int").alias("odd")
+    costly = stored(rows.join(frequent, "sig").select("sig", "id", odd))
+    many = costly.groupBy("id", "odd").agg(F.count("*").alias("many")).join(sets.select("id", "n"), "id")
+
+    def run(batches):
+        for batch in batches:
+            odd, many, n = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            keep = pa.array([m > bands.spare(k, o) for o, m, k in zip(odd, many, n, strict=True)], pa.bool_())
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["id", "odd"]).filter(keep)
+
+    keeps = many.select("id", "odd", "many", "n").mapInArrow(run, "id long, odd int")
+    held = costly.join(keeps, ["id", "odd"], "left_semi").select("sig", "id")
+    return rows.join(costly.select("sig").distinct(), "sig", "left_anti").select("sig", "id").unionAll(held)
+
+
 def links(docs: DataFrame, sets: DataFrame, *, size: int = 3, bands: Bands | None = None, small: int = 16) -> DataFrame:
     """(a, b), a < b: enough verified links between classes to join every component; ``docs`` has id and text (binary)."""
     bands = bands or Bands()
+    spark = docs.sparkSession
     # by classes, not documents: copies of a set are one member
     classes = class_ids(sets)
     rows = stored(_repeated_signatures(docs, size, bands).join(classes, "id").select("sig", F.col("least").alias("id")).distinct())
+    released(spark)
+    rows = stored(_allocated(rows, sets, bands, small))
     buckets = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
     members = rows.join(buckets, "sig")
     few = members.where(F.col("n") <= small).groupBy("sig").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    pairs = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b").distinct()
+    pairs = stored(few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b").distinct())
     stars = stored(members.where((F.col("n") > small) & (F.col("id") > F.col("leader"))).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    del classes, buckets, members, few
+    released(spark)
     compared = stored(_compare(docs, stars, size, bands, True))
     centred = stored(_centred(compared, bands))
+    released(spark)
     rest = stored(_near(pairs.union(_through_centers(centred, bands)).distinct(), sets, bands))
+    released(spark)
     known = compared.where("linked").select("a", "b").union(centred.where("linked").select(F.least("center", "id").alias("a"), F.greatest("center", "id").alias("b")))
     return stored(known.union(_compare(docs, rest, size, bands, False)).distinct())
 

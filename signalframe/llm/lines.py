@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bloom, WordHash, mix, portions, stored
+from .common import Bloom, WordHash, mix, portions, released, stored
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(2**64 - 1)
@@ -160,8 +160,12 @@ def _fingerprint_rows(docs: DataFrame, key: str, text: str, gram: int, window: i
 
 def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gram: int = 16, window: int = 11) -> DataFrame:
     """(key, matches): for each document its grams that came before elsewhere, with the margins of their first occurrence."""
+    spark = docs.sparkSession
     repeated = _fingerprint_rows(docs, key, text, gram, window, None).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    rows = stored(_fingerprint_rows(docs, key, text, gram, window, Bloom.over(repeated, "gram")))
+    filter_of_repeated = Bloom.over(repeated, "gram")
+    del repeated
+    released(spark)
+    rows = stored(_fingerprint_rows(docs, key, text, gram, window, filter_of_repeated))
     # stored, so that both sides of the join come straight from their exchanges and hot grams can be split
     firsts = stored(
         rows.groupBy("gram")
@@ -169,6 +173,7 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gr
         .where("n > 1")
         .select("gram", F.col(f"least.{key}").alias("first_key"), F.col("least.margins").alias("first_margins"))
     )
+    released(spark)
     later = rows.select(key, "gram").join(firsts, "gram").where(~F.col(key).eqNullSafe(F.col("first_key")))
     return later.groupBy(key).agg(F.collect_set(F.struct("gram", F.col("first_margins").alias("margins"))).alias("matches"))
 

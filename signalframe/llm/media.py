@@ -26,15 +26,26 @@ def to_media(payload: bytes) -> bytes:
     return b"".join(webp.encode(rows[i : i + webp.MAX_SIDE]) for i in range(0, len(rows), webp.MAX_SIDE))
 
 
-def to_pixels(media: bytes) -> np.ndarray:
-    """The pixels (height, width, 3) of the files in ``media``, one below the other."""
+def files_of(media: bytes) -> list[bytes]:
+    """The files in ``media``, one after the other."""
     out, at = [], 0
     while at < len(media):
         size = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        pixels, _ = webp.decode(media[at : at + size])
-        out.append(pixels[..., :3])
+        out.append(media[at : at + size])
         at += size
-    return np.concatenate(out) if len(out) > 1 else out[0]
+    return out
+
+
+def to_pixels(media: bytes) -> np.ndarray:
+    """The pixels (height, width, 3) of the files in ``media``, one below the other."""
+    return np.concatenate([webp.decode(x)[0][..., :3] for x in files_of(media)])
+
+
+def many_pixels(media: list[bytes], known: webp.Known) -> list[np.ndarray]:
+    """``to_pixels`` of each, decoded side by side."""
+    files = [files_of(m) for m in media]
+    pixels = iter(webp.decode_many([x for own in files for x in own], known))
+    return [np.concatenate([next(pixels)[..., :3] for _ in own]) for own in files]
 
 
 def feature(pixels: np.ndarray) -> str:
@@ -66,9 +77,10 @@ def read_back(stored: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """From ``key``, n_bytes and media: height, width, payload (the pixels' bytes), media and feature."""
 
     def run(batches):
+        known = webp.Known()
         for whole in batches:
-            for batch in portions(whole, 2):
-                pixels = [to_pixels(m) for m in batch.column(2).to_pylist()]
+            for batch in portions(whole, 2, 4096, 4 << 20):
+                pixels = many_pixels(batch.column(2).to_pylist(), known)
                 yield pa.record_batch(
                     [
                         *batch.columns,

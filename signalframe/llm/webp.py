@@ -1,15 +1,18 @@
-"""Lossless WebP: a decoder of the whole VP8L format (RFC 9649), and a plain encoder.
+"""Lossless WebP: a decoder of the whole VP8L format (RFC 9649), and an encoder.
 
 ``decode`` reads prefix codes, back-references and the colour cache, and undoes
-the predictor, cross-colour, subtract-green and palette transforms.  Where every
-symbol of an image has a code of one length, its pixels are read all at once;
-else one by one.  ``encode`` writes no transforms and codes of one length for
-each channel, as short as the channel's values allow.
+the predictor, cross-colour, subtract-green and palette transforms, symbol by
+symbol.  ``decode_many`` does the same for many files: those that begin alike are
+decoded in step, one symbol of each at a time.  ``encode`` writes palettes,
+predictors, cross-colour transforms, back-references and cached colours.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
 import struct
+import zlib
 
 import numpy as np
 
@@ -271,8 +274,17 @@ def undo_predictor(pixels: np.ndarray, modes: np.ndarray, bits: int, width: int,
     kinds = (modes.reshape(-1, across) >> np.uint32(8)) & np.uint32(15)
     for y in range(1, height):
         row = kinds[y >> bits]
-        if (row == 2).all():  # the pixel above
-            out[y, 1:] = rest[y, 1:] + out[y - 1, 1:]
+        if row[0] in (2, 3, 4, 8, 9) and (row == row[0]).all():  # by pixels above alone
+            top, corner = out[y - 1, 1:], out[y - 1, :-1]
+            right = np.concatenate([out[y - 1, 2:], out[y, :1]])
+            mode = int(row[0])
+            if mode == 8:
+                guess = (corner & top) + ((corner ^ top) >> 1)
+            elif mode == 9:
+                guess = (top & right) + ((top ^ right) >> 1)
+            else:
+                guess = {2: top, 3: right, 4: corner}[mode]
+            out[y, 1:] = rest[y, 1:] + guess
             continue
         if (row == 1).all():  # the pixel before
             out[y] = np.cumsum(np.vstack([out[y, :1], rest[y, 1:]]), axis=0, dtype=np.uint8)
@@ -356,76 +368,509 @@ class BitWriter:
         self.value |= value << self.size
         self.size += bits
 
+    def array(self) -> np.ndarray:
+        """The bits, one a byte."""
+        return np.unpackbits(np.frombuffer(self.value.to_bytes((self.size + 7) // 8, "little"), np.uint8), bitorder="little")[: self.size]
+
+
+def _lengths(weights: list[int], most: int = 15) -> np.ndarray:
+    """The code lengths of Huffman's code for these weights (0: no code); weights are evened out until none is over ``most``."""
+    heap = [(w, i, (i,)) for i, w in enumerate(weights) if w]
+    out = np.zeros(len(weights), np.int64)
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (a, i, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        out[list(x + y)] += 1
+        heapq.heappush(heap, (a + b, i, x + y))
+    return out if out.max(initial=0) <= most else _lengths([(w + 1) // 2 + 1 if w else 0 for w in weights], most)
+
+
+def _codes(lengths: np.ndarray) -> np.ndarray:
+    """The canonical codes, with their first bit lowest."""
+    out, code, last = np.zeros(len(lengths), np.uint64), 0, 0
+    used = np.flatnonzero(lengths)
+    for s in used[np.lexsort((used, lengths[used]))].tolist():
+        size = int(lengths[s])
+        code <<= size - last
+        last = size
+        out[s] = int(format(code, f"0{size}b")[::-1], 2)
+        code += 1
+    return out
+
 
-def _write_uniform_code(out: BitWriter, symbols: list[int], size: int, alphabet: int) -> None:
-    """A prefix code in which each of the 2**size ascending ``symbols`` has ``size`` bits."""
-    if size == 0:
-        out.put(0b1 | 0 << 1 | 1 << 2 | symbols[0] << 3, 11)
+def _put_code(out: BitWriter, lengths: np.ndarray) -> None:
+    """Write a prefix code by its lengths, with runs of zeros; of one symbol alone as a simple code."""
+    used = np.flatnonzero(lengths)
+    if len(used) == 1:
+        out.put(0b1 | 0 << 1 | 1 << 2 | int(used[0]) << 3, 11)
         return
-    # four tokens of two bits each: a zero, the size, and the two runs of zeros
-    tokens = {token: i for i, token in enumerate(sorted({0, size, 17, 18}))}
-    code = {token: (i >> 1) | (i & 1) << 1 for token, i in tokens.items()}
-    last = max(CODE_LENGTH_ORDER.index(t) for t in tokens)
+    tokens: list[tuple[int, int, int]] = []
+    at = 0
+    while at < len(lengths):
+        run = 1
+        while lengths[at] == 0 and at + run < len(lengths) and lengths[at + run] == 0 and run < 138:
+            run += 1
+        if lengths[at] or run < 3:
+            tokens.append((int(lengths[at]), 0, 0))
+            at += 1
+        else:
+            tokens.append((17, run - 3, 3) if run < 11 else (18, run - 11, 7))
+            at += run
+    weights = np.bincount([t[0] for t in tokens], minlength=19).tolist()
+    if sum(w > 0 for w in weights) == 1:
+        weights[(weights.index(max(weights)) + 1) % 19] = 1  # a code of one token would have no bits
+    own = _lengths(weights, 7)
+    codes = _codes(own)
+    last = max(i for i, t in enumerate(CODE_LENGTH_ORDER) if own[t] or i == 3)
     out.put(0, 1)
     out.put(last + 1 - 4, 4)
     for t in CODE_LENGTH_ORDER[: last + 1]:
-        out.put(2 if t in tokens else 0, 3)
+        out.put(int(own[t]), 3)
     out.put(0, 1)
+    for token, extra, bits in tokens:
+        out.put(int(codes[token]), int(own[token]))
+        out.put(extra, bits)
+
+
+def _prefix(value: np.ndarray | int) -> tuple[int, int, int]:
+    """Prefix, extra bits and their number of a length or distance; the reverse of ``_value``."""
+    w = int(value) - 1
+    if w < 4:
+        return w, 0, 0
+    k = w.bit_length() - 1
+    return 2 * k + (w >> (k - 1) & 1), w & ((1 << (k - 1)) - 1), k - 1
+
+
+WIDTH = 64  # of the images that ``encode`` is made for
+CACHE_BITS = 8
+LEAST_MATCH = 4
+#: The ways in which images are written; all but the palette's have codes fixed in advance.
+WAYS = ("plain", "predictor", "cross_colour")
+MODES = (2, 1, 4, 8, 3, 9)
+FACTORS = (20, 244, 7)  # of green to red, green to blue and red to blue, as signed bytes
+
+
+class Way:
+    """The bits before the pixels, and the codes of the symbols, of one way of writing images."""
+
+    def __init__(self, kind: str, mode: int = 0) -> None:
+        self.kind, self.mode = kind, mode
+        # texts have letters and blanks mostly; what a transform leaves is spread over all values
+        own = [6 if 97 <= b <= 122 or b == 32 else 3 if 33 <= b < 127 else 2 for b in range(256)]
+        self.green = _lengths(own + [1] * 24 + [1] * (1 << CACHE_BITS))
+        self.other, self.distance = _lengths(own), _lengths([1] * 40)
+        self.alpha = np.zeros(256, np.int64)
+        self.alpha[0 if kind == "predictor" else 255] = 1
+        self.codes = {name: (_codes(x), x.astype(np.uint64)) for name, x in (("green", self.green), ("other", self.other), ("distance", self.distance))}
+        out = BitWriter()
+        if kind != "plain":
+            out.put(1 | (PREDICTOR if kind == "predictor" else CROSS_COLOUR) << 1, 3)
+            out.put(7, 3)  # tiles of 512 pixels
+            out.put(0, 1)  # one colour for all tiles
+            values = (self.mode, 0, 0, 255) if kind == "predictor" else (FACTORS[1], FACTORS[2], FACTORS[0], 255)
+            for symbol in (*values, 0):
+                _put_code(out, np.eye(1, 256, symbol, dtype=np.int64)[0])
+        out.put(0, 1)
+        out.put(1 | CACHE_BITS << 1, 5)
+        out.put(0, 1)
+        for lengths in (self.green, self.other, self.other, self.alpha, self.distance):
+            _put_code(out, lengths)
+        self.head = out.array()
+
+
+@functools.cache
+def way(kind: str, mode: int = 0) -> Way:
+    return Way(kind, mode)
+
+
+def _predicted(px: np.ndarray, mode: int) -> np.ndarray:
+    """The prediction of every pixel (height, width, 4) by one mode that needs no more than the pixel before or those above."""
+    out = np.zeros_like(px)
+    out[0, 0] = (0, 0, 0, 255)
+    out[0, 1:] = px[0, :-1]
+    out[1:, 0] = px[:-1, 0]
+    top, corner = px[:-1, 1:], px[:-1, :-1]
+    right = np.concatenate([px[:-1, 2:], px[1:, :1]], 1)  # right of the last column stands the first pixel of the row itself
+    if mode == 1:
+        out[1:, 1:] = px[1:, :-1]
+    elif mode == 8:
+        out[1:, 1:] = (corner & top) + ((corner ^ top) >> 1)
+    elif mode == 9:
+        out[1:, 1:] = (top & right) + ((top ^ right) >> 1)
+    else:
+        out[1:, 1:] = {2: top, 3: right, 4: corner}[mode]
+    return out
 
-    def zeros(n: int) -> None:
-        while n:
-            if n >= 11:
-                run = min(n, 138)
-                out.put(code[18], 2)
-                out.put(run - 11, 7)
-            elif n >= 3:
-                run = n
-                out.put(code[17], 2)
-                out.put(run - 3, 3)
-            else:
-                run = 1
-                out.put(code[0], 2)
-            n -= run
 
-    at = 0
-    for s in symbols:
-        zeros(s - at)
-        out.put(code[size], 2)
-        at = s + 1
-    zeros(alphabet - at)
+def _matches(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of repeats of ``LEAST_MATCH`` pixels and more, from left to right."""
+    n = len(flat) - LEAST_MATCH + 1
+    if n < 2:
+        return []
+    h = flat[:n].astype(np.uint64)
+    for k in range(1, LEAST_MATCH):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + flat[k : n + k]
+    h = (h >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    if not same.any():
+        return []
+    before = np.full(n, -1)
+    before[order[1:][same]] = order[:-1][same]
+    out, at, places = [], 0, np.flatnonzero(before >= 0)
+    while True:
+        i = int(np.searchsorted(places, at))
+        if i >= len(places):
+            return out
+        at = int(places[i])
+        j, most = int(before[at]), min(4096, len(flat) - at)
+        differs = np.flatnonzero(flat[at : at + 64] != flat[j : j + min(64, len(flat) - at)])
+        if len(differs):
+            length = int(differs[0])
+        else:
+            differs = np.flatnonzero(flat[at : at + most] != flat[j : j + most])
+            length = int(differs[0]) if len(differs) else most
+        if length < LEAST_MATCH:  # another hash by chance
+            at += 1
+            continue
+        out.append((at, length, at - j))
+        at += length
+
+
+def _near_codes(width: int) -> dict[int, int]:
+    """The codes of the distances that have a short one."""
+    out: dict[int, int] = {}
+    for code, (x, y) in enumerate(NEAR, 1):
+        if x + y * width > 0:
+            out.setdefault(x + y * width, code)
+    return out
+
+
+_NEAR_CODES = functools.cache(_near_codes)
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
+    """The bytes of numbers of so many bits each, side by side, after ``first`` zero bits (7 at most)."""
+    ends = np.cumsum(sizes.astype(np.int64)) + first
+    at = ends - sizes.astype(np.int64)
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    words = np.zeros(int(ends[-1] if len(ends) else first) // 64 + 2, np.uint64)
+    if len(at):
+        begins = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        words[word[begins]] |= np.bitwise_or.reduceat(values << shift, begins)
+        over = np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        words[word[begins] + 1] |= np.bitwise_or.reduceat(over, begins)
+    return words.view(np.uint8)[: (int(ends[-1] if len(ends) else first) + 7) // 8]
+
+
+def _wrapped(body: bytes) -> bytes:
+    padded = body + b"\0" * (len(body) & 1)
+    return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + padded
+
+
+def _start(width: int, height: int) -> bytes:
+    """Signature, sides, no alpha, version 0: five bytes."""
+    return bytes([0x2F]) + struct.pack("<I", (width - 1) | (height - 1) << 14)
+
+
+def _with_palette(flat: np.ndarray, width: int, height: int) -> bytes | None:
+    """The file of an image of few colours; None where it has more than 256, or too many for its size."""
+    colours, index = np.unique(flat, return_inverse=True)
+    if len(colours) > 256 or 4 * len(colours) > len(flat):
+        return None
+    out = BitWriter()
+    out.put(1 | PALETTE << 1, 3)
+    out.put(len(colours) - 1, 8)
+    out.put(0, 1)
+    parts = _pixel_bits(out, np.diff(_channels(colours), axis=0, prepend=np.zeros((1, 4), np.uint8))[:, [1, 2, 0, 3]])
+    out = BitWriter()
+    out.put(0, 1)
+    size = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+    across = (width + (1 << size) - 1) >> size
+    cells = np.zeros((height, across << size), np.uint32)
+    cells[:, :width] = index.reshape(height, width)
+    green = sum(cells[:, k :: 1 << size] << np.uint32(k * (8 >> size)) for k in range(1 << size)).reshape(-1)
+    pixels = np.zeros((len(green), 4), np.uint8)
+    pixels[:, 0], pixels[:, 3] = green, 255
+    out.put(0, 1)  # no colour cache
+    out.put(0, 1)  # no groups
+    parts += _pixel_bits(out, pixels)
+    return _start(width, height) + np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+
+
+def _pixel_bits(out: BitWriter, pixels: np.ndarray) -> list[np.ndarray]:
+    """The bits of ``out``, of codes made for the pixels' channels (green, red, blue, alpha), and of the pixels."""
+    values, sizes = np.zeros(len(pixels), np.uint64), np.zeros(len(pixels), np.uint64)
+    for c in range(4):
+        counts = np.bincount(pixels[:, c], minlength=280 if c == 0 else 256)
+        if np.count_nonzero(counts) == 1:
+            lengths = (counts > 0).astype(np.int64)
+            _put_code(out, lengths)
+            continue
+        lengths = _lengths(counts.tolist())
+        _put_code(out, lengths)
+        values |= _codes(lengths)[pixels[:, c]] << sizes
+        sizes += lengths.astype(np.uint64)[pixels[:, c]]
+    _put_code(out, np.eye(1, 40, 0, dtype=np.int64)[0])
+    return [out.array(), np.unpackbits(_packed(values, sizes, 0), bitorder="little")[: int(sizes.sum())]]
+
+
+def _cached(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in the colour cache, and whether it stands there: the last pixel of that place is the same."""
+    place = ((flat * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - CACHE_BITS)).astype(np.uint8)
+    order = np.argsort(place, kind="stable")
+    cached = np.zeros(len(flat), bool)
+    cached[order[1:]] = (place[order[1:]] == place[order[:-1]]) & (flat[order[1:]] == flat[order[:-1]])
+    return place.astype(np.int64), cached
 
 
 def encode(rgb: np.ndarray) -> bytes:
-    """A lossless WebP file of (height, width, 3) bytes."""
+    """A lossless WebP file of (height, width, 3) bytes.
+
+    An image of few colours has a palette.  Others are written in one of ``WAYS``, told
+    by a checksum of their bytes so that equal images give equal files: as they are, with a
+    predictor (its mode is told by the checksum too), or with a cross-colour
+    transform; repeats become back-references, and pixels in the colour cache its
+    symbols.
+    """
     height, width, _ = rgb.shape
     if not (1 <= height <= MAX_SIDE and 1 <= width <= MAX_SIDE):
         raise ValueError(f"the sides of an image are 1 to {MAX_SIDE}")
-    out = BitWriter()
-    out.put(0x2F, 8)
-    out.put(width - 1, 14)
-    out.put(height - 1, 14)
-    out.put(0, 1 + 3)  # no alpha, version 0
-    out.put(0, 1 + 1 + 1)  # no transform, colour cache or groups
-    flat, ranks, sizes = rgb.reshape(-1, 3), [], []
-    for channel, alphabet in ((1, 280), (0, 256), (2, 256)):
-        values = flat[:, channel]
-        there = np.bincount(values, minlength=256) > 0
-        size = max(0, int(there.sum()) - 1).bit_length()
-        spare = (1 << size) - int(there.sum())
-        if spare:  # the code must be complete
-            there[np.flatnonzero(~there)[:spare]] = True
-        _write_uniform_code(out, np.flatnonzero(there).tolist(), size, alphabet)
-        ranks.append((np.cumsum(there) - 1).astype(np.uint8)[values])
-        sizes.append(size)
-    _write_uniform_code(out, [255], 0, 256)
-    _write_uniform_code(out, [0], 0, 40)
-    head = np.unpackbits(np.frombuffer(out.value.to_bytes((out.size + 7) // 8, "little"), np.uint8), bitorder="little")[: out.size]
-    planes = np.empty((len(flat), sum(sizes)), np.uint8)
-    column = 0
-    for rank, size in zip(ranks, sizes, strict=True):
-        for i in range(size):
-            planes[:, column + i] = (rank >> np.uint8(size - 1 - i)) & np.uint8(1)
-        column += size
-    body = np.packbits(np.concatenate([head, planes.ravel()]), bitorder="little").tobytes()
-    padded = body + b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(padded)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + padded
+    px = np.full((height, width, 4), 255, np.uint8)
+    px[..., :3] = rgb[..., ::-1]
+    flat = px.reshape(-1, 4).view("<u4")[:, 0]
+    if len(flat) >= 64 and 4 * np.count_nonzero(_cached(flat)[1]) >= 3 * len(flat) and (file := _with_palette(flat, width, height)) is not None:
+        return _wrapped(file)
+    told = zlib.crc32(rgb.tobytes())
+    kind = WAYS[told % len(WAYS)]
+    w = way(kind, MODES[told // 8 % len(MODES)] if kind == "predictor" else 0)
+    if kind == "predictor":
+        px = px - _predicted(px, w.mode)
+    elif kind == "cross_colour":
+        signed = px.view(np.int8).astype(np.int32)
+        to_red, to_blue, red_to_blue = (f - 256 if f > 127 else f for f in FACTORS)
+        px = px.copy()
+        px[..., 2] -= ((to_red * signed[..., 1]) >> 5).astype(np.uint8)
+        px[..., 0] -= (((to_blue * signed[..., 1]) >> 5) + ((red_to_blue * signed[..., 2]) >> 5)).astype(np.uint8)
+    flat = np.ascontiguousarray(px.reshape(-1, 4)).view("<u4")[:, 0]
+    place, cached = _cached(flat)
+    (green, green_size), (other, other_size), (distance, distance_size) = (w.codes[n] for n in ("green", "other", "distance"))
+    b, g, r = (px.reshape(-1, 4)[:, c].astype(np.int64) for c in (0, 1, 2))
+    values = np.where(cached, green[280 + place], green[g] | other[r] << green_size[g] | other[b] << (green_size[g] + other_size[r]))
+    sizes = np.where(cached, green_size[280 + place], green_size[g] + other_size[r] + other_size[b])
+    matches = _matches(flat)
+    if matches:
+        near, kept = _NEAR_CODES(width), np.ones(len(flat), bool)
+        for at, length, step in matches:
+            code, more, bits = _prefix(length)
+            value, size = int(green[256 + code]), int(green_size[256 + code])
+            value, size = value | more << size, size + bits
+            code, more, bits = _prefix(near.get(step, step + 120))
+            value, size = value | int(distance[code]) << size, size + int(distance_size[code])
+            values[at], sizes[at] = value | more << size, size + bits
+            kept[at + 1 : at + length] = False
+        values, sizes = values[kept], sizes[kept]
+    whole = len(w.head) // 8 * 8
+    body = _packed(values, sizes, len(w.head) - whole)
+    last = int(np.packbits(w.head[whole:], bitorder="little")[0]) if whole < len(w.head) else 0
+    if len(body):
+        body[0] |= last
+    return _wrapped(_start(width, height) + np.packbits(w.head[:whole], bitorder="little").tobytes() + body.tobytes())
+
+
+class Known:
+    """The bits before the pixels that were met before, and what they mean: all that ``decode_many`` reads side by side."""
+
+    MOST = 64
+
+    def __init__(self) -> None:
+        #: For each head: its whole bytes, its last bits, their number in all, the transforms, the alpha of every pixel, and the number of its codes.
+        self.heads: list[tuple[bytes, int, int, list, int, int]] = []
+        #: The size of the colour cache, and the codes of green, red, blue and distance.
+        self.codes: list[tuple[int, list[PrefixCode]]] = []
+        self.numbers: dict[tuple, int] = {}
+
+    def of(self, body: bytes):
+        for head in self.heads:
+            whole, last, bits = head[0], head[1], head[2]
+            end = 5 + len(whole)
+            if body[5:end] == whole and (not bits & 7 or len(body) > end and body[end] & ((1 << (bits & 7)) - 1) == last):
+                return head
+        return None
+
+    def learn(self, body: bytes) -> None:
+        """Remember the head of a file whose transforms have one colour, and so no bits for their pixels."""
+        sides = struct.unpack_from("<I", body, 1)[0]
+        bits, width, height, undo = Bits(body, 40), (sides & 0x3FFF) + 1, (sides >> 14 & 0x3FFF) + 1, []
+        while bits.read(1):
+            kind = bits.read(2)
+            if kind == PALETTE:
+                return
+            if kind == SUBTRACT_GREEN:
+                undo.append((kind, 0, 0))
+                continue
+            size = bits.read(3) + 2
+            before = bits.at
+            held = read_image(bits, (width + (1 << size) - 1) >> size, (height + (1 << size) - 1) >> size, False)
+            again = Bits(body, before)
+            if again.read(1) or any([read_code(again, n).most for n in (280, 256, 256, 256, 40)]) or again.at != bits.at:
+                return
+            undo.append((kind, int(held[0]), size))
+        cache_bits = bits.read(4) if bits.read(1) else 0
+        if bits.read(1) or not 1 <= cache_bits <= 11:
+            return
+        codes = [read_code(bits, n) for n in (280 + (1 << cache_bits), 256, 256, 256, 40)]
+        if codes[3].most or any(c.most > 15 for c in codes) or len(self.heads) >= self.MOST:
+            return
+        alpha = codes.pop(3).single
+        key = (cache_bits, *(c.symbols.tobytes() + (b"" if c.single is not None else c._sizes.tobytes()) for c in codes))
+        if key not in self.numbers:
+            self.numbers[key] = len(self.codes)
+            self.codes.append((cache_bits, codes))
+        n = bits.at - 40
+        whole, rest = body[5 : 5 + n // 8], n & 7
+        self.heads.append((whole, body[5 + n // 8] & ((1 << rest) - 1) if rest else 0, n, undo, alpha, self.numbers[key]))
+
+
+def _table(code: PrefixCode) -> tuple[np.ndarray, int]:
+    """Symbol and length (in the low 4 bits) for each value of the next bits, and how many they are."""
+    if code.single is not None:
+        return np.array([code.single << 4], np.int64), 0
+    return np.array([s << 4 | n for s, n in code.table()], np.int64), code.most
+
+
+def _side_by_side(bodies: list[bytes], first_bits: np.ndarray, alphas: np.ndarray, cache_bits: int, codes: list[PrefixCode], totals: np.ndarray, width: int) -> np.ndarray:
+    """The pixels, before the transforms are undone, of images with the same codes: a row each, decoded in step, the longest image first."""
+    n = len(bodies)
+    joined = b"".join([x + b"\0" * 8 for x in bodies])
+    start = np.cumsum([0, *(len(x) + 8 for x in bodies)])[:-1]
+    stop = 8 * (start + np.array([len(x) for x in bodies]))
+    words = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+    bit = 8 * start + 40 + first_bits
+    (green, gn), (red, rn), (blue, bn), (far, fn) = map(_table, codes)
+    gm, rm, bm = (np.uint64((1 << k) - 1) for k in (gn, rn, bn))
+    alpha = alphas.astype(np.uint32) << np.uint32(24)
+    out = np.zeros((n, int(totals[0])), np.uint32)
+    cache = np.zeros((n, 1 << cache_bits), np.uint32)
+    shift, factor = np.uint32(32 - cache_bits), np.uint32(CACHE_FACTOR)
+    at, active = np.zeros(n, np.int64), np.arange(n)
+    least = int(totals[-1])  # no image ends before so many pixels
+    while len(active) >= _ALONE:
+        own = bit[active]
+        peek = words[own >> 3] >> (own & 7).astype(np.uint64)
+        x = green[(peek & gm).astype(np.int64)]
+        symbol, used = x >> 4, x & 15
+        p = peek >> used.astype(np.uint64)
+        y = red[(p & rm).astype(np.int64)]
+        p >>= (y & 15).astype(np.uint64)
+        z = blue[(p & bm).astype(np.int64)]
+        pixel = ((y >> 4) << 16 | symbol << 8 | z >> 4).astype(np.uint32) | alpha[active]
+        literal = symbol < 256
+        bit[active] = own + np.where(literal, used + (y & 15) + (z & 15), used)
+        i = np.flatnonzero(symbol >= 280)
+        pixel[i] = cache[active[i], symbol[i] - 280]
+        copied = np.flatnonzero((symbol >= 256) & (symbol < 280))
+        rows = active
+        if len(copied):
+            one = np.ones(len(active), bool)
+            one[copied] = False
+            rows, pixel = active[one], pixel[one]
+        here = at[rows]
+        out[rows, here] = pixel
+        cache[rows, (pixel * factor) >> shift] = pixel
+        at[rows] = here + 1
+        for k in copied.tolist():
+            row = int(active[k])
+            bits = Bits(bodies[row], int(bit[row]) - 8 * int(start[row]))
+            length = _value(int(symbol[k]) - 256, bits)
+            v = int(far[bits.peek(fn)])
+            bits.at += v & 15
+            step = _value(v >> 4, bits)
+            if step > 120:
+                step -= 120
+            else:
+                dx, dy = NEAR[step - 1]
+                step = max(1, dx + dy * width)
+            place = int(at[row])
+            if step > place or place + length > totals[row]:
+                raise WebPError("a back-reference leaves the image")
+            cells = out[row]
+            cells[place : place + length] = np.resize(cells[place - step : place], length) if step < length else cells[place - step : place - step + length]
+            new = cells[place : place + length]
+            cache[row, (new * factor) >> shift] = new
+            at[row], bit[row] = place + length, bits.at + 8 * int(start[row])
+        if (bit[active] > stop[active]).any():
+            raise WebPError("the data ends too soon")
+        if int(at[active].max()) >= least:
+            active = active[at[active] < totals[active]]
+    for row in active.tolist():  # too few to go on in step
+        bits, total, place = Bits(bodies[row], int(bit[row]) - 8 * int(start[row])), int(totals[row]), int(at[row])
+        cells, cached, high = out[row, :place].tolist(), cache[row].tolist(), int(alpha[row])
+        shift_by = 32 - cache_bits
+        while len(cells) < total:
+            symbol = codes[0].read(bits)
+            before = len(cells)
+            if symbol < 256:
+                r = codes[1].read(bits)
+                cells.append(high | r << 16 | symbol << 8 | codes[2].read(bits))
+            elif symbol < 280:
+                length = _value(symbol - 256, bits)
+                step = _value(codes[3].read(bits), bits)
+                if step > 120:
+                    step -= 120
+                else:
+                    dx, dy = NEAR[step - 1]
+                    step = max(1, dx + dy * width)
+                if step > before or before + length > total:
+                    raise WebPError("a back-reference leaves the image")
+                for k in range(before, before + length):
+                    cells.append(cells[k - step])
+            else:
+                cells.append(cached[symbol - 280])
+            for c in cells[before:]:
+                cached[(CACHE_FACTOR * c & 0xFFFFFFFF) >> shift_by] = c
+            if bits.at > bits.end:
+                raise WebPError("the data ends too soon")
+        out[row, :total] = cells
+    return out
+
+
+_TOGETHER, _ALONE = 1024, 16
+
+
+def decode_many(files: list[bytes], known: Known) -> list[np.ndarray]:
+    """The pixels of many files, as ``decode`` gives them: those whose head was met before in step with others of the same codes, the rest one by one."""
+    out: list[np.ndarray | None] = [None] * len(files)
+    groups: dict[tuple[int, int], list[tuple[int, int, bytes, tuple]]] = {}
+    for i, file in enumerate(files):
+        if file[:4] != b"RIFF" or file[8:16] != b"WEBPVP8L":
+            raise WebPError("not a lossless WebP file")
+        body = file[20 : 20 + struct.unpack_from("<I", file, 16)[0]]
+        head = known.of(body)
+        if head is None:
+            known.learn(body)
+            head = known.of(body)
+        if head is not None:
+            sides = struct.unpack_from("<I", body, 1)[0]
+            groups.setdefault((head[5], (sides & 0x3FFF) + 1), []).append(((sides >> 14 & 0x3FFF) + 1, i, body, head))
+    for (number, width), members in groups.items():
+        members.sort(key=lambda m: -m[0])
+        for lo in range(0, len(members), _TOGETHER):
+            some = members[lo : lo + _TOGETHER]
+            if len(some) < _ALONE:
+                continue
+            heights = np.array([m[0] for m in some])
+            pixels = _side_by_side([m[2] for m in some], np.array([m[3][2] for m in some]), np.array([m[3][4] for m in some]), *known.codes[number], heights * width, width)
+            for row, (height, i, _, head) in enumerate(some):
+                own = pixels[row, : height * width]
+                for kind, value, size in reversed(head[3]):
+                    tiles = ((width + (1 << size) - 1) >> size) * ((height + (1 << size) - 1) >> size)
+                    if kind == SUBTRACT_GREEN:
+                        px = _channels(own).copy()
+                        px[:, 0] += px[:, 1]
+                        px[:, 2] += px[:, 1]
+                        own = px.view("<u4")[:, 0].astype(np.uint32)
+                    else:
+                        own = (undo_predictor if kind == PREDICTOR else undo_cross_colour)(own, np.full(tiles, value, np.uint32), size, width, height)
+                out[i] = _channels(own.reshape(height, width))[..., [2, 1, 0, 3]]
+    return [x if x is not None else decode(files[i])[0] for i, x in enumerate(out)]

@@ -284,3 +284,37 @@ def test_own_files_and_broken_ones():
     for bad in (b"", b"RIFF1234WEBPVP8 ", data[:20] + b"\0" + data[21:], data[:16] + struct.pack("<I", 40) + data[20:60]):
         with pytest.raises((webp.WebPError, struct.error)):
             webp.decode(bad)
+
+
+def test_files_of_every_way_are_read_in_step():
+    """The encoder's own files: each way, palettes and back-references are met, and the decoders agree."""
+    import random
+
+    from signalframe.llm import media
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmno") for _ in range(r.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(r.randint(1, 400))) for _ in range(150)]
+    texts += ["Ver " * 900, "é" * 3000, "", "x" * 192, texts[0] + texts[1] + texts[0] + texts[0], "ab" * 40_000]
+    payloads = [t.encode() + b" " * (max(192, -(-len(t.encode()) // 192) * 192) - len(t.encode())) for t in texts]
+    stored = [media.to_media(p) for p in payloads]
+    kinds, seen = set(), webp.Known()
+    for m in stored:
+        bits = webp.Bits(m[20:], 40)
+        kinds.add(bits.read(2) >> 1 if bits.peek(1) and bits.peek(3) >> 1 != webp.PALETTE else "palette" if bits.peek(1) else "plain")
+    assert "plain" in kinds and "palette" in kinds and len(kinds) >= 3
+    side_by_side = media.many_pixels(stored, seen)
+    assert len(seen.codes) == 1 and len(seen.heads) > 3
+    for p, m, x in zip(payloads, stored, side_by_side, strict=True):
+        assert x.tobytes() == p == media.to_pixels(m).tobytes()
+    flat = np.frombuffer(payloads[-2], np.uint8).reshape(-1, 3)
+    assert webp._matches(np.pad(flat, ((0, 0), (0, 1))).view("<u4")[:, 0]), "a repeated text has back-references"
+
+
+def test_broken_files_are_refused_in_step():
+    from signalframe.llm import media
+
+    stored = [media.to_media(bytes(range(33, 33 + 64)) * 3 * n) for n in range(20, 60)]
+    assert len(webp.decode_many(stored, webp.Known())) == 40
+    with pytest.raises(webp.WebPError):
+        webp.decode_many([s[: len(s) // 2] for s in stored], webp.Known())

@@ -284,3 +284,23 @@ def test_pipeline(spark):
     rows = out.collect()
     assert {r.doc_id for r in rows} < {r.doc_id for r in docs.collect()} and 0.6 * docs.count() < len(rows)
     assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in rows)
+
+
+def test_kept_trees_take_edits(spark):
+    """Trees built once and stored; later edits encode only what they touch, and the trees kept then are right for the next ones."""
+    from tokenizers import Tokenizer
+
+    from signalframe.llm.pretokens import default_path
+
+    t = Tokenizer.from_file(default_path())
+    t.encode_special_tokens = True
+    texts = ["some words here " * 400, "é\n\nx  y", "", "one", "one"]
+    trees = counts.build(frame(spark, texts)).cache()
+    for start, length, new in ((3000, 5, "edited  text"), (0, 0, "A "), (10_000, 3, " end")):
+        edits = F.array(F.struct(F.lit(start).alias("start"), F.lit(length).alias("length"), F.lit(new).alias("new")))
+        done = counts.apply_edits(trees.withColumn("edits", edits)).cache()
+        texts = [x[: min(start, len(x))] + new + x[min(start, len(x)) + length :] for x in texts]
+        rows = sorted(done.collect(), key=lambda r: (r.doc_id, r.text))
+        assert [(r.text, r.n_tokens_after) for r in rows] == [(x, len(t.encode(x, add_special_tokens=False).ids)) for x in texts]
+        assert all(r.n_recoded < 20 for r in rows), "an edit encodes what it touches"
+        trees = done.select("doc_id", "text", "tree", "n_words", F.col("n_tokens_after").alias("n_tokens"))

@@ -22,9 +22,10 @@ matches inside a passage leave no gap, and a passage of ``min_words + 2 * (windo
 - 1)`` words (50 by default) is always cut.  A document sends each of its fingerprints once, however often it has it: what it repeats of
 itself, and further places of a gram met elsewhere before, it knows alone.
 
-Rows are told apart by id: rows with equal ids count as one document, whose own
-later repeats go too.  Null ids count as one id.  Null and empty texts have no
-words and are returned as they are.
+Every row is a document of its own.  The first occurrence is that in the row with
+the least id, null before all, and of rows with one id in the first as they are
+read; the column name row__ is reserved.  Null and empty texts have no words and
+are returned as they are.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bloom, WordHash, mix, portions, released, stored
+from .common import Bloom, WordHash, mix, portions, released, settled, stored
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(2**64 - 1)
@@ -129,37 +130,35 @@ def _leaders(text: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint_rows(docs: DataFrame, key: str, text: str, gram: int, window: int, only: Bloom | None) -> DataFrame:
-    """(key, gram, first) of each fingerprint of a document; with ``only``, those that it lets through, and their margins."""
+    """The gram of each fingerprint of a document; with ``only``, (key, row__, gram, first, margins) of those that it lets through."""
     spark = docs.sparkSession
     shared = None if only is None else spark.sparkContext.broadcast(only)
 
     def run(batches):
         hasher = WordHash()
         for whole in batches:
-            for batch in portions(whole, 1):
-                words = Words(batch.column(1).to_pylist(), hasher)
+            for batch in portions(whole, 2):
+                words = Words(batch.column(2).to_pylist(), hasher)
                 first, value = words.fingerprints(gram, window)
                 keep = _leaders(words.text[first], value) == np.arange(len(first))
                 if shared is not None:
                     keep &= shared.value.has(value)
                 first, value = first[keep], value[keep]
-                ids = batch.column(0).take(pa.array(words.text[first]))
+                if shared is None:
+                    yield pa.record_batch([pa.array(value.view(np.int64))], names=["gram"])
+                    continue
+                own = pa.array(words.text[first])
                 at = first - words.offset[words.text[first]]
-                columns = [ids, pa.array(value.view(np.int64)), pa.array(at.astype(np.int32))]
-                names = [key, "gram", "first"]
-                if shared is not None:
-                    margins = words.margins(first, gram, window - 1)
-                    columns.append(pa.array([m.tobytes() for m in margins], pa.binary()))
-                    names.append("margins")
-                yield pa.record_batch(columns, names=names)
+                columns = [batch.column(0).take(own), batch.column(1).take(own), pa.array(value.view(np.int64)), pa.array(at.astype(np.int32))]
+                columns.append(pa.array([m.tobytes() for m in words.margins(first, gram, window - 1)], pa.binary()))
+                yield pa.record_batch(columns, names=["key", "row__", "gram", "first", "margins"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, gram long, first int" + ("" if only is None else ", margins binary")
-    return docs.select(F.col(key), F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
+    schema = "gram long" if only is None else f"key {docs.schema[key].dataType.simpleString()}, row__ long, gram long, first int, margins binary"
+    return docs.select(F.col(key), "row__", F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gram: int = 16, window: int = 11) -> DataFrame:
-    """(key, matches): for each document its grams that came before elsewhere, with the margins of their first occurrence."""
+    """(row__, matches): for each document (of ``docs`` with the column row__) its grams that came before elsewhere, with the margins of their first occurrence."""
     spark = docs.sparkSession
     repeated = _fingerprint_rows(docs, key, text, gram, window, None).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     filter_of_repeated = Bloom.over(repeated, "gram")
@@ -169,13 +168,13 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gr
     # stored, so that both sides of the join come straight from their exchanges and hot grams can be split
     firsts = stored(
         rows.groupBy("gram")
-        .agg(F.min(F.struct(key, "first", "margins")).alias("least"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("key", "row__", "first", "margins")).alias("least"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("gram", F.col(f"least.{key}").alias("first_key"), F.col("least.margins").alias("first_margins"))
+        .select("gram", F.col("least.row__").alias("first_row"), F.col("least.margins").alias("first_margins"))
     )
     released(spark)
-    later = rows.select(key, "gram").join(firsts, "gram").where(~F.col(key).eqNullSafe(F.col("first_key")))
-    return later.groupBy(key).agg(F.collect_set(F.struct("gram", F.col("first_margins").alias("margins"))).alias("matches"))
+    later = rows.select("row__", "gram").join(firsts, "gram").where("row__ <> first_row")
+    return later.groupBy("row__").agg(F.collect_set(F.struct("gram", F.col("first_margins").alias("margins"))).alias("matches"))
 
 
 def cut_repeats(texts: list[bytes | None], matches: list[dict[int, bytes] | None], gram: int, window: int, min_words: int, hasher: WordHash) -> list[tuple[bytes | None, int, int, int]]:
@@ -238,8 +237,9 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gra
 
     With ``report`` the columns are instead: key, text, n_lines, n_runs (deleted), n_words (deleted).
     """
-    found = find_repeats(docs, key=key, text=text, gram=gram, window=window).withColumnRenamed(key, "repeat_key__")
-    both = docs.join(found.withColumnRenamed("matches", "matches__"), F.col(key).eqNullSafe(F.col("repeat_key__")), "left").drop("repeat_key__")
+    rows = settled(docs).withColumn("row__", F.monotonically_increasing_id())
+    found = find_repeats(rows, key=key, text=text, gram=gram, window=window).withColumnRenamed("matches", "matches__")
+    both = rows.join(found, "row__", "left").drop("row__")
     place, kinds = docs.columns.index(text), docs.schema
     names = docs.columns
 

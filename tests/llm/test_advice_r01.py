@@ -143,3 +143,28 @@ def test_items_without_an_id_are_hit(spark):
     got = {x.doc_id: x for x in decontaminate.find_hits(docs, items, 10).collect()}
     assert (got[0].n_hit, got[0].item_ids, got[1].n_hit) == (12, [], 0)
     assert [x.doc_id for x in decontaminate.remove_contaminated(docs, items).collect()] == [1]
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    """Of a passage in two rows of one id and in one of another, the first row's stays; null ids come before all."""
+    from signalframe.llm import lines
+
+    passage = " ".join(f"u{i}" for i in range(80))
+    rows = [(1, passage), (1, passage), (2, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(x.n_words for x in lines.dedup_lines(df, report=True).collect()) == [0, 80, 80]
+    df = spark.createDataFrame([*rows, (None, passage), (None, passage)], "doc_id long, text string").coalesce(1)
+    got = lines.dedup_lines(df, report=True).collect()
+    assert sorted((x.doc_id or 0, x.n_words) for x in got) == [(0, 0), (0, 80), (1, 80), (1, 80), (2, 80)]
+
+
+def test_hits_are_the_same_for_any_block_size(spark):
+    from signalframe.llm import decontaminate
+
+    r = random.Random(3)
+    items = [" ".join(words(r, r.choice([3, 9, 10, 15]))) for _ in range(12)]
+    texts = [" ".join(words(r, 5)) + " " + r.choice(items) + " " + " ".join(words(r, 7)) for _ in range(20)] + ODD
+    docs = frame(spark, texts).selectExpr("doc_id div 2 as doc_id", "text")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = [sorted(map(str, decontaminate.find_hits(docs, bench, 10, block_bytes=b).collect())) for b in (1 << 20, 200, 64)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(texts) and any("Row(first" in x for x in got[0])

@@ -9,10 +9,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialised
+
 WILDCARD = "<*>"
 _SPACE = re.compile("[\t-\r \xa0]+")
 
@@ -109,20 +111,46 @@ def reconstruct(template: str, variables: list[str]) -> str:
 
 
 def mine(logs: DataFrame, stream: str = "stream", **settings) -> DataFrame:
-    """(stream, seq, template_id, template, variables): the final template of each line and the variables at its wildcards."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        drain = Drain(**settings)
-        ids = [drain.add(body)[0] for body in rows["body"]]
-        templates = [" ".join(t) for t in drain.templates]
-        return pd.DataFrame({
-            stream: rows[stream], "seq": rows["seq"], "template_id": ids, "template": [templates[i - 1] for i in ids],
-            "variables": [drain._variables(i - 1, tokens_of(body)) for i, body in zip(ids, rows["body"], strict=True)],
-        })
-
-    schema = f"{stream} string, seq bigint, template_id int, template string, variables array<string>"
-    return logs.where(F.col("body").isNotNull()).select(stream, "seq", "body").groupBy(stream).applyInPandas(run, schema)
+    """(stream, seq, template_id, template, variables): the final template of each line and the variables at its wildcards.
+
+    Lines pass through one by one in order of their stream and seq, so a task holds
+    the templates of one stream only; lines meet the templates as they are in the end
+    afterwards.
+    """
+    kind = logs.schema[stream].dataType.simpleString()
+
+    def run(batches):
+        drain, last = None, None
+
+        def ended():
+            ids = list(range(1, len(drain.templates) + 1))
+            return pa.record_batch([pa.array([last] * len(ids), stream_type), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.string()), pa.array(ids, pa.int32()), pa.array([" ".join(t) for t in drain.templates], pa.string())], names=names)
+
+        names = [stream, "seq", "body", "template_id", "template"]
+        for batch in batches:
+            stream_type, ids, begin = batch.schema.field(0).type, [], 0
+            streams = batch.column(0).to_pylist()
+            for i, (own, body) in enumerate(zip(streams, batch.column(2).to_pylist(), strict=True)):
+                if drain is None or own != last:
+                    if drain is not None:
+                        if i > begin:
+                            yield pa.record_batch([*(c.slice(begin, i - begin) for c in batch.columns), pa.array(ids, pa.int32()), pa.nulls(i - begin, pa.string())], names=names)
+                        yield ended()
+                    drain, last, ids, begin = Drain(**settings), own, [], i
+                ids.append(drain.add(body)[0])
+            if ids:
+                yield pa.record_batch([*(c.slice(begin) for c in batch.columns), pa.array(ids, pa.int32()), pa.nulls(len(ids), pa.string())], names=names)
+        if drain is not None:
+            yield ended()
+
+    rows = logs.where(F.col("body").isNotNull()).select(stream, F.col("seq").cast("long").alias("seq"), "body")
+    mined = materialised(rows.repartition(stream).sortWithinPartitions(stream, "seq").mapInArrow(run, f"`{stream}` {kind}, seq long, body string, template_id int, template string"))
+    templates = mined.where("seq is null").select(F.col(stream).alias("own_stream"), "template_id", "template")
+    lines = mined.where("seq is not null").drop("template")
+    both = lines.join(templates, (lines[stream].eqNullSafe(templates.own_stream)) & (lines.template_id == templates.template_id)).select(lines[stream], "seq", lines.template_id, "template", "body")
+    words = F.filter(F.split("body", "[\\t-\\r \\u00a0]+"), lambda w: w != "")
+    pairs = F.zip_with(F.split("template", " "), words, lambda t, w: F.when(t == WILDCARD, w))
+    return both.select(stream, "seq", "template_id", "template", F.when(F.size(words) > 0, F.array_compact(pairs)).otherwise(F.array().cast("array<string>")).alias("variables"))
 
 
 #: The kinds of a template's variables, the first that all values of a slot have.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import checked
 from ..operators import metrics as ops
+from ..storage import SampleStore
 
 OPS = ("=", "!=", "=~", "!~")
 
@@ -117,6 +118,15 @@ class MetricQuery:
             out = f(out)
         return out
 
+    def over(self, store: SampleStore) -> DataFrame:
+        """The result over a store: days outside the range are not read, and the groups come from its table of series."""
+        p = self.plan()
+        day = 86_400 * int(ops.TICKS_PER_SECOND[self.unit])
+        rows = store.samples()
+        if self.unit == "ns":  # the layout's days are of nanoseconds
+            rows = rows.where(F.col("day").between(p.start // day, p.end // day))
+        return self.frame(rows.drop("day"), store.series())
+
     def _series(self, ranged: DataFrame, p: Plan) -> DataFrame:
         if p.transform in ops.TEMPORAL and p.step is not None:
             rows = ops.step_from_data(ranged, ["series_id"], p.transform, p.step, self.unit)

@@ -162,6 +162,20 @@ def stored_samples(s: SparkSession, d: str) -> DataFrame:
 simple("stored_samples", stored_samples, f"WITH {SAMPLES} SELECT ts_ns // {DAY} AS day, count(*) AS n, round(sum(value), 4) AS total FROM samples WHERE ts_ns // {DAY} >= {START // DAY + 3} GROUP BY 1")
 
 
+def stored_steps(s: SparkSession, d: str) -> DataFrame:
+    """Averages by type over a store that was filled in two parts."""
+    store, rows = storage.SampleStore(s, folder(s)), event_samples(s, d)
+    for part in (0, 1):
+        store.append(rows.where(F.col("seq") % 2 == part), files=2)
+    q = MetricQuery().metric("event_value").range(START, START + 6 * DAY).step(DAY).avg_by("event_type")
+    return q.over(store).select(F.element_at("labels", F.lit("event_type")).alias("event_type"), "ts_ns", F.round("value", 9).alias("value"))
+
+
+simple("stored_steps", stored_steps, f"""WITH {SAMPLES}, grid AS (SELECT event_type, {START} + i * {DAY} AS ts_ns FROM (SELECT DISTINCT event_type FROM samples), range(7) r(i)),
+    c AS (SELECT event_type, {START} + (ts_ns - {START}) // {DAY} * {DAY} AS ts_ns, avg(value) AS v FROM samples WHERE ts_ns BETWEEN {START} AND {START + 6 * DAY} GROUP BY 1, 2)
+    SELECT event_type, ts_ns, round(v, 9) AS value FROM grid LEFT JOIN c USING (event_type, ts_ns)""")
+
+
 def stored_spans(s: SparkSession, d: str) -> DataFrame:
     path = folder(s)
     storage.write_spans(event_spans(s, d), path)

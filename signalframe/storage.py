@@ -66,3 +66,28 @@ def table_stats(df: DataFrame) -> DataFrame:
     """Files, bytes and rows of a table read from files."""
     per_file = df.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).count()
     return per_file.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.sum("count").alias("rows"))
+
+
+class SampleStore:
+    """Samples in their layout beside a table of their series, which names the groups of a query without a scan of the samples."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _there(self, part: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+    def append(self, samples: DataFrame, files: int | None = None) -> None:
+        """Add samples, and those of their series that are new."""
+        own = samples.groupBy("series_id").agg(F.any_value("metric").alias("metric"), F.any_value("labels").alias("labels"))
+        new = materialised(own.join(self.series().select("series_id"), "series_id", "left_anti") if self._there("series") else own)
+        write_samples(samples, f"{self.path}/samples", files)
+        new.write.mode("append").parquet(f"{self.path}/series")
+
+    def samples(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/samples")
+
+    def series(self) -> DataFrame:
+        """(series_id, metric, labels)."""
+        return self.spark.read.parquet(f"{self.path}/series")

@@ -52,3 +52,29 @@ def test_drain_by_stream_and_slots(spark):
     got = {(r.stream, r.template) for r in mined.collect()}
     assert got == {("s", "user <*> logged in successfully"), ("t", "took <*> ms")}
     assert {(r.stream, r.kind) for r in slot_types(mined).collect()} == {("s", "prefixed_integer"), ("t", "integer")}
+
+
+def test_mined_templates_are_those_of_plain_miners(spark):
+    """Every stream as one miner of its own would have it, and all lines come back from template and variables."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from signalframe.operators import drain
+
+    r = random.Random(9)
+    kinds = ["user {} logged in from {}", "job {} done", "cache miss for key {} in {} ms", "\t spaced   out {} \u00a0 line ", ""]
+    rows = [(r.choice("abc"), i, r.choice(kinds).format(r.choice(["x", "17", "203"]), r.randrange(1000))) for i in range(600)]
+    rows += [("b", 700, None), (None, 701, "alone 1"), (None, 702, "alone 2")]
+    df = spark.createDataFrame(rows, "stream string, seq long, body string").orderBy(F.rand(1))
+    got = {x.seq: x for x in drain.mine(df).collect()}
+    for stream in ("a", "b", "c", None):
+        plain, own = drain.Drain(), sorted((seq, body) for s, seq, body in rows if s == stream and body is not None)
+        ids = {seq: plain.add(body)[0] for seq, body in own}
+        for seq, body in own:
+            template = " ".join(plain.templates[ids[seq] - 1])
+            x = got[seq]
+            assert (x.stream, x.template_id, x.template) == (stream, ids[seq], template)
+            assert list(x.variables) == plain._variables(ids[seq] - 1, drain.tokens_of(body))
+            assert drain.reconstruct(x.template, list(x.variables)) == " ".join(drain.tokens_of(body))
+    assert len(got) == sum(b is not None for _, _, b in rows)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bloom, WordHash, mix, portions, released, settled, stored
+from .common import Bloom, WordHash, loosened, mix, portions, released, settled, squeezed, stored
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(2**64 - 1)
@@ -239,21 +239,30 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gra
     """
     rows = settled(docs).withColumn("row__", F.monotonically_increasing_id())
     found = find_repeats(rows, key=key, text=text, gram=gram, window=window).withColumnRenamed("matches", "matches__")
-    both = rows.join(found, "row__", "left").drop("row__")
     place, kinds = docs.columns.index(text), docs.schema
     names = docs.columns
 
+    def squeeze(batches):
+        """Texts are compressed on their way to their matches."""
+        for whole in batches:
+            for batch in portions(whole, place):
+                new = pa.array([None if t is None else squeezed(t) for t in batch.column(place).to_pylist()], pa.binary())
+                yield pa.record_batch([new if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    rows = rows.withColumn(text, F.col(text).cast("binary"))
+    both = rows.mapInArrow(squeeze, rows.schema).join(found, "row__", "left").drop("row__")
+
     def run(batches):
         hasher = WordHash()
         for whole in batches:
-            for batch in portions(whole, place):
+            for batch in portions(whole, place, size=1 << 19):
                 held = [m and {x["gram"]: x["margins"] for x in m} for m in batch.column(len(names)).to_pylist()]
-                done = cut_repeats(batch.column(place).cast(pa.binary()).to_pylist(), held, gram, window, min_words, hasher)
+                done = cut_repeats([None if t is None else loosened(t) for t in batch.column(place).to_pylist()], held, gram, window, min_words, hasher)
                 new = pa.array([x[0] for x in done], pa.binary()).cast(pa.string())
                 if report:
                     yield pa.record_batch([batch.column(names.index(key)), new, *(pa.array([x[i] for x in done], pa.int64()) for i in (1, 2, 3))], names=[key, "text", "n_lines", "n_runs", "n_words"])
                 else:
-                    yield pa.record_batch([new.cast(batch.column(i).type) if i == place else batch.column(i) for i in range(len(names))], names=names)
+                    yield pa.record_batch([new if i == place else batch.column(i) for i in range(len(names))], names=names)
 
     if report:
         return both.mapInArrow(run, T.StructType([kinds[key], T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_runs", "n_words"))]))

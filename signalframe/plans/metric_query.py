@@ -119,13 +119,13 @@ class MetricQuery:
         return out
 
     def over(self, store: SampleStore) -> DataFrame:
-        """The result over a store: days outside the range are not read, and the groups come from its table of series."""
+        """The result over a store (of nanoseconds): the series and their groups come from its table of series, the samples of the range from its days."""
+        if self.unit != "ns":
+            raise ValueError("a store holds nanoseconds")
         p = self.plan()
-        day = 86_400 * int(ops.TICKS_PER_SECOND[self.unit])
-        rows = store.samples()
-        if self.unit == "ns":  # the layout's days are of nanoseconds
-            rows = rows.where(F.col("day").between(p.start // day, p.end // day))
-        return self.frame(rows.drop("day"), store.series())
+        series = ops.select_series(store.series(), p.metric, p.matchers)
+        bare = replace(self, matchers=())  # the join with the chosen series has applied them
+        return bare.frame(store.samples(series, p.metric, p.start, p.end), series)
 
     def _series(self, ranged: DataFrame, p: Plan) -> DataFrame:
         if p.transform in ops.TEMPORAL and p.step is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder where that is unset (local runs)."""
+    """``spark.checkpoint.dir``; a temporary folder where that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -69,7 +72,13 @@ def table_stats(df: DataFrame) -> DataFrame:
 
 
 class SampleStore:
-    """Samples in their layout beside a table of their series, which names the groups of a query without a scan of the samples."""
+    """Samples beside a table of their series.
+
+    A sample has the 64-bit hash of its series, not its labels; a query picks the
+    series it wants from their table, which is small beside the samples, and joins
+    them to the samples of its days by that number.  Groups come from the table of
+    series as well, so nothing outside the range is read.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -80,14 +89,27 @@ class SampleStore:
 
     def append(self, samples: DataFrame, files: int | None = None) -> None:
         """Add samples, and those of their series that are new."""
-        own = samples.groupBy("series_id").agg(F.any_value("metric").alias("metric"), F.any_value("labels").alias("labels"))
-        new = materialised(own.join(self.series().select("series_id"), "series_id", "left_anti") if self._there("series") else own)
-        write_samples(samples, f"{self.path}/samples", files)
+        number = F.xxhash64("series_id").alias("sid")
+        own = samples.groupBy(number).agg(F.any_value("series_id").alias("series_id"), F.any_value("metric").alias("metric"), F.any_value("labels").alias("labels"))
+        new = materialised(own.join(self.series().select("sid"), "sid", "left_anti") if self._there("series") else own)
+        rows = samples.select("metric", F.expr("cast(ts_ns div 86400000000000L as int)").alias("day"), number, "ts_ns", "value", "seq")
+        columns = ["metric", "day", "sid", "ts_ns"]
+        dealt = rows.repartitionByRange(files, *columns) if files else rows.repartitionByRange(*columns)
+        dealt.sortWithinPartitions(*columns).write.mode("append").partitionBy("metric", "day").option("compression", "zstd").parquet(f"{self.path}/samples")
         new.write.mode("append").parquet(f"{self.path}/series")
 
-    def samples(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/samples")
-
     def series(self) -> DataFrame:
-        """(series_id, metric, labels)."""
+        """(sid, series_id, metric, labels)."""
         return self.spark.read.parquet(f"{self.path}/series")
+
+    def samples(self, series: DataFrame | None = None, metric: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+        """Samples with the labels of their series: of ``series`` (rows of its table), of one metric, from ``start`` to ``end`` (ns), where given."""
+        rows = self.spark.read.parquet(f"{self.path}/samples")
+        if metric is not None:
+            rows = rows.where(F.col("metric") == metric)
+        if start is not None:
+            rows = rows.where((F.col("day") >= start // 86_400_000_000_000) & (F.col("ts_ns") >= start))
+        if end is not None:
+            rows = rows.where((F.col("day") <= end // 86_400_000_000_000) & (F.col("ts_ns") <= end))
+        own = (self.series() if series is None else series).select("sid", "series_id", "labels")
+        return rows.join(own, "sid").select("series_id", "metric", "labels", "ts_ns", "value", "seq")

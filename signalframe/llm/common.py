@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import gc
 import itertools
+import re
 import struct
 import tempfile
 import uuid
@@ -25,9 +26,11 @@ PLAIN = bytes(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares: ``spark.checkpoint.dir``; a temporary one where that is unset (local tests)."""
+    """The folder that the cluster shares: ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

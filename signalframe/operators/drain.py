@@ -7,7 +7,9 @@ order by one task; streams run side by side.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,15 @@ WILDCARD = "<*>"
 _SPACE = re.compile("[\t-\r \xa0]+")
 
 
+class Miner(Protocol):
+    """What ``mine`` needs of a template extractor, of which it makes one for each stream: ``templates`` by id less 1, as tokens with wildcards."""
+
+    templates: list[list[str]]
+
+    def add(self, line: str) -> tuple[int, ...]:
+        """The id of the line's template, from 1 on, first of what it returns."""
+
+
 def tokens_of(line: str) -> list[str]:
     return [t for t in _SPACE.split(line) if t]
 
@@ -110,12 +121,12 @@ def reconstruct(template: str, variables: list[str]) -> str:
     return " ".join(next(left, "") if t == WILDCARD else t for t in template.split(" "))
 
 
-def mine(logs: DataFrame, stream: str = "stream", **settings) -> DataFrame:
+def mine(logs: DataFrame, stream: str = "stream", miner: Callable[..., Miner] = Drain, **settings) -> DataFrame:
     """(stream, seq, template_id, template, variables): the final template of each line and the variables at its wildcards.
 
     Lines pass through one by one in order of their stream and seq, so a task holds
     the templates of one stream only; lines meet the templates as they are in the end
-    afterwards.
+    afterwards.  ``miner`` makes the extractor of a stream from the settings.
     """
     kind = logs.schema[stream].dataType.simpleString()
 
@@ -136,7 +147,7 @@ def mine(logs: DataFrame, stream: str = "stream", **settings) -> DataFrame:
                         if i > begin:
                             yield pa.record_batch([*(c.slice(begin, i - begin) for c in batch.columns), pa.array(ids, pa.int32()), pa.nulls(i - begin, pa.string())], names=names)
                         yield ended()
-                    drain, last, ids, begin = Drain(**settings), own, [], i
+                    drain, last, ids, begin = miner(**settings), own, [], i
                 ids.append(drain.add(body)[0])
             if ids:
                 yield pa.record_batch([*(c.slice(begin) for c in batch.columns), pa.array(ids, pa.int32()), pa.nulls(len(ids), pa.string())], names=names)
@@ -159,6 +170,7 @@ SLOT_KINDS = (
     ("integer", "^-?(0|[1-9][0-9]{0,17})$"),
     ("timestamp", "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?Z?$"),
     ("prefixed_integer", "^[^0-9]+(0|[1-9][0-9]{0,17})$"),
+    ("prefixed_uuid", "^.+[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
 )
 
 
@@ -167,6 +179,7 @@ def slot_types(mined: DataFrame, stream: str = "stream", min_rows: int = 50) ->
     slots = mined.select(stream, "template_id", F.posexplode("variables").alias("slot", "value"))
     checks = [F.bool_and(F.col("value").rlike(p)).alias(k) for k, p in SLOT_KINDS]
     prefixes = F.countDistinct(F.regexp_extract("value", "^([^0-9]*)", 1)).alias("prefixes")
-    out = slots.groupBy(stream, "template_id", "slot").agg(F.count("*").alias("n"), prefixes, *checks).where(F.col("n") >= min_rows)
-    kind = F.when(F.col("uuid"), "uuid").when(F.col("integer"), "integer").when(F.col("timestamp"), "timestamp").when(F.col("prefixed_integer") & (F.col("prefixes") == 1), "prefixed_integer").otherwise("string")
+    heads = F.countDistinct(F.regexp_extract("value", "^(.*)[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", 1)).alias("heads")
+    out = slots.groupBy(stream, "template_id", "slot").agg(F.count("*").alias("n"), prefixes, heads, *checks).where(F.col("n") >= min_rows)
+    kind = F.when(F.col("uuid"), "uuid").when(F.col("integer"), "integer").when(F.col("timestamp"), "timestamp").when(F.col("prefixed_integer") & (F.col("prefixes") == 1), "prefixed_integer").when(F.col("prefixed_uuid") & (F.col("heads") == 1), "prefixed_uuid").otherwise("string")
     return out.select(stream, "template_id", "slot", "n", kind.alias("kind"))

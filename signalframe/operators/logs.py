@@ -128,3 +128,9 @@ def analysis(logs: DataFrame) -> dict[str, DataFrame]:
         "warnings": clusters(logs.where("severity_number between 13 and 16"), 10),
         "templates": masked_templates(logs),
     }
+
+
+def query_stats(logs: DataFrame, condition: Column, stream: str = "stream") -> DataFrame:
+    """(streams, streams_hit, scanned, emitted): what a query over ``logs`` reads and gives."""
+    hit = F.coalesce(condition, F.lit(False))
+    return logs.agg(F.countDistinct(stream).alias("streams"), F.countDistinct(F.when(hit, F.col(stream))).alias("streams_hit"), F.count("*").alias("scanned"), F.count_if(hit).alias("emitted"))

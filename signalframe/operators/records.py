@@ -161,13 +161,14 @@ def tail(points: DataFrame, n: int) -> DataFrame:
     return points.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(F.desc("bucket_ns")))).where(F.col("r") <= n).drop("r")
 
 
-def extremes(points: DataFrame, chunks: int) -> DataFrame:
-    """For each key and chunk of its points the first, last, least and greatest."""
+def extremes(points: DataFrame, chunks: int, max_points: int | None = None) -> DataFrame:
+    """For each key and chunk of its points the first, last, least and greatest; of more than ``max_points`` in all, those at an even stride."""
     order = W.partitionBy("key").orderBy("bucket_ns")
     rows = points.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(W.partitionBy("key"))}).withColumn("chunk", F.floor(F.col("i") * chunks / F.col("n")))
     p = F.struct("bucket_ns", "value")
     g = rows.groupBy("key", "chunk").agg(F.array_distinct(F.array(F.min_by(p, "i"), F.max_by(p, "i"), F.min_by(p, F.struct("value", "i")), F.max_by(p, F.struct("value", "i")))).alias("p"))
-    return g.select("key", F.explode("p").alias("p")).select("key", "p.bucket_ns", "p.value")
+    out = g.select("key", F.explode("p").alias("p")).select("key", "p.bucket_ns", "p.value")
+    return out if max_points is None else thinned(out, max_points)
 
 
 def correlate(records: DataFrame, windows: DataFrame) -> DataFrame:

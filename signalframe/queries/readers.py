@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import values
-from ..operators import bench, logs, metrics, records, traces
+from ..operators import bench, drain, logs, metrics, records, traces
 from ..plans.log_query import LogQuery
 from ..plans.metric_query import MetricQuery, recipes
 from ..sources import benchmarks, otlp
@@ -162,6 +162,16 @@ def stored_samples(s: SparkSession, d: str) -> DataFrame:
 simple("stored_samples", stored_samples, f"WITH {SAMPLES} SELECT ts_ns // {DAY} AS day, count(*) AS n, round(sum(value), 4) AS total FROM samples WHERE ts_ns // {DAY} >= {START // DAY + 3} GROUP BY 1")
 
 
+def chunk_policy(s: SparkSession, d: str) -> DataFrame:
+    """Samples in files of at most 40 rows."""
+    path = folder(s)
+    storage.write_samples(event_samples(s, d), path, files=1, max_rows=40, group_mb=8)
+    return storage.table_stats(s.read.parquet(path)).select("files", "rows")
+
+
+simple("stored_chunks", chunk_policy, f"WITH {SAMPLES}, n AS (SELECT count(*) AS n FROM samples GROUP BY ts_ns // {DAY}) SELECT CAST(sum(ceil(n / 40.0)) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS rows FROM n")
+
+
 def stored_steps(s: SparkSession, d: str) -> DataFrame:
     """Averages by type over a store that was filled in two parts."""
     store, rows = storage.SampleStore(s, folder(s)), event_samples(s, d)
@@ -368,6 +378,41 @@ simple("log_iterated", lambda s, d: s.createDataFrame([(r.seq, r.severity_number
 simple("log_overview", lambda s, d: logs.analysis(event_logs(s, d))["services"], f"SELECT service, count(*) AS n, count(*) FILTER (severity_number >= 17) AS errors, count(*) FILTER (severity_number >= 17) / count(*) AS error_rate FROM ({EVENT_LOGS}) GROUP BY 1")
 
 
+simple("log_query_stats", lambda s, d: logs.query_stats(event_logs(s, d), logs.log_filter(severity_gte=17)), f"SELECT count(DISTINCT service) AS streams, count(DISTINCT service) FILTER (severity_number >= 17) AS streams_hit, count(*) AS scanned, count(*) FILTER (severity_number >= 17) AS emitted FROM ({EVENT_LOGS})")
+
+
+class _FirstWord:
+    """A template extractor that tells lines apart by their first word alone."""
+
+    def __init__(self) -> None:
+        self.templates: list[list[str]] = []
+        self.ids: dict[tuple, int] = {}
+
+    def add(self, line: str) -> tuple[int]:
+        words = drain.tokens_of(line)
+        key = (len(words), *words[:1])
+        if key not in self.ids:
+            self.templates.append([*words[:1], *[drain.WILDCARD] * (len(words) - 1)])
+            self.ids[key] = len(self.templates)
+        return (self.ids[key],)
+
+
+simple("log_own_miner", lambda s, d: drain.mine(event_logs(s, d), miner=_FirstWord).groupBy("stream", "template").agg(F.count("*").alias("n"), F.max(F.element_at("variables", 3)).alias("greatest")),
+       f"SELECT service AS stream, split_part(body, ' ', 1) || repeat(' <*>', 4) AS template, count(*) AS n, max(split_part(body, ' ', 4)) AS greatest FROM ({EVENT_LOGS}) GROUP BY 1, 2")
+
+
+def uuid_slots(s: SparkSession, d: str) -> DataFrame:
+    """Lines with a number, a prefixed number and a prefixed UUID."""
+    h = F.md5(F.col("event_id").cast("string"))
+    body = F.concat(F.lit("start of the job "), F.col("event_id").cast("string"), F.lit(" by u"), F.col("user_id").cast("string"), F.lit(" with id-"), F.substring(h, 1, 8), F.lit("-1111-2222-3333-"), F.substring(h, 1, 12))
+    rows = table(s, d, "events").select(F.lit("one").alias("stream"), F.col("event_id").alias("seq"), body.alias("body"))
+    return drain.slot_types(drain.mine(rows)).select("slot", "n", "kind")
+
+
+simple("log_slot_kinds", uuid_slots, "SELECT CAST(slot AS INTEGER) AS slot, n, kind FROM (SELECT count(*) AS n FROM events), (VALUES (0, 'integer'), (1, 'prefixed_integer'), (2, 'prefixed_uuid')) v(slot, kind)")
+simple("record_predicate", lambda s, d: event_records(s, d).where(records.record_filter(attributes={"event_type": lambda v: v.startswith("c"), "user_bucket": lambda v: v.cast("int") > 6})).select("seq"), f"WITH {SAMPLES} SELECT seq FROM samples WHERE event_type LIKE 'c%' AND CAST(user_bucket AS INTEGER) > 6")
+simple("extremes_thinned", lambda s, d: records.extremes(frame_of(s, d), 4, 6).groupBy("key").agg(F.count("*").alias("n")), f"WITH {SAMPLES}, {DAILY} SELECT series_id AS key, 6 AS n FROM daily GROUP BY 1")
+
 # benchmark results
 def go_lines(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select(F.col("event_id").cast("string").alias("file"), F.floor(F.col("value") * 100).cast("long").alias("v"), "user_id")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,12 +28,20 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_samples(samples: DataFrame, path: str, files: int | None = None, codec: str = "zstd") -> None:
-    """Samples by metric and day, sorted by series and time, so selectors and ranges prune folders and row groups."""
+def chunked(writer: DataFrameWriter, codec: str, max_rows: int | None = None, group_mb: int | None = None) -> DataFrameWriter:
+    """The policy by which a table is cut: its codec, the most rows of a file, and the size of a row group."""
+    writer = writer.option("compression", codec)
+    if max_rows is not None:
+        writer = writer.option("maxRecordsPerFile", max_rows)
+    return writer if group_mb is None else writer.option("parquet.block.size", group_mb << 20)
+
+
+def write_samples(samples: DataFrame, path: str, files: int | None = None, codec: str = "zstd", **policy) -> None:
+    """Samples by metric and day, sorted by series and time, so selectors and ranges prune folders and row groups; see ``chunked`` for the policy."""
     rows = samples.withColumn("day", F.expr("cast(ts_ns div 86400000000000L as int)"))
     columns = ["metric", "day", "series_id", "ts_ns"]
     rows = rows.repartitionByRange(files, *columns) if files else rows.repartitionByRange(*columns)
-    rows.sortWithinPartitions(*columns).write.mode("append").partitionBy("metric", "day").option("compression", codec).parquet(path)
+    chunked(rows.sortWithinPartitions(*columns).write.mode("append").partitionBy("metric", "day"), codec, **policy).parquet(path)
 
 
 def write_spans(spans: DataFrame, path: str, codec: str = "zstd") -> None:

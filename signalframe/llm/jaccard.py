@@ -53,6 +53,7 @@ from .common import Bloom, WordHash, bounds, dealt, input_bytes, loosened, met,
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _SCHEME = np.uint64(1 << 8)  # the bit of a signature that holds the parity of its band, the last of the upper 56
 _SALTS = 64
+_WANTED = 1 << 14
 SLICE = 8 << 20
 BUCKET = 8 << 20  # bytes of input for each bucket of signatures
 
@@ -335,8 +336,13 @@ def _centred(compared: DataFrame, bands: Bands) -> DataFrame:
 
 def _through_centers(centred: DataFrame, bands: Bands) -> DataFrame:
     """Candidate pairs (a, b) among the members of large buckets, of which one is alone."""
-    centred = centred.join(centred.where("alone").select("leader").distinct(), "leader", "left_semi")
-    rows = centred.select("leader", "id", "n", "nc", "alone", F.size("difference").alias("d"), F.explode("difference").alias("element"))
+    # only what sets have that are alone can be met: where that is little, it goes to all members of the bucket
+    alone = centred.where("alone").groupBy("leader").agg(F.sum(F.size("difference")).alias("size"))
+    few = alone.where(F.col("size") <= _WANTED).select("leader")
+    wanted = centred.where("alone").join(few, "leader", "left_semi").groupBy("leader").agg(F.array_distinct(F.flatten(F.collect_list("difference"))).alias("wanted"))
+    own = ("leader", "id", "n", "nc", "alone", F.size("difference").alias("d"))
+    rows = centred.join(wanted, "leader").select(*own, F.explode(F.array_intersect("difference", "wanted")).alias("element"))
+    rows = rows.unionAll(centred.join(alone.where(F.col("size") > _WANTED), "leader", "left_semi").select(*own, F.explode("difference").alias("element")))
     # an element that no set has that is alone, or one set only, meets nothing
     shared = rows.groupBy("leader", "element").agg(F.count("*").alias("often"), F.bool_or("alone").alias("wanted")).where("wanted and often > 1").select("leader", "element", "often")
     held = rows.join(shared, ["leader", "element"]).groupBy("leader", "id").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("elements"), F.first("n").alias("n"), F.first("nc").alias("nc"), F.first("alone").alias("alone"), F.first("d").alias("d"))

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import WordHash, bounds, dealt, input_bytes, loosened, met, numbered, pack, planes, portions, settled, squeezed, unpack, unplanes
 from .pretokens import SPECIAL, cut_bytes, decode_ids, default_path, encode_words, gathered
 
-SLICE = 16 << 20
+SLICE = 8 << 20
 GROUP = 1024
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Bloom, WordHash, loosened, mix, portions, released, settled, squeezed, stored
+from .common import Bloom, WordHash, dropped, loosened, mix, portions, released, settled, squeezed, stored
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(2**64 - 1)
@@ -172,8 +172,9 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gr
         .where("n > 1")
         .select("gram", F.col("least.row__").alias("first_row"), F.col("least.margins").alias("first_margins"))
     )
-    released(spark)
-    later = rows.select("row__", "gram").join(firsts, "gram").where("row__ <> first_row")
+    places = stored(rows.select("row__", "gram"))
+    dropped(rows)  # with the margins, which are the most of it
+    later = places.join(firsts, "gram").where("row__ <> first_row")
     return later.groupBy("row__").agg(F.collect_set(F.struct("gram", F.col("first_margins").alias("margins"))).alias("matches"))
 
 

@@ -365,7 +365,7 @@ simple("trace_ids", lambda s, d: traces.trace_ids(conversation_spans(s, d)), "SE
 simple("trace_services", lambda s, d: traces.service_names(conversation_spans(s, d)), "SELECT DISTINCT role || '-' || (conv_id % 4) AS service_name FROM conversations")
 simple("trace_lenient", lambda s, d: conversation_spans(s, d).where(traces.lenient_filter(name="USER|assist", kind=-1, min_ms=0.1, attributes=[("size", ">", "20"), ("absent", "!=", "x"), ("", "=", "y")])).select("span_id"),
        f"WITH {SPANS} SELECT CAST(seq AS VARCHAR) AS span_id FROM spans WHERE role IN ('user', 'assistant') AND size * 20000 >= 100000 AND size > 20")
-simple("service_buckets", lambda s, d: traces.service_metrics(event_spans(s, d), 10).withColumn("avg_ns", F.round("avg_ns", 4)), """WITH e AS (SELECT 'svc-' || (user_id % 5) AS service_name, epoch_us(ts) * 1000 AS t, CAST(floor(value * 1000) AS BIGINT) AS d, event_type = 'error' AS err FROM events),
+simple("service_durations", lambda s, d: traces.service_metrics(event_spans(s, d), 10).withColumn("avg_ns", F.round("avg_ns", 4)), """WITH e AS (SELECT 'svc-' || (user_id % 5) AS service_name, epoch_us(ts) * 1000 AS t, CAST(floor(value * 1000) AS BIGINT) AS d, event_type = 'error' AS err FROM events),
     b AS (SELECT min(t) AS lo, (max(t) - min(t)) / 10.0 AS w FROM e)
     SELECT service_name, CAST(least(9, floor((t - lo) / w)) AS INTEGER) AS bucket, count(*) AS spans, count(*) FILTER (err) AS errors, round(avg(d), 4) AS avg_ns, quantile_disc(d, 0.5) AS p50_ns, quantile_disc(d, 0.95) AS p95_ns, quantile_disc(d, 0.99) AS p99_ns FROM e, b GROUP BY 1, 2""")
 simple("span_lanes", lambda s, d: traces.lane_rows(traces.waterfall(conversation_spans(s, d))).select("trace_id", "label", F.round("start_ms", 6).alias("start_ms"), F.round("end_ms", 6).alias("end_ms")),

@@ -145,7 +145,7 @@ simple("agg_traces_grouped", lambda s, d: ops.aggregate(ops.assemble(conversatio
 SUMMARY = """summary AS (SELECT service_name, count(*) AS spans, count(*) FILTER (status_code = 2) AS errors, count(*) FILTER (status_code = 2) / count(*) AS error_rate, round(avg(duration_ns), 4) AS avg_ns,
     quantile_disc(duration_ns, 0.5) AS p50_ns, quantile_disc(duration_ns, 0.95) AS p95_ns, quantile_disc(duration_ns, 0.99) AS p99_ns, max(duration_ns) AS max_ns FROM spans GROUP BY 1)"""
 simple("service_summary", lambda s, d: ops.service_summary(conversation_spans(s, d)).withColumn("avg_ns", F.round("avg_ns", 4)), f"WITH {SPANS}, {SUMMARY} SELECT * FROM summary")
-simple("service_buckets", lambda s, d: ops.service_metrics(conversation_spans(s, d)), f"""WITH {SPANS}, b AS (SELECT min(start_ns) AS lo, max(start_ns) AS hi FROM spans)
+simple("service_buckets", lambda s, d: ops.service_metrics(conversation_spans(s, d)).select("service_name", "bucket", "spans", "errors"), f"""WITH {SPANS}, b AS (SELECT min(start_ns) AS lo, max(start_ns) AS hi FROM spans)
     SELECT service_name, CAST(least(19, floor((start_ns - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END / 20.0::DOUBLE))) AS INTEGER) AS bucket, count(*) AS spans, count(*) FILTER (status_code = 2) AS errors FROM spans, b GROUP BY ALL""")
 simple("trace_insights", lambda s, d: ops.insights(ops.service_summary(conversation_spans(s, d))), f"""WITH {SPANS}, {SUMMARY}
     SELECT service_name, 'error_rate' AS kind, CASE WHEN error_rate > 0.15 THEN 'high' ELSE 'medium' END AS severity FROM summary WHERE error_rate > 0.05

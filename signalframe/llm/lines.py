@@ -30,8 +30,11 @@ are returned as they are.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +43,8 @@ from .common import Bloom, WordHash, dropped, loosened, mix, portions, released,
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(2**64 - 1)
+#: Bytes of text that are worked on at once: what is made of them stays in a core's cache.
+PORTION = 1 << 18
 
 
 class Words:
@@ -90,23 +95,25 @@ class Words:
         value = np.full(len(key) + len(self.text_start) * window + window, _NONE, np.uint64)
         word = np.zeros(len(value), np.int64)
         value[at], word[at] = key, np.arange(len(key))
-        best, size = np.arange(len(value)), 1
+        least, best, size = value, np.arange(len(value)), 1
 
-        def lower(step: int) -> np.ndarray:
-            """Of two windows, the second ``step`` on, the place of the least, the left one of equals."""
-            a, b = best[: len(best) - step], best[step:]
-            return np.where(value[b] < value[a], b, a)
+        def lower(step: int) -> tuple[np.ndarray, np.ndarray]:
+            """Of two windows, the second ``step`` on, the least value and its place, the left one of equals."""
+            a, b = least[: len(least) - step], least[step:]
+            return np.minimum(a, b), np.where(b < a, best[step:], best[: len(best) - step])
 
         while 2 * size <= window:
-            best = lower(size)
+            least, best = lower(size)
             size *= 2
         if size < window:
-            best = lower(window - size)
+            least, best = lower(window - size)
         whole = value[at + window - 1] != _NONE
         begins = np.zeros(len(at), bool)
         begins[self.offset[:-1][self.offset[:-1] < self.offset[1:]]] = True
-        picked = np.unique(best[at[(key != _NONE) & (whole | begins)]])
-        return word[picked], value[picked]
+        picked = best[at[(key != _NONE) & (whole | begins)]]  # ascending, as windows are
+        new = np.ones(len(picked), bool)
+        new[1:] = picked[1:] != picked[:-1]
+        return word[picked[new]], value[picked[new]]
 
     def margins(self, first: np.ndarray, gram: int, reach: int) -> np.ndarray:
         """The hashes (24 bits as 3 bytes, 0 past the text) of ``reach`` words before and after each gram, outwards: as many as may stand between an end of a passage and a fingerprint."""
@@ -121,7 +128,7 @@ class Words:
 
 def _leaders(text: np.ndarray, value: np.ndarray) -> np.ndarray:
     """For each fingerprint the first of its text with the same value; both are in the order of places."""
-    order = np.lexsort((np.arange(len(value)), value, text))
+    order = np.argsort(value, kind="stable")  # the places of equal values ascend, and so do their texts
     new = np.ones(len(order), bool)
     new[1:] = (text[order][1:] != text[order][:-1]) | (value[order][1:] != value[order][:-1])
     out = np.empty(len(order), np.int64)
@@ -137,7 +144,7 @@ def _fingerprint_rows(docs: DataFrame, key: str, text: str, gram: int, window: i
     def run(batches):
         hasher = WordHash()
         for whole in batches:
-            for batch in portions(whole, 2):
+            for batch in portions(whole, 2, size=PORTION):
                 words = Words(batch.column(2).to_pylist(), hasher)
                 first, value = words.fingerprints(gram, window)
                 keep = _leaders(words.text[first], value) == np.arange(len(first))
@@ -178,6 +185,13 @@ def find_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gr
     return later.groupBy("row__").agg(F.collect_set(F.struct("gram", F.col("first_margins").alias("margins"))).alias("matches"))
 
 
+def _by_gram(matches: pa.ListArray) -> list[dict[int, bytes] | None]:
+    """For each list of matches the margins by gram; null lists are None."""
+    every, sizes = matches.flatten(), pc.list_value_length(matches).to_pylist()
+    pairs = zip(every.field("gram").to_pylist(), every.field("margins").to_pylist(), strict=True)
+    return [None if n is None else dict(itertools.islice(pairs, n)) for n in sizes]
+
+
 def cut_repeats(texts: list[bytes | None], matches: list[dict[int, bytes] | None], gram: int, window: int, min_words: int, hasher: WordHash) -> list[tuple[bytes | None, int, int, int]]:
     """For each text: the text without its repeated runs, and the numbers of its lines, of runs deleted, and of words deleted.
 
@@ -189,26 +203,31 @@ def cut_repeats(texts: list[bytes | None], matches: list[dict[int, bytes] | None
     leader = _leaders(text, value)
     again = leader != np.arange(len(first))
     has = np.array([bool(m) for m in matches], bool)
-    at = np.flatnonzero(again | has[text])
-    theirs, kept, own_first = [], [], []
     signed = value.view(np.int64)
-    for i in at.tolist():
-        found = matches[text[i]] and matches[text[i]].get(int(signed[i]))
-        if found is not None and found is not False:
-            theirs.append(np.frombuffer(found, np.uint8).reshape(2 * reach, 3))
+    # of the grams of texts with matches, those that agree in 16 bits with one that any has
+    mark = np.zeros(1 << 16, bool)
+    for m in matches:
+        if m:
+            mark[np.fromiter(m, np.int64, len(m)) & 0xFFFF] = True
+    at = np.flatnonzero(again | (has[text] & mark[signed & 0xFFFF]))
+    theirs, kept, own_first = [], [], []
+    for i, t, g in zip(at.tolist(), text[at].tolist(), signed[at].tolist(), strict=True):
+        found = matches[t].get(g) if matches[t] else None
+        if found is not None:
+            theirs.append(found)
             kept.append(i)
         elif again[i]:
             own_first.append(len(kept))
-            theirs.append(None)
+            theirs.append(b"")
             kept.append(i)
     out = [(t, int(n), 0, 0) for t, n in zip(texts, words.lines(), strict=True)]
     if not kept:
         return out
     at, place = np.array(kept), np.array(own_first, np.int64)
     for i, m in zip(own_first, words.margins(first[leader[at[place]]], gram, reach), strict=True):
-        theirs[i] = m
+        theirs[i] = m.tobytes()
     own_margins = words.margins(first[at], gram, reach)
-    same = (np.array(theirs) == own_margins).all(2) & own_margins.any(2)
+    same = (np.frombuffer(b"".join(theirs), np.uint8).reshape(own_margins.shape) == own_margins).all(2) & own_margins.any(2)
     left, right = np.cumprod(same[:, :reach], 1).sum(1), np.cumprod(same[:, reach:], 1).sum(1)
     runs: dict[int, list[list[int]]] = {}
     for a, b, t in sorted(zip((first[at] - left).tolist(), (first[at] + gram + right).tolist(), text[at].tolist(), strict=True)):
@@ -256,8 +275,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", gra
     def run(batches):
         hasher = WordHash()
         for whole in batches:
-            for batch in portions(whole, place, size=1 << 19):
-                held = [m and {x["gram"]: x["margins"] for x in m} for m in batch.column(len(names)).to_pylist()]
+            for batch in portions(whole, place, size=PORTION):
+                held = _by_gram(batch.column(len(names)))
                 done = cut_repeats([None if t is None else loosened(t) for t in batch.column(place).to_pylist()], held, gram, window, min_words, hasher)
                 new = pa.array([x[0] for x in done], pa.binary()).cast(pa.string())
                 if report:

@@ -33,6 +33,8 @@ from .pretokens import SPECIAL, cut_bytes, decode_ids, default_path, encode_word
 
 SLICE = 8 << 20
 GROUP = 1024
+#: Bytes of a slice that are cut and hashed at once: what is made of each byte takes many times its room.
+PIECE = 1 << 18
 
 
 class SliceWords:
@@ -46,15 +48,31 @@ class SliceWords:
                 held = [part for own in text.split(special) for part in (own, special)][:-1]
             segments += held
             owner += [i] * len(held)
-        self.buf, self.start, self.end, segment = cut_bytes(segments)
-        self.known, self.local = numbered(hasher.spans(self.buf, self.start, self.end))
-        self.offset = np.searchsorted(np.array(owner, np.int64)[segment], np.arange(len(texts) + 1))
+        kind = np.int32 if sum(map(len, segments)) + len(segments) < 2**31 else np.int64
+        counts, base, lo = np.zeros(len(texts), np.int64), 0, 0
+        bufs, starts, sizes, hashes = [np.empty(0, np.uint8)], [np.empty(0, kind)], [np.empty(0, kind)], [np.empty(0, np.uint64)]
+        while lo < len(segments):
+            hi, size = lo + 1, len(segments[lo])
+            while hi < len(segments) and size + len(segments[hi]) <= PIECE:
+                size += len(segments[hi])
+                hi += 1
+            buf, start, end, segment = cut_bytes(segments[lo:hi])
+            np.add.at(counts, owner[lo:hi], np.bincount(segment, minlength=hi - lo))
+            hashes.append(hasher.spans(buf, start, end))
+            bufs.append(buf)
+            starts.append((start + base).astype(kind))
+            sizes.append((end - start).astype(kind))
+            base, lo = base + len(buf), hi
+        self.buf, self.start, self.size = np.concatenate(bufs), np.concatenate(starts), np.concatenate(sizes)
+        del bufs, starts, sizes
+        self.known, self.local = numbered(np.concatenate(hashes))
+        self.offset = np.concatenate([[0], np.cumsum(counts)])
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """The length of each distinct word in bytes, and the bytes of all, in the order of ``known``."""
         first = np.empty(len(self.known), np.int64)
         first[self.local[::-1]] = np.arange(len(self.local) - 1, -1, -1)
-        start, size = self.start[first], (self.end - self.start)[first]
+        start, size = self.start[first].astype(np.int64), self.size[first].astype(np.int64)
         return size.astype(np.int32), gathered(self.buf, start, size)
 
 
@@ -174,6 +192,7 @@ def _encoded_rows(docs: DataFrame, path: str | None, key: str, text: str, specia
     def lay(batches):
         hasher = WordHash()
         for (_,), held in met(batches, 1):
+            words = start = ids = n_ids = None  # the last slice's go before the next one's come
             key_type = held[0].schema.field(2).type
             texts, keys, answers = [], [], []
             for batch in held:
@@ -200,7 +219,7 @@ def _encoded_rows(docs: DataFrame, path: str | None, key: str, text: str, specia
                     mine = gathered(ids, start[own], n_ids[own])
                     if decode_ids(mine, path) != texts[i]:
                         again = SliceWords([texts[i]], cut, hasher)
-                        every = [again.buf[a:b].tobytes().decode() for a, b in zip(again.start.tolist(), again.end.tolist(), strict=True)]
+                        every = [again.buf[a : a + n].tobytes().decode() for a, n in zip(again.start.tolist(), again.size.tolist(), strict=True)]
                         mine = encode_words(every, path, special)[1]
                     out.append(mine)
                 yield pa.record_batch([pa.array(keys[lo : lo + 256], key_type), *finish(out, path)], names=[key, *(f.name for f in fields)])

@@ -17,6 +17,7 @@ import numpy as np
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 SPECIAL = "<|endoftext|>"
+AT_ONCE = 4096
 
 
 def split_words(text: str | None, special: str | None = SPECIAL) -> list[str]:
@@ -98,26 +99,29 @@ def encode_words(words: list[str], path: str, special: bool = True) -> tuple[np.
 
     Words that begin with a blank and go on with something else are encoded some
     hundred at a time, side by side: no token reaches over such a blank.  The bytes
-    of the tokens tell which belong to a word.
+    of the tokens tell which belong to a word.  The library gets ``AT_ONCE`` words
+    at a time, as what it returns takes many times the room of the ids.
     """
     fast = tokenizer(path, special).encode_batch_fast
     sizes, ids = np.zeros(len(words), np.int64), [np.empty(0, np.int32)] * len(words)
     joined = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace()]
     there = set(joined)
     alone = [i for i in range(len(words)) if i not in there]
-    for i, e in zip(alone, fast([words[i] for i in alone], add_special_tokens=False), strict=True):
-        ids[i] = np.array(e.ids, np.int32)
-        sizes[i] = len(ids[i])
+    for own in (alone[i : i + AT_ONCE] for i in range(0, len(alone), AT_ONCE)):
+        for i, e in zip(own, fast([words[i] for i in own], add_special_tokens=False), strict=True):
+            ids[i] = np.array(e.ids, np.int32)
+            sizes[i] = len(ids[i])
     runs = [joined[i : i + 256] for i in range(0, len(joined), 256)]
     length = piece_table(path)[1]
     order = [np.array(alone, np.int64)]
     flat = [np.concatenate([np.empty(0, np.int32), *(ids[i] for i in alone)])]
-    for run, e in zip(runs, fast(["".join([words[i] for i in run]) for run in runs], add_special_tokens=False), strict=True):
-        own = np.array(e.ids, np.int32)
-        ends = np.cumsum([len(words[i].encode()) for i in run])
-        sizes[run] = np.diff(np.searchsorted(np.cumsum(length[own]), ends, "right"), prepend=0)
-        order.append(np.array(run, np.int64))
-        flat.append(own)
+    for some in (runs[i : i + AT_ONCE // 256] for i in range(0, len(runs), AT_ONCE // 256)):
+        for run, e in zip(some, fast(["".join([words[i] for i in run]) for run in some], add_special_tokens=False), strict=True):
+            own = np.array(e.ids, np.int32)
+            ends = np.cumsum([len(words[i].encode()) for i in run])
+            sizes[run] = np.diff(np.searchsorted(np.cumsum(length[own]), ends, "right"), prepend=0)
+            order.append(np.array(run, np.int64))
+            flat.append(own)
     every, flat = np.concatenate(order), np.concatenate(flat)
     n = sizes[every]
     start = np.empty(len(words), np.int64)

@@ -21,6 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The most rows that a task sorts for its files, about: what bounds its memory whatever the size of the table.
+TASK_ROWS = 1 << 20
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: loops over it keep short plans, and lost executors lose nothing."""
     path = f"{shared_folder(df.sparkSession)}/steps/{uuid.uuid4().hex}"
@@ -40,7 +44,8 @@ def write_samples(samples: DataFrame, path: str, files: int | None = None, codec
     """Samples by metric and day, sorted by series and time, so selectors and ranges prune folders and row groups; see ``chunked`` for the policy.
 
     With ``max_rows`` a folder is written by one task, so that all of its files but the
-    last are full, and folders are written side by side; else ``files`` is the least number of tasks.
+    last are full, and folders are written side by side; else ``files`` is the least
+    number of tasks, and there are more where each would have more than TASK_ROWS rows.
     """
     rows = samples.withColumn("day", F.expr("cast(ts_ns div 86400000000000L as int)"))
     columns = ["metric", "day", "series_id", "ts_ns"]
@@ -48,7 +53,7 @@ def write_samples(samples: DataFrame, path: str, files: int | None = None, codec
         tasks = max(files or 1, int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         rows = rows.repartitionByRange(tasks, "metric", "day")
     else:
-        rows = rows.repartitionByRange(files, *columns) if files else rows.repartitionByRange(*columns)
+        rows = rows.repartitionByRange(max(files, -(-samples.count() // TASK_ROWS)), *columns) if files else rows.repartitionByRange(*columns)
     chunked(rows.sortWithinPartitions(*columns).write.mode("append").partitionBy("metric", "day"), codec, **policy).parquet(path)
 
 
@@ -74,11 +79,17 @@ def write_logs(logs: DataFrame, path: str, codec: str = "zstd") -> None:
 
 
 def compact(spark: SparkSession, source: str, target: str, partition_by: list[str], file_mb: int = 256, codec: str = "zstd") -> None:
-    """Rewrite small files as fewer larger ones, with a stronger codec."""
+    """Rewrite small files as fewer larger ones, with a stronger codec.
+
+    Rows of a file stay in order; a folder too large for one task is cut.
+    """
     df = spark.read.parquet(source)
-    size = df.select(F.col("_metadata.file_path"), F.col("_metadata.file_size")).distinct().agg(F.sum("file_size")).first()[0] or 0
-    files = max(1, -(-size // (file_mb << 20)))
-    df.repartition(files, *partition_by).write.mode("overwrite").partitionBy(*partition_by).option("compression", codec).parquet(target)
+    stats = table_stats(df).first()
+    tasks = max(1, -(-(stats.bytes or 0) // (file_mb << 20)), -(-(stats.rows or 0) // TASK_ROWS))
+    # where a row stands in the source cuts a folder, so that no task has to take the whole of one
+    place = {"_file": F.xxhash64("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    dealt = df.select("*", *[c.alias(n) for n, c in place.items()]).repartitionByRange(tasks, *partition_by, *place)
+    dealt.sortWithinPartitions(*partition_by, *place).drop(*place).write.mode("overwrite").partitionBy(*partition_by).option("compression", codec).parquet(target)
 
 
 def table_stats(df: DataFrame) -> DataFrame:
@@ -110,7 +121,7 @@ class SampleStore:
         new = materialised(own.join(self.series().select("sid"), "sid", "left_anti") if self._there("series") else own)
         rows = samples.select("metric", F.expr("cast(ts_ns div 86400000000000L as int)").alias("day"), number, "ts_ns", "value", "seq")
         columns = ["metric", "day", "sid", "ts_ns"]
-        dealt = rows.repartitionByRange(files, *columns) if files else rows.repartitionByRange(*columns)
+        dealt = rows.repartitionByRange(max(files, -(-rows.count() // TASK_ROWS)), *columns) if files else rows.repartitionByRange(*columns)
         dealt.sortWithinPartitions(*columns).write.mode("append").partitionBy("metric", "day").option("compression", "zstd").parquet(f"{self.path}/samples")
         new.write.mode("append").parquet(f"{self.path}/series")
 

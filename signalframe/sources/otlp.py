@@ -6,8 +6,6 @@ of it is one plan of explodes over an explicit schema; positions give ``seq``.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,34 +109,40 @@ def _ordinal(*columns: str) -> Column:
 
 
 def metric_points(docs: DataFrame) -> DataFrame:
-    """One row per point of any kind: name, unit, kind, times, value (of number points), the point's own fields, attributes, resource and scope."""
+    """One row per point of any kind: name, unit, kind, times, value (of number points), the point's own fields, attributes, resource and scope.
+
+    The points of all kinds are made alike and exploded together, so documents are read and parsed once.
+    """
     metrics = _scoped(docs.where("doc.resourceMetrics is not null"), "resourceMetrics", "scopeMetrics", "metrics")
-    parts = []
-    for order, kind in enumerate(KINDS):
-        rows = metrics.where(f"item.{kind} is not null").select("seq", "r", "s", "i", "own_resource", "own_scope", "item", F.posexplode(f"item.{kind}.dataPoints").alias("p", "point"))
-        number, is_exp = kind in ("gauge", "sum"), kind == "exponentialHistogram"
-        null = lambda t: F.lit(None).cast(t)
-        field = lambda name, kinds, t="double": F.col(f"point.{name}").try_cast(t) if kind in kinds else null(t)
-        parts.append(
-            rows.select(
-                _ordinal("seq", "r", "s", "i", F.lit(order).alias("k"), "p").alias("ordinal"),
-                F.col("item.name").alias("name"), F.col("item.unit").alias("unit"), F.col("item.description").alias("description"), F.lit(kind).alias("kind"),
-                F.col("point.timeUnixNano").alias("time_text"), unix_nanos("point.timeUnixNano").alias("ts_ns"), unix_nanos("point.startTimeUnixNano").alias("start_ns"),
-                (F.coalesce(F.col("point.asDouble").try_cast("double"), F.col("point.asInt").try_cast("double")) if number else null("double")).alias("value"),
-                field("count", ("histogram", "summary", "exponentialHistogram")).alias("count"), field("sum", ("histogram", "summary", "exponentialHistogram")).alias("sum"),
-                (F.col("point.bucketCounts").cast("array<double>") if kind == "histogram" else null("array<double>")).alias("bucket_counts"),
-                (F.col("point.explicitBounds").cast("array<double>") if kind == "histogram" else null("array<double>")).alias("bounds"),
-                (F.col("point.quantileValues").cast("array<struct<quantile:double,value:double>>") if kind == "summary" else null("array<struct<quantile:double,value:double>>")).alias("quantiles"),
-                (F.col("point.scale").try_cast("double") if is_exp else null("double")).alias("scale"), (F.col("point.zeroCount").try_cast("double") if is_exp else null("double")).alias("zero_count"),
-                (F.struct(F.col("point.positive.offset").try_cast("int").alias("offset"), F.col("point.positive.bucketCounts").cast("array<double>").alias("counts")) if is_exp else null("struct<offset:int,counts:array<double>>")).alias("positive"),
-                (F.struct(F.col("point.negative.offset").try_cast("int").alias("offset"), F.col("point.negative.bucketCounts").cast("array<double>").alias("counts")) if is_exp else null("struct<offset:int,counts:array<double>>")).alias("negative"),
-                (F.col(f"item.{kind}.aggregationTemporality").try_cast("int") if kind in ("sum", "histogram", "exponentialHistogram") else null("int")).alias("temporality"),
-                (F.col("item.sum.isMonotonic") if kind == "sum" else null("boolean")).alias("is_monotonic"),
-                attributes_map("point.attributes").alias("attributes"), attributes_map("own_resource.attributes").alias("resource"),
-                F.col("own_scope.name").alias("scope_name"), F.col("own_scope.version").alias("scope_version"), attributes_map("own_scope.attributes").alias("scope_attributes"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    null = lambda t: F.lit(None).cast(t)
+    numbers = "array<double>"
+    quantiles = "array<struct<quantile:double,value:double>>"
+
+    def alike(order: int, kind: str) -> Column:
+        number, exp, counted = kind in ("gauge", "sum"), kind == "exponentialHistogram", kind not in ("gauge", "sum")
+        side = lambda p, name: F.struct(p[name]["offset"].try_cast("int").alias("offset"), p[name]["bucketCounts"].cast(numbers).alias("counts")) if exp else null(f"struct<offset:int,counts:{numbers}>")
+        field = lambda p, name, there: p[name].try_cast("double") if there else null("double")
+        point = lambda p, i: F.struct(
+            F.lit(order).alias("k"), i.alias("p"), F.lit(kind).alias("kind"), p["timeUnixNano"].alias("time_text"), p["startTimeUnixNano"].alias("start_text"),
+            (F.coalesce(p["asDouble"].try_cast("double"), p["asInt"].try_cast("double")) if number else null("double")).alias("value"),
+            field(p, "count", counted).alias("count"), field(p, "sum", counted).alias("sum"),
+            (p["bucketCounts"].cast(numbers) if kind == "histogram" else null(numbers)).alias("bucket_counts"), (p["explicitBounds"].cast(numbers) if kind == "histogram" else null(numbers)).alias("bounds"),
+            (p["quantileValues"].cast(quantiles) if kind == "summary" else null(quantiles)).alias("quantiles"), field(p, "scale", exp).alias("scale"), field(p, "zeroCount", exp).alias("zero_count"),
+            side(p, "positive").alias("positive"), side(p, "negative").alias("negative"),
+            (F.col(f"item.{kind}.aggregationTemporality").try_cast("int") if kind in ("sum", "histogram", "exponentialHistogram") else null("int")).alias("temporality"),
+            (F.col("item.sum.isMonotonic") if kind == "sum" else null("boolean")).alias("is_monotonic"), p["attributes"].alias("own_attributes"),
+        )
+        return F.transform(f"item.{kind}.dataPoints", point)
+
+    kinds = F.array_compact(F.array(*[alike(order, kind) for order, kind in enumerate(KINDS)]))
+    rows = metrics.select("seq", "r", "s", "i", "own_resource", "own_scope", F.col("item.name").alias("name"), F.col("item.unit").alias("unit"), F.col("item.description").alias("description"), F.explode(F.flatten(kinds)).alias("x"))
+    fields = ("bucket_counts", "bounds", "quantiles", "scale", "zero_count", "positive", "negative", "temporality", "is_monotonic")
+    return rows.select(
+        F.struct("seq", "r", "s", "i", "x.k", "x.p").alias("ordinal"), "name", "unit", "description", "x.kind",
+        "x.time_text", unix_nanos("x.time_text").alias("ts_ns"), unix_nanos("x.start_text").alias("start_ns"), "x.value", "x.count", "x.sum", *[f"x.{f}" for f in fields],
+        attributes_map("x.own_attributes").alias("attributes"), attributes_map("own_resource.attributes").alias("resource"),
+        F.col("own_scope.name").alias("scope_name"), F.col("own_scope.version").alias("scope_version"), attributes_map("own_scope.attributes").alias("scope_attributes"),
+    )
 
 
 def is_delta(temporality: str | Column = "temporality") -> Column:
@@ -191,31 +195,34 @@ def to_samples(points: DataFrame) -> DataFrame:
         _prefixed("resource", "resource."), _prefixed("scope_attributes", "scope_attr."), _prefixed("attributes", "attr."),
     )
     rows = rows.withColumn("base", base)
+    numbers = rows.where("kind in ('gauge', 'sum')").select(F.col("name").alias("metric"), F.col("base").alias("labels"), F.col("at").alias("ts_ns"), "value", "ordinal", F.lit(0).alias("place"))
+    # all else in one pass: (suffix, value, labels, a label of a number with its name, place); numbers are formatted after the explode, as that is a Python function
     none = F.expr("cast(map() as map<string,string>)")
 
-    def part(name: Column, value: Column, extra: Column = none, source: DataFrame = rows, place: Column | None = None) -> DataFrame:
-        return source.select(name.alias("metric"), F.map_concat("base", extra).alias("labels"), F.col("at").alias("ts_ns"), value.alias("value"), "ordinal", (place if place is not None else F.lit(0)).alias("place"))
-
-    named = lambda suffix: F.concat("name", F.lit(suffix))
-    out = [part(F.col("name"), F.col("value"), source=rows.where("kind in ('gauge', 'sum')"))]
-    h = rows.where("kind = 'histogram'").withColumn("n", F.least(F.size("bucket_counts"), F.size("bounds") + 1)).where("n > 0")
-    sums = F.aggregate(F.slice("bucket_counts", 1, F.col("n")), F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + F.coalesce(x, F.lit(0.0))))
-    h = h.select("*", F.posexplode(sums).alias("b", "cumulative")).withColumn("bound", F.get("bounds", F.col("b")))
-    le = F.coalesce(numeric_label(F.col("bound")), F.lit("+Inf"))
-    out.append(part(named("_bucket"), F.col("cumulative"), F.create_map(F.lit("le"), le), h, F.col("b") + 1))
-    s = rows.where("kind = 'summary'").select("*", F.posexplode("quantiles").alias("b", "q")).where("q.quantile is not null and q.value is not null")
-    out.append(part(F.col("name"), F.col("q.value"), F.create_map(F.lit("quantile"), numeric_label(F.col("q.quantile"))), s, F.col("b") + 1))
-    e = rows.where("kind = 'exponentialHistogram'")
-    scale = F.when(F.col("scale").isNotNull(), F.create_map(F.lit("exp_scale"), numeric_label(F.col("scale")))).otherwise(none)
-    for side in ("positive", "negative"):
-        x = e.select("*", F.posexplode(f"{side}.counts").alias("b", "c")).where("c is not null")
-        bucket = (F.coalesce(F.col(f"{side}.offset"), F.lit(0)) + F.col("b")).cast("string")
-        out.append(part(named("_bucket"), F.col("c"), F.map_concat(F.create_map(F.lit("exp_side"), F.lit(side), F.lit("exp_bucket"), bucket), scale), x, F.col("b") + 1))
-    out.append(part(named("_bucket"), F.col("zero_count"), F.map_concat(F.create_map(F.lit("exp_bucket"), F.lit("zero")), scale), e))
-    many = rows.where("kind in ('histogram', 'summary', 'exponentialHistogram')")
-    out += [part(named("_count"), F.col("count"), source=many), part(named("_sum"), F.col("sum"), source=many)]
-    samples = reduce(DataFrame.unionByName, out).where("value is not null")
-    return samples.withColumn("series_id", canonical_key("labels"))
+    def one(suffix: str, value: Column, place: Column | None = None, extra: Column = none, key: str | None = None, number: Column | None = None) -> Column:
+        at = (place + 1).cast("int") if place is not None else F.lit(0)
+        return F.struct(F.lit(suffix).alias("suffix"), value.alias("value"), extra.alias("extra"), F.lit(key).cast("string").alias("key"), (number if number is not None else F.lit(None)).cast("double").alias("number"), at.alias("place"))
+
+    def listed(items: Column, f) -> Column:
+        return F.coalesce(F.transform(items, f), F.array().cast("array<struct<suffix:string,value:double,extra:map<string,string>,key:string,number:double,place:int>>"))
+
+    n = F.least(F.size("bucket_counts"), F.size("bounds") + 1)
+    sums = F.when(n > 0, F.aggregate(F.slice("bucket_counts", 1, n), F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + F.coalesce(x, F.lit(0.0)))))
+    buckets = listed(sums, lambda c, b: one("_bucket", c, b, key="le", number=F.get("bounds", b)))
+    marks = listed(F.col("quantiles"), lambda q, b: one("", F.when(q["quantile"].isNotNull(), q["value"]), b, key="quantile", number=q["quantile"]))
+
+    def side(name: str) -> Column:
+        label = lambda b: F.create_map(F.lit("exp_side"), F.lit(name), F.lit("exp_bucket"), (F.coalesce(F.col(f"{name}.offset"), F.lit(0)) + b).cast("string"))
+        return listed(F.col(f"{name}.counts"), lambda c, b: one("_bucket", c, b, label(b), "exp_scale", F.col("scale")))
+
+    zero = F.array(one("_bucket", F.col("zero_count"), extra=F.create_map(F.lit("exp_bucket"), F.lit("zero")), key="exp_scale", number=F.col("scale")))
+    total = F.array(one("_count", F.col("count")), one("_sum", F.col("sum")))
+    each = F.when(F.col("kind") == "histogram", F.concat(buckets, total)).when(F.col("kind") == "summary", F.concat(marks, total)).otherwise(F.concat(side("positive"), side("negative"), zero, total))
+    many = rows.where("kind in ('histogram', 'summary', 'exponentialHistogram')").select("name", "at", "ordinal", "base", F.explode(each).alias("x"))
+    many = many.where("x.value is not null").withColumn("text", numeric_label(F.col("x.number")))
+    label = F.when(F.col("x.key") == "le", F.create_map(F.lit("le"), F.coalesce("text", F.lit("+Inf")))).when(F.col("x.number").isNotNull(), F.create_map(F.col("x.key"), F.col("text"))).otherwise(none)
+    many = many.select(F.concat("name", "x.suffix").alias("metric"), F.map_concat("base", "x.extra", label).alias("labels"), F.col("at").alias("ts_ns"), "x.value", "ordinal", "x.place")
+    return numbers.where("value is not null").unionByName(many).withColumn("series_id", canonical_key("labels"))
 
 
 def ingest_report(points: DataFrame) -> DataFrame:
@@ -268,11 +275,10 @@ def points_from(metric_rows: DataFrame) -> DataFrame:
 def raw_points(docs: DataFrame) -> DataFrame:
     """(ordinal, name, kind, point_attributes, resource_attributes): metric points with their attributes as they stand, not yet read into maps."""
     metrics = _scoped(docs.where("doc.resourceMetrics is not null"), "resourceMetrics", "scopeMetrics", "metrics")
-    parts = []
-    for order, kind in enumerate(KINDS):
-        rows = metrics.where(f"item.{kind} is not null").select("seq", "r", "s", "i", "own_resource", "item", F.posexplode(f"item.{kind}.dataPoints").alias("p", "point"))
-        parts.append(rows.select(_ordinal("seq", "r", "s", "i", F.lit(order).alias("k"), "p").alias("ordinal"), F.col("item.name").alias("name"), F.lit(kind).alias("kind"), F.col("point.attributes").alias("point_attributes"), F.col("own_resource.attributes").alias("resource_attributes")))
-    return reduce(DataFrame.unionByName, parts)
+    alike = lambda order, kind: F.transform(f"item.{kind}.dataPoints", lambda p, i: F.struct(F.lit(order).alias("k"), i.alias("p"), F.lit(kind).alias("kind"), p["attributes"].alias("own")))
+    kinds = [alike(order, kind) for order, kind in enumerate(KINDS)]
+    rows = metrics.select("seq", "r", "s", "i", "own_resource", F.col("item.name").alias("name"), F.explode(F.flatten(F.array_compact(F.array(*kinds)))).alias("x"))
+    return rows.select(F.struct("seq", "r", "s", "i", "x.k", "x.p").alias("ordinal"), "name", "x.kind", F.col("x.own").alias("point_attributes"), F.col("own_resource.attributes").alias("resource_attributes"))
 
 
 def storage_report(samples: DataFrame, stored: DataFrame | None = None) -> DataFrame:

@@ -98,7 +98,8 @@ def ingest_nanos(text: str | Column) -> Column:
 
 def _scoped(docs: DataFrame, group: str, scopes: str, items: str) -> DataFrame:
     """(seq, r, s, i, own_resource, own_scope, item): the items of each document with their positions."""
-    rows = docs.select("seq", F.posexplode(f"doc.{group}").alias("r", "rm"))
+    # what a generator gives is computed once; without it each use of the document, filters too, would parse its text again
+    rows = docs.select("seq", F.explode(F.array("doc")).alias("doc")).select("seq", F.posexplode(f"doc.{group}").alias("r", "rm"))
     rows = rows.select("seq", "r", F.col("rm.resource").alias("own_resource"), F.posexplode(f"rm.{scopes}").alias("s", "sm"))
     return rows.select("seq", "r", "s", "own_resource", F.col("sm.scope").alias("own_scope"), F.posexplode(f"sm.{items}").alias("i", "item"))
 
@@ -113,7 +114,7 @@ def metric_points(docs: DataFrame) -> DataFrame:
 
     The points of all kinds are made alike and exploded together, so documents are read and parsed once.
     """
-    metrics = _scoped(docs.where("doc.resourceMetrics is not null"), "resourceMetrics", "scopeMetrics", "metrics")
+    metrics = _scoped(docs, "resourceMetrics", "scopeMetrics", "metrics")
     null = lambda t: F.lit(None).cast(t)
     numbers = "array<double>"
     quantiles = "array<struct<quantile:double,value:double>>"
@@ -151,7 +152,7 @@ def is_delta(temporality: str | Column = "temporality") -> Column:
 
 def spans(docs: DataFrame) -> DataFrame:
     """Span rows (see ``schemas.SPANS``); durations are end less start, an absent status is 0."""
-    rows = _scoped(docs.where("doc.resourceSpans is not null"), "resourceSpans", "scopeSpans", "spans")
+    rows = _scoped(docs, "resourceSpans", "scopeSpans", "spans")
     events = F.transform("item.events", lambda e: F.struct(unix_nanos(e["timeUnixNano"]).alias("time_ns"), e["name"].alias("name"), attributes_map(e["attributes"]).alias("attributes")))
     links = F.transform("item.links", lambda e: F.struct(e["traceId"].alias("trace_id"), e["spanId"].alias("span_id"), attributes_map(e["attributes"]).alias("attributes")))
     rows = rows.withColumns({"events": events, "links": links})
@@ -169,7 +170,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def logs(docs: DataFrame) -> DataFrame:
     """Log rows (see ``schemas.LOGS``)."""
-    rows = _scoped(docs.where("doc.resourceLogs is not null"), "resourceLogs", "scopeLogs", "logRecords")
+    rows = _scoped(docs, "resourceLogs", "scopeLogs", "logRecords")
     body = F.col("item.body")
     kind = F.when(body["stringValue"].isNotNull(), "string").when(body["kvlistValue"].isNotNull(), "kvlist").when(body["bytesValue"].isNotNull(), "bytes").when(body.isNotNull(), "primitive")
     return rows.select(
@@ -274,7 +275,7 @@ def points_from(metric_rows: DataFrame) -> DataFrame:
 
 def raw_points(docs: DataFrame) -> DataFrame:
     """(ordinal, name, kind, point_attributes, resource_attributes): metric points with their attributes as they stand, not yet read into maps."""
-    metrics = _scoped(docs.where("doc.resourceMetrics is not null"), "resourceMetrics", "scopeMetrics", "metrics")
+    metrics = _scoped(docs, "resourceMetrics", "scopeMetrics", "metrics")
     alike = lambda order, kind: F.transform(f"item.{kind}.dataPoints", lambda p, i: F.struct(F.lit(order).alias("k"), i.alias("p"), F.lit(kind).alias("kind"), p["attributes"].alias("own")))
     kinds = [alike(order, kind) for order, kind in enumerate(KINDS)]
     rows = metrics.select("seq", "r", "s", "i", "own_resource", F.col("item.name").alias("name"), F.explode(F.flatten(F.array_compact(F.array(*kinds)))).alias("x"))

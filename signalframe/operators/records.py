@@ -174,12 +174,13 @@ def extremes(points: DataFrame, chunks: int, max_points: int | None = None) -> D
 def correlate(records: DataFrame, windows: DataFrame) -> DataFrame:
     """(trace_id, n, avg_value) of the records in each of ``windows`` (trace_id, from_ns, to_ns), ends included.
 
-    A range join without a slot size to choose: a window is cut into the fewest
-    aligned slots of 1, 2, 4, ... times 2**20 ns (about twice the log of its length),
-    and each record meets them by the slot of every size that it lies in, of those
-    sizes that any window has.  A long window has few slots, a short one small ones.
+    A range join without a slot size to choose: the whole slots of 2**20 ns inside a
+    window are cut into the fewest aligned ones of 1, 2, 4, ... times that (about twice
+    the log of its length), which meet the sums of their records; only records of the
+    slots of a window's two ends are met one by one.  So the work grows with records
+    and windows, not with the pairs of them.
     """
-    w = windows.where("from_ns <= to_ns").withColumns({"a": F.shiftright("from_ns", 20), "b": F.shiftright("to_ns", 20)})
+    w = windows.where("from_ns <= to_ns").withColumns({"a": F.shiftright("from_ns", 20) + 1, "b": F.shiftright("to_ns", 20) - 1})
     # the slots of level k: an odd left end, and an even right end, as in a segment tree
     levels = F.sequence(F.lit(0), F.lit(43))
     steps = F.aggregate(
@@ -197,11 +198,16 @@ def correlate(records: DataFrame, windows: DataFrame) -> DataFrame:
         ),
         lambda s: s["out"],
     )
-    w = w.withColumn("s", F.explode(steps)).select("trace_id", "from_ns", "to_ns", "s.level", "s.slot")
-    met = F.broadcast(w.select("level").distinct())  # 44 at most
-    rows = records.where("ts_ns is not null").crossJoin(met).withColumn("slot", F.expr("shiftright(ts_ns, 20 + level)"))
-    both = rows.join(w, ["level", "slot"]).where("ts_ns between from_ns and to_ns")
-    return both.groupBy("trace_id").agg(F.count("*").alias("n"), F.avg("value").alias("avg_value"))
+    inner = w.withColumn("s", F.explode(steps)).select("trace_id", "s.level", "s.slot")
+    met = F.broadcast(inner.select("level").distinct())  # 44 at most
+    rows = records.where("ts_ns is not null").select("ts_ns", "value", F.shiftright("ts_ns", 20).alias("base"))
+    least = rows.groupBy("base").agg(F.count("*").alias("n"), F.count("value").alias("valued"), F.sum("value").alias("total"))
+    cells = least.crossJoin(met).groupBy("level", F.expr("shiftright(base, level)").alias("slot")).agg(*[F.sum(c).alias(c) for c in ("n", "valued", "total")])
+    whole = inner.join(cells, ["level", "slot"]).select("trace_id", "n", "valued", "total")
+    ends = F.explode(F.array_distinct(F.array(F.shiftright("from_ns", 20), F.shiftright("to_ns", 20)))).alias("base")
+    edges = windows.where("from_ns <= to_ns").select("trace_id", "from_ns", "to_ns", ends).join(rows, "base").where("ts_ns between from_ns and to_ns")
+    parts = whole.unionByName(edges.select("trace_id", F.lit(1).cast("long").alias("n"), F.col("value").isNotNull().cast("long").alias("valued"), F.col("value").alias("total")))
+    return parts.groupBy("trace_id").agg(F.sum("n").alias("n"), (F.sum("total") / F.nullif(F.sum("valued"), F.lit(0))).alias("avg_value"))
 
 
 COMMON = ("signal", "name", "ts_ns", "value", "attributes", "resource", "scope_name", "seq")
